@@ -1,0 +1,280 @@
+"""PII spans: fixed patterns, then a skip-chain conditional random field over mentions.
+
+Base spans come from the four fixed patterns. The field's nodes are all mentions of a document (the
+base spans and every other number group or token with a digit or ``@``). Neighbouring mentions
+share a chain potential; distant mentions with the same key (equal digits, equal address name)
+share a skip potential. Weights are trained by pseudo-likelihood with the base labels as truth: each
+mention becomes a discrete configuration (features, label, neighbours' labels), configurations are
+counted per task and summed over all documents, and their number is bounded by the feature space,
+not by the input. Inference clamps base mentions and runs loopy sum-product messages, so a mention
+that repeats a known one takes its label; base spans always stay.
+
+Defined results: null text is empty text; an empty table gives an empty result; repeated rows are
+handled row by row; spans of the method never overlap base spans.
+"""
+
+from __future__ import annotations
+
+import hashlib
+import re
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .common import own_columns, table
+
+KINDS = ("email", "ip", "card", "phone")
+LABELS = ("", *KINDS)
+CONFIG_LIMIT = 1_000_000
+
+_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+_DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+# A number's first digit is never preceded by a digit: a match inside a run implies one at its start.
+_IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
+_CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
+_PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
+_NUMBER = re.compile(r"[+(]?[0-9](?:[ ().-]{0,2}[0-9])++")
+_TOKEN = re.compile(r"[^\s,;:!?\"'()<>|]*[0-9@][^\s,;:!?\"'()<>|]*")
+_DIGIT = re.compile(r"[0-9]")
+Span = tuple[int, int, int]  # start, end, kind from 1
+
+
+def luhn(digits: str) -> bool:
+    odd = sum(map(int, digits[-1::-2]))
+    return (odd + sum(sum(divmod(2 * int(d), 10)) for d in digits[-2::-2])) % 10 == 0
+
+
+def _digits(s: str) -> str:
+    return "".join(_DIGIT.findall(s))
+
+
+def _small(part: str) -> bool:
+    return len(part.lstrip("0")) <= 3 and int(part.lstrip("0") or "0") <= 255
+
+
+def _emails(t: str) -> list[Span]:
+    """Leftmost matches, found from each @ so that long runs cost linear time."""
+    out, done, at = [], 0, t.find("@")
+    while at >= 0:
+        start = at
+        while start > done and t[start - 1] in _LOCAL:
+            start -= 1
+        if start < at and (m := _DOMAIN.match(t, at + 1)):
+            done = m.end()
+            out.append((start, done, 1))
+            at = t.find("@", done)
+        else:
+            at = t.find("@", at + 1)
+    return out
+
+
+def base_spans(t: str) -> list[Span]:
+    """The contract's spans by start, then kind."""
+    out = _emails(t)
+    if _DIGIT.search(t):
+        out += [(m.start(), m.end(), 2) for m in _IP.finditer(t) if all(map(_small, m.groups()))]
+        out += [(m.start(), m.end(), 3) for m in _CARD.finditer(t) if 14 <= len(d := _digits(m[0])) <= 19 and luhn(d)]
+        if "+" in t:
+            out += [(m.start(), m.end(), 4) for m in _PHONE.finditer(t) if 10 <= len(_digits(m[0])) <= 15]
+    return sorted(out, key=lambda s: (s[0], s[2]))
+
+
+def _free(found: list[tuple[int, int]], taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Those of ``found`` that overlap none of ``taken``; both sorted by start."""
+    out, i, reach = [], 0, 0
+    for s, e in found:
+        while i < len(taken) and taken[i][0] < e:
+            reach = max(reach, taken[i][1])
+            i += 1
+        if reach <= s:
+            out.append((s, e))
+    return out
+
+
+def _key(s: str) -> str:
+    """What distant mentions of one thing have in common; empty: nothing."""
+    if "@" in s:
+        return name if len(name := s.partition("@")[0].lower().strip(".")) >= 4 else ""
+    d = _digits(s)
+    if any(c.isalpha() for c in s):
+        return s.lower().strip(".") if len(s) >= 5 else ""
+    return d[-10:] if len(d) >= 7 else ""
+
+
+def _features(s: str) -> tuple[str, ...]:
+    d, parts = _digits(s), s.split(".")
+    n = len(d)
+    size = "0" if not n else "1-6" if n < 7 else "7-9" if n < 10 else "10-13" if n < 14 else "14-15" if n < 16 else "16-19" if n < 20 else "20+"
+    return (
+        "bias", f"n={size}", f"plus={s[0] == '+'}", f"at={'@' in s}", f"alpha={any(c.isalpha() for c in s)}",
+        f"quad={len(parts) == 4 and all(p.isdigit() and p.isascii() and _small(p) for p in parts)}", f"check={14 <= n <= 19 and luhn(d)}",
+    )
+
+
+def mentions(t: str) -> tuple[list[Span], list[Span], list[tuple[int, int]], list[tuple[int, int]]]:
+    """Base spans, nodes (start, end, base label or 0), chain edges and skip edges of a text."""
+    base = base_spans(t)
+    if not base:  # consistency needs something known to be consistent with
+        return base, [], [], []
+    taken = [(s, e) for s, e, _ in base]
+    numbers = _free([m.span() for m in _NUMBER.finditer(t)], taken)
+    tokens = _free([m.span() for m in _TOKEN.finditer(t)], sorted(taken + numbers))
+    nodes = sorted([*base, *((s, e, 0) for s, e in numbers + tokens)])
+    chain = [(i, i + 1) for i in range(len(nodes) - 1) if nodes[i + 1][0] - nodes[i][1] <= 40]
+    skip, last = [], {}
+    for i, (s, e, _) in enumerate(nodes):
+        if k := _key(t[s:e]):
+            if k in last:
+                skip.append((last[k], i))
+            last[k] = i
+    return base, nodes, chain, skip
+
+
+def _counted(nodes, edges, most):
+    found = [[0] * len(LABELS) for _ in nodes]
+    for i, j in edges:
+        for a, b in ((i, j), (j, i)):
+            found[a][nodes[b][2]] = min(most, found[a][nodes[b][2]] + 1)
+    return found
+
+
+def _configurations(batches):
+    for b in batches:
+        n: Counter = Counter()
+        for t in b.column("text").to_pylist():
+            if not t or not (_DIGIT.search(t) or "@" in t):
+                continue
+            _, nodes, chain, skip = mentions(t)
+            for (s, e, y), c, k in zip(nodes, _counted(nodes, chain, 2), _counted(nodes, skip, 2), strict=True):
+                n[" ".join([str(y), "".join(map(str, c)), "".join(map(str, k)), *_features(t[s:e])])] += 1
+        yield pa.RecordBatch.from_pydict({"config": pa.array(list(n), pa.string()), "n": pa.array(list(n.values()), pa.int64())})
+
+
+class Field:
+    """Weights of the field: node features, chain and skip potentials."""
+
+    def __init__(self, node: dict[str, np.ndarray], chain: np.ndarray, skip: np.ndarray):
+        self.node, self.chain, self.skip = node, chain, skip
+
+    @staticmethod
+    def fit(counts: list[tuple[str, int]], l2: float = 1.0, steps: int = 300) -> Field:
+        """Pseudo-likelihood by gradient ascent over distinct configurations."""
+        size = len(LABELS)
+        split = [(c.split(" "), n) for c, n in sorted(counts)]
+        names = sorted({f for c, _ in split for f in c[3:]})
+        at = {f: i for i, f in enumerate(names)}
+        x = np.zeros((len(split), len(names) + 2 * size))
+        y, n = np.zeros(len(split), int), np.zeros(len(split))
+        for r, (c, k) in enumerate(split):
+            y[r], n[r] = int(c[0]), k
+            x[r, [at[f] for f in c[3:]]] = 1
+            x[r, len(names) :] = [int(v) for v in c[1] + c[2]]
+        n = np.log1p(n)  # frequent shapes would drown the rest
+        w, step = np.zeros((x.shape[1], size)), np.zeros((x.shape[1], size))
+        one = np.eye(size)[y]
+        for _ in range(steps if len(split) else 0):
+            z = x @ w
+            p = np.exp(z - z.max(1, keepdims=True))
+            p /= p.sum(1, keepdims=True)
+            g = x.T @ ((one - p) * n[:, None]) / n.sum() - l2 / n.sum() * w
+            step += g * g
+            w += 0.5 * g / np.sqrt(step + 1e-8)
+        sym = lambda m: (m + m.T) / 2
+        return Field({f: w[i] for f, i in at.items()}, sym(w[len(names) : len(names) + size]), sym(w[len(names) + size :]))
+
+    def beliefs(self, unary: np.ndarray, edges: np.ndarray, kinds: np.ndarray, sweeps: int = 12) -> np.ndarray:
+        """Loopy sum-product over all edges at once, damped; marginals of each node."""
+        pots = np.exp(np.stack([self.chain, self.skip]))[kinds]
+        src, dst = np.concatenate([edges, edges[:, ::-1]]).T
+        pots = np.concatenate([pots, pots])
+        back = np.roll(np.arange(len(src)), len(edges))
+        msg = np.zeros((len(src), unary.shape[1]))
+        for _ in range(sweeps):
+            total = unary.copy()
+            np.add.at(total, dst, msg)
+            out = total[src] - msg[back]
+            out = np.log(np.maximum(np.einsum("el,elk->ek", np.exp(out - out.max(1, keepdims=True)), pots), 1e-300))
+            out -= out.max(1, keepdims=True)
+            msg = 0.5 * msg + 0.5 * out
+        total = unary.copy()
+        np.add.at(total, dst, msg)
+        p = np.exp(total - total.max(1, keepdims=True))
+        return p / p.sum(1, keepdims=True)
+
+    def added(self, t: str, threshold: float) -> tuple[list[Span], list[Span]]:
+        """Base spans and the spans that the field adds."""
+        base, nodes, chain, skip = mentions(t)
+        open_ = [i for i, v in enumerate(nodes) if not v[2]]
+        if not base or not open_ or not skip:
+            return base, []
+        zero = np.zeros(len(LABELS))
+        unary = np.array([sum((self.node.get(f, zero) for f in _features(t[s:e])), zero) if not y else np.where(np.arange(len(LABELS)) == y, 0.0, -50.0) for s, e, y in nodes])
+        p = self.beliefs(unary, np.array(chain + skip), np.array([0] * len(chain) + [1] * len(skip)))
+        linked = {i for e in skip for i in e}
+        return base, [(nodes[i][0], nodes[i][1], int(p[i].argmax())) for i in open_ if i in linked and p[i].argmax() and p[i].max() >= threshold]
+
+
+def train(docs: DataFrame) -> Field:
+    """Fit on the mention configurations of all documents; only distinct configurations reach the driver."""
+    found = own_columns(docs, "text").mapInArrow(_configurations, "config string, n long")
+    counts = found.groupBy("config").agg(F.sum("n").alias("n"))
+    return Field.fit([(r["config"], r["n"]) for r in counts.limit(CONFIG_LIMIT).toLocalIterator()])
+
+
+def written_out(spans: list[Span]) -> str:
+    return ",".join(f"{LABELS[k]}:{s}:{e}" for s, e, k in spans)
+
+
+def find(docs: DataFrame, field: Field, threshold: float = 0.5) -> DataFrame:
+    """Per row: doc_id, counts of base spans, the digest of base spans, all spans."""
+
+    def found(batches):
+        for b in batches:
+            out = []
+            for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
+                base, more = field.added(t, threshold) if t and (_DIGIT.search(t) or "@" in t) else ([], [])
+                n = Counter(k for _, _, k in base)
+                out.append((i, n[1], n[2], n[3], n[4], hashlib.sha256(written_out(base).encode()).hexdigest(), written_out(sorted(base + more, key=lambda s: (s[0], s[2])))))
+            cols = list(zip(*out)) if out else [[]] * 7
+            kinds = [pa.int64()] * 5 + [pa.string()] * 2
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
+
+    own = own_columns(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
+    return own.mapInArrow(found, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+
+
+def masked(t: str, spans: list[Span]) -> str:
+    """The text with each span (or run of overlapping spans) replaced by its kind in brackets."""
+    out, done = [], 0
+    for s, e, k in sorted(spans, key=lambda v: (v[0], -v[1])):
+        if s >= done:
+            out += [t[done:s], f"[{LABELS[k].upper()}]"]
+        done = max(done, e)
+    return "".join([*out, t[done:]])
+
+
+def redact(docs: DataFrame, field: Field, threshold: float = 0.5) -> DataFrame:
+    """``docs`` with personal data masked in ``text`` and ``n_chars`` recounted; rows without any stay as they are."""
+    names = docs.columns
+
+    def done(batches):
+        for b in batches:
+            texts, sizes = b.column("text").to_pylist(), b.column("n_chars").to_pylist()
+            for i, t in enumerate(texts):
+                if t and (_DIGIT.search(t) or "@" in t):
+                    base, more = field.added(t, threshold)
+                    if base or more:
+                        texts[i] = masked(t, base + more)
+                        sizes[i] = len(texts[i])
+            new = {"text": pa.array(texts, b.schema.field("text").type), "n_chars": pa.array(sizes, b.schema.field("n_chars").type)}
+            yield pa.RecordBatch.from_arrays([new.get(c, b.column(i)) for i, c in enumerate(names)], schema=b.schema)
+
+    return docs.mapInArrow(done, docs.schema)
+
+
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return find(docs, train(docs))
