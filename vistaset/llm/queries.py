@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from .bpe import op7_bpe
 from .framed import op9_token_files
 from .licenses import op5_licenses
+from .markov import op3_markov
 from .mixing import op10_mix
 from .pii import op2_pii
 from .quality import op1_quality
@@ -11,7 +13,9 @@ from .quality import op1_quality
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_pii": op2_pii,
+    "op3_markov": op3_markov,
     "op5_licenses": op5_licenses,
+    "op7_bpe": op7_bpe,
     "op9_token_files": op9_token_files,
     "op10_mix": op10_mix,
 }
