@@ -7,6 +7,7 @@ from .framed import op9_token_files
 from .licenses import op5_licenses
 from .markov import op3_markov
 from .mixing import op10_mix
+from .order_minhash import op6_order_minhash
 from .pii import op2_pii
 from .quality import op1_quality
 
@@ -15,6 +16,7 @@ QUERIES = {
     "op2_pii": op2_pii,
     "op3_markov": op3_markov,
     "op5_licenses": op5_licenses,
+    "op6_order_minhash": op6_order_minhash,
     "op7_bpe": op7_bpe,
     "op9_token_files": op9_token_files,
     "op10_mix": op10_mix,
