@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bpe import op7_bpe
 from .framed import op9_token_files
+from .jaccard import op8_jaccard
 from .licenses import op5_licenses
 from .markov import op3_markov
 from .mixing import op10_mix
@@ -18,6 +19,7 @@ QUERIES = {
     "op5_licenses": op5_licenses,
     "op6_order_minhash": op6_order_minhash,
     "op7_bpe": op7_bpe,
+    "op8_jaccard": op8_jaccard,
     "op9_token_files": op9_token_files,
     "op10_mix": op10_mix,
 }
