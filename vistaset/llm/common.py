@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
-from collections.abc import Iterable
+from pathlib import Path
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,16 +56,20 @@ def crc_mod(doc_id: Column, n: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
 
 
-def rows(batches: Iterable[pa.RecordBatch], *names: str):
-    """The named columns of each batch as Python lists."""
-    for b in batches:
-        yield [b.column(n).to_pylist() for n in names]
-
-
-def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types)], schema=schema)
-
-
 def own_columns(df: DataFrame, *names: str) -> DataFrame:
     """Only the columns an operator reads; extra columns, whatever their names, stay out."""
     return df.select(*[F.col(f"`{n}`") for n in names])
+
+
+def ship(spark: SparkSession) -> None:
+    """Make this package importable in Python workers that do not have it on their path."""
+    package = Path(__file__).resolve().parents[1]
+    root = package.parent
+    known = [Path(p or ".").resolve() for p in [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]]
+    sc = spark.sparkContext
+    if root in known or getattr(sc, "_vistaset_shipped", False):
+        return
+    # the driver's file server hands the archive to the executors
+    home = tempfile.mkdtemp(prefix="vistaset-code-")
+    sc.addPyFile(shutil.make_archive(f"{home}/{package.name}", "zip", root, package.name))
+    sc._vistaset_shipped = True

@@ -26,7 +26,7 @@ WEIGHTS = (5, 2, 1)
 MOST = 3
 SEED = 17
 #: Rows of a hash shard, about; tokens of a block at most; blocks in the mix at least, if it has so many tokens.
-SHARD_ROWS, BLOCK_TOKENS, LEAST_BLOCKS = 4096, 1024, 200_000
+SHARD_ROWS, BLOCK_TOKENS, LEAST_BLOCKS = 2048, 1024, 200_000
 
 
 def size_of(text: Column) -> Column:
@@ -130,6 +130,28 @@ def mix(docs: DataFrame, n_rows: int, weights: tuple[int, ...] = WEIGHTS, most:
     return out.select(*[f"d.{p}" for p in payload], "d.source", "size", "source_size", "target", taken.cast("long").alias("taken"), "passes", "parts")
 
 
+def taken_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = SEED) -> DataFrame:
+    """The mix as documents: whole copies, and one row of the words that blocks take once more.
+
+    All columns of ``docs`` stay; ``text`` and ``n_chars`` follow what is taken, white space included.
+    """
+    keyed = docs.withColumn("_vs_key", F.xxhash64("doc_id", "source", "text"))
+    sized = keyed.select("doc_id", "source", "_vs_key", size_of(F.col("text")).alias("size"))
+    got = mix(sized, docs.count(), weights, most, seed).where(F.col("taken") > 0)
+    got = got.groupBy("_vs_key").agg(F.count(F.lit(1)).alias("_vs_n"), F.sum("passes").cast("int").alias("_vs_passes"), F.flatten(F.collect_list(F.coalesce("parts", F.array().cast("array<struct<from:bigint,to:bigint>>")))).alias("_vs_parts"))
+    # equal rows were counted together: one of them stands for all
+    equal = not sized.groupBy("_vs_key").count().where("count > 1").isEmpty()
+    one = keyed.dropDuplicates(["_vs_key"]) if equal else keyed
+    d = one.join(got, "_vs_key")
+    blank = "[\\x20\\x09-\\x0D]"
+    words = F.split(F.regexp_replace("text", f"^{blank}+", ""), f"(?<={blank})(?!{blank})")
+    cut = F.array_join(F.flatten(F.transform("_vs_parts", lambda p: F.slice(words, (p["from"] + 1).cast("int"), (p["to"] - p["from"]).cast("int")))), "")
+    texts = F.concat(F.array_repeat(F.col("text"), F.col("_vs_passes")), F.when(F.size("_vs_parts") > 0, F.array(F.regexp_replace(cut, f"{blank}+$", ""))).otherwise(F.array().cast("array<string>")))
+    out = d.withColumn("_vs_text", F.explode(texts))
+    new = {"text": F.col("_vs_text"), "n_chars": F.length("_vs_text").cast(docs.schema["n_chars"].dataType)}
+    return out.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
+
+
 def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = own_columns(table(spark, sf_dir, "documents"), "doc_id", "source", "text")
     sized = docs.select(F.col("doc_id").cast("long"), "source", size_of(F.col("text")).alias("size"))
