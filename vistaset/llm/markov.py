@@ -122,7 +122,7 @@ def encode(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
                 w = tokens(t)
                 c = np.fromiter(map(codes.__getitem__, w), np.int64, len(w))
                 rare = np.flatnonzero(c < 0)
-                k = np.where(c < 0, OWN - 1 - c, classes[c])
+                k = np.where(c < 0, OWN - 1 - c, classes[np.maximum(c, 0)])
                 x = logs[np.maximum(c, 0)] * (c >= 0)
                 own = k < OWN
                 out.append((len(w), k.astype("<u2").tobytes(), x[own].sum(), x[~own].sum(), [w[i] for i in rare]))

@@ -70,11 +70,11 @@ def sainte_lague(parties: DataFrame, votes: str, seats: Column, group: list[str]
     p = p.withColumn("_high", F.ceil(F.col("_q") * (1 + slack) + 0.5))
     p = p.withColumn("_rest", F.col("_seats") - F.sum("_low").over(own))
     open_ = p.where((F.col("_q") > 0) & (F.col("_high") > F.col("_low"))).select(
-        *group, *[t for t in tie if t not in group], "_rest", "_q",
+        *group, *[t for t in tie if t not in group], "_rest", F.col(votes).cast("double").alias("_v"),
         F.explode(F.sequence(F.col("_low") + 1, F.col("_high"))).alias("_k"),
     )
     ranked = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
-    ranked = ranked.orderBy((F.col("_k") - 0.5) / F.col("_q"), *[F.col(t).asc_nulls_last() for t in tie], "_k")
+    ranked = ranked.orderBy(F.desc(F.col("_v") / (2 * F.col("_k") - 1)), *[F.col(t).asc_nulls_last() for t in tie], "_k")
     won = open_.withColumn("_r", F.row_number().over(ranked)).where(F.col("_r") <= F.col("_rest"))
     keys = list(dict.fromkeys([*group, *tie]))
     won = won.groupBy(*keys).agg(F.count(F.lit(1)).alias("_won"))
