@@ -1,0 +1,423 @@
+import hashlib
+import math
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from tests.llm.conftest import ROWS, SF
+from vistaset.llm import bpe, descent, framed, jaccard, licenses, markov, mixing, order_minhash, pii, quality
+from vistaset.llm.common import new_path
+
+BYTE, WORD = (public_tokenizers.path(f) for f in ("byte_bpe_50k.json", "word_bpe_49k.json"))
+WS = re.compile("[^\x20\x09-\x0d]+")
+
+
+def lower(t):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
+
+
+# -- 1 quality -----------------------------------------------------------------------------------
+
+
+def test_quality_separates_held_out(spark, docs):
+    labels = spark.read.parquet(f"{SF}/../sf0.01/labels.parquet")
+    big = spark.read.parquet(f"{SF}/../sf0.01/documents.parquet")
+    stats = quality.statistics_table(big)
+    model = quality.train(stats, labels)
+    rows = quality.score_statistics(stats, model).join(labels, "doc_id").where("held_out").collect()
+    assert np.mean([(r["predicted"] == 1) == (r["quality"] == 1) for r in rows]) > 0.95
+    assert all((zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in rows)
+    kept = quality.keep_good(big, model)
+    assert kept.columns == big.columns and kept.count() == quality.score_statistics(stats, model).where("predicted = 1").count()
+
+
+def test_quality_odd_rows(spark, odd, none):
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0), (2, None, 0), (None, 1, 0)], "doc_id bigint, quality int, toxic int")
+    stats = quality.statistics_table(odd)
+    out = quality.score_statistics(stats, quality.train(stats, labels)).collect()
+    assert len(out) == len(ROWS) and all(0 <= r["score"] <= 1 for r in out)
+    blank = quality.train(stats, labels.limit(0))
+    assert {r["score"] for r in quality.score_statistics(stats, blank).collect()} == {0.5}
+    assert quality.score_statistics(quality.statistics_table(none), blank).count() == 0
+
+
+# -- 2 pii ---------------------------------------------------------------------------------------
+
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+def plain_spans(t):
+    d = lambda s: re.sub("[^0-9]", "", s)
+    out = [(m.start(), m.end(), 1) for m in EMAIL.finditer(t)]
+    out += [(m.start(), m.end(), 2) for m in IP.finditer(t) if all(int(x) <= 255 for x in m[0].split("."))]
+    out += [(m.start(), m.end(), 3) for m in CARD.finditer(t) if 14 <= len(d(m[0])) <= 19 and pii.luhn(d(m[0]))]
+    out += [(m.start(), m.end(), 4) for m in PHONE.finditer(t) if 10 <= len(d(m[0])) <= 15]
+    return sorted(out, key=lambda s: (s[0], s[2]))
+
+
+def test_base_spans_match_plain_patterns(texts):
+    rng = np.random.default_rng(2)
+    parts = ["a", "b.c", "@", "d-e.f", ".", "1", "12.3.4.5", "255", " ", "-", "+1", "(", ")", "4207051279108084", "555-4393", "é", "_", "300."]
+    made = ["".join(rng.choice(parts, 12)) for _ in range(4000)]
+    for t in [*texts.values(), *made]:
+        assert pii.base_spans(t) == plain_spans(t)
+
+
+def test_pii_counts_and_consistency(docs, odd, none, texts):
+    field = pii.train(docs)
+    for r in pii.find(docs, field).collect():
+        base = plain_spans(texts[r["doc_id"]])
+        assert r["base_sha256"] == hashlib.sha256(pii.written_out(base).encode()).hexdigest()
+        assert [r[f"n_{k}"] for k in pii.KINDS] == [sum(s[2] == i + 1 for s in base) for i in range(4)]
+        assert set(pii.written_out(base).split(",")) - {""} <= set(r["spans"].split(","))
+    out = {r["doc_id"]: r for r in pii.find(odd, field).collect()}
+    assert out[2]["spans"] == "" and out[5]["n_phone"] == 1 and out[5]["n_email"] == 1
+    assert pii.find(none, pii.train(none)).count() == 0
+
+
+def test_skip_links_carry_a_label():
+    strong = pii.Field({"bias": np.zeros(5)}, np.zeros((5, 5)), 3 * np.eye(5))
+    base, more = strong.added("at +1 (375) 555-4393 and again 1 (375) 555-4393", 0.5)
+    assert [s[2] for s in base] == [4] and more == [(31, 47, 4)]
+    assert strong.added("no 1 (375) 555-4393 alone", 0.5) == ([], [])
+
+
+def test_redaction_changes_only_personal_data(odd):
+    out = {r["doc_id"]: r for r in pii.redact(odd, pii.Field({}, np.zeros((5, 5)), np.zeros((5, 5)))).collect()}
+    assert "[PHONE]" in out[5]["text"] and "[EMAIL]" in out[5]["text"] and out[5]["n_chars"] == len(out[5]["text"])
+    assert all(out[r[0]]["text"] == r[1] for r in ROWS if r[0] != 5)
+
+
+# -- 3 language model ----------------------------------------------------------------------------
+
+
+def test_markov_base_score_and_gain(docs, texts):
+    out = {r["doc_id"]: r for r in markov.score_documents(docs).collect()}
+    seen, ends = Counter(), 0
+    for i, t in texts.items():
+        if zlib.crc32(str(i).encode()) % 5 != 1:
+            seen.update(WS.findall(lower(t)))
+            ends += 1
+    n, v = sum(seen.values()) + ends, len(seen) + 1
+    p = lambda c: math.log10((c + 0.5) / (n + 0.5 * (v + 1)))
+    for i, t in texts.items():
+        w = WS.findall(lower(t))
+        r = out[i]
+        assert r["base_score"] == pytest.approx(sum(p(seen[x]) for x in w) + p(ends))
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(w) + 1, sum(x in seen for x in w) + 1, n)
+    held = [r for r in out.values() if r["held_out"]]
+    assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
+
+
+def test_markov_forward_is_exact(monkeypatch):
+    monkeypatch.setattr(markov, "SEGMENT", 7)
+    m = markov.Model.first(np.random.default_rng(0).integers(0, 50, markov.CLASSES).astype(float))
+    seqs = [np.random.default_rng(k).integers(0, markov.END, k * 3).astype("<u2") for k in range(9)]
+    got = markov.log_likelihoods([s.tobytes() for s in seqs], m)
+    for s, g in zip(seqs, got, strict=True):
+        s = np.append(s.astype(int), markov.END)
+        a = m.start * m.emit[s[0]]
+        for c in s[1:]:
+            a = (a @ m.move) * m.emit[c]
+        assert g == pytest.approx(math.log10(a.sum()))
+
+
+def test_markov_training_raises_likelihood():
+    r = np.random.default_rng(1)
+    seqs = [np.concatenate([r.integers(0, 20, 40) + 100 * (k % 2)]).astype("<u2").tobytes() for k in range(60)]
+    import pyarrow as pa
+
+    b = pa.RecordBatch.from_pydict({"classes": pa.array(seqs, pa.binary())})
+    n = np.bincount(np.concatenate([np.frombuffer(s, "<u2") for s in seqs]), minlength=markov.CLASSES).astype(float)
+    model, last = markov.Model.first(n), -np.inf
+    for _ in range(4):
+        now = markov.log_likelihoods(seqs, model).sum()
+        assert now >= last - 1e-6 or last == -np.inf
+        last = now
+        (out,) = list(markov.expected([b], model))
+        f = {k: np.array(x) for k, x in zip(out.column("part").to_pylist(), out.column("x").to_pylist(), strict=True)}
+        k = markov.STATES
+        assert f[0][:k].sum() == pytest.approx(60) and sum(f[j + 1].sum() for j in range(k)) == pytest.approx(60 * 41)
+        model = markov.Model.of(f[0][:k], f[0][k:].reshape(k, k), np.array([f[1 + j] for j in range(k)]).T, n)
+
+
+def test_markov_odd_rows(odd, none):
+    out = markov.score_documents(odd).collect()
+    assert len(out) == len(ROWS) and all(math.isfinite(r["score"]) and r["score"] < 0 for r in out)
+    assert {r["n_tokens"] for r in out if r["doc_id"] in (2, 3)} == {1}
+    assert markov.score_documents(none).count() == 0
+
+
+# -- 4 neighbours --------------------------------------------------------------------------------
+
+
+def test_neighbours_against_brute_force(spark):
+    rows = spark.read.parquet(f"{SF}/embeddings.parquet")
+    data = {r["vec_id"]: np.array(r["embedding"], np.float32).astype(float) for r in rows.collect()}
+    out = descent.nearest(rows).collect()
+    ids = np.array(sorted(data))
+    x = np.stack([data[i] for i in ids])
+    hits = total = 0
+    by = {}
+    for r in out:
+        by.setdefault(r["query_id"], []).append(r)
+        assert r["score"] == pytest.approx(float(data[r["query_id"]] @ data[r["vec_id"]]), abs=1e-12)
+    assert set(by) == {i for i in data if i % 20 == 0}
+    for q, found in by.items():
+        s = x @ data[q]
+        best = [i for i in ids[np.lexsort((ids, -s))] if i != q][:20]
+        found.sort(key=lambda r: r["rank"])
+        assert [r["rank"] for r in found] == list(range(1, len(found) + 1)) and len(found) == len(best)
+        keys = [(-r["score"], r["vec_id"]) for r in found]
+        assert keys == sorted(keys)
+        hits, total = hits + len(set(best) & {r["vec_id"] for r in found}), total + len(best)
+    assert hits / total >= 0.9
+
+
+def test_neighbours_odd_vectors(spark):
+    rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (20, [1.0, 0.0]), (3, None), (40, [0.0, 0.0]), (5, [1.0, None]), (6, [float("nan"), 1.0]), (7, [0.0, 1.0]), (8, [1.0, 2.0, 3.0]), (0, [1.0, 0.0]), (None, [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").withColumn("label", F.lit(0))
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in descent.nearest(df).collect()}
+    assert got == {(0, 1): (1, 1.0), (0, 2): (2, 1.0), (0, 3): (20, 1.0), (0, 4): (7, 0.0), (20, 1): (0, 1.0), (20, 2): (1, 1.0), (20, 3): (2, 1.0), (20, 4): (7, 0.0)}
+    assert descent.nearest(df.limit(0)).count() == 0
+
+
+# -- 5 licences ----------------------------------------------------------------------------------
+
+
+def test_licences_base(docs, odd, none, texts):
+    words = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
+    for r in licenses.scan_table(docs).collect():
+        w = words.findall(lower(texts[r["doc_id"]]))
+        at = sorted(i for p in licenses.BASE for i in range(len(w)) if w[i : i + len(p.split())] == p.split())
+        assert (r["n_words"], r["n_base"]) == (len(w), len(at))
+        assert (r["first_word"], r["last_word"]) == ((at[0], at[-1]) if at else (None, None))
+        assert r["base_labels"] == ",".join(sorted({v for p, v in licenses.BASE.items() for i in at if w[i : i + len(p.split())] == p.split()}))
+        assert set(r["base_labels"].split(",")) <= set(r["labels"].split(",")) | {""}
+    out = {r["doc_id"]: r for r in licenses.scan_table(odd).collect()}
+    assert out[8]["base_labels"] == "mit" and out[8]["labels"] == "apache-2.0,gpl-2.0-only,mit" and out[8]["score"] == 1.0
+    assert out[2]["n_words"] == 0 and licenses.scan_table(none).count() == 0
+
+
+def test_licence_expressions():
+    assert licenses.parse("MIT OR Apache-2.0 AND BSD-3-Clause")[0] == ["MIT", "Apache-2.0", "BSD-3-Clause", "and", "or"]
+    assert licenses.choices("(MIT OR Apache-2.0) AND GPL-2.0 WITH CE") == [frozenset({"mit", "gpl-2.0 with ce"}), frozenset({"apache-2.0", "gpl-2.0 with ce"})]
+    assert licenses.parse("MIT and")[1] == ["mit"] and licenses.parse(") or")[1] == [] and licenses.parse("MIT Apache")[1] == ["mit"]
+
+
+# -- 6 fingerprints ------------------------------------------------------------------------------
+
+
+def test_order_minhash(docs, texts, odd, none):
+    out = {r["doc_id"]: r for r in order_minhash.fingerprints(docs).collect()}
+    ids = sorted(texts, reverse=True)
+    for k, i in enumerate(ids):
+        t, nxt = texts[i], texts[ids[(k + 1) % len(ids)]]
+        m = len(t) // 3
+        assert out[i]["edited_sha256"] == hashlib.sha256((t[: len(t) - m] + nxt[:m]).encode()).hexdigest() and out[i]["n_chars"] == len(t)
+    assert np.mean([r["near_edited"] > r["near_next"] for r in out.values()]) > 0.95
+    rows = order_minhash.fingerprints(odd).collect()
+    assert len(rows) == len(ROWS)
+    same = {r["fingerprint"] for r in rows if r["doc_id"] == 1}
+    assert len(same) == 1 and {r["fingerprint"] for r in rows if r["doc_id"] in (2, 3)} == {""}
+    assert order_minhash.fingerprints(none).count() == 0
+    one = order_minhash.fingerprints(docs.limit(1)).collect()
+    assert len(one) == 1 and one[0]["near_next"] == 1.0
+
+
+def test_order_matters(spark):
+    t = [f"w{i}" for i in range(200)]
+    df = spark.createDataFrame([(0, " ".join(t)), (1, " ".join(t[100:] + t[:100])), (2, "a a a a"), (3, "a a a")], "doc_id bigint, text string")
+    s = {r["doc_id"]: r["s"] for r in order_minhash.with_signature(df, "text", "s").collect()}
+    assert 0 < len(set(s[0]) & set(s[1])) < len(s[0]) and s[2] != s[3]
+
+
+# -- 7 BPE ---------------------------------------------------------------------------------------
+
+
+def test_bpe_matches_library(docs, odd, none, texts):
+    t = Tokenizer.from_file(BYTE)
+
+    def check(df, of):
+        rows = bpe.encode(df, BYTE).collect()
+        for r in rows:
+            ids = t.encode(of(r["doc_id"]), add_special_tokens=False).ids
+            assert r["n_tokens"] == len(ids) and r["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+            assert r["decoded_sha256"] == hashlib.sha256(t.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+        return len(rows)
+
+    by = {r[0]: r[1] or "" for r in ROWS}
+    assert check(docs, texts.get) == len(texts) and check(odd, by.get) == len(ROWS)
+    assert bpe.encode(none, BYTE).count() == 0
+    assert {r["doc_id"]: r["decoded"] for r in bpe.encode(odd, BYTE, columns="ids").collect()} == by
+
+
+def test_words_encode_alone():
+    t = Tokenizer.from_file(BYTE)
+    rng = np.random.default_rng(4)
+    parts = [" ", " ", "\n", "  ", "\t", "\x1c", "\x85", "\xa0", "　", "a", "B", "é", "'s", "'", "1", "!", "日", "<|endoftext|>", "\r\n"]
+    for _ in range(3000):
+        s = "".join(rng.choice(parts, 10))
+        assert [i for w in bpe.words(s.encode()) if w for i in t.encode(w.decode(), add_special_tokens=False).ids] == t.encode(s, add_special_tokens=False).ids
+
+
+# -- 8 join --------------------------------------------------------------------------------------
+
+
+def shingles(t):
+    w = WS.findall(lower(t))
+    return {tuple(w[i : i + 3]) for i in range(max(1, len(w) - 2))} if w else set()
+
+
+def brute(texts):
+    sets, root = {i: shingles(t) for i, t in texts.items()}, {i: i for i in texts}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    pairs = set()
+    for a in texts:
+        for b in texts:
+            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b]):
+                pairs.add((a, b))
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return sets, {i: find(i) for i in texts}, pairs
+
+
+@pytest.mark.parametrize("left", [4, 0])
+def test_join_against_brute_force(spark, texts, left, monkeypatch):
+    monkeypatch.setattr(jaccard, "LEFT", left)  # 0: all rounds of drawn pairs come before the full test
+    rng = np.random.default_rng(8)
+    more = dict(list(texts.items())[:60])
+    base = [f"t{i}" for i in range(60)]
+    for k in range(40):
+        w = list(base)
+        for j in rng.choice(60, rng.integers(0, 3), replace=False):
+            w[j] = f"e{rng.integers(1000)}"
+        more[1000 + k] = " ".join(w)
+    df = spark.createDataFrame(list(more.items()), "doc_id bigint, text string")
+    sets, comp, pairs = brute(more)
+    found, classes = jaccard.grouped(df)
+    got = {r["doc_id"]: (r["n"], r["component"]) for r in found.join(classes, "key", "left").collect()}
+    assert got == {i: (len(s), comp[i] if s else None) for i, s in sets.items()}
+    links = jaccard.links(df, found, classes.select("key", "uid", "low"))
+    key = {r["uid"]: r["low"] for r in classes.collect()}
+    assert {tuple(sorted((key[r["a"]], key[r["b"]]))) for r in links.collect()} == {(a, b) for a, b in pairs if a in key.values() and b in key.values() and sets[a] != sets[b]}
+
+
+def test_join_odd_rows(odd, none):
+    sets, classes = jaccard.grouped(odd)
+    assert sets.count() == len(ROWS)
+    kept = jaccard.keep_first(odd)
+    assert kept.columns == odd.columns and kept.count() == len(ROWS) - 1
+    assert jaccard.keep_first(none).count() == 0
+
+
+# -- 9 files -------------------------------------------------------------------------------------
+
+
+def test_files_round_trip(spark, docs, texts, odd, none):
+    t = Tokenizer.from_file(WORD)
+    folder = new_path(spark, "ids")
+    manifest = framed.write_files(docs, folder, WORD)
+    start, out = 0, {r["doc_id"]: r for r in framed.read_files(manifest).collect()}
+    for i in sorted(texts):
+        ids = [*t.encode(texts[i], add_special_tokens=False).ids, 1]
+        assert (out[i]["start"], out[i]["n_tokens"], out[i]["ids_crc32"]) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+    reader = framed.open_reader(manifest.first()["file"])
+    i = int(reader.doc_ids[len(reader.doc_ids) // 2])
+    assert reader.find(i)[0].tolist() == [*t.encode(texts[i], add_special_tokens=False).ids, 1] and reader.find(-5) == []
+    rows = framed.read_files(framed.write_files(odd, new_path(spark, "ids"), WORD)).collect()
+    by = {r[0]: r[1] or "" for r in ROWS}
+    assert len(rows) == len(ROWS) and all(r["n_tokens"] == len(t.encode(by[r["doc_id"]], add_special_tokens=False).ids) + 1 for r in rows)
+    assert framed.read_files(framed.write_files(none, new_path(spark, "ids"), WORD)).count() == 0
+
+
+def test_damaged_frame_is_found(tmp_path):
+    import io
+
+    import pyarrow as pa
+
+    out = io.BytesIO()
+    w = framed.FrameWriter(out)
+    for k in range(5):
+        w.add(k, np.arange(k * 10, dtype="<u4").tobytes())
+    w.finish()
+    data = bytearray(out.getvalue())
+    r = framed.FrameReader(pa.BufferReader(bytes(data)))
+    assert [len(r.document(k)) for k in range(5)] == [0, 10, 20, 30, 40]
+    import zstandard
+
+    with zstandard.ZstdDecompressor().stream_reader(bytes(data), read_across_frames=True) as s:  # any reader can read it whole
+        assert len(s.read()) == 4 * 100 + 16 * 5
+    data[int(r.offsets[3]) + int(r.lengths[3]) - 2] ^= 1
+    with pytest.raises((ValueError, zstandard.ZstdError)):
+        framed.FrameReader(pa.BufferReader(bytes(data))).document(3)
+
+
+# -- 10 mixing -----------------------------------------------------------------------------------
+
+
+def shares(sizes, weights, most=3):
+    names = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+    w = {s: weights[k % len(weights)] for k, s in enumerate(names)}
+    total, capped = sum(sizes.values()), set()
+    while True:
+        free = [s for s in names if s not in capped]
+        rest = total - sum(most * sizes[s] for s in capped)
+        t = {s: rest * w[s] / sum(w[x] for x in free) for s in free} if free else {}
+        over = {s for s in free if t[s] > most * sizes[s] + 1e-9}
+        if not over:
+            return {s: t.get(s, most * sizes[s]) for s in names}
+        capped |= over
+
+
+def test_mix_targets_and_bounds(spark, docs, odd, none):
+    for df in (docs, odd):
+        sized = df.select("doc_id", "source", mixing.size_of(F.col("text")).alias("size"))
+        rows = mixing.mix(sized, df.count()).collect()
+        assert len(rows) == df.count() and mixing.mix(sized, df.count()).exceptAll(mixing.mix(sized, df.count())).count() == 0
+        size, taken = Counter(), Counter()
+        for r in rows:
+            size[r["source"]] += r["size"]
+            taken[r["source"]] += r["taken"]
+            assert 0 <= r["taken"] <= 3 * r["size"]
+        want = shares(size, mixing.WEIGHTS)
+        for r in rows:
+            assert r["target"] == pytest.approx(want[r["source"]]) and r["source_size"] == size[r["source"]]
+        for s, t in want.items():
+            assert taken[s] == pytest.approx(t, abs=max(2, 0.01 * t))
+    assert mixing.mix(none.select("doc_id", "source", mixing.size_of(F.col("text")).alias("size")), 0).count() == 0
+
+
+def test_sainte_lague_against_quotients(spark):
+    votes = {"a": 53, "b": 24, "c": 23, "d": 1, "e": 0}
+    df = spark.createDataFrame(list(votes.items()), "source string, v bigint")
+    for seats in (0, 1, 7, 50):
+        got = {r["source"]: r["n"] for r in mixing.sainte_lague(df, "v", F.lit(seats), [], ["source"], "n").collect()}
+        want = Counter()
+        for _ in range(seats):
+            want[max((s for s in votes if votes[s]), key=lambda s: (votes[s] / (2 * want[s] + 1), -ord(s)))] += 1
+        assert got == {s: want[s] for s in votes}
+
+
+def test_mixed_documents_hold_what_was_taken(docs, odd):
+    for df in (docs, odd):
+        sized = df.select("doc_id", "source", mixing.size_of(F.col("text")).alias("size"))
+        want = mixing.mix(sized, df.count()).agg(F.sum("taken")).first()[0]
+        out = mixing.taken_documents(df)
+        assert out.columns == df.columns
+        assert out.agg(F.sum(mixing.size_of(F.col("text")))).first()[0] == want
