@@ -8,8 +8,8 @@ length filter, the positional filter and a suffix filter (grams counted in CELLS
 overlap). Each remaining pair is verified once, on exact sets made from the texts again.
 
 ``links`` returns every linked pair of classes. ``groups`` returns components and tests fewer pairs:
-in each round every posting list pairs its members with one member drawn by hash, linked pairs merge,
-and pairs within a component need no test any more; what is left between components is then tested
+in each round every posting list pairs its members with a few drawn ones, at first by hash and then
+those that linked most often; linked pairs merge, and pairs within a component need no test any more; what is left between components is then tested
 in full, so the result is exact. Large groups of near copies thus cost a few pairs per document.
 
 Defined results: null texts and texts without words have the empty set, are linked with nothing and
@@ -27,14 +27,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.graph import components
 from .common import own_columns, table, written
-from .components import components
 
-N, PERCENT, CELLS = 3, 90, 16
+N, PERCENT, CELLS = 3, 90, 64
 #: Frequent grams listed at most; a task lists grams in at least one of so many of its documents.
 LISTED, LOCAL_SHARE = 400_000, 2000
-#: Ids broadcast at most; rounds of drawn pairs at most; pairs left for the full test, per member of a posting list.
-BROADCAST_IDS, ROUNDS, LEFT = 1_000_000, 6, 4
+#: Ids broadcast at most; members drawn from a list per round; rounds of drawn pairs at most; pairs left
+#: for the full test, per member of a posting list.
+BROADCAST_IDS, DRAWN, ROUNDS, LEFT = 1_000_000, 4, 6, 2
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -100,7 +101,8 @@ def prefixes(docs: DataFrame) -> DataFrame:
                 n = len(s)
                 sizes.append(n)
                 keys.append(xxhash.xxh3_128_digest(s.tobytes()) if n else None)
-                cells.append(np.bincount((s >> np.uint64(60)).astype(np.int64), minlength=CELLS).astype(np.int32))
+                # capped counts differ by no more than the true ones
+                cells.append(np.minimum(np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=CELLS), 127).astype(np.int8))
                 weight = np.zeros(n, np.int64)
                 if len(listed):
                     i = np.minimum(np.searchsorted(listed, s), len(listed) - 1)
@@ -112,11 +114,11 @@ def prefixes(docs: DataFrame) -> DataFrame:
             uid = pa.array(range((part << 40) + at, (part << 40) + at + len(sizes)), pa.int64())
             at += len(sizes)
             yield pa.RecordBatch.from_arrays(
-                [uid, b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(firsts, pa.list_(pa.int64())), pa.array(cells, pa.list_(pa.int32()))],
+                [uid, b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(firsts, pa.list_(pa.int64())), pa.array(cells, pa.list_(pa.int8()))],
                 ["uid", "doc_id", "n", "key", "prefix", "cells"],
             )
 
-    return own.mapInArrow(done, "uid long, doc_id long, n long, key binary, prefix array<long>, cells array<int>")
+    return own.mapInArrow(done, "uid long, doc_id long, n long, key binary, prefix array<long>, cells array<tinyint>")
 
 
 def classes(sets: DataFrame) -> DataFrame:
@@ -125,9 +127,10 @@ def classes(sets: DataFrame) -> DataFrame:
 
 
 def postings(sets: DataFrame, distinct: DataFrame) -> DataFrame:
-    """gram, uid, n, pos, cells of the classes' prefixes, for grams that two classes share."""
-    own = sets.select("uid", "n", "prefix", "cells").join(distinct.select("uid"), "uid", "left_semi")
-    flat = own.select("uid", "n", F.posexplode("prefix").alias("pos", "gram"))
+    """gram, uid, n, pos of the classes' prefixes, for grams that two classes share."""
+    own = sets.select("uid", "n", "prefix").join(distinct.select("uid"), "uid", "left_semi")
+    # dealt once: counting and joining both find the grams in place
+    flat = own.select("uid", "n", F.posexplode("prefix").alias("pos", "gram")).repartition("gram")
     shared = flat.groupBy("gram").agg(F.count(F.lit(1)).alias("g")).where("g > 1").select("gram")
     return flat.join(shared, "gram").select("gram", "uid", "n", "pos")
 
@@ -141,8 +144,8 @@ def _passes(a: str, b: str):
 
 
 def _texts(docs: DataFrame, sets: DataFrame, uids: DataFrame) -> DataFrame:
-    """uid, cells and packed text of the classes in ``uids``; texts come from ``docs`` by set key."""
-    need = sets.join(uids, "uid", "left_semi").select("uid", "key", "doc_id", "cells", "n")
+    """uid and packed text of the classes in ``uids``; texts come from ``docs`` by id and set key."""
+    need = written(sets.join(uids, "uid", "left_semi").select("uid", "key", "doc_id"), "need")
     n = need.count()
     ids = need.select("doc_id").distinct()
     own = own_columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
@@ -160,7 +163,7 @@ def _texts(docs: DataFrame, sets: DataFrame, uids: DataFrame) -> DataFrame:
 
     texts = picked.mapInArrow(packed, "doc_id long, key binary, text binary")
     joined = need.alias("s").join(texts.alias("t"), F.col("s.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("s.key") == F.col("t.key")))
-    return joined.select("s.uid", "s.cells", "s.n", "t.text").dropDuplicates(["uid"])
+    return joined.select("s.uid", "t.text").dropDuplicates(["uid"])
 
 
 def _verified(batches):
@@ -185,17 +188,34 @@ def _verified(batches):
         yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(ok, pa.bool_())], ["a", "b", "linked"])
 
 
-def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b, linked) of distinct pairs of classes, by suffix filter and then exact sets."""
-    x, y = (texts.select(F.col("uid").alias(k), F.col("cells").alias(f"c{k}"), F.col("n").alias(f"n{k}"), F.col("text").alias(f"t{k}")) for k in "ab")
-    apart = F.aggregate(F.zip_with("ca", "cb", lambda p, q: F.abs(p - q)), F.lit(0), lambda s, v: s + v)
-    slim = texts.select(F.col("uid"), "cells", "n")
+def suffix_filtered(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, near) of distinct pairs: near ones may still have the overlap that a link needs."""
+    slim = sets.select("uid", "cells", "n")
+    apart = F.aggregate(F.zip_with("ca", "cb", lambda p, q: F.abs(p.cast("int") - q.cast("int"))), F.lit(0), lambda s, v: s + v)
     cut = pairs.join(slim.select(F.col("uid").alias("a"), F.col("cells").alias("ca"), F.col("n").alias("na")), "a")
     cut = cut.join(slim.select(F.col("uid").alias("b"), F.col("cells").alias("cb"), F.col("n").alias("nb")), "b")
-    cut = cut.withColumn("near", (F.col("na") + F.col("nb") - apart) / 2 >= F.ceil(PERCENT * (F.col("na") + F.col("nb")) / (100 + PERCENT)))
-    cut = written(cut.select("a", "b", "near"), "pairs")
-    full = cut.where("near").join(x.select("a", "ta"), "a").join(y.select("b", "tb"), "b").select("a", "b", "ta", "tb").mapInArrow(_verified, "a long, b long, linked boolean")
-    return full.union(cut.where(~F.col("near")).select("a", "b", F.lit(False).alias("linked")))
+    need = F.ceil(PERCENT * (F.col("na") + F.col("nb")) / (100 + PERCENT))
+    return written(cut.select("a", "b", ((F.col("na") + F.col("nb") - apart) / 2 >= need).alias("near")), "pairs")
+
+
+class Verifier:
+    """Tests pairs of classes on exact sets; each class's text is fetched when a pair first needs it."""
+
+    def __init__(self, docs: DataFrame, sets: DataFrame):
+        self.docs, self.sets, self.texts = docs, sets, None
+
+    def __call__(self, pairs: DataFrame) -> DataFrame:
+        """(a, b, linked) of distinct pairs."""
+        cut = suffix_filtered(pairs, self.sets)
+        near = cut.where("near").select("a", "b")
+        need = near.select(F.col("a").alias("uid")).union(near.select("b")).distinct()
+        if self.texts is not None:
+            need = need.join(self.texts.select("uid"), "uid", "left_anti")
+        fresh = written(_texts(self.docs, self.sets, need), "texts")
+        self.texts = fresh if self.texts is None else self.texts.union(fresh)
+        x, y = (self.texts.select(F.col("uid").alias(k), F.col("text").alias(f"t{k}")) for k in "ab")
+        full = near.join(x, "a").join(y, "b").select("a", "b", "ta", "tb").mapInArrow(_verified, "a long, b long, linked boolean")
+        return full.union(cut.where(~F.col("near")).select("a", "b", F.lit(False).alias("linked")))
 
 
 def _ordered(x, y) -> list:
@@ -205,19 +225,27 @@ def _ordered(x, y) -> list:
 def links(docs: DataFrame, sets: DataFrame, distinct: DataFrame) -> DataFrame:
     """Every linked pair of classes, by their uids."""
     p = written(postings(sets, distinct), "postings")
-    texts = written(_texts(docs, sets, p.select("uid").distinct()), "texts")
     pairs = p.alias("x").join(p.alias("y"), (F.col("x.gram") == F.col("y.gram")) & (F.col("x.uid") < F.col("y.uid")) & _passes("x", "y"))
-    return verify(pairs.select(*_ordered("x.uid", "y.uid")).distinct(), texts).where("linked").select("a", "b")
+    return Verifier(docs, sets)(pairs.select(*_ordered("x.uid", "y.uid")).distinct()).where("linked").select("a", "b")
+
+
+def _drawn(at: DataFrame, tested: DataFrame, turn: int) -> DataFrame:
+    """Up to DRAWN members of each posting list: those whose tests linked most often, then by hashed lots."""
+    both = tested.select(F.col("a").alias("uid"), "linked").union(tested.select("b", "linked"))
+    luck = both.groupBy("uid").agg((F.count(F.when(F.col("linked"), 1)) / (F.count(F.lit(1)) + 2)).alias("luck"))
+    rows = at.join(luck, "uid", "left").withColumn("luck", F.round(F.coalesce("luck", F.lit(0.0)), 1))
+    lots = [F.max(F.struct("luck", F.xxhash64("uid", F.lit(turn), F.lit(j)).alias("lot"), "uid", "n", "pos", "comp")).alias(f"d{j}") for j in range(DRAWN)]
+    picked = rows.groupBy("gram").agg(*lots)
+    one = [F.struct(*[F.col(f"d{j}.{c}").alias(c) for c in ("uid", "n", "pos", "comp")]) for j in range(DRAWN)]
+    return picked.select("gram", F.explode(F.array_distinct(F.array(*one))).alias("d")).select("gram", "d.*")
 
 
 def groups(docs: DataFrame, sets: DataFrame, distinct: DataFrame) -> DataFrame:
     """(id, comp) of the classes that are linked with another class."""
-    spark = docs.sparkSession
+    spark, verify = docs.sparkSession, Verifier(docs, sets)
     p = written(postings(sets, distinct), "postings")
-    texts = written(_texts(docs, sets, p.select("uid").distinct()), "texts")
     size = p.count()
-    edges = spark.createDataFrame([], "a long, b long")
-    tested = spark.createDataFrame([], "a long, b long")
+    tested = spark.createDataFrame([], "a long, b long, linked boolean")
     comp = None
     for turn in range(ROUNDS + 1):
         at = p.withColumn("comp", F.col("uid")) if comp is None else p.join(comp, p["uid"] == comp["id"], "left").select(p["*"], F.coalesce("comp", "uid").alias("comp"))
@@ -232,13 +260,11 @@ def groups(docs: DataFrame, sets: DataFrame, distinct: DataFrame) -> DataFrame:
         if full:
             pairs = at.alias("x").join(at.alias("y"), (F.col("x.gram") == F.col("y.gram")) & (F.col("x.comp") < F.col("y.comp")) & _passes("x", "y"))
         else:
-            lot = F.struct(F.xxhash64("uid", F.lit(turn)).alias("lot"), "uid", "n", "pos", "comp")
-            drawn = at.groupBy("gram").agg(F.min(lot).alias("d")).select("gram", "d.*")
+            drawn = _drawn(at, tested, turn)
             pairs = at.alias("x").join(drawn.alias("y"), (F.col("x.gram") == F.col("y.gram")) & (F.col("x.comp") != F.col("y.comp")) & _passes("x", "y"))
-        pairs = pairs.select(*_ordered("x.uid", "y.uid")).distinct().join(tested, ["a", "b"], "left_anti")
-        done = written(verify(pairs, texts), "verified")
-        edges, tested = edges.union(done.where("linked").select("a", "b")), tested.union(done.select("a", "b"))
-        comp = components(edges)
+        pairs = pairs.select(*_ordered("x.uid", "y.uid")).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
+        tested = tested.union(written(verify(pairs), "verified"))
+        comp = components(tested.where("linked").select("a", "b"))
         if full:
             break
     return comp if comp is not None else spark.createDataFrame([], "id long, comp long")
