@@ -1,11 +1,11 @@
 """BPE encoding and decoding over a table of distinct words.
 
-Texts are cut into words at places where the tokenizer cannot merge, so words encode alone. Documents
-are dealt by a hash of id and text into chunks of bounded size; each chunk reports its distinct words;
-the words meet by hash, each distinct word is encoded once, and its ids return to the chunks that hold
-it. There the ids are joined to every position of every document, and decoding joins each id with its
-piece (the vocabulary, of fixed size). Chunk, word and document keys are all hashed, so no key gathers
-more than one chunk's text or one word's chunks.
+Texts are cut into words at places where the tokenizer cannot merge, so words encode alone, each
+distinct word once. The most frequent words, a fixed number of bounded length, are encoded first and
+broadcast. Documents are dealt by a hash of id and text into chunks of bounded size; each chunk
+reports its other distinct words; these meet by hash, are encoded, and their ids return to the chunks
+that hold them. There the ids are joined to every position of every document, and decoding joins each
+id with its piece (the vocabulary, of fixed size). Texts travel as compressed blocks of many documents.
 
 Defined results: null text is empty text with no ids; repeated rows are encoded row by row; an empty
 table gives an empty result.
@@ -14,17 +14,23 @@ table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import pickle
 import re
+import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import own_columns, table
 
-#: Bytes of text in a chunk, about.
-CHUNK_BYTES = 8 << 20
+#: Bytes of text in a chunk, about; bytes of a block of texts in transit, about.
+CHUNK_BYTES, BLOCK_BYTES = 16 << 20, 1 << 20
+#: Words broadcast, their length at most, and how often a task must see a word to name it for the list.
+FREQUENT, WORD_BYTES, LOCAL_LEAST = 200_000, 64, 4
 
 # Bytes that cannot be or begin white space other than blank and newline.
 _PLAIN = bytes(b for b in range(256) if b in (10, *range(32, 127)) or b >= 128 and b not in (0xC2, 0xE1, 0xE2, 0xE3))
@@ -45,6 +51,16 @@ def words(text: bytes) -> list[bytes]:
     return _SURE.split(text)
 
 
+class Ids(dict):
+    """The ids of a chunk's own words; all others are among the common ones."""
+
+    common: dict[bytes, bytes]
+
+    def __missing__(self, word: bytes) -> bytes:
+        found = self[word] = self.common[word]
+        return found
+
+
 def load(path: str):
     """The tokenizer without truncation and padding, and its id-to-piece column."""
     from tokenizers import Tokenizer
@@ -68,48 +84,152 @@ def _joined(column: pa.Array, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
     return (got.buffers()[2].to_pybytes() if len(ids) and got.buffers()[2] else b""), at
 
 
+def _counted(batches):
+    n: Counter = Counter()
+
+    def out():
+        kept = {w: c for w, c in n.items() if c >= LOCAL_LEAST and 0 < len(w) <= WORD_BYTES}
+        return pa.RecordBatch.from_arrays([pa.array(list(kept), pa.binary()), pa.array(list(kept.values()), pa.int64())], ["word", "n"])
+
+    for b in batches:
+        for t in b.column("text").to_pylist():
+            if t:
+                n.update(words(t))
+        if len(n) > 1_000_000:
+            yield out()
+            n.clear()
+    yield out()
+
+
+def _ids(tokenizer, memo: dict[bytes, bytes], words_: list[bytes]) -> list[bytes]:
+    """The words' ids (little-endian 32-bit); those that ``memo`` lacks are encoded, once each."""
+    new = list({x for x in words_ if x not in memo})
+    for x, e in zip(new, tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x in new], add_special_tokens=False), strict=True):
+        memo[x] = np.array(e.ids, "<u4").tobytes()
+    return [memo[x] for x in words_]
+
+
+def _common(path: str):
+    def encoded(batches):
+        tokenizer, _ = load(path)
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("word"), pa.array(_ids(tokenizer, {}, b.column("word").to_pylist()), pa.binary())], ["word", "ids"])
+
+    return encoded
+
+
+def _answered(path: str):
+    """Each block of words becomes a block of the words with their ids; a word's blocks are all in one partition."""
+
+    def encoded(batches):
+        tokenizer, _ = load(path)
+        z, u, memo = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor(), {}
+        for b in batches:
+            out = []
+            for x in b.column("block").to_pylist():
+                joined = u.decompress(x)
+                ids = _ids(tokenizer, memo, joined.split(b"\xff"))
+                sizes = np.array([len(i) // 4 for i in ids], "<u4")
+                flat = np.frombuffer(b"".join(ids), "<u4")
+                narrow = not len(flat) or flat.max() < 1 << 16
+                out.append(z.compress(pickle.dumps((joined, sizes.tobytes(), flat.astype("<u2" if narrow else "<u4").tobytes(), narrow), protocol=5)))
+            yield pa.RecordBatch.from_arrays([b.column("chunk"), pa.array(out, pa.binary())], ["chunk", "block"])
+
+    return encoded
+
+
+def _answers(blocks: list[bytes]):
+    """(word, ids) of all blocks."""
+    u = zstandard.ZstdDecompressor()
+    for x in blocks:
+        joined, sizes, flat, narrow = pickle.loads(u.decompress(x))
+        ends = np.cumsum(np.frombuffer(sizes, "<u4").astype(np.int64) * 4).tolist()
+        data = np.frombuffer(flat, "<u2" if narrow else "<u4").astype("<u4").tobytes()
+        begin = 0
+        for w, e in zip(joined.split(b"\xff"), ends, strict=True):
+            yield w, data[begin:e]
+            begin = e
+
+
+def _blocks(batches):
+    """(chunk, block): the documents of a chunk, packed together and compressed."""
+    z, held, size = zstandard.ZstdCompressor(level=3), {}, {}
+
+    def out(chunks):
+        data = []
+        for c in chunks:
+            ids, texts = zip(*held.pop(c))
+            size.pop(c)
+            data.append(z.compress(pickle.dumps((ids, texts), protocol=5)))
+        return pa.RecordBatch.from_arrays([pa.array(chunks, pa.int32()), pa.array(data, pa.binary())], ["chunk", "block"])
+
+    for b in batches:
+        for c, i, t in zip(*(b.column(k).to_pylist() for k in ("chunk", "doc_id", "text")), strict=True):
+            held.setdefault(c, []).append((i, t or b""))
+            size[c] = size.get(c, 0) + len(t or b"") + 16
+        if full := [c for c, n in size.items() if n > BLOCK_BYTES]:
+            yield out(full)
+        if sum(size.values()) > 64 * BLOCK_BYTES:
+            yield out(list(held))
+    if held:
+        yield out(list(held))
+
+
+def _unpacked(blocks: list[bytes]) -> tuple[list, list[bytes]]:
+    z, ids, texts = zstandard.ZstdDecompressor(), [], []
+    for x in blocks:
+        i, t = pickle.loads(z.decompress(x))
+        ids += i
+        texts += t
+    return ids, texts
+
+
 def encode(docs: DataFrame, path: str, chunk_bytes: int = CHUNK_BYTES, columns: str = "digests") -> DataFrame:
     """Per row: doc_id, n_tokens and, for ``digests``, ids_sha256 and decoded_sha256, else ``ids`` and ``decoded``."""
     spark = docs.sparkSession
     own = own_columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
     total = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(spark.sparkContext.defaultParallelism * 2, -(-total // chunk_bytes))
+    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     parts = max(1, min(n, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    dealt = own.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int")).repartition(parts, "chunk")
+    counts = own.select("text").mapInArrow(_counted, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    top = counts.orderBy(F.desc("n"), "word").limit(FREQUENT).select("word").repartition(spark.sparkContext.defaultParallelism)
+    rows = top.mapInArrow(_common(path), "word binary, ids binary").collect()
+    frequent = spark.sparkContext.broadcast({bytes(r["word"]): bytes(r["ids"]) for r in rows} | {b"": b""})
+
+    dealt = own.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int"))
+    dealt = dealt.mapInArrow(_blocks, "chunk int, block binary").repartition(parts, "chunk")
 
     def found(batches):
         seen: dict[int, set[bytes]] = {}
+        known = frequent.value.keys()
         for b in batches:
-            for c, t in zip(b.column("chunk").to_pylist(), b.column("text").to_pylist(), strict=True):
-                if t:
-                    seen.setdefault(c, set()).update(words(t))
+            for c, x in zip(b.column("chunk").to_pylist(), b.column("block").to_pylist(), strict=True):
+                here = set()
+                for t in _unpacked([x])[1]:
+                    here.update(words(t))
+                seen.setdefault(c, set()).update(here - known)
+        z = zstandard.ZstdCompressor(level=3)
         for c, s in seen.items():
-            s.discard(b"")
-            ordered = list(s)
-            for i in range(0, len(ordered), 20_000):
-                w = ordered[i : i + 20_000]
-                yield pa.RecordBatch.from_arrays([pa.array([c] * len(w), pa.int32()), pa.array(w, pa.binary())], ["chunk", "word"])
-
-    def encoded(batches):
-        tokenizer, _ = load(path)
-        memo: dict[bytes, bytes] = {}  # a word's rows are all in this partition
-        for b in batches:
-            w = b.column("word").to_pylist()
-            new = list({x for x in w if x not in memo})
-            for x, e in zip(new, tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x in new], add_special_tokens=False), strict=True):
-                memo[x] = np.array(e.ids, "<u4").tobytes()
-            yield pa.RecordBatch.from_arrays([b.column("chunk"), b.column("word"), pa.array([memo[x] for x in w], pa.binary())], ["chunk", "word", "ids"])
+            dealt_: dict[int, list[bytes]] = {}
+            for w in s:
+                dealt_.setdefault(zlib.crc32(w) % buckets, []).append(w)
+            # sorted words share beginnings, which the compressor finds
+            data = [z.compress(b"\xff".join(sorted(w))) for w in dealt_.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(dealt_), pa.int32()), pa.array([c] * len(data), pa.int32()), pa.array(data, pa.binary())], ["bucket", "chunk", "block"])
 
-    table_ = dealt.mapInArrow(found, "chunk int, word binary").repartition("word").mapInArrow(encoded, "chunk int, word binary, ids binary")
+    asked = dealt.mapInArrow(found, "bucket int, chunk int, block binary").repartition("bucket")
+    rest = asked.mapInArrow(_answered(path), "chunk int, block binary")
     digests = columns == "digests"
     last = ["ids_sha256", "decoded_sha256"] if digests else ["ids", "decoded"]
 
     def assembled(left: pa.Table, right: pa.Table) -> pa.Table:
         _, pieces = load(path) if not hasattr(load, "kept") else load.kept
         load.kept = (None, pieces)
-        of = dict(zip(right.column("word").to_pylist(), right.column("ids").to_pylist(), strict=True))
-        of[b""] = b""
-        flat = [b"".join(map(of.__getitem__, words(t or b""))) for t in left.column("text").to_pylist()]
+        doc_ids, texts = _unpacked(left.column("block").to_pylist())
+        of = Ids(_answers(right.column("block").to_pylist()))
+        of.common = frequent.value
+        flat = [b"".join(map(of.__getitem__, words(t))) for t in texts]
         sizes = np.array([len(x) // 4 for x in flat], np.int64)
         ends = np.cumsum(sizes)
         ids = np.frombuffer(b"".join(flat), "<u4")
@@ -127,11 +247,11 @@ def encode(docs: DataFrame, path: str, chunk_bytes: int = CHUNK_BYTES, columns:
                 out[0].append(ids[e - s : e].astype(np.int32))
                 out[1].append(decoded)
         kinds = [pa.string(), pa.string()] if digests else [pa.list_(pa.int32()), pa.string()]
-        return pa.table([left.column("doc_id"), pa.array(sizes), *(pa.array(o, k) for o, k in zip(out, kinds, strict=True))], names=["doc_id", "n_tokens", *last])
+        return pa.table([pa.array(doc_ids, pa.int64()), pa.array(sizes), *(pa.array(o, k) for o, k in zip(out, kinds, strict=True))], names=["doc_id", "n_tokens", *last])
 
     kind = "string" if digests else "array<int>"
     schema = f"doc_id long, n_tokens long, {last[0]} {kind}, {last[1]} string"
-    return dealt.groupBy("chunk").cogroup(table_.groupBy("chunk")).applyInArrow(assembled, schema)
+    return dealt.groupBy("chunk").cogroup(rest.groupBy("chunk")).applyInArrow(assembled, schema)
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
