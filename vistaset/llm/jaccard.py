@@ -36,6 +36,8 @@ LISTED, LOCAL_SHARE = 400_000, 2000
 #: Ids broadcast at most; members drawn from a list per round; rounds of drawn pairs at most; pairs left
 #: for the full test, per member of a posting list.
 BROADCAST_IDS, DRAWN, ROUNDS, LEFT = 1_000_000, 4, 6, 2
+#: Word hashes and grams of sets that a worker keeps for reuse, at most.
+MEMO, KEPT_GRAMS = 100_000, 1_000_000
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -45,7 +47,11 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 class _Words(dict):
+    """Hashes of recent words, MEMO at most."""
+
     def __missing__(self, w: bytes) -> int:
+        if len(self) >= MEMO:
+            self.clear()
         h = self[w] = xxhash.xxh3_64_intdigest(w)
         return h
 
@@ -70,15 +76,18 @@ def least_overlap(a: int, b: int, percent: int = PERCENT) -> int:
 
 
 def _frequent(batches):
-    memo, sets = _Words(), []
-    for b in batches:
-        sets += [grams(t, memo) for t in b.column("text").to_pylist()]
-        if len(memo) > 500_000:
-            memo.clear()
+    memo = _Words()
+    sets = [grams(t.as_py(), memo) for b in batches for t in b.column("text")]
     if sets:
-        g, c = np.unique(np.concatenate(sets), return_counts=True)
-        keep = c >= max(2, -(-len(sets) // LOCAL_SHARE))
-        yield pa.RecordBatch.from_pydict({"gram": g[keep].view(np.int64), "n": c[keep].astype(np.int64)})
+        least = max(2, -(-len(sets) // LOCAL_SHARE))
+        g = np.concatenate(sets)
+        del sets
+        g.sort()
+        # a gram's run begins where it is new and reaches ``least`` places further
+        first = np.flatnonzero(g[least - 1 :] == g[: max(0, len(g) - least + 1)])
+        first = first[(first == 0) | (g[first - 1] != g[first])]
+        found = g[first]
+        yield pa.RecordBatch.from_pydict({"gram": found.view(np.int64), "n": np.searchsorted(g, found, "right") - first})
 
 
 def prefixes(docs: DataFrame) -> DataFrame:
@@ -96,8 +105,8 @@ def prefixes(docs: DataFrame) -> DataFrame:
         memo, part, at = _Words(), TaskContext.get().partitionId(), 0
         for b in batches:
             sizes, keys, firsts, cells = [], [], [], []
-            for t in b.column("text").to_pylist():
-                s = grams(t, memo)
+            for t in b.column("text"):
+                s = grams(t.as_py(), memo)
                 n = len(s)
                 sizes.append(n)
                 keys.append(xxhash.xxh3_128_digest(s.tobytes()) if n else None)
@@ -109,8 +118,6 @@ def prefixes(docs: DataFrame) -> DataFrame:
                     weight = np.where(listed[i] == s, count[i], 0)
                 p = n - -(-PERCENT * n // 100) + 1 if n else 0
                 firsts.append(s[np.lexsort((s, weight))[:p]].view(np.int64))
-            if len(memo) > 500_000:
-                memo.clear()
             uid = pa.array(range((part << 40) + at, (part << 40) + at + len(sizes)), pa.int64())
             at += len(sizes)
             yield pa.RecordBatch.from_arrays(
@@ -155,11 +162,12 @@ def _texts(docs: DataFrame, sets: DataFrame, uids: DataFrame) -> DataFrame:
     def packed(batches):
         memo, z = _Words(), zstandard.ZstdCompressor(level=1)
         for b in batches:
-            t = b.column("text").to_pylist()
-            key = [xxhash.xxh3_128_digest(grams(x, memo).tobytes()) for x in t]
-            if len(memo) > 500_000:
-                memo.clear()
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(key, pa.binary()), pa.array([z.compress(x or b"") for x in t], pa.binary())], ["doc_id", "key", "text"])
+            key, texts = [], []
+            for t in b.column("text"):
+                x = t.as_py()
+                key.append(xxhash.xxh3_128_digest(grams(x, memo).tobytes()))
+                texts.append(z.compress(x or b""))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(key, pa.binary()), pa.array(texts, pa.binary())], ["doc_id", "key", "text"])
 
     texts = picked.mapInArrow(packed, "doc_id long, key binary, text binary")
     joined = need.alias("s").join(texts.alias("t"), F.col("s.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("s.key") == F.col("t.key")))
@@ -167,24 +175,24 @@ def _texts(docs: DataFrame, sets: DataFrame, uids: DataFrame) -> DataFrame:
 
 
 def _verified(batches):
-    memo, z, kept = _Words(), zstandard.ZstdDecompressor(), {}
+    memo, z, kept, held = _Words(), zstandard.ZstdDecompressor(), {}, 0
 
     def get(i, t):
+        nonlocal held
         if i not in kept:
-            if len(kept) > 2000:
+            if held > KEPT_GRAMS:
                 kept.clear()
-            kept[i] = grams(z.decompress(t), memo)
+                held = 0
+            kept[i] = grams(z.decompress(t.as_py()), memo)
+            held += len(kept[i])
         return kept[i]
 
     for b in batches:
-        a, c, ta, tc = (b.column(k).to_pylist() for k in ("a", "b", "ta", "tb"))
         ok = []
-        for i, j, s, t in zip(a, c, ta, tc, strict=True):
+        for i, j, s, t in zip(b.column("a").to_pylist(), b.column("b").to_pylist(), b.column("ta"), b.column("tb"), strict=True):
             x, y = get(i, s), get(j, t)
             both = len(np.intersect1d(x, y, assume_unique=True))
             ok.append(100 * both >= PERCENT * (len(x) + len(y) - both))
-        if len(memo) > 500_000:
-            memo.clear()
         yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(ok, pa.bool_())], ["a", "b", "linked"])
 
 
@@ -297,11 +305,9 @@ def keep_first(docs: DataFrame) -> DataFrame:
         memo = _Words()
         for b in batches:
             key = []
-            for t in b.column("_vs_bytes").to_pylist():
-                g = grams(t, memo)
+            for t in b.column("_vs_bytes"):
+                g = grams(t.as_py(), memo)
                 key.append(xxhash.xxh3_128_digest(g.tobytes()) if len(g) else None)
-            if len(memo) > 500_000:
-                memo.clear()
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(key, pa.binary())], [*b.schema.names[:-1], "_vs_key"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", _vs_key binary"
