@@ -14,6 +14,7 @@ table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import os
 import pickle
 import re
 import zlib
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import own_columns, table
 
-#: Bytes of text in a chunk, about; bytes of a block of texts in transit, about.
+#: Bytes of text in a chunk, about; bytes of a block of texts in transit and of texts decoded together, about.
 CHUNK_BYTES, BLOCK_BYTES = 16 << 20, 1 << 20
 #: Words broadcast, their length at most, and how often a task must see a word to name it for the list.
 FREQUENT, WORD_BYTES, LOCAL_LEAST = 200_000, 64, 4
@@ -63,6 +64,8 @@ class Ids(dict):
 
 def load(path: str):
     """The tokenizer without truncation and padding, and its id-to-piece column."""
+    # a task has one core; threads of its own would each keep a cache
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
@@ -223,31 +226,38 @@ def encode(docs: DataFrame, path: str, chunk_bytes: int = CHUNK_BYTES, columns:
     digests = columns == "digests"
     last = ["ids_sha256", "decoded_sha256"] if digests else ["ids", "decoded"]
 
+    pieces = spark.sparkContext.broadcast(load(path)[1])
+
     def assembled(left: pa.Table, right: pa.Table) -> pa.Table:
-        _, pieces = load(path) if not hasattr(load, "kept") else load.kept
-        load.kept = (None, pieces)
         doc_ids, texts = _unpacked(left.column("block").to_pylist())
         of = Ids(_answers(right.column("block").to_pylist()))
         of.common = frequent.value
-        flat = [b"".join(map(of.__getitem__, words(t))) for t in texts]
-        sizes = np.array([len(x) // 4 for x in flat], np.int64)
-        ends = np.cumsum(sizes)
-        ids = np.frombuffer(b"".join(flat), "<u4")
-        bytes_, at = _joined(pieces, ids)
-        out: list[list] = [[], []]
-        if digests:
-            decimals = pa.array([b"%d," % i for i in range(len(pieces))], pa.large_binary())
-            text, begin = _joined(decimals, ids)
-        for k, (e, s) in enumerate(zip(ends.tolist(), sizes.tolist(), strict=True)):
-            decoded = bytes_[at[e - s] : at[e]].decode("utf-8", "replace")
-            if digests:
-                out[0].append(hashlib.sha256(text[begin[e - s] : max(begin[e] - 1, begin[e - s])]).hexdigest())
-                out[1].append(hashlib.sha256(decoded.encode()).hexdigest())
-            else:
-                out[0].append(ids[e - s : e].astype(np.int32))
-                out[1].append(decoded)
+        decimals = pa.array([b"%d," % i for i in range(len(pieces.value))], pa.large_binary()) if digests else None
         kinds = [pa.string(), pa.string()] if digests else [pa.list_(pa.int32()), pa.string()]
-        return pa.table([pa.array(doc_ids, pa.int64()), pa.array(sizes), *(pa.array(o, k) for o, k in zip(out, kinds, strict=True))], names=["doc_id", "n_tokens", *last])
+        schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), *zip(last, kinds, strict=True)])
+        done, begun = [], 0
+        while begun < len(texts):
+            size, end = 0, begun
+            while end < len(texts) and (end == begun or size < BLOCK_BYTES):
+                size += len(texts[end])
+                end += 1
+            flat = [b"".join(map(of.__getitem__, words(t))) for t in texts[begun:end]]
+            sizes = np.array([len(x) // 4 for x in flat], np.int64)
+            ids = np.frombuffer(b"".join(flat), "<u4")
+            bytes_, at = _joined(pieces.value, ids)
+            text, begin = _joined(decimals, ids) if digests else (b"", None)
+            out: list[list] = [[], []]
+            for e, s in zip(np.cumsum(sizes).tolist(), sizes.tolist(), strict=True):
+                decoded = bytes_[at[e - s] : at[e]].decode("utf-8", "replace")
+                if digests:
+                    out[0].append(hashlib.sha256(text[begin[e - s] : max(begin[e] - 1, begin[e - s])]).hexdigest())
+                    out[1].append(hashlib.sha256(decoded.encode()).hexdigest())
+                else:
+                    out[0].append(ids[e - s : e].astype(np.int32))
+                    out[1].append(decoded)
+            done.append(pa.record_batch([pa.array(doc_ids[begun:end], pa.int64()), pa.array(sizes), *(pa.array(o, k) for o, k in zip(out, kinds, strict=True))], schema=schema))
+            begun = end
+        return pa.Table.from_batches(done, schema)
 
     kind = "string" if digests else "array<int>"
     schema = f"doc_id long, n_tokens long, {last[0]} {kind}, {last[1]} string"
