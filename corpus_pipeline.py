@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from vistaset.llm import bpe, jaccard, mixing, pii, quality
 from vistaset.llm.common import ship, table, written
 
+#: Words of a shingle, and the least similarity of near copies in per cent.
+SHINGLE_WORDS, SHINGLE_PERCENT = 5, 80
+
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
@@ -23,7 +26,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked documents stays, that of the smallest id."""
     ship(spark)
-    return jaccard.keep_first(docs)
+    return jaccard.keep_first(docs, SHINGLE_WORDS, SHINGLE_PERCENT)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

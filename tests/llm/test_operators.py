@@ -317,6 +317,23 @@ def test_join_against_brute_force(spark, texts, left, monkeypatch):
     assert {tuple(sorted((key[r["a"]], key[r["b"]]))) for r in links.collect()} == {(a, b) for a, b in pairs if a in key.values() and b in key.values() and sets[a] != sets[b]}
 
 
+def test_join_of_other_shingles(spark):
+    rng, n, percent = np.random.default_rng(5), 5, 80
+    texts = {}
+    for k in range(60):
+        w = [f"t{i}" for i in range(100)]
+        for j in rng.choice(100, rng.integers(0, 4), replace=False):
+            w[j] = f"e{rng.integers(1000)}"
+        texts[k] = " ".join(w)
+    sets = {k: {tuple(t.split()[i : i + n]) for i in range(100 - n + 1)} for k, t in texts.items()}
+    df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    found, classes = jaccard.grouped(df, n, percent)
+    low = {r["uid"]: r["low"] for r in classes.collect()}
+    want = {(a, b) for a in low.values() for b in low.values() if a < b and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])}
+    assert {tuple(sorted((low[r["a"]], low[r["b"]]))) for r in jaccard.links(df, found, classes, n, percent).collect()} == want
+    assert {r["doc_id"]: r["n"] for r in found.collect()} == {k: len(s) for k, s in sets.items()}
+
+
 def test_join_odd_rows(odd, none):
     sets, classes = jaccard.grouped(odd)
     assert sets.count() == len(ROWS)

@@ -27,3 +27,20 @@ def test_stages(spark, docs):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+def test_near_copies_of_scattered_edits_go(spark):
+    base = [f"w{i}" for i in range(400)]
+    edited = [f"e{i}" if i % 50 == 25 else w for i, w in enumerate(base)]
+    other = [f"e{i}" if i % 20 == 10 else w for i, w in enumerate(base)]
+    # similarity of the first two: 0.82 on shingles of five words, 0.89 of three; of the third, below 0.8
+    df = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate((base, edited, other))], "doc_id bigint, text string")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, df, SF).collect()) == [0, 2]
+    assert jaccard.keep_first(df).count() == 3
+
+
+def test_near_copy_stage_keeps_one_of_each_group(spark, docs):
+    single = corpus_pipeline.drop_near_copies(spark, docs, SF)
+    sets, classes = jaccard.grouped(docs, corpus_pipeline.SHINGLE_WORDS, corpus_pipeline.SHINGLE_PERCENT)
+    assert single.count() == classes.select("component").distinct().count() + sets.where("n = 0").count()
+    assert single.exceptAll(docs).count() == 0

@@ -1,6 +1,7 @@
 """N-gram Jaccard join by rare-first prefix filtering.
 
-A document's set is its distinct word N-grams as 64-bit hashes. Equal sets collapse first into one
+A document's set is its distinct word n-grams as 64-bit hashes. The length of grams (``n``) and the least
+similarity (``percent``) are parameters; N and PERCENT are those of op8. Equal sets collapse first into one
 class. Grams are ordered rare first: a list of the frequent ones, gathered from every task's local
 counts and bounded in size, comes last in order of frequency; all others come first by hash. Two sets
 of similarity t share a gram within their prefixes, so only prefix grams are joined, under the
@@ -75,9 +76,9 @@ def least_overlap(a: int, b: int, percent: int = PERCENT) -> int:
     return -(-percent * (a + b) // (100 + percent))
 
 
-def _frequent(batches):
+def _frequent(batches, n: int):
     memo = _Words()
-    sets = [grams(t.as_py(), memo) for b in batches for t in b.column("text")]
+    sets = [grams(t.as_py(), memo, n) for b in batches for t in b.column("text")]
     if sets:
         least = max(2, -(-len(sets) // LOCAL_SHARE))
         g = np.concatenate(sets)
@@ -90,11 +91,11 @@ def _frequent(batches):
         yield pa.RecordBatch.from_pydict({"gram": found.view(np.int64), "n": np.searchsorted(g, found, "right") - first})
 
 
-def prefixes(docs: DataFrame) -> DataFrame:
+def prefixes(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     """uid, doc_id, n (set size), key (the set's 128-bit hash), prefix grams in order, cells."""
     spark = docs.sparkSession
     own = own_columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
-    found = own.select("text").mapInArrow(_frequent, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    found = own.select("text").mapInArrow(lambda batches: _frequent(batches, n), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     top = found.orderBy(F.desc("n"), "gram").limit(LISTED).toPandas()
     g = top["gram"].to_numpy(np.int64).view(np.uint64)
     by = np.argsort(g)
@@ -106,17 +107,17 @@ def prefixes(docs: DataFrame) -> DataFrame:
         for b in batches:
             sizes, keys, firsts, cells = [], [], [], []
             for t in b.column("text"):
-                s = grams(t.as_py(), memo)
-                n = len(s)
-                sizes.append(n)
-                keys.append(xxhash.xxh3_128_digest(s.tobytes()) if n else None)
+                s = grams(t.as_py(), memo, n)
+                size = len(s)
+                sizes.append(size)
+                keys.append(xxhash.xxh3_128_digest(s.tobytes()) if size else None)
                 # capped counts differ by no more than the true ones
                 cells.append(np.minimum(np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=CELLS), 127).astype(np.int8))
-                weight = np.zeros(n, np.int64)
+                weight = np.zeros(size, np.int64)
                 if len(listed):
                     i = np.minimum(np.searchsorted(listed, s), len(listed) - 1)
                     weight = np.where(listed[i] == s, count[i], 0)
-                p = n - -(-PERCENT * n // 100) + 1 if n else 0
+                p = size - -(-percent * size // 100) + 1 if size else 0
                 firsts.append(s[np.lexsort((s, weight))[:p]].view(np.int64))
             uid = pa.array(range((part << 40) + at, (part << 40) + at + len(sizes)), pa.int64())
             at += len(sizes)
@@ -142,22 +143,22 @@ def postings(sets: DataFrame, distinct: DataFrame) -> DataFrame:
     return flat.join(shared, "gram").select("gram", "uid", "n", "pos")
 
 
-def _passes(a: str, b: str):
+def _passes(a: str, b: str, percent: int):
     """Length and positional filters of two postings of one gram."""
     na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
-    need = F.ceil(PERCENT * (na + nb) / (100 + PERCENT))
+    need = F.ceil(percent * (na + nb) / (100 + percent))
     rest = F.least(na - F.col(f"{a}.pos"), nb - F.col(f"{b}.pos"))
-    return (100 * F.least(na, nb) >= PERCENT * F.greatest(na, nb)) & (rest >= need)
+    return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (rest >= need)
 
 
-def _texts(docs: DataFrame, sets: DataFrame, uids: DataFrame) -> DataFrame:
+def _texts(docs: DataFrame, sets: DataFrame, uids: DataFrame, n: int) -> DataFrame:
     """uid and packed text of the classes in ``uids``; texts come from ``docs`` by id and set key."""
     need = written(sets.join(uids, "uid", "left_semi").select("uid", "key", "doc_id"), "need")
-    n = need.count()
+    needed = need.count()
     ids = need.select("doc_id").distinct()
     own = own_columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
     # the list is broadcast only while its counted size is small
-    picked = own.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, own["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
+    picked = own.join(F.broadcast(ids) if needed <= BROADCAST_IDS else ids, own["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
 
     def packed(batches):
         memo, z = _Words(), zstandard.ZstdCompressor(level=1)
@@ -165,7 +166,7 @@ def _texts(docs: DataFrame, sets: DataFrame, uids: DataFrame) -> DataFrame:
             key, texts = [], []
             for t in b.column("text"):
                 x = t.as_py()
-                key.append(xxhash.xxh3_128_digest(grams(x, memo).tobytes()))
+                key.append(xxhash.xxh3_128_digest(grams(x, memo, n).tobytes()))
                 texts.append(z.compress(x or b""))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(key, pa.binary()), pa.array(texts, pa.binary())], ["doc_id", "key", "text"])
 
@@ -174,7 +175,7 @@ def _texts(docs: DataFrame, sets: DataFrame, uids: DataFrame) -> DataFrame:
     return joined.select("s.uid", "t.text").dropDuplicates(["uid"])
 
 
-def _verified(batches):
+def _verified(batches, n: int, percent: int):
     memo, z, kept, held = _Words(), zstandard.ZstdDecompressor(), {}, 0
 
     def get(i, t):
@@ -183,7 +184,7 @@ def _verified(batches):
             if held > KEPT_GRAMS:
                 kept.clear()
                 held = 0
-            kept[i] = grams(z.decompress(t.as_py()), memo)
+            kept[i] = grams(z.decompress(t.as_py()), memo, n)
             held += len(kept[i])
         return kept[i]
 
@@ -192,37 +193,38 @@ def _verified(batches):
         for i, j, s, t in zip(b.column("a").to_pylist(), b.column("b").to_pylist(), b.column("ta"), b.column("tb"), strict=True):
             x, y = get(i, s), get(j, t)
             both = len(np.intersect1d(x, y, assume_unique=True))
-            ok.append(100 * both >= PERCENT * (len(x) + len(y) - both))
+            ok.append(100 * both >= percent * (len(x) + len(y) - both))
         yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(ok, pa.bool_())], ["a", "b", "linked"])
 
 
-def suffix_filtered(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def suffix_filtered(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(a, b, near) of distinct pairs: near ones may still have the overlap that a link needs."""
     slim = sets.select("uid", "cells", "n")
     apart = F.aggregate(F.zip_with("ca", "cb", lambda p, q: F.abs(p.cast("int") - q.cast("int"))), F.lit(0), lambda s, v: s + v)
     cut = pairs.join(slim.select(F.col("uid").alias("a"), F.col("cells").alias("ca"), F.col("n").alias("na")), "a")
     cut = cut.join(slim.select(F.col("uid").alias("b"), F.col("cells").alias("cb"), F.col("n").alias("nb")), "b")
-    need = F.ceil(PERCENT * (F.col("na") + F.col("nb")) / (100 + PERCENT))
+    need = F.ceil(percent * (F.col("na") + F.col("nb")) / (100 + percent))
     return written(cut.select("a", "b", ((F.col("na") + F.col("nb") - apart) / 2 >= need).alias("near")), "pairs")
 
 
 class Verifier:
     """Tests pairs of classes on exact sets; each class's text is fetched when a pair first needs it."""
 
-    def __init__(self, docs: DataFrame, sets: DataFrame):
-        self.docs, self.sets, self.texts = docs, sets, None
+    def __init__(self, docs: DataFrame, sets: DataFrame, n: int = N, percent: int = PERCENT):
+        self.docs, self.sets, self.texts, self.n, self.percent = docs, sets, None, n, percent
 
     def __call__(self, pairs: DataFrame) -> DataFrame:
         """(a, b, linked) of distinct pairs."""
-        cut = suffix_filtered(pairs, self.sets)
+        cut = suffix_filtered(pairs, self.sets, self.percent)
         near = cut.where("near").select("a", "b")
         need = near.select(F.col("a").alias("uid")).union(near.select("b")).distinct()
         if self.texts is not None:
             need = need.join(self.texts.select("uid"), "uid", "left_anti")
-        fresh = written(_texts(self.docs, self.sets, need), "texts")
+        fresh = written(_texts(self.docs, self.sets, need, self.n), "texts")
         self.texts = fresh if self.texts is None else self.texts.union(fresh)
         x, y = (self.texts.select(F.col("uid").alias(k), F.col("text").alias(f"t{k}")) for k in "ab")
-        full = near.join(x, "a").join(y, "b").select("a", "b", "ta", "tb").mapInArrow(_verified, "a long, b long, linked boolean")
+        n, percent = self.n, self.percent
+        full = near.join(x, "a").join(y, "b").select("a", "b", "ta", "tb").mapInArrow(lambda batches: _verified(batches, n, percent), "a long, b long, linked boolean")
         return full.union(cut.where(~F.col("near")).select("a", "b", F.lit(False).alias("linked")))
 
 
@@ -230,11 +232,11 @@ def _ordered(x, y) -> list:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
-def links(docs: DataFrame, sets: DataFrame, distinct: DataFrame) -> DataFrame:
+def links(docs: DataFrame, sets: DataFrame, distinct: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     """Every linked pair of classes, by their uids."""
     p = written(postings(sets, distinct), "postings")
-    pairs = p.alias("x").join(p.alias("y"), (F.col("x.gram") == F.col("y.gram")) & (F.col("x.uid") < F.col("y.uid")) & _passes("x", "y"))
-    return Verifier(docs, sets)(pairs.select(*_ordered("x.uid", "y.uid")).distinct()).where("linked").select("a", "b")
+    pairs = p.alias("x").join(p.alias("y"), (F.col("x.gram") == F.col("y.gram")) & (F.col("x.uid") < F.col("y.uid")) & _passes("x", "y", percent))
+    return Verifier(docs, sets, n, percent)(pairs.select(*_ordered("x.uid", "y.uid")).distinct()).where("linked").select("a", "b")
 
 
 def _drawn(at: DataFrame, tested: DataFrame, turn: int) -> DataFrame:
@@ -248,9 +250,9 @@ def _drawn(at: DataFrame, tested: DataFrame, turn: int) -> DataFrame:
     return picked.select("gram", F.explode(F.array_distinct(F.array(*one))).alias("d")).select("gram", "d.*")
 
 
-def groups(docs: DataFrame, sets: DataFrame, distinct: DataFrame) -> DataFrame:
+def groups(docs: DataFrame, sets: DataFrame, distinct: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     """(id, comp) of the classes that are linked with another class."""
-    spark, verify = docs.sparkSession, Verifier(docs, sets)
+    spark, verify = docs.sparkSession, Verifier(docs, sets, n, percent)
     p = written(postings(sets, distinct), "postings")
     size = p.count()
     tested = spark.createDataFrame([], "a long, b long, linked boolean")
@@ -266,10 +268,10 @@ def groups(docs: DataFrame, sets: DataFrame, distinct: DataFrame) -> DataFrame:
         full = turn == ROUNDS or left <= LEFT * size
         at = written(at.join(per.select("gram"), "gram", "left_semi"), "at")
         if full:
-            pairs = at.alias("x").join(at.alias("y"), (F.col("x.gram") == F.col("y.gram")) & (F.col("x.comp") < F.col("y.comp")) & _passes("x", "y"))
+            pairs = at.alias("x").join(at.alias("y"), (F.col("x.gram") == F.col("y.gram")) & (F.col("x.comp") < F.col("y.comp")) & _passes("x", "y", percent))
         else:
             drawn = _drawn(at, tested, turn)
-            pairs = at.alias("x").join(drawn.alias("y"), (F.col("x.gram") == F.col("y.gram")) & (F.col("x.comp") != F.col("y.comp")) & _passes("x", "y"))
+            pairs = at.alias("x").join(drawn.alias("y"), (F.col("x.gram") == F.col("y.gram")) & (F.col("x.comp") != F.col("y.comp")) & _passes("x", "y", percent))
         pairs = pairs.select(*_ordered("x.uid", "y.uid")).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
         tested = tested.union(written(verify(pairs), "verified"))
         comp = components(tested.where("linked").select("a", "b"))
@@ -278,11 +280,11 @@ def groups(docs: DataFrame, sets: DataFrame, distinct: DataFrame) -> DataFrame:
     return comp if comp is not None else spark.createDataFrame([], "id long, comp long")
 
 
-def grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def grouped(docs: DataFrame, n: int = N, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """The sets table, and per distinct set: key, uid, low, component (smallest doc_id in reach), first (one key of it)."""
-    sets = written(prefixes(docs), "sets")
+    sets = written(prefixes(docs, n, percent), "sets")
     distinct = written(classes(sets), "classes")
-    comp = groups(docs, sets, distinct)
+    comp = groups(docs, sets, distinct, n, percent)
     c = distinct.join(comp, distinct["uid"] == comp["id"], "left").select("key", "uid", "low", F.coalesce("comp", "uid").alias("comp"))
     least = c.groupBy("comp").agg(F.min(F.struct("low", "key")).alias("least"))
     return sets, c.join(least, "comp").select("key", "uid", "low", F.col("least.low").alias("component"), F.col("least.key").alias("first"))
@@ -295,9 +297,9 @@ def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def keep_first(docs: DataFrame) -> DataFrame:
+def keep_first(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     """One row of ``docs`` per component: of its smallest doc_id; rows with the empty set all stay."""
-    sets, found = grouped(docs)
+    sets, found = grouped(docs, n, percent)
     keep = written(found.where("key = first").select(F.col("component").alias("kept_id"), F.col("key").alias("kept_key")), "kept")
     repeated = not sets.where("n > 0").groupBy("doc_id", "key").count().where("count > 1").isEmpty()
 
@@ -306,14 +308,13 @@ def keep_first(docs: DataFrame) -> DataFrame:
         for b in batches:
             key = []
             for t in b.column("_vs_bytes"):
-                g = grams(t.as_py(), memo)
+                g = grams(t.as_py(), memo, n)
                 key.append(xxhash.xxh3_128_digest(g.tobytes()) if len(g) else None)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(key, pa.binary())], [*b.schema.names[:-1], "_vs_key"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", _vs_key binary"
     d = docs.withColumn("_vs_bytes", F.col("text").cast("binary")).mapInArrow(keyed, schema)
-    n = keep.count()
-    small = F.broadcast(keep) if n <= BROADCAST_IDS else keep
+    small = F.broadcast(keep) if keep.count() <= BROADCAST_IDS else keep
     full = d.where("_vs_key is not null").join(small, d["doc_id"].cast("long").eqNullSafe(small["kept_id"]) & (d["_vs_key"] == small["kept_key"])).select(d["*"])
     if repeated:
         full = full.dropDuplicates(["doc_id", "_vs_key"])
