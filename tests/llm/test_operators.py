@@ -420,6 +420,21 @@ def test_mix_targets_and_bounds(spark, docs, odd, none):
     assert mixing.mix(none.select("doc_id", "source", mixing.size_of(F.col("text")).alias("size")), 0).count() == 0
 
 
+def test_mix_of_tiny_sources_beside_a_huge_one(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD_ROWS", 16)
+    monkeypatch.setattr(mixing, "LEAST_BLOCKS", 500)
+    # cells of all but the first source are far smaller than a block of about 300 words
+    parts = [("huge", 3000, 50, 0), ("many", 60, 9, 3000), ("few", 5, 7, 3060), (None, 40, 3, 3065)]
+    rows = [(at + i, s, size) for s, n, size, at in parts for i in range(n)]
+    df = spark.createDataFrame(rows, "doc_id bigint, source string, size bigint")
+    for weights in ((5, 2, 1), (100_000, 500_000_000, 300)):
+        got = mixing.mix(df, len(rows), weights).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"), F.max(F.col("taken") - 3 * F.col("size")).alias("over")).collect()
+        assert len(got) == 4 and all(r["over"] <= 0 for r in got)
+        assert sum(r["target"] for r in got) == pytest.approx(sum(r["taken"] for r in got), abs=4)
+        for r in got:
+            assert r["taken"] == pytest.approx(r["target"], abs=2)
+
+
 def test_sainte_lague_against_quotients(spark):
     votes = {"a": 53, "b": 24, "c": 23, "d": 1, "e": 0}
     df = spark.createDataFrame(list(votes.items()), "source string, v bigint")

@@ -1,11 +1,12 @@
 """Mixing sources to target weights: Sainte-Lague apportionment of equal-token blocks.
 
 The corpus total is shared among sources by weight with targets capped at three times the source
-(water-filling in closed form over the sorted cap-to-weight ratios). Targets are counted in blocks of
-equal tokens. Sainte-Lague quotients give each source its integer number of blocks, and again each
-(source, shard) cell its part, a cell being the source's rows in one hash shard. Within a cell the
-documents lie in a seeded order end to end; whole passes over the cell come first and the rest are
-blocks with the lowest seeded hashes. All of it is DataFrame functions; every window is over the rows
+(water-filling in closed form over the sorted cap-to-weight ratios). Sainte-Lague quotients give each
+source its integer number of tokens, and again each (source, shard) cell its part, a cell being the
+source's rows in one hash shard; a source has as many shards as its rows need. A cell's part never passes
+``most`` times the cell, as its source's does not. Within a cell the documents lie in a seeded order end
+to end, cut into blocks of equal tokens; whole passes over the cell come first and the rest are blocks
+with the lowest seeded hashes, the last of them taken in part. All of it is DataFrame functions; every window is over the rows
 of a cell, over the sources, or over a source's cells.
 
 Defined results: null text has size 0 and takes nothing; null source is a source of its own, last;
@@ -25,7 +26,7 @@ from .common import WORD, own_columns, table
 WEIGHTS = (5, 2, 1)
 MOST = 3
 SEED = 17
-#: Rows of a hash shard, about; tokens of a block at most; blocks in the mix at least, if it has so many tokens.
+#: Rows of a source's hash shard, about; tokens of a block at most; blocks in the mix at least, if it has so many tokens.
 SHARD_ROWS, BLOCK_TOKENS, LEAST_BLOCKS = 2048, 1024, 200_000
 
 
@@ -86,28 +87,37 @@ def mix(docs: DataFrame, n_rows: int, weights: tuple[int, ...] = WEIGHTS, most:
     """Per row of ``docs`` (doc_id, source, size and any payload): source_size, target, taken, passes, parts.
 
     ``passes`` counts whole copies; ``parts`` are the [start, end) word ranges, from 0, taken once more.
-    ``n_rows`` sets the number of shards only.
+    ``n_rows`` tells only whether a source may need more than one shard.
     """
-    shards = max(1, -(-n_rows // SHARD_ROWS))
     payload = [c for c in docs.columns if c not in ("source", "size")]
-    d = docs.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "size"), F.lit(shards)))
+    d = docs.withColumn("_shards", F.lit(1).cast("long"))
+    if n_rows > SHARD_ROWS:
+        # at most n_rows / SHARD_ROWS sources are that large
+        large = docs.groupBy("source").agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > SHARD_ROWS)
+        large = large.select("source", F.ceil(F.col("_rows") / SHARD_ROWS).alias("_shards"))
+        d = docs.alias("d").join(F.broadcast(large.alias("l")), F.col("d.source").eqNullSafe(F.col("l.source")), "left").select("d.*", F.coalesce("_shards", F.lit(1)).alias("_shards"))
+    d = d.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "size"), F.col("_shards"))).drop("_shards")
     cells = d.groupBy("source", "shard").agg(F.sum("size").alias("cell_size"))
     sources = cells.groupBy("source").agg(F.sum("cell_size").alias("source_size"))
     goal = targets(sources, weights, most)
     block = F.greatest(F.lit(1), F.least(F.lit(BLOCK_TOKENS), F.floor(F.col("total") / LEAST_BLOCKS))).cast("long")
     goal = goal.withColumn("block", block)
-    goal = sainte_lague(goal, "target", F.round(F.col("total") / F.col("block")).cast("long"), [], ["source"], "quota")
+    goal = sainte_lague(goal, "target", F.col("total"), [], ["source"], "quota")
+    goal = goal.withColumn("quota", F.least(F.col("quota"), most * F.col("source_size")))
     c = cells.alias("c").join(goal.alias("g"), F.col("c.source").eqNullSafe(F.col("g.source"))).select(
         "c.source", "shard", "cell_size", "source_size", "target", "block", "quota"
     )
-    c = sainte_lague(c, "cell_size", F.col("quota"), ["source"], ["shard"], "cell_quota")
-    need = F.least(F.col("cell_quota") * F.col("block"), most * F.col("cell_size"))
-    c = c.withColumn("need", need).withColumn("passes", F.when(F.col("cell_size") > 0, F.floor(F.col("need") / F.greatest(F.col("cell_size"), F.lit(1)))).otherwise(0))
+    c = sainte_lague(c, "cell_size", F.col("quota"), ["source"], ["shard"], "need")
+    c = c.withColumn("passes", F.when(F.col("cell_size") > 0, F.floor(F.col("need") / F.greatest(F.col("cell_size"), F.lit(1)))).otherwise(0))
     c = c.withColumn("n_blocks", F.ceil(F.col("cell_size") / F.col("block")))
-    c = c.withColumn("extra", F.when(F.col("passes") >= most, 0).otherwise(F.round((F.col("need") - F.col("passes") * F.col("cell_size")) / F.col("block"))).cast("long"))
-    blocks = c.where(F.col("extra") > 0).select("source", "shard", "extra", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)).alias("at"))
+    c = c.withColumn("extra", F.col("need") - F.col("passes") * F.col("cell_size"))
+    blocks = c.where(F.col("extra") > 0).select(
+        "source", "shard", "block", "cell_size", "extra", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)).alias("at")
+    )
     lot = Window.partitionBy("source", "shard").orderBy(F.xxhash64(F.lit(seed), "source", "shard", "at"), "at")
-    chosen = blocks.withColumn("r", F.row_number().over(lot)).where(F.col("r") <= F.col("extra")).select("source", "shard", "at")
+    length = F.least(F.col("block"), F.col("cell_size") - F.col("at") * F.col("block"))
+    chosen = blocks.withColumn("length", length).withColumn("before", F.sum("length").over(lot.rowsBetween(Window.unboundedPreceding, 0)) - F.col("length"))
+    chosen = chosen.where(F.col("before") < F.col("extra")).select("source", "shard", "at", F.least("length", F.col("extra") - F.col("before")).alias("some"))
 
     row = Window.partitionBy("source", "shard").orderBy(F.xxhash64(F.lit(seed), "doc_id", "size"), "doc_id", "size")
     slim = d.withColumn("row", F.row_number().over(row))
@@ -122,8 +132,8 @@ def mix(docs: DataFrame, n_rows: int, weights: tuple[int, ...] = WEIGHTS, most:
     hit = touched.alias("t").join(chosen.alias("b"), same("t", "b") & (F.col("t.at") == F.col("b.at"))).select(
         "t.source", "t.shard", "row",
         (F.greatest(F.col("start"), F.col("t.at") * F.col("block")) - F.col("start")).alias("from"),
-        (F.least(F.col("end"), (F.col("t.at") + 1) * F.col("block")) - F.col("start")).alias("to"),
-    )
+        (F.least(F.col("end"), F.col("t.at") * F.col("block") + F.col("some")) - F.col("start")).alias("to"),
+    ).where(F.col("from") < F.col("to"))
     parts = hit.groupBy("source", "shard", "row").agg(F.sum(F.col("to") - F.col("from")).alias("part"), F.sort_array(F.collect_list(F.struct("from", "to"))).alias("parts"))
     out = slim.alias("d").join(parts.alias("p"), same("d", "p") & (F.col("d.row") == F.col("p.row")), "left")
     taken = F.col("size") * F.col("passes") + F.coalesce(F.col("part"), F.lit(0))
