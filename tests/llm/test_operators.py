@@ -317,6 +317,19 @@ def test_join_against_brute_force(spark, texts, left, monkeypatch):
     assert {tuple(sorted((key[r["a"]], key[r["b"]]))) for r in links.collect()} == {(a, b) for a, b in pairs if a in key.values() and b in key.values() and sets[a] != sets[b]}
 
 
+def test_link_counts_against_brute_force(spark, tmp_path):
+    base = [f"t{i}" for i in range(60)]
+    texts = {k: " ".join(f"e{k}" if i == 5 + 6 * (k % 7) else w for i, w in enumerate(base)) for k in range(24)}
+    texts |= {30: texts[3], 31: texts[3], 32: " ".join(base), 33: "alone here", 34: "alone here", 35: None, 36: ""}
+    spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    sets, comp, pairs = brute(texts)
+    n = Counter(i for p in pairs for i in p)
+    assert n[3] > 2 and any(n[i] < sum(comp[j] == comp[i] for j in comp) - 1 for i in comp)
+    got = jaccard.op8_jaccard(spark, str(tmp_path))
+    assert got.columns == ["doc_id", "n_shingles", "component_id", "n_links"]
+    assert {r["doc_id"]: tuple(r)[1:] for r in got.collect()} == {i: (len(s), comp[i], n[i]) for i, s in sets.items()}
+
+
 def test_join_of_other_shingles(spark):
     rng, n, percent = np.random.default_rng(5), 5, 80
     texts = {}

@@ -8,7 +8,8 @@ of similarity t share a gram within their prefixes, so only prefix grams are joi
 length filter, the positional filter and a suffix filter (grams counted in CELLS hash ranges bound the
 overlap). Each remaining pair is verified once, on exact sets made from the texts again.
 
-``links`` returns every linked pair of classes. ``groups`` returns components and tests fewer pairs:
+``links`` returns every linked pair of classes; ``joined``, which op8 runs, counts them per document and
+derives components from them. ``groups``, for those who need components only, returns components and tests fewer pairs:
 in each round every posting list pairs its members with a few drawn ones, at first by hash and then
 those that linked most often; linked pairs merge, and pairs within a component need no test any more; what is left between components is then tested
 in full, so the result is exact. Large groups of near copies thus cost a few pairs per document.
@@ -130,8 +131,8 @@ def prefixes(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
 
 
 def classes(sets: DataFrame) -> DataFrame:
-    """One row per distinct set: key, uid of a member, smallest doc_id."""
-    return sets.where("n > 0").groupBy("key").agg(F.min("uid").alias("uid"), F.min("doc_id").alias("low"))
+    """One row per distinct set: key, uid of a member, smallest doc_id, number of its documents."""
+    return sets.where("n > 0").groupBy("key").agg(F.min("uid").alias("uid"), F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("copies"))
 
 
 def postings(sets: DataFrame, distinct: DataFrame) -> DataFrame:
@@ -280,23 +281,38 @@ def groups(docs: DataFrame, sets: DataFrame, distinct: DataFrame, n: int = N, pe
     return comp if comp is not None else spark.createDataFrame([], "id long, comp long")
 
 
+def _reached(distinct: DataFrame, comp: DataFrame) -> DataFrame:
+    """Per distinct set: key, uid, low, component (smallest doc_id in reach), first (one key of it)."""
+    c = distinct.join(comp, distinct["uid"] == comp["id"], "left").select("key", "uid", "low", F.coalesce("comp", "uid").alias("comp"))
+    least = c.groupBy("comp").agg(F.min(F.struct("low", "key")).alias("least"))
+    return c.join(least, "comp").select("key", "uid", "low", F.col("least.low").alias("component"), F.col("least.key").alias("first"))
+
+
 def grouped(docs: DataFrame, n: int = N, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """The sets table, and per distinct set: key, uid, low, component (smallest doc_id in reach), first (one key of it)."""
     sets = written(prefixes(docs, n, percent), "sets")
     distinct = written(classes(sets), "classes")
-    comp = groups(docs, sets, distinct, n, percent)
-    c = distinct.join(comp, distinct["uid"] == comp["id"], "left").select("key", "uid", "low", F.coalesce("comp", "uid").alias("comp"))
-    least = c.groupBy("comp").agg(F.min(F.struct("low", "key")).alias("least"))
-    return sets, c.join(least, "comp").select("key", "uid", "low", F.col("least.low").alias("component"), F.col("least.key").alias("first"))
+    return sets, _reached(distinct, groups(docs, sets, distinct, n, percent))
 
 
-def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sets, found = grouped(table(spark, sf_dir, "documents"))
-    return sets.select("doc_id", "n", "key").join(found.select("key", "component"), "key", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")
+def joined(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id, n_links (documents linked with this one, its copies included)."""
+    sets = written(prefixes(docs, n, percent), "sets")
+    distinct = written(classes(sets), "classes")
+    found = written(links(docs, sets, distinct, n, percent), "links")
+    ends = found.union(found.select("b", "a"))
+    near = ends.join(distinct.select(F.col("uid").alias("b"), "copies"), "b").groupBy("a").agg(F.sum("copies").alias("near"))
+    count = distinct.join(near, distinct["uid"] == near["a"], "left").select("key", (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("n_links"))
+    per = _reached(distinct, components(found)).select("key", "component").join(count, "key")
+    return sets.select("doc_id", "n", "key").join(per, "key", "left").select(
+        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
     )
 
 
+def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return joined(table(spark, sf_dir, "documents"))
+
+
 def keep_first(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     """One row of ``docs`` per component: of its smallest doc_id; rows with the empty set all stay."""
     sets, found = grouped(docs, n, percent)
