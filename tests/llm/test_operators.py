@@ -214,6 +214,17 @@ def test_licence_expressions():
     assert licenses.parse("MIT and")[1] == ["mit"] and licenses.parse(") or")[1] == [] and licenses.parse("MIT Apache")[1] == ["mit"]
 
 
+def test_long_licence_expressions():
+    a = licenses.automaton()
+    ids = [f"lic-{k}" for k in range(100_000)]
+    labels = lambda t: licenses.scan(t.encode(), a)[5]
+    assert labels("SPDX-License-Identifier: " + " or ".join(ids)) == ",".join(sorted(ids))
+    assert labels("SPDX-License-Identifier: " + " or (".join(ids) + ")" * (len(ids) - 1)) == ",".join(sorted(ids))
+    # tags later in a long line, and a line that goes on with other text
+    assert labels("SPDX-License-Identifier: MIT; see" + " x" * 1000 + " SPDX-License-Identifier: ISC or\nBSD") == "isc,mit"
+    assert labels("SPDX-License-Identifier: MIT SPDX-License-Identifier: ISC\nSPDX-License-Identifier:\nx") == "isc,mit"
+
+
 # -- 6 fingerprints ------------------------------------------------------------------------------
 
 

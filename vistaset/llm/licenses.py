@@ -2,7 +2,8 @@
 
 The text is folded to its words (ASCII lower case, other bytes kept) joined by single blanks; the
 automaton finds notice phrases at word edges. Identifier tags are found in the raw text, and the
-expression after a tag goes through a shunting-yard parser for and/or/with and parentheses.
+expression after a tag, as far as the line or the next tag, goes through a shunting-yard parser for
+and/or/with and parentheses, which reads no further than the expression continues.
 
 Defined results: null text is empty text; an empty table gives an empty result; repeated rows are
 handled row by row. A tag whose expression does not parse yields the ids that precede the error.
@@ -43,8 +44,9 @@ NOTICES = {
     "isc license": ("isc", 0.8),
     "all rights reserved": ("all-rights-reserved", 0.3),
 }
-_TAG = re.compile(rb"SPDX-License-Identifier:[ \t]*([^\r\n]{1,400})", re.I)
-_PART = re.compile(r"\(|\)|[A-Za-z0-9][A-Za-z0-9.+-]*")
+_TAG = re.compile(rb"SPDX-License-Identifier:", re.I)
+_LINE_END = re.compile(rb"[\r\n]")
+_PART = re.compile(rb"\(|\)|[A-Za-z0-9][A-Za-z0-9.+-]*")
 #: Every phrase and tag holds one of these.
 _HINTS = (b"licen", b"permission", b"redistribution", b"rights", b"creative")
 _RANK = {"or": 1, "and": 2, "with": 3}
@@ -52,16 +54,19 @@ _RANK = {"or": 1, "and": 2, "with": 3}
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
-def parse(expression: str) -> tuple[list, list[str]]:
+def parse(expression: str | bytes, start: int = 0, end: int | None = None) -> tuple[list, list[str]]:
     """Shunting-yard: the expression in postfix order, and its licence ids (exceptions excluded).
 
     Reading stops at the first part that cannot continue the expression; an operator left without
-    a right side is dropped.
+    a right side is dropped. ``start`` and ``end`` bound what is read.
     """
+    if isinstance(expression, str):
+        expression = expression.encode()
     out: list[str] = []
     stack: list[str] = []
     wants_id = True
-    for part in _PART.findall(expression):
+    for m in _PART.finditer(expression, start, len(expression) if end is None else end):
+        part = m[0].decode()
         low = part.lower()
         if wants_id:
             if part == "(":
@@ -87,14 +92,18 @@ def parse(expression: str) -> tuple[list, list[str]]:
     if wants_id and stack and stack[-1] in _RANK:
         stack.pop()
     out += [s for s in reversed(stack) if s != "("]
-    ids: list[list[str]] = []
+    # operands keep their order, so each side of an operator is a run of ids that ends the list
+    ids: list[str] = []
+    begins: list[int] = []
     for part in out:
         if part not in _RANK:
-            ids.append([part.lower()])
-        elif len(ids) > 1:
-            right = ids.pop()
-            ids[-1] = ids[-1] + ([] if part == "with" else right)
-    return out, [i for x in ids for i in x]
+            begins.append(len(ids))
+            ids.append(part.lower())
+        elif len(begins) > 1:
+            right = begins.pop()
+            if part == "with":
+                del ids[right:]
+    return out, ids
 
 
 def choices(expression: str) -> list[frozenset[str]]:
@@ -142,8 +151,12 @@ def scan(text: bytes | None, a) -> tuple:
                 done += flat.count(" ", at, start)  # ends rise, and base phrases never overlap
                 at = start
                 starts.append(done)
-        for m in _TAG.finditer(text):
-            ids = parse(m[1].decode("utf-8", "replace"))[1]
+        tags, eol = [m.span() for m in _TAG.finditer(text)], -1
+        for (_, start), (stop, _) in zip(tags, [*tags[1:], (len(text), 0)]):
+            if eol < start:
+                found = _LINE_END.search(text, start)
+                eol = found.start() if found else len(text)
+            ids = parse(text, start, min(eol, stop))[1]
             labels.update(ids)
             score = 1.0 if ids else score
     join = lambda x: ",".join(sorted(x, key=lambda s: s.encode()))
