@@ -307,9 +307,15 @@ def brute(texts):
     return sets, {i: find(i) for i in texts}, pairs
 
 
-@pytest.mark.parametrize("left", [4, 0])
-def test_join_against_brute_force(spark, texts, left, monkeypatch):
-    monkeypatch.setattr(jaccard, "LEFT", left)  # 0: all rounds of drawn pairs come before the full test
+def found_by(j):
+    return {r["doc_id"]: (r["n"], r["component"], r["n_links"]) for r in j.sets.join(j.reached(), "key", "left").collect()}
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_join_against_brute_force(spark, texts, small, monkeypatch):
+    if small:  # lists and components of many blocks, a crowded sketch
+        for k, v in {"LIST_BLOCK": 3, "SET_BLOCK": 4, "SHORT": 2, "LONG": 20, "BROADCAST_ROWS": 0}.items():
+            monkeypatch.setattr(jaccard, k, v)
     rng = np.random.default_rng(8)
     more = dict(list(texts.items())[:60])
     base = [f"t{i}" for i in range(60)]
@@ -320,12 +326,37 @@ def test_join_against_brute_force(spark, texts, left, monkeypatch):
         more[1000 + k] = " ".join(w)
     df = spark.createDataFrame(list(more.items()), "doc_id bigint, text string")
     sets, comp, pairs = brute(more)
-    found, classes = jaccard.grouped(df)
-    got = {r["doc_id"]: (r["n"], r["component"]) for r in found.join(classes, "key", "left").collect()}
-    assert got == {i: (len(s), comp[i] if s else None) for i, s in sets.items()}
-    links = jaccard.links(df, found, classes.select("key", "uid", "low"))
-    key = {r["uid"]: r["low"] for r in classes.collect()}
-    assert {tuple(sorted((key[r["a"]], key[r["b"]]))) for r in links.collect()} == {(a, b) for a, b in pairs if a in key.values() and b in key.values() and sets[a] != sets[b]}
+    n = Counter(i for p in pairs for i in p)
+    got = found_by(jaccard.Join(df))
+    assert got == {i: (len(s), comp[i] if s else None, n[i] if s else None) for i, s in sets.items()}
+
+
+def test_sketch_never_counts_too_little(spark, texts):
+    df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    levels, memo, seen = jaccard.sketch(jaccard._hashed(df), bits=16), jaccard._Words(), Counter()
+    for t in texts.values():
+        seen.update((jaccard.grams((t or "").encode(), memo) & np.uint64(0xFFFF)).tolist())
+    want = np.zeros(1 << 16, np.int64)
+    want[list(seen)] = list(seen.values())
+    assert (levels == jaccard._levels(want)).all() and (jaccard._levels(np.arange(129)) == np.arange(129)).all()
+
+
+def test_overlaps():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(1, 50)).astype(np.uint64)) for _ in range(12)]
+    want = [[len(np.intersect1d(a, b)) for b in sets] for a in sets]
+    got = jaccard.overlaps(sets, width=7)
+    assert all(got[a][b] == want[a][b] for a in range(12) for b in range(12) if a != b)
+
+
+def test_long_sets_meet_in_fine_cells(spark):
+    rng = np.random.default_rng(4)
+    w = [f"v{i}" for i in rng.integers(0, 10**6, 5000)]
+    other = [f"v{i}" for i in rng.integers(0, 10**6, 5000)]
+    near = [x if i % 300 else f"new{i}" for i, x in enumerate(w)]
+    rows = [(0, " ".join(w)), (1, " ".join(near)), (2, " ".join(w[:200] + other)), (3, None)]
+    got = found_by(jaccard.Join(spark.createDataFrame(rows, "doc_id bigint, text string")))
+    assert [got[k][1:] for k in range(4)] == [(0, 1), (0, 1), (2, 0), (None, None)]
 
 
 def test_link_counts_against_brute_force(spark, tmp_path):
@@ -351,19 +382,15 @@ def test_join_of_other_shingles(spark):
         texts[k] = " ".join(w)
     sets = {k: {tuple(t.split()[i : i + n]) for i in range(100 - n + 1)} for k, t in texts.items()}
     df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
-    found, classes = jaccard.grouped(df, n, percent)
-    low = {r["uid"]: r["low"] for r in classes.collect()}
-    want = {(a, b) for a in low.values() for b in low.values() if a < b and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])}
-    assert {tuple(sorted((low[r["a"]], low[r["b"]]))) for r in jaccard.links(df, found, classes, n, percent).collect()} == want
-    assert {r["doc_id"]: r["n"] for r in found.collect()} == {k: len(s) for k, s in sets.items()}
+    links = Counter(a for a in texts for b in texts if a != b and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]))
+    assert {k: (v[0], v[2]) for k, v in found_by(jaccard.Join(df, n, percent)).items()} == {k: (len(sets[k]), links[k]) for k in texts}
 
 
 def test_join_odd_rows(odd, none):
-    sets, classes = jaccard.grouped(odd)
-    assert sets.count() == len(ROWS)
+    assert jaccard.Join(odd).sets.count() == len(ROWS)
     kept = jaccard.keep_first(odd)
     assert kept.columns == odd.columns and kept.count() == len(ROWS) - 1
-    assert jaccard.keep_first(none).count() == 0
+    assert jaccard.keep_first(none).count() == 0 and jaccard.joined(none).count() == 0
 
 
 # -- 9 files -------------------------------------------------------------------------------------

@@ -5,6 +5,11 @@ from tests.llm.conftest import SF
 from vistaset.llm import jaccard, pii, quality
 
 
+def groups(df):
+    j = jaccard.Join(df, corpus_pipeline.SHINGLE_WORDS, corpus_pipeline.SHINGLE_PERCENT)
+    return j.reached().select("component").distinct().count() + j.sets.where("n = 0").count()
+
+
 def test_stages(spark, docs):
     d, seen = docs, []
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
@@ -18,8 +23,7 @@ def test_stages(spark, docs):
     stats = quality.statistics_table(docs)
     model = quality.train(stats, spark.read.parquet(f"{SF}/labels.parquet"))
     assert good.count() == quality.score_statistics(stats, model).where("predicted = 1").count()
-    sets, classes = jaccard.grouped(good)
-    assert single.count() == classes.select("component").distinct().count() + sets.where("n = 0").count()
+    assert single.count() == groups(good)
     assert masked.count() == single.count()
     assert not [t for (t,) in masked.select("text").collect() if pii.base_spans(t)]
     assert encoded.select("doc_id", F.col("decoded").alias("text")).exceptAll(mixed.select("doc_id", "text")).count() == 0
@@ -41,6 +45,5 @@ def test_near_copies_of_scattered_edits_go(spark):
 
 def test_near_copy_stage_keeps_one_of_each_group(spark, docs):
     single = corpus_pipeline.drop_near_copies(spark, docs, SF)
-    sets, classes = jaccard.grouped(docs, corpus_pipeline.SHINGLE_WORDS, corpus_pipeline.SHINGLE_PERCENT)
-    assert single.count() == classes.select("component").distinct().count() + sets.where("n = 0").count()
+    assert single.count() == groups(docs)
     assert single.exceptAll(docs).count() == 0

@@ -7,12 +7,14 @@ import shutil
 import tempfile
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import new_path, shared_dir, written
 
-__all__ = ["WORD", "crc_mod", "new_path", "own_columns", "shared_dir", "ship", "table", "written"]
+__all__ = ["WORD", "crc_mod", "new_path", "own_columns", "shared_dir", "ship", "table", "whole_groups", "written"]
 
 #: Whitespace of the word rules: the ASCII space and tab to carriage return.
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -29,7 +31,28 @@ def crc_mod(doc_id: Column, n: int) -> Column:
 
 def own_columns(df: DataFrame, *names: str) -> DataFrame:
     """Only the columns an operator reads; extra columns, whatever their names, stay out."""
-    return df.select(*[F.col(f"`{n}`") for n in names])
+    at = [df.columns.index(n) for n in names]
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns)))).select(*[F.col(f"c{i}").alias(n) for i, n in zip(at, names, strict=True)])
+
+
+def whole_groups(batches, *keys: str):
+    """Tables of a partition that is sorted by ``keys``: no group of equal keys is cut."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        if held and any(held[-1].column(k)[-1] != b.column(k)[0] for k in keys):
+            yield pa.Table.from_batches(held).combine_chunks()
+            held = []
+        cols = [b.column(k).to_numpy() for k in keys]
+        new = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in cols]))
+        cut = int(new[-1]) + 1 if len(new) else 0
+        if cut:
+            yield pa.Table.from_batches([*held, b.slice(0, cut)]).combine_chunks()
+            held = []
+        held.append(b.slice(cut))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
 
 
 def ship(spark: SparkSession) -> None:

@@ -2,21 +2,22 @@
 
 A document's set is its distinct word n-grams as 64-bit hashes. The length of grams (``n``) and the least
 similarity (``percent``) are parameters; N and PERCENT are those of op8. Equal sets collapse first into one
-class. Grams are ordered rare first: a list of the frequent ones, gathered from every task's local
-counts and bounded in size, comes last in order of frequency; all others come first by hash. Two sets
-of similarity t share a gram within their prefixes, so only prefix grams are joined, under the
-length filter, the positional filter and a suffix filter (grams counted in CELLS hash ranges bound the
-overlap). Each remaining pair is verified once, on exact sets made from the texts again.
-
-``links`` returns every linked pair of classes; ``joined``, which op8 runs, counts them per document and
-derives components from them. ``groups``, for those who need components only, returns components and tests fewer pairs:
-in each round every posting list pairs its members with a few drawn ones, at first by hash and then
-those that linked most often; linked pairs merge, and pairs within a component need no test any more; what is left between components is then tested
-in full, so the result is exact. Large groups of near copies thus cost a few pairs per document.
+class. Grams are ordered rare first by a count sketch of the whole corpus (SKETCH_BITS cells, summed over
+all tasks), ties by hash: one fixed order for all sets, so two sets of similarity t share a gram within their
+prefixes whatever the sketch says; a better sketch only makes the lists shorter. A gram whose cell counts one
+document is in no other set and gives no posting.
+
+Prefix grams are joined under the length filter, the positional filter and a suffix filter (grams counted in
+hash ranges bound the overlap). Lists longer than LIST_BLOCK are dealt into blocks, and each pair of blocks is
+a group of its own, so no task holds a whole hot list. What passes is reduced to candidate components, by
+edges that span them: every link lies within one. There each pair is verified once, on exact sets made from
+the texts again: a component's sets are dealt into blocks of bounded size, a task intersects all sets of two
+blocks at once (products of incidence matrices), and gives one row per set: the documents it links with, and
+an edge that spans the links. Pairs are never written, so moved data grow with the members, not their square.
 
 Defined results: null texts and texts without words have the empty set, are linked with nothing and
-are components of their own; rows with equal ids are rows of their own; an empty table gives an empty
-result.
+are components of their own; rows with equal ids are rows of their own; very long texts are read whole; extra
+columns are carried, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,20 +27,27 @@ import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
-from .common import own_columns, table, written
-
-N, PERCENT, CELLS = 3, 90, 64
-#: Frequent grams listed at most; a task lists grams in at least one of so many of its documents.
-LISTED, LOCAL_SHARE = 400_000, 2000
-#: Ids broadcast at most; members drawn from a list per round; rounds of drawn pairs at most; pairs left
-#: for the full test, per member of a posting list.
-BROADCAST_IDS, DRAWN, ROUNDS, LEFT = 1_000_000, 4, 6, 2
-#: Word hashes and grams of sets that a worker keeps for reuse, at most.
-MEMO, KEPT_GRAMS = 100_000, 1_000_000
+from .common import own_columns, table, whole_groups, written
+
+N, PERCENT = 3, 90
+#: Cells of the count sketch (one byte each, broadcast) as a power of two, and the ranges that are summed apart.
+SKETCH_BITS, SKETCH_RANGES = 26, 64
+#: Grams that a task gathers before it reports their cells.
+SKETCH_BATCH = 4_000_000
+#: Hash ranges of the suffix filter: of every set, and of those with more than LONG grams.
+CELLS, FINE, LONG = 64, 1024, 2048
+#: Members of a block of a posting list; sets, and grams about, of a block of a component.
+LIST_BLOCK, SET_BLOCK, GRAM_BLOCK = 512, 512, 2_000_000
+#: Lists up to this length are compared many at once.
+SHORT = 16
+#: Rows broadcast at most; larger lists are joined by shuffle.
+BROADCAST_ROWS = 200_000
+#: Word hashes that a worker keeps for reuse, at most.
+MEMO = 100_000
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -72,239 +80,279 @@ def grams(text: bytes | None, memo: dict, n: int = N) -> np.ndarray:
     return np.unique(out)
 
 
-def least_overlap(a: int, b: int, percent: int = PERCENT) -> int:
-    """The smallest overlap with which sets of these sizes link."""
-    return -(-percent * (a + b) // (100 + percent))
+def _hashed(docs: DataFrame) -> DataFrame:
+    """doc_id, text as bytes, and a hash of the text that tells rows of one id apart."""
+    own = own_columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
+    return own.withColumn("mark", F.xxhash64("text"))
 
 
-def _frequent(batches, n: int):
-    memo = _Words()
-    sets = [grams(t.as_py(), memo, n) for b in batches for t in b.column("text")]
-    if sets:
-        least = max(2, -(-len(sets) // LOCAL_SHARE))
-        g = np.concatenate(sets)
-        del sets
-        g.sort()
-        # a gram's run begins where it is new and reaches ``least`` places further
-        first = np.flatnonzero(g[least - 1 :] == g[: max(0, len(g) - least + 1)])
-        first = first[(first == 0) | (g[first - 1] != g[first])]
-        found = g[first]
-        yield pa.RecordBatch.from_pydict({"gram": found.view(np.int64), "n": np.searchsorted(g, found, "right") - first})
+# -- the order of grams ----------------------------------------------------------------------------
 
 
-def prefixes(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
-    """uid, doc_id, n (set size), key (the set's 128-bit hash), prefix grams in order, cells."""
-    spark = docs.sparkSession
-    own = own_columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
-    found = own.select("text").mapInArrow(lambda batches: _frequent(batches, n), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    top = found.orderBy(F.desc("n"), "gram").limit(LISTED).toPandas()
-    g = top["gram"].to_numpy(np.int64).view(np.uint64)
-    by = np.argsort(g)
-    sent = spark.sparkContext.broadcast((g[by], top["n"].to_numpy(np.int64)[by]))
+def _levels(count: np.ndarray) -> np.ndarray:
+    """Counts in one byte: exact to 128, then eight steps to each doubling."""
+    high = 128 + np.floor(8 * np.log2(np.maximum(count, 128) / 128))
+    return np.where(count <= 128, count, np.minimum(high, 255)).astype(np.uint8)
+
+
+def _reported(batches, n: int, bits: int):
+    """The sketch cells of a task's grams: sorted, as differences within each range, low bytes first."""
+    memo, z, held, size, wide = _Words(), zstandard.ZstdCompressor(level=1), [], 0, bits - SKETCH_RANGES.bit_length() + 1
+
+    def out():
+        c = np.sort(np.concatenate(held))
+        cut = np.searchsorted(c, np.arange(SKETCH_RANGES + 1, dtype=np.int64) << wide)
+        at = [r for r in range(SKETCH_RANGES) if cut[r] < cut[r + 1]]
+        rows = [np.diff(c[cut[r] : cut[r + 1]], prepend=np.uint32(r << wide)).astype("<u4") for r in at]
+        data = [z.compress(d.view(np.uint8).reshape(-1, 4).T.tobytes()) for d in rows]
+        return pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(data, pa.binary())], ["range", "cells"])
+
+    for b in batches:
+        for t in b.column("text"):
+            held.append((grams(t.as_py(), memo, n) & np.uint64((1 << bits) - 1)).astype(np.uint32))
+            size += len(held[-1])
+            if size >= SKETCH_BATCH:
+                yield out()
+                held, size = [], 0
+    if size:
+        yield out()
+
+
+def _summed(batches, bits: int):
+    z, u, wide = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor(), bits - SKETCH_RANGES.bit_length() + 1
+    counts: dict[int, np.ndarray] = {}
+    for b in batches:
+        for r, x in zip(b.column("range").to_pylist(), b.column("cells"), strict=True):
+            planes = np.frombuffer(u.decompress(x.as_py()), np.uint8).reshape(4, -1)
+            at = np.cumsum(np.ascontiguousarray(planes.T).view("<u4")[:, 0].astype(np.int64))
+            if r not in counts:
+                counts[r] = np.zeros(1 << wide, np.int64)
+            counts[r] += np.bincount(at, minlength=1 << wide)
+    for r, c in counts.items():
+        yield pa.RecordBatch.from_pydict({"range": pa.array([r], pa.int32()), "cells": pa.array([z.compress(_levels(c).tobytes())], pa.binary())})
+
+
+def sketch(hashed: DataFrame, n: int = N, bits: int = SKETCH_BITS) -> np.ndarray:
+    """For each cell the documents that hold a gram of it, in levels; its size is fixed by ``bits``."""
+    told = hashed.select("text").mapInArrow(lambda batches: _reported(batches, n, bits), "range int, cells binary")
+    done = told.repartition(SKETCH_RANGES, "range").mapInArrow(lambda batches: _summed(batches, bits), "range int, cells binary")
+    out, wide, u = np.zeros(1 << bits, np.uint8), bits - SKETCH_RANGES.bit_length() + 1, zstandard.ZstdDecompressor()
+    for r in done.collect():
+        out[r["range"] << wide : (r["range"] + 1) << wide] = np.frombuffer(u.decompress(bytes(r["cells"])), np.uint8)
+    return out
+
+
+def prefixes(docs: DataFrame, n: int = N, percent: int = PERCENT, bits: int = SKETCH_BITS) -> DataFrame:
+    """uid, doc_id, mark, n (set size), key (the set's 128-bit hash), prefix grams that may be shared, their places in the order, cells, fine cells."""
+    hashed = _hashed(docs)
+    sent = docs.sparkSession.sparkContext.broadcast(sketch(hashed, n, bits))
 
     def done(batches):
-        listed, count = sent.value
-        memo, part, at = _Words(), TaskContext.get().partitionId(), 0
+        level, memo, part, at = sent.value, _Words(), TaskContext.get().partitionId(), 0
         for b in batches:
-            sizes, keys, firsts, cells = [], [], [], []
+            sizes, keys, firsts, places, cells, fine = [], [], [], [], [], []
             for t in b.column("text"):
                 s = grams(t.as_py(), memo, n)
                 size = len(s)
                 sizes.append(size)
                 keys.append(xxhash.xxh3_128_digest(s.tobytes()) if size else None)
                 # capped counts differ by no more than the true ones
-                cells.append(np.minimum(np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=CELLS), 127).astype(np.int8))
-                weight = np.zeros(size, np.int64)
-                if len(listed):
-                    i = np.minimum(np.searchsorted(listed, s), len(listed) - 1)
-                    weight = np.where(listed[i] == s, count[i], 0)
+                cells.append(np.minimum(np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=CELLS), 255).astype(np.uint8).tobytes())
+                fine.append(np.minimum(np.bincount((s >> np.uint64(54)).astype(np.int64), minlength=FINE), 255).astype(np.uint8).tobytes() if size > LONG else None)
+                weight = level[(s & np.uint64((1 << bits) - 1)).astype(np.int64)]
                 p = size - -(-percent * size // 100) + 1 if size else 0
-                firsts.append(s[np.lexsort((s, weight))[:p]].view(np.int64))
+                order = np.argsort(weight, kind="stable")[:p]  # the set is sorted: ties go by hash
+                place = np.flatnonzero(weight[order] > 1)
+                firsts.append(s[order[place]].view(np.int64))
+                places.append(place)
             uid = pa.array(range((part << 40) + at, (part << 40) + at + len(sizes)), pa.int64())
             at += len(sizes)
             yield pa.RecordBatch.from_arrays(
-                [uid, b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(firsts, pa.list_(pa.int64())), pa.array(cells, pa.list_(pa.int8()))],
-                ["uid", "doc_id", "n", "key", "prefix", "cells"],
+                [uid, b.column("doc_id"), b.column("mark"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(firsts, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int64())), pa.array(cells, pa.binary()), pa.array(fine, pa.binary())],
+                ["uid", "doc_id", "mark", "n", "key", "prefix", "pos", "cells", "fine"],
             )
 
-    return own.mapInArrow(done, "uid long, doc_id long, n long, key binary, prefix array<long>, cells array<tinyint>")
+    out = written(hashed.mapInArrow(done, "uid long, doc_id long, mark long, n long, key binary, prefix array<long>, pos array<long>, cells binary, fine binary"), "sets")
+    sent.unpersist()
+    return out
 
 
 def classes(sets: DataFrame) -> DataFrame:
-    """One row per distinct set: key, uid of a member, smallest doc_id, number of its documents."""
-    return sets.where("n > 0").groupBy("key").agg(F.min("uid").alias("uid"), F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("copies"))
-
+    """One row per distinct set: key, uid of a member, its size, number of its documents, and of the row of the smallest doc_id: low, mark."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("first")
+    per = sets.where("n > 0").groupBy("key").agg(F.min("uid").alias("uid"), F.first("n").alias("n"), F.count(F.lit(1)).alias("copies"), first)
+    return per.select("key", "uid", "n", "copies", F.col("first.doc_id").alias("low"), F.col("first.mark").alias("mark"))
 
-def postings(sets: DataFrame, distinct: DataFrame) -> DataFrame:
-    """gram, uid, n, pos of the classes' prefixes, for grams that two classes share."""
-    own = sets.select("uid", "n", "prefix").join(distinct.select("uid"), "uid", "left_semi")
-    # dealt once: counting and joining both find the grams in place
-    flat = own.select("uid", "n", F.posexplode("prefix").alias("pos", "gram")).repartition("gram")
-    shared = flat.groupBy("gram").agg(F.count(F.lit(1)).alias("g")).where("g > 1").select("gram")
-    return flat.join(shared, "gram").select("gram", "uid", "n", "pos")
-
-
-def _passes(a: str, b: str, percent: int):
-    """Length and positional filters of two postings of one gram."""
-    na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
-    need = F.ceil(percent * (na + nb) / (100 + percent))
-    rest = F.least(na - F.col(f"{a}.pos"), nb - F.col(f"{b}.pos"))
-    return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (rest >= need)
-
-
-def _texts(docs: DataFrame, sets: DataFrame, uids: DataFrame, n: int) -> DataFrame:
-    """uid and packed text of the classes in ``uids``; texts come from ``docs`` by id and set key."""
-    need = written(sets.join(uids, "uid", "left_semi").select("uid", "key", "doc_id"), "need")
-    needed = need.count()
-    ids = need.select("doc_id").distinct()
-    own = own_columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
-    # the list is broadcast only while its counted size is small
-    picked = own.join(F.broadcast(ids) if needed <= BROADCAST_IDS else ids, own["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
-
-    def packed(batches):
-        memo, z = _Words(), zstandard.ZstdCompressor(level=1)
-        for b in batches:
-            key, texts = [], []
-            for t in b.column("text"):
-                x = t.as_py()
-                key.append(xxhash.xxh3_128_digest(grams(x, memo, n).tobytes()))
-                texts.append(z.compress(x or b""))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(key, pa.binary()), pa.array(texts, pa.binary())], ["doc_id", "key", "text"])
 
-    texts = picked.mapInArrow(packed, "doc_id long, key binary, text binary")
-    joined = need.alias("s").join(texts.alias("t"), F.col("s.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("s.key") == F.col("t.key")))
-    return joined.select("s.uid", "t.text").dropDuplicates(["uid"])
+# -- candidates ------------------------------------------------------------------------------------
 
 
-def _verified(batches, n: int, percent: int):
-    memo, z, kept, held = _Words(), zstandard.ZstdDecompressor(), {}, 0
+def _dealt(rows: DataFrame, blocks: Column) -> DataFrame:
+    """Each row once for every pair of blocks (i, j) that holds its own block; side: whether that is j."""
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("uid"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    return rows.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other"), "side": F.col("own") > F.col("other")}).drop("own", "other")
 
-    def get(i, t):
-        nonlocal held
-        if i not in kept:
-            if held > KEPT_GRAMS:
-                kept.clear()
-                held = 0
-            kept[i] = grams(z.decompress(t.as_py()), memo, n)
-            held += len(kept[i])
-        return kept[i]
 
-    for b in batches:
-        ok = []
-        for i, j, s, t in zip(b.column("a").to_pylist(), b.column("b").to_pylist(), b.column("ta"), b.column("tb"), strict=True):
-            x, y = get(i, s), get(j, t)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            ok.append(100 * both >= percent * (len(x) + len(y) - both))
-        yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(ok, pa.bool_())], ["a", "b", "linked"])
-
-
-def suffix_filtered(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(a, b, near) of distinct pairs: near ones may still have the overlap that a link needs."""
-    slim = sets.select("uid", "cells", "n")
-    apart = F.aggregate(F.zip_with("ca", "cb", lambda p, q: F.abs(p.cast("int") - q.cast("int"))), F.lit(0), lambda s, v: s + v)
-    cut = pairs.join(slim.select(F.col("uid").alias("a"), F.col("cells").alias("ca"), F.col("n").alias("na")), "a")
-    cut = cut.join(slim.select(F.col("uid").alias("b"), F.col("cells").alias("cb"), F.col("n").alias("nb")), "b")
-    need = F.ceil(percent * (F.col("na") + F.col("nb")) / (100 + percent))
-    return written(cut.select("a", "b", ((F.col("na") + F.col("nb") - apart) / 2 >= need).alias("near")), "pairs")
-
-
-class Verifier:
-    """Tests pairs of classes on exact sets; each class's text is fetched when a pair first needs it."""
-
-    def __init__(self, docs: DataFrame, sets: DataFrame, n: int = N, percent: int = PERCENT):
-        self.docs, self.sets, self.texts, self.n, self.percent = docs, sets, None, n, percent
-
-    def __call__(self, pairs: DataFrame) -> DataFrame:
-        """(a, b, linked) of distinct pairs."""
-        cut = suffix_filtered(pairs, self.sets, self.percent)
-        near = cut.where("near").select("a", "b")
-        need = near.select(F.col("a").alias("uid")).union(near.select("b")).distinct()
-        if self.texts is not None:
-            need = need.join(self.texts.select("uid"), "uid", "left_anti")
-        fresh = written(_texts(self.docs, self.sets, need, self.n), "texts")
-        self.texts = fresh if self.texts is None else self.texts.union(fresh)
-        x, y = (self.texts.select(F.col("uid").alias(k), F.col("text").alias(f"t{k}")) for k in "ab")
-        n, percent = self.n, self.percent
-        full = near.join(x, "a").join(y, "b").select("a", "b", "ta", "tb").mapInArrow(lambda batches: _verified(batches, n, percent), "a long, b long, linked boolean")
-        return full.union(cut.where(~F.col("near")).select("a", "b", F.lit(False).alias("linked")))
-
-
-def _ordered(x, y) -> list:
-    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
-
-
-def links(docs: DataFrame, sets: DataFrame, distinct: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
-    """Every linked pair of classes, by their uids."""
-    p = written(postings(sets, distinct), "postings")
-    pairs = p.alias("x").join(p.alias("y"), (F.col("x.gram") == F.col("y.gram")) & (F.col("x.uid") < F.col("y.uid")) & _passes("x", "y", percent))
-    return Verifier(docs, sets, n, percent)(pairs.select(*_ordered("x.uid", "y.uid")).distinct()).where("linked").select("a", "b")
-
-
-def _drawn(at: DataFrame, tested: DataFrame, turn: int) -> DataFrame:
-    """Up to DRAWN members of each posting list: those whose tests linked most often, then by hashed lots."""
-    both = tested.select(F.col("a").alias("uid"), "linked").union(tested.select("b", "linked"))
-    luck = both.groupBy("uid").agg((F.count(F.when(F.col("linked"), 1)) / (F.count(F.lit(1)) + 2)).alias("luck"))
-    rows = at.join(luck, "uid", "left").withColumn("luck", F.round(F.coalesce("luck", F.lit(0.0)), 1))
-    lots = [F.max(F.struct("luck", F.xxhash64("uid", F.lit(turn), F.lit(j)).alias("lot"), "uid", "n", "pos", "comp")).alias(f"d{j}") for j in range(DRAWN)]
-    picked = rows.groupBy("gram").agg(*lots)
-    one = [F.struct(*[F.col(f"d{j}.{c}").alias(c) for c in ("uid", "n", "pos", "comp")]) for j in range(DRAWN)]
-    return picked.select("gram", F.explode(F.array_distinct(F.array(*one))).alias("d")).select("gram", "d.*")
-
-
-def groups(docs: DataFrame, sets: DataFrame, distinct: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
-    """(id, comp) of the classes that are linked with another class."""
-    spark, verify = docs.sparkSession, Verifier(docs, sets, n, percent)
-    p = written(postings(sets, distinct), "postings")
-    size = p.count()
-    tested = spark.createDataFrame([], "a long, b long, linked boolean")
-    comp = None
-    for turn in range(ROUNDS + 1):
-        at = p.withColumn("comp", F.col("uid")) if comp is None else p.join(comp, p["uid"] == comp["id"], "left").select(p["*"], F.coalesce("comp", "uid").alias("comp"))
-        per = at.groupBy("gram", "comp").agg(F.count(F.lit(1)).alias("c"))
-        per = per.groupBy("gram").agg(F.sum("c").alias("g"), F.sum(F.col("c") * F.col("c")).alias("q")).where(F.col("q") < F.col("g") * F.col("g"))
-        per = written(per, "open")
-        left = per.agg(F.sum((F.col("g") * F.col("g") - F.col("q")) / 2)).first()[0]
-        if not left:
-            break
-        full = turn == ROUNDS or left <= LEFT * size
-        at = written(at.join(per.select("gram"), "gram", "left_semi"), "at")
-        if full:
-            pairs = at.alias("x").join(at.alias("y"), (F.col("x.gram") == F.col("y.gram")) & (F.col("x.comp") < F.col("y.comp")) & _passes("x", "y", percent))
-        else:
-            drawn = _drawn(at, tested, turn)
-            pairs = at.alias("x").join(drawn.alias("y"), (F.col("x.gram") == F.col("y.gram")) & (F.col("x.comp") != F.col("y.comp")) & _passes("x", "y", percent))
-        pairs = pairs.select(*_ordered("x.uid", "y.uid")).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        tested = tested.union(written(verify(pairs), "verified"))
-        comp = components(tested.where("linked").select("a", "b"))
-        if full:
-            break
-    return comp if comp is not None else spark.createDataFrame([], "id long, comp long")
-
-
-def _reached(distinct: DataFrame, comp: DataFrame) -> DataFrame:
-    """Per distinct set: key, uid, low, component (smallest doc_id in reach), first (one key of it)."""
-    c = distinct.join(comp, distinct["uid"] == comp["id"], "left").select("key", "uid", "low", F.coalesce("comp", "uid").alias("comp"))
-    least = c.groupBy("comp").agg(F.min(F.struct("low", "key")).alias("least"))
-    return c.join(least, "comp").select("key", "uid", "low", F.col("least.low").alias("component"), F.col("least.key").alias("first"))
-
-
-def grouped(docs: DataFrame, n: int = N, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """The sets table, and per distinct set: key, uid, low, component (smallest doc_id in reach), first (one key of it)."""
-    sets = written(prefixes(docs, n, percent), "sets")
-    distinct = written(classes(sets), "classes")
-    return sets, _reached(distinct, groups(docs, sets, distinct, n, percent))
+def postings(sets: DataFrame, distinct: DataFrame) -> DataFrame:
+    """gram, i, j, side, uid, n, pos, cells, fine of the classes' prefixes, for grams that two classes share."""
+    own = sets.join(distinct.select("uid"), "uid", "left_semi")
+    flat = own.select("uid", "n", F.explode(F.arrays_zip("prefix", "pos")).alias("p")).select("uid", "n", F.col("p.prefix").alias("gram"), F.col("p.pos").alias("pos"))
+    shared = flat.groupBy("gram").agg(F.count(F.lit(1)).alias("g")).where("g > 1")
+    dealt = _dealt(flat.join(shared, "gram"), F.ceil(F.col("g") / LIST_BLOCK)).drop("g")
+    return dealt.join(sets.select("uid", "cells", "fine"), "uid")
+
+
+def _near(a: np.ndarray, b: np.ndarray, n: np.ndarray, pos: np.ndarray, cells: np.ndarray, fine: list, percent: int) -> np.ndarray:
+    """Which pairs of places (a, b) pass the length, positional and suffix filters."""
+    na, nb = n[a], n[b]
+    need = -(-percent * (na + nb) // (100 + percent))
+    ok = (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)) & (np.minimum(na - pos[a], nb - pos[b]) >= need)
+    for at in np.array_split(np.flatnonzero(ok), 1 + ok.sum() // 100_000):
+        apart = np.abs(cells[a[at]] - cells[b[at]]).sum(1)
+        ok[at] = (na[at] + nb[at] - apart) // 2 >= need[at]
+    for p in np.flatnonzero(ok & (na > LONG) & (nb > LONG)):
+        x, y = (np.frombuffer(fine[k], np.uint8).astype(np.int64) for k in (a[p], b[p]))
+        ok[p] = (na[p] + nb[p] - np.abs(x - y).sum()) // 2 >= need[p]
+    return ok
+
+
+def spanning(a: np.ndarray, b: np.ndarray, m: int) -> np.ndarray:
+    """The smallest place that each of ``m`` places reaches over the edges (a, b)."""
+    label = np.arange(m)
+    while True:
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, label[a], low)
+        np.minimum.at(new, label[b], low)
+        new = new[new]
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new[label]
+
+
+def _candidates(batches, percent: int):
+    """Edges (a, b) that span the pairs which pass the filters, list by list."""
+    for t in whole_groups(batches, "gram", "i", "j"):
+        uid, n, pos, i, j, gram = (t.column(c).to_numpy() for c in ("uid", "n", "pos", "i", "j", "gram"))
+        side = t.column("side").to_numpy(zero_copy_only=False)
+        cells = np.frombuffer(b"".join(t.column("cells").to_pylist()), np.uint8).reshape(-1, CELLS).astype(np.int16)
+        fine = t.column("fine").to_pylist()
+        begin = np.concatenate([[0], np.flatnonzero((gram[1:] != gram[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1, [len(gram)]])
+        size = np.diff(begin)
+        ends = np.repeat(begin[1:], size)
+        short = np.repeat((size <= SHORT) & (i[begin[:-1]] == j[begin[:-1]]), size)
+        found = []
+        for d in range(1, SHORT):
+            a = np.flatnonzero(short & (np.arange(len(gram)) + d < ends))
+            if not len(a):
+                break
+            ok = _near(a, a + d, n, pos, cells, fine, percent)
+            found.append((a[ok], a[ok] + d))
+        for s, e in zip(begin[:-1], begin[1:], strict=True):
+            if e - s < 2 or short[s]:
+                continue
+            if i[s] == j[s]:
+                a, b = np.triu_indices(e - s, 1)
+            else:
+                a, b = (x.ravel() for x in np.meshgrid(np.flatnonzero(~side[s:e]), np.flatnonzero(side[s:e]), indexing="ij"))
+            ok = _near(a + s, b + s, n, pos, cells, fine, percent)
+            root = spanning(a[ok], b[ok], e - s)
+            far = np.flatnonzero(root != np.arange(e - s))
+            found.append((root[far] + s, far + s))
+        if found:
+            a, b = (uid[np.concatenate(x)] for x in zip(*found, strict=True))
+            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+
+def candidates(sets: DataFrame, distinct: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(id, comp) of the classes that may link with another one: no link leaves a component."""
+    lists = postings(sets, distinct).repartition("gram", "i", "j").sortWithinPartitions("gram", "i", "j")
+    return components(lists.mapInArrow(lambda batches: _candidates(batches, percent), "a long, b long"))
+
+
+# -- verification ----------------------------------------------------------------------------------
+
+
+def overlaps(sets: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """The sizes of all intersections, by products of incidence matrices over grams that two sets hold."""
+    m, flat = len(sets), np.concatenate(sets)
+    _, inverse, count = np.unique(flat, return_inverse=True, return_counts=True)
+    number = np.cumsum(count > 1) - 1
+    keep = count[inverse] > 1
+    col, row = number[inverse[keep]], np.repeat(np.arange(m), [len(s) for s in sets])[keep]
+    by = np.argsort(col, kind="stable")
+    col, row = col[by], row[by]
+    out = np.zeros((m, m))
+    for s in range(0, int((count > 1).sum()), width):
+        i, j = np.searchsorted(col, [s, s + width])
+        holds = np.zeros((m, width), np.float32)
+        holds[row[i:j], col[i:j] - s] = 1
+        out += holds @ holds.T
+    return out.astype(np.int64)
+
+
+def _verified(t: pa.Table, n: int, percent: int) -> pa.Table:
+    """uid, near (documents of the sets it links with), root (a set that its links reach, the same for all that they reach)."""
+    memo, uid, copies = _Words(), t.column("uid").to_numpy(), t.column("copies").to_numpy()
+    sets = [grams(x.as_py(), memo, n) for x in t.column("text")]
+    size, both = np.array([len(s) for s in sets]), overlaps(sets)
+    linked = 100 * both >= percent * (size[:, None] + size - both)
+    np.fill_diagonal(linked, False)
+    if t.column("i")[0].as_py() != t.column("j")[0].as_py():
+        side = t.column("side").to_numpy()
+        linked &= side[:, None] != side
+    root = spanning(*np.nonzero(linked), len(sets))
+    return pa.table({"uid": uid, "near": linked @ copies, "root": uid[root], "whole": t.column("whole")})
+
+
+def verified(docs: DataFrame, distinct: DataFrame, may: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
+    """(uid, near, root, whole) per block pair of each candidate component; whole: the component is one block."""
+    per = may.join(distinct, may["id"] == distinct["uid"])
+    size = per.groupBy("comp").agg(F.greatest(F.ceil(F.count(F.lit(1)) / SET_BLOCK), F.ceil(F.sum("n") / GRAM_BLOCK)).alias("blocks"))
+    need = written(per.join(size, "comp").select("comp", "blocks", "uid", "copies", "low", "mark"), "need")
+    few = F.broadcast(need) if need.count() <= BROADCAST_ROWS else need
+    d = _hashed(docs)
+    texts = d.join(few, d["doc_id"].eqNullSafe(few["low"]) & (d["mark"] == few["mark"])).select("comp", "blocks", "uid", "copies", "text")
+    dealt = _dealt(texts.dropDuplicates(["uid"]).withColumn("whole", F.col("blocks") == 1), F.col("blocks"))
+    return dealt.groupBy("comp", "i", "j").applyInArrow(lambda t: _verified(t, n, percent), "uid long, near long, root long, whole boolean")
+
+
+class Join:
+    """The join of ``docs`` with itself: sets (a row per document), classes, and what each class links with."""
+
+    def __init__(self, docs: DataFrame, n: int = N, percent: int = PERCENT):
+        self.sets = prefixes(docs, n, percent)
+        self.distinct = written(classes(self.sets), "classes")
+        found = written(verified(docs, self.distinct, candidates(self.sets, self.distinct, percent), n, percent), "links")
+        comp = found.where("whole").select(F.col("uid").alias("id"), F.col("root").alias("comp"))
+        parts = found.where("not whole and uid <> root").select(F.col("uid").alias("a"), F.col("root").alias("b"))
+        if not parts.isEmpty():
+            comp = comp.union(components(parts))
+        near = found.groupBy("uid").agg(F.sum("near").alias("near"))
+        c = self.distinct.join(near, "uid", "left").join(comp, self.distinct["uid"] == comp["id"], "left").select(self.distinct["*"], "near", F.coalesce("comp", "uid").alias("comp"))
+        self.linked = written(c, "linked")
+
+    def reached(self) -> DataFrame:
+        """Per class: key, n_links (documents it links with, copies included), component (smallest doc_id in reach), and the mark of that id's row."""
+        c = self.linked
+        first = F.min(F.struct(F.col("low").isNull().alias("none"), "low", "mark", "key")).alias("first")
+        some = c.where("near > 0")
+        least = some.groupBy("comp").agg(first).select(F.col("comp").alias("of"), "first")
+        found = c.join(least, (c["comp"] == least["of"]) & (c["near"] > 0), "left")
+        return found.select(
+            "key", (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("n_links"), F.when(F.col("first").isNull(), F.col("low")).otherwise(F.col("first.low")).alias("component"),
+            F.when(F.col("first").isNull(), F.col("mark")).otherwise(F.col("first.mark")).alias("first_mark"),
+            (F.col("first").isNull() | (F.col("first.key") == F.col("key"))).alias("leads"),
+        )
 
 
 def joined(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, n_links (documents linked with this one, its copies included)."""
-    sets = written(prefixes(docs, n, percent), "sets")
-    distinct = written(classes(sets), "classes")
-    found = written(links(docs, sets, distinct, n, percent), "links")
-    ends = found.union(found.select("b", "a"))
-    near = ends.join(distinct.select(F.col("uid").alias("b"), "copies"), "b").groupBy("a").agg(F.sum("copies").alias("near"))
-    count = distinct.join(near, distinct["uid"] == near["a"], "left").select("key", (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("n_links"))
-    per = _reached(distinct, components(found)).select("key", "component").join(count, "key")
-    return sets.select("doc_id", "n", "key").join(per, "key", "left").select(
+    j = Join(docs, n, percent)
+    per = j.reached().select("key", "component", "n_links")
+    return j.sets.select("doc_id", "n", "key").join(per, "key", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
     )
 
@@ -315,23 +363,14 @@ def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_first(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     """One row of ``docs`` per component: of its smallest doc_id; rows with the empty set all stay."""
-    sets, found = grouped(docs, n, percent)
-    keep = written(found.where("key = first").select(F.col("component").alias("kept_id"), F.col("key").alias("kept_key")), "kept")
-    repeated = not sets.where("n > 0").groupBy("doc_id", "key").count().where("count > 1").isEmpty()
-
-    def keyed(batches):
-        memo = _Words()
-        for b in batches:
-            key = []
-            for t in b.column("_vs_bytes"):
-                g = grams(t.as_py(), memo, n)
-                key.append(xxhash.xxh3_128_digest(g.tobytes()) if len(g) else None)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(key, pa.binary())], [*b.schema.names[:-1], "_vs_key"])
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", _vs_key binary"
-    d = docs.withColumn("_vs_bytes", F.col("text").cast("binary")).mapInArrow(keyed, schema)
-    small = F.broadcast(keep) if keep.count() <= BROADCAST_IDS else keep
-    full = d.where("_vs_key is not null").join(small, d["doc_id"].cast("long").eqNullSafe(small["kept_id"]) & (d["_vs_key"] == small["kept_key"])).select(d["*"])
+    j = Join(docs, n, percent)
+    keep = written(j.reached().where("leads").select(F.col("component").alias("kept_id"), F.col("first_mark").alias("kept_mark")), "kept")
+    repeated = not j.sets.where("n > 0").groupBy("doc_id", "mark").count().where("count > 1").isEmpty()
+    names, at = docs.columns, {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    d = docs.toDF(*at.values())
+    text = F.col(at["text"]).cast("binary")
+    d = d.withColumns({"kept_id": F.col(at["doc_id"]).cast("long"), "kept_mark": F.xxhash64(text), "words": F.coalesce(F.col(at["text"]).rlike("[^\\x20\\x09-\\x0D]"), F.lit(False))})
+    full = d.where("words").alias("d").join(keep.alias("k"), F.col("d.kept_id").eqNullSafe(F.col("k.kept_id")) & (F.col("d.kept_mark") == F.col("k.kept_mark")), "left_semi")
     if repeated:
-        full = full.dropDuplicates(["doc_id", "_vs_key"])
-    return full.union(d.where("_vs_key is null")).select(*[F.col(f"`{c}`") for c in docs.columns])
+        full = full.dropDuplicates(["kept_id", "kept_mark"])
+    return full.union(d.where("not words")).select(*at.values()).toDF(*names)
