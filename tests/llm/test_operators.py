@@ -414,6 +414,17 @@ def test_files_round_trip(spark, docs, texts, odd, none):
     assert framed.read_files(framed.write_files(none, new_path(spark, "ids"), WORD)).count() == 0
 
 
+def test_word_ids_match_the_tokenizer(monkeypatch):
+    t, rng = Tokenizer.from_file(WORD), np.random.default_rng(9)
+    monkeypatch.setattr(framed, "MEMO_WORDS", 500)  # memos change over and over
+    parts = [*"abXY'sd!?.,019<|>_-éßÿÆ×÷日ﬁ\x00\x01\x7f", "'ll", "</w>", "<|endoftext|>", "<unk>"]
+    w = framed.WordIds(WORD)
+    for _ in range(20):
+        words = {x for _ in range(200) for x in "".join(rng.choice(parts, rng.integers(1, 9))).encode().split()}
+        got = w.learned(words)
+        assert all(np.frombuffer(got[x], "<u4").tolist() == t.encode(x.decode(), add_special_tokens=False).ids for x in words)
+
+
 def test_damaged_frame_is_found(tmp_path):
     import io
 

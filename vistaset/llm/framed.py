@@ -10,7 +10,7 @@ Files are written by tasks through ``pyarrow.fs`` (local, HDFS, S3, GCS URIs) to
 attempt and then moved, so a repeated task leaves one whole file. Documents are range-partitioned by
 ascending doc_id. Defined results: null text is empty text (its document holds the end id alone);
 null ids come first and are written as the smallest int64; rows with equal ids are ordered by text;
-an empty table gives no files and an empty result.
+very long texts are one frame each, like any other; extra columns, whatever their names, take no part; an empty table gives no files and an empty result.
 """
 
 from __future__ import annotations
@@ -34,20 +34,22 @@ from .common import new_path, own_columns, table, written
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 END_ID = 1
 NULL_ID = -(2**63)
-#: Words kept per Python worker between tasks; beyond it the memo starts anew.
-MEMO_WORDS = 300_000
+#: Words of the younger of a Python worker's two memos; beyond it the younger becomes the older.
+MEMO_WORDS = 150_000
+#: Bytes of text whose words are looked up together, about.
+RUN_BYTES = 1 << 20
 
 _SAFE = re.compile("[!-~À-ÖØ-öø-ÿ]+")
-_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|\x01|[^a-zß-öø-ÿ0-9\x01]+")
 
 
-class WordIds(dict):
-    """Memo from a blank-separated word to its ids as bytes.
+class WordIds:
+    """Ids (as bytes) of blank-separated words, those of recent words kept.
 
     The tokenizer never merges across ASCII blanks, so words can be encoded alone. Words of plain
     Latin letters and ASCII signs go through a byte-pair table built from the tokenizer's own
-    vocabulary, in which the byte 0xFF (never part of UTF-8) stands for the end of a word; all other
-    words go through the tokenizer itself.
+    vocabulary, many in one call: in it the byte 0 stands for the end of a piece and the byte 1 parts
+    words (such words hold neither). All other words go through the tokenizer itself.
     """
 
     def __init__(self, path: str):
@@ -60,31 +62,51 @@ class WordIds(dict):
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         of = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
         special = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
-        self.special = [s.encode() for s in special]
+        self.special = re.compile("|".join(map(re.escape, special)) or "(?!)")
         ranks = {}
         for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
             if token in special:
                 continue
-            body, end = (token[:-4], b"\xff") if token.endswith("</w>") and token != "</w>" else (token, b"")
-            ranks[bytes(of[c] for c in body) + end] = i
-        self.table = tiktoken.Encoding("words", pat_str="(?s).", mergeable_ranks=ranks, special_tokens={})
-
-    def __missing__(self, word: bytes) -> bytes:
-        text = word.decode("utf-8", "replace")
-        if _SAFE.fullmatch(text) and not any(s in word for s in self.special):
-            ids = [i for p in _PIECES.findall(text.lower()) for i in self.table._encode_single_piece(p.encode() + b"\xff")]
-        else:
-            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        found = self[word] = np.array(ids, "<u4").tobytes()
-        return found
+            body, end = (token[:-4], b"\0") if token.endswith("</w>") and token != "</w>" else (token, b"")
+            body = bytes(of[c] for c in body)
+            if len(body) == 1 or b"\0" not in body:
+                ranks[body + end] = i
+        self.table = tiktoken.Encoding("words", pat_str="[^\\x00]+\\x00", mergeable_ranks=ranks, special_tokens={})
+        self.gap = self.table.encode_ordinary("\1\0")
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def learned(self, words: set[bytes]) -> dict[bytes, bytes]:
+        """The ids of all ``words``, beside others."""
+        if len(self.young) > MEMO_WORDS:
+            self.young, self.old = {}, self.young
+        new = words - self.young.keys()
+        for w in new & self.old.keys():
+            self.young[w] = self.old[w]
+            new.discard(w)
+        known, texts = [], []
+        for w in new:
+            t = w.decode("utf-8", "replace")
+            if _SAFE.fullmatch(t) and not self.special.search(t):
+                known.append(w)
+                texts.append(t)
+            else:
+                self.young[w] = np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+        if known:
+            ids = np.array(self.table.encode_ordinary(_PIECES.sub("\\g<0>\0", "\1".join(texts).lower())), "<u4")
+            at = np.flatnonzero(ids == self.gap[0])
+            data, step = ids.tobytes(), 4 * len(self.gap)
+            ends = [*(4 * at).tolist(), len(data)]
+            for w, s, e in zip(known, [0, *(4 * at + step).tolist()], ends, strict=True):
+                self.young[w] = data[s:e]
+        return self.young
 
 
 _MEMO: dict[str, WordIds] = {}
 
 
 def encoder(path: str) -> WordIds:
-    if path not in _MEMO or len(_MEMO[path]) > MEMO_WORDS:
-        _MEMO.pop(path, None)
+    if path not in _MEMO:
         _MEMO[path] = WordIds(path)
     return _MEMO[path]
 
@@ -162,6 +184,21 @@ def open_reader(uri: str) -> FrameReader:
     return FrameReader(where.open_input_file(path))
 
 
+def _runs(batches):
+    """(doc_ids, texts) of consecutive rows, of about RUN_BYTES."""
+    ids, texts, size = [], [], 0
+    for b in batches:
+        for i, t in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
+            ids.append(i)
+            texts.append(t.as_py())
+            size += len(texts[-1] or b"")
+            if size >= RUN_BYTES:
+                yield ids, texts
+                ids, texts, size = [], [], 0
+    if ids:
+        yield ids, texts
+
+
 def write_files(docs: DataFrame, folder: str, tokenizer: str) -> DataFrame:
     """Encode ``docs`` into files under ``folder``; returns the manifest (file, part, n_docs, n_ids)."""
 
@@ -171,16 +208,15 @@ def write_files(docs: DataFrame, folder: str, tokenizer: str) -> DataFrame:
         part, writer, stream = TaskContext.get().partitionId(), None, None
         name = f"{root}/ids-{part:06d}.tzst"
         own = f"{name}.{uuid.uuid4().hex}"
-        for b in batches:
-            for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                if writer is None:
-                    where.create_dir(root, recursive=True)
-                    stream = where.open_output_stream(own)
-                    writer = FrameWriter(stream)
-                ids = b"".join(map(words.__getitem__, (t or b"").split())) + end
-                writer.add(NULL_ID if i is None else i, ids)
-            if len(words) > MEMO_WORDS:
-                words.clear()
+        for ids, texts in _runs(batches):
+            if writer is None:
+                where.create_dir(root, recursive=True)
+                stream = where.open_output_stream(own)
+                writer = FrameWriter(stream)
+            split = [(t or b"").split() for t in texts]
+            get = words.learned(set().union(*split)).__getitem__
+            for i, w in zip(ids, split, strict=True):
+                writer.add(NULL_ID if i is None else i, b"".join(map(get, w)) + end)
         if writer is not None:
             writer.finish()
             stream.close()
