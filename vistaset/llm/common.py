@@ -55,8 +55,15 @@ def whole_groups(batches, *keys: str):
         yield pa.Table.from_batches(held).combine_chunks()
 
 
+#: Bytes of an Arrow batch sent to a Python worker, where the session leaves Spark's default of 64 MiB.
+BATCH_BYTES = 16 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def ship(spark: SparkSession) -> None:
-    """Make this package importable in Python workers that do not have it on their path."""
+    """Make this package importable in Python workers that do not have it on their path, and bound their batches by bytes."""
+    if spark.conf.get(_BATCH_SETTING, "64m") in ("64m", "64MB", f"{64 << 20}", f"{64 << 20}b"):
+        spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
     package = Path(__file__).resolve().parents[1]
     root = package.parent
     known = [Path(p or ".").resolve() for p in [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]]

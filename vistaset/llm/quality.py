@@ -8,8 +8,9 @@ Mahalanobis log-densities with the inverse Cholesky factors computed once.
 
 Defined results: null and empty texts have all-zero counts and are scored like any other; repeated
 ids are scored row by row; a doc_id with several labels counts once per label row; null labels are
-ignored; with one class only, or none, every score is that class's prior (0.5 without labels); an
-empty table gives an empty result.
+ignored; with one class only, or none, every score is that class's prior (0.5 without labels); very
+long texts are read whole; equal scores are kept or rejected alike; extra columns are carried, whatever
+their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -117,7 +118,7 @@ class Discriminant:
 def _vectors(batches):
     schema = pa.schema([("doc_id", pa.int64()), ("x", pa.list_(pa.float64()))])
     for b in batches:
-        x = [statistics(t) for t in b.column("text").to_pylist()]
+        x = [statistics(t.as_py()) for t in b.column("text")]
         yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(x, pa.list_(pa.float64()))], schema=schema)
 
 
@@ -167,14 +168,16 @@ def score_statistics(stats: DataFrame, model: Discriminant, threshold: float = 0
 
 def keep_good(docs: DataFrame, model: Discriminant, threshold: float = 0.3) -> DataFrame:
     """The rows of ``docs``, with all their columns, whose score reaches ``threshold``."""
+    names, at = docs.columns, docs.columns.index("text")
+    d = docs.toDF(*(f"c{i}" for i in range(len(names))))
 
     def kept(batches):
         for b in batches:
-            t = b.column("_vs_bytes").to_pylist()
-            good = model.score(np.array([statistics(x) for x in t]).reshape(-1, len(FEATURES))) >= threshold
-            yield b.filter(pa.array(good)).select(b.schema.names[:-1])
+            # the text travels once; each is looked at alone
+            x = [statistics(t.as_py()) for t in b.column(at).cast(pa.binary())]
+            yield b.filter(pa.array(model.score(np.array(x).reshape(-1, len(FEATURES))) >= threshold))
 
-    return docs.withColumn("_vs_bytes", F.col("text").cast("binary")).mapInArrow(kept, docs.schema)
+    return d.mapInArrow(kept, d.schema).toDF(*names)
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
