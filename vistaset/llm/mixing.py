@@ -11,7 +11,8 @@ of a cell, over the sources, or over a source's cells.
 
 Defined results: null text has size 0 and takes nothing; null source is a source of its own, last;
 an empty table gives an empty result; identical rows share a cell and are told apart by position;
-sources without words have target 0.
+very long texts span several blocks; equal quotients go to the first source by code point, or cell by number;
+extra columns are carried by ``taken_documents``, whatever their names; sources without words have target 0.
 """
 
 from __future__ import annotations
@@ -21,13 +22,13 @@ import functools
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, own_columns, table
+from .common import WORD, own_columns, table, written
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
 SEED = 17
-#: Rows of a source's hash shard, about; tokens of a block at most; blocks in the mix at least, if it has so many tokens.
-SHARD_ROWS, BLOCK_TOKENS, LEAST_BLOCKS = 2048, 1024, 200_000
+#: Rows of a source's hash shard, about; tokens of a block.
+SHARD_ROWS, BLOCK_TOKENS = 2048, 1024
 
 
 def size_of(text: Column) -> Column:
@@ -100,8 +101,7 @@ def mix(docs: DataFrame, n_rows: int, weights: tuple[int, ...] = WEIGHTS, most:
     cells = d.groupBy("source", "shard").agg(F.sum("size").alias("cell_size"))
     sources = cells.groupBy("source").agg(F.sum("cell_size").alias("source_size"))
     goal = targets(sources, weights, most)
-    block = F.greatest(F.lit(1), F.least(F.lit(BLOCK_TOKENS), F.floor(F.col("total") / LEAST_BLOCKS))).cast("long")
-    goal = goal.withColumn("block", block)
+    goal = goal.withColumn("block", F.lit(BLOCK_TOKENS).cast("long"))
     goal = sainte_lague(goal, "target", F.col("total"), [], ["source"], "quota")
     goal = goal.withColumn("quota", F.least(F.col("quota"), most * F.col("source_size")))
     c = cells.alias("c").join(goal.alias("g"), F.col("c.source").eqNullSafe(F.col("g.source"))).select(
@@ -119,7 +119,7 @@ def mix(docs: DataFrame, n_rows: int, weights: tuple[int, ...] = WEIGHTS, most:
     chosen = blocks.withColumn("length", length).withColumn("before", F.sum("length").over(lot.rowsBetween(Window.unboundedPreceding, 0)) - F.col("length"))
     chosen = chosen.where(F.col("before") < F.col("extra")).select("source", "shard", "at", F.least("length", F.col("extra") - F.col("before")).alias("some"))
 
-    row = Window.partitionBy("source", "shard").orderBy(F.xxhash64(F.lit(seed), "doc_id", "size"), "doc_id", "size")
+    row = Window.partitionBy("source", "shard").orderBy(F.xxhash64(F.lit(seed), "doc_id", "size"), "size", *payload)
     slim = d.withColumn("row", F.row_number().over(row))
     slim = slim.withColumn("end", F.sum("size").over(row.rowsBetween(Window.unboundedPreceding, 0)))
     slim = slim.withColumn("start", F.col("end") - F.col("size"))
@@ -145,21 +145,21 @@ def taken_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
 
     All columns of ``docs`` stay; ``text`` and ``n_chars`` follow what is taken, white space included.
     """
-    keyed = docs.withColumn("_vs_key", F.xxhash64("doc_id", "source", "text"))
-    sized = keyed.select("doc_id", "source", "_vs_key", size_of(F.col("text")).alias("size"))
-    got = mix(sized, docs.count(), weights, most, seed).where(F.col("taken") > 0)
-    got = got.groupBy("_vs_key").agg(F.count(F.lit(1)).alias("_vs_n"), F.sum("passes").cast("int").alias("_vs_passes"), F.flatten(F.collect_list(F.coalesce("parts", F.array().cast("array<struct<from:bigint,to:bigint>>")))).alias("_vs_parts"))
-    # equal rows were counted together: one of them stands for all
-    equal = not sized.groupBy("_vs_key").count().where("count > 1").isEmpty()
-    one = keyed.dropDuplicates(["_vs_key"]) if equal else keyed
-    d = one.join(got, "_vs_key")
+    names, at = docs.columns, {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    text = F.col(at["text"])
+    # rows get numbers that stay: equal rows are rows of their own
+    rows = written(docs.toDF(*at.values()).withColumn("row_id", F.monotonically_increasing_id()), "rows")
+    sized = rows.select(F.col(at["doc_id"]).alias("doc_id"), F.col(at["source"]).alias("source"), "row_id", size_of(text).alias("size"))
+    got = mix(sized, rows.count(), weights, most, seed).where(F.col("taken") > 0)
+    none = F.array().cast("array<struct<from:bigint,to:bigint>>")
+    d = rows.join(got.select("row_id", F.col("passes").cast("int").alias("passes"), F.coalesce("parts", none).alias("parts")), "row_id")
     blank = "[\\x20\\x09-\\x0D]"
-    words = F.split(F.regexp_replace("text", f"^{blank}+", ""), f"(?<={blank})(?!{blank})")
-    cut = F.array_join(F.flatten(F.transform("_vs_parts", lambda p: F.slice(words, (p["from"] + 1).cast("int"), (p["to"] - p["from"]).cast("int")))), "")
-    texts = F.concat(F.array_repeat(F.col("text"), F.col("_vs_passes")), F.when(F.size("_vs_parts") > 0, F.array(F.regexp_replace(cut, f"{blank}+$", ""))).otherwise(F.array().cast("array<string>")))
-    out = d.withColumn("_vs_text", F.explode(texts))
-    new = {"text": F.col("_vs_text"), "n_chars": F.length("_vs_text").cast(docs.schema["n_chars"].dataType)}
-    return out.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
+    words = F.split(F.regexp_replace(text, f"^{blank}+", ""), f"(?<={blank})(?!{blank})")
+    cut = F.array_join(F.flatten(F.transform("parts", lambda p: F.slice(words, (p["from"] + 1).cast("int"), (p["to"] - p["from"]).cast("int")))), "")
+    texts = F.concat(F.array_repeat(text, F.col("passes")), F.when(F.size("parts") > 0, F.array(F.regexp_replace(cut, f"{blank}+$", ""))).otherwise(F.array().cast("array<string>")))
+    out = d.withColumn("taken_text", F.explode(texts))
+    new = {"text": F.col("taken_text"), "n_chars": F.length("taken_text").cast(docs.schema["n_chars"].dataType)}
+    return out.select(*[new.get(c, F.col(at[c])).alias(at[c]) for c in names]).toDF(*names)
 
 
 def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
