@@ -288,25 +288,64 @@ def test_licences_base(docs, odd, none, texts):
         assert r["base_labels"] == ",".join(sorted({v for p, v in licenses.BASE.items() for i in at if w[i : i + len(p.split())] == p.split()}))
         assert set(r["base_labels"].split(",")) <= set(r["labels"].split(",")) | {""}
     out = {r["doc_id"]: r for r in licenses.scan_table(odd).collect()}
-    assert out[8]["base_labels"] == "mit" and out[8]["labels"] == "apache-2.0,gpl-2.0-only,mit" and out[8]["score"] == 1.0
+    assert out[8]["base_labels"] == "mit" and out[8]["labels"] == "apache-2.0,gpl-2.0-only with classpath-exception-2.0,mit" and out[8]["required"] == "gpl-2.0-only with classpath-exception-2.0" and out[8]["score"] == 1.0
     assert out[2]["n_words"] == 0 and licenses.scan_table(none).count() == 0
 
 
+def ways(postfix):
+    """Every set of ids that satisfies an expression, listed."""
+    stack = []
+    for part in postfix:
+        if part not in ("or", "and", "with"):
+            stack.append([frozenset([part])])
+            continue
+        b, a = stack.pop(), stack.pop()
+        pairs = [(x, y) for x in a for y in b]
+        stack.append(a + b if part == "or" else [x | y for x, y in pairs] if part == "and" else [frozenset(f"{i} with {j}" for i in x for j in y) for x, y in pairs])
+    return stack[-1] if stack else []
+
+
 def test_licence_expressions():
-    assert licenses.parse("MIT OR Apache-2.0 AND BSD-3-Clause")[0] == ["MIT", "Apache-2.0", "BSD-3-Clause", "and", "or"]
-    assert licenses.choices("(MIT OR Apache-2.0) AND GPL-2.0 WITH CE") == [frozenset({"mit", "gpl-2.0 with ce"}), frozenset({"apache-2.0", "gpl-2.0 with ce"})]
-    assert licenses.parse("MIT and")[1] == ["mit"] and licenses.parse(") or")[1] == [] and licenses.parse("MIT Apache")[1] == ["mit"]
+    assert licenses.parse(b"MIT OR Apache-2.0 AND BSD-3-Clause") == ["mit", "apache-2.0", "bsd-3-clause", "and", "or"]
+    full = licenses.evaluate(licenses.parse(b"(MIT OR Apache-2.0) AND GPL-2.0 WITH CE"))
+    assert full == ({"mit", "apache-2.0", "gpl-2.0 with ce"}, {"gpl-2.0 with ce"})
+    assert licenses.parse(b"MIT and") == ["mit"] and licenses.parse(b") or") == [] and licenses.parse(b"MIT Apache") == ["mit"] and licenses.parse(b"MIT and ((") == ["mit"]
+    rng = np.random.default_rng(7)
+    for _ in range(500):
+        def made(depth):
+            if depth == 0 or rng.random() < 0.3:
+                x = "abcdef"[rng.integers(6)]
+                return f"{x} with e{rng.integers(2)}" if rng.random() < 0.2 else x
+            return f"({made(depth - 1)} {('or', 'and')[rng.integers(2)]} {made(depth - 1)})"
+        p = licenses.parse(made(3).encode())
+        all_ = ways(p)
+        assert licenses.evaluate(p) == (set().union(*all_), set(all_[0]).intersection(*all_))
+
+
+def test_licence_labels_and_score_against_plain_search(docs, texts):
+    words = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
+    known = [(p.split(), v, 1.0) for p, v in licenses.BASE.items()] + [(p.split(), *v) for p, v in licenses.NOTICES.items()]
+    seen = 0
+    for r in licenses.scan_table(docs).collect():
+        w = words.findall(lower(texts[r["doc_id"]]))
+        hits = [(v, x) for p, v, x in known if any(w[i : i + len(p)] == p for i in range(len(w)))]
+        assert r["labels"] == ",".join(sorted({v for v, _ in hits})) and r["score"] == max([0.0, *(x for _, x in hits)]) and r["required"] == ""
+        seen += len(hits)
+    assert seen
 
 
 def test_long_licence_expressions():
-    a = licenses.automaton()
+    a = licenses.automata()
     ids = [f"lic-{k}" for k in range(100_000)]
-    labels = lambda t: licenses.scan(t.encode(), a)[5]
-    assert labels("SPDX-License-Identifier: " + " or ".join(ids)) == ",".join(sorted(ids))
+    labels = lambda t: licenses.scan(t.encode(), *a)[5]
+    required = lambda t: licenses.scan(t.encode(), *a)[7]
+    assert labels("SPDX-License-Identifier: " + " or ".join(ids)) == ",".join(sorted(ids)) == required("SPDX-License-Identifier: " + " and ".join(ids))
     assert labels("SPDX-License-Identifier: " + " or (".join(ids) + ")" * (len(ids) - 1)) == ",".join(sorted(ids))
+    assert required("SPDX-License-Identifier: " + " and ".join(f"({i} or x)" for i in ids)) == ""
     # tags later in a long line, and a line that goes on with other text
-    assert labels("SPDX-License-Identifier: MIT; see" + " x" * 1000 + " SPDX-License-Identifier: ISC or\nBSD") == "isc,mit"
+    assert labels("SPDX-License-Identifier: MIT; see" + " x" * 1000 + " spdx-license-identifier: ISC or\nBSD") == "isc,mit"
     assert labels("SPDX-License-Identifier: MIT SPDX-License-Identifier: ISC\nSPDX-License-Identifier:\nx") == "isc,mit"
+    assert labels("spdx license identifier: MIT") == "" and required("License-Expression: MIT or ISC and BSD") == ""
 
 
 # -- 6 fingerprints ------------------------------------------------------------------------------

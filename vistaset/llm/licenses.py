@@ -1,12 +1,16 @@
-"""License scans: one Aho-Corasick pass per text, and a parser of licence expressions.
-
-The text is folded to its words (ASCII lower case, other bytes kept) joined by single blanks; the
-automaton finds notice phrases at word edges. Identifier tags are found in the raw text, and the
-expression after a tag, as far as the line or the next tag, goes through a shunting-yard parser for
-and/or/with and parentheses, which reads no further than the expression continues.
-
-Defined results: null text is empty text; an empty table gives an empty result; repeated rows are
-handled row by row. A tag whose expression does not parse yields the ids that precede the error.
+"""License scans: Aho-Corasick passes over the text, and a parser of licence expressions.
+
+The text is folded byte by byte (ASCII lower case, signs to blanks, other bytes kept). One automaton finds
+notice phrases at word edges, in the folded words joined by single blanks; another finds identifier tags in
+the folded text itself, where places are those of the raw text. The expression after a tag, as far as the
+line or the next tag, goes through a shunting-yard parser for and/or/with and parentheses, which reads no
+further than the expression continues, and is evaluated: to the ids that it names (an exception makes ``id
+with exception``) and to those that every way to satisfy it holds, so that and/or tell.
+
+Defined results: null text is empty text; very long texts and expressions are read whole; an empty table
+gives an empty result; repeated rows are handled row by row; the score of several finds is the largest;
+extra columns, whatever their names, take no part. A tag whose expression does not parse yields what
+precedes the error.
 """
 
 from __future__ import annotations
@@ -44,7 +48,8 @@ NOTICES = {
     "isc license": ("isc", 0.8),
     "all rights reserved": ("all-rights-reserved", 0.3),
 }
-_TAG = re.compile(rb"SPDX-License-Identifier:", re.I)
+#: Identifier tags, lower case.
+TAGS = (b"spdx-license-identifier:", b"license-expression:")
 _LINE_END = re.compile(rb"[\r\n]")
 _PART = re.compile(rb"\(|\)|[A-Za-z0-9][A-Za-z0-9.+-]*")
 #: Every phrase and tag holds one of these.
@@ -54,128 +59,138 @@ _RANK = {"or": 1, "and": 2, "with": 3}
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
-def parse(expression: str | bytes, start: int = 0, end: int | None = None) -> tuple[list, list[str]]:
-    """Shunting-yard: the expression in postfix order, and its licence ids (exceptions excluded).
+def parse(expression: bytes, start: int = 0, end: int | None = None) -> list[str]:
+    """Shunting-yard: the expression in postfix order, lower case.
 
     Reading stops at the first part that cannot continue the expression; an operator left without
     a right side is dropped. ``start`` and ``end`` bound what is read.
     """
-    if isinstance(expression, str):
-        expression = expression.encode()
     out: list[str] = []
     stack: list[str] = []
-    wants_id = True
+    opened, wants_id = 0, True
     for m in _PART.finditer(expression, start, len(expression) if end is None else end):
-        part = m[0].decode()
-        low = part.lower()
+        part = m[0].decode().lower()
         if wants_id:
             if part == "(":
                 stack.append(part)
-            elif low in _RANK or part == ")":
+                opened += 1
+            elif part in _RANK or part == ")":
                 break
             else:
                 out.append(part)
                 wants_id = False
         elif part == ")":
-            if "(" not in stack:
+            if not opened:
                 break
-            while stack[-1] != "(":
-                out.append(stack.pop())
-            stack.pop()
-        elif low in _RANK:
-            while stack and stack[-1] != "(" and _RANK[stack[-1]] >= _RANK[low]:
+            while (top := stack.pop()) != "(":
+                out.append(top)
+            opened -= 1
+        elif part in _RANK:
+            while stack and stack[-1] != "(" and _RANK[stack[-1]] >= _RANK[part]:
                 out.append(stack.pop())
-            stack.append(low)
+            stack.append(part)
             wants_id = True
         else:
             break
-    if wants_id and stack and stack[-1] in _RANK:
-        stack.pop()
-    out += [s for s in reversed(stack) if s != "("]
-    # operands keep their order, so each side of an operator is a run of ids that ends the list
-    ids: list[str] = []
-    begins: list[int] = []
-    for part in out:
-        if part not in _RANK:
-            begins.append(len(ids))
-            ids.append(part.lower())
-        elif len(begins) > 1:
-            right = begins.pop()
-            if part == "with":
-                del ids[right:]
-    return out, ids
-
-
-def choices(expression: str) -> list[frozenset[str]]:
-    """The ways to satisfy an expression: sets of ids, exceptions as ``id with exception``."""
-    stack: list[list[frozenset[str]]] = []
-    for part in parse(expression)[0]:
+    if wants_id:  # an operator, and what was opened after it, lack a right side
+        while stack and stack[-1] == "(":
+            stack.pop()
+        if stack:
+            stack.pop()
+    return out + [s for s in reversed(stack) if s != "("]
+
+
+def evaluate(postfix: list[str]) -> tuple[set[str], set[str]]:
+    """All ids of an expression, and those in every set of ids that satisfies it.
+
+    Both follow from the two sides of an operator; the smaller side joins the larger, so long
+    expressions cost about linear time and the ways to satisfy one are never listed.
+    """
+    stack: list[tuple[set[str], set[str]]] = []
+    for part in postfix:
         if part not in _RANK:
-            stack.append([frozenset([part.lower()])])
-        elif len(stack) > 1:
-            b, a = stack.pop(), stack.pop()
-            if part == "or":
-                stack.append(a + [x for x in b if x not in a])
-            elif part == "and":
-                stack.append(list(dict.fromkeys(x | y for x in a for y in b)))
-            else:
-                stack.append([frozenset(f"{i} with {j}" for i in x for j in y) for x in a for y in b])
-    return stack[-1] if stack else []
+            stack.append(({part}, {part}))
+            continue
+        (more, must), (ids, needs) = stack.pop(), stack.pop()
+        if part == "with":
+            stack.append(tuple({f"{i} with {j}" for i in x for j in y} for x, y in ((ids, more), (needs, must))))
+            continue
+        ids, more = (ids, more) if len(ids) >= len(more) else (more, ids)
+        ids |= more
+        needs, must = (needs, must) if len(needs) >= len(must) else (must, needs)
+        if part == "and":
+            needs |= must
+        else:
+            needs = {i for i in must if i in needs}
+        stack.append((ids, needs))
+    return stack[-1] if stack else (set(), set())
 
 
-def automaton():
-    a = ahocorasick.Automaton()
+def automata():
+    """Of notice phrases, and of tags."""
+    phrases, tags = ahocorasick.Automaton(), ahocorasick.Automaton()
     for p, label in BASE.items():
-        a.add_word(f" {p} ", (p, [label], 1.0, True))
+        phrases.add_word(f" {p} ", (p, label, 1.0, True))
     for p, (label, weight) in NOTICES.items():
-        a.add_word(f" {p} ", (p, [label], weight, False))
-    a.make_automaton()
-    return a
-
-
-def scan(text: bytes | None, a) -> tuple:
-    """n_words, n_base, first_word, last_word, base_labels, labels, score of one text."""
+        phrases.add_word(f" {p} ", (p, label, weight, False))
+    for t in TAGS:
+        tags.add_word(t.translate(_FOLD).decode("latin-1"), t)
+    phrases.make_automaton()
+    tags.make_automaton()
+    return phrases, tags
+
+
+def expressions(text: bytes, folded: bytes, tags):
+    """The expressions after the tags of a text, evaluated."""
+    found = [(end + 1 - len(t), end + 1) for end, t in tags.iter(folded.decode("latin-1")) if text[end + 1 - len(t) : end + 1].lower() == t]
+    eol = -1
+    for (_, start), (stop, _) in zip(found, [*found[1:], (len(text), 0)], strict=False):
+        if eol < start:
+            m = _LINE_END.search(text, start)
+            eol = m.start() if m else len(text)
+        yield evaluate(parse(text, start, min(eol, stop)))
+
+
+def scan(text: bytes | None, phrases, tags) -> tuple:
+    """n_words, n_base, first_word, last_word, base_labels, labels, score, required of one text."""
     text = text or b""
     folded = text.translate(_FOLD)
     words = folded.split()
-    base, labels, starts, score = set(), set(), [], 0.0
+    base, labels, required, starts, score = set(), set(), set(), [], 0.0
     if any(h in folded for h in _HINTS):
         flat = (b" " + b" ".join(words) + b" ").decode("latin-1")
         done = at = 0
-        for end, (p, found, weight, is_base) in a.iter(flat):
-            labels.update(found)
+        for end, (p, label, weight, is_base) in phrases.iter(flat):
+            labels.add(label)
             score = max(score, weight)
             if is_base:
-                base.update(found)
+                base.add(label)
                 start = end - len(p) - 1
                 done += flat.count(" ", at, start)  # ends rise, and base phrases never overlap
                 at = start
                 starts.append(done)
-        tags, eol = [m.span() for m in _TAG.finditer(text)], -1
-        for (_, start), (stop, _) in zip(tags, [*tags[1:], (len(text), 0)]):
-            if eol < start:
-                found = _LINE_END.search(text, start)
-                eol = found.start() if found else len(text)
-            ids = parse(text, start, min(eol, stop))[1]
-            labels.update(ids)
+        for ids, needs in expressions(text, folded, tags):
+            labels |= ids
+            required |= needs
             score = 1.0 if ids else score
     join = lambda x: ",".join(sorted(x, key=lambda s: s.encode()))
-    return len(words), len(starts), starts[0] if starts else None, starts[-1] if starts else None, join(base), join(labels), score
+    return len(words), len(starts), starts[0] if starts else None, starts[-1] if starts else None, join(base), join(labels), score, join(required)
 
 
 def scan_table(docs: DataFrame) -> DataFrame:
-    names = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
-    kinds = [pa.int64()] * 5 + [pa.string()] * 2 + [pa.float64()]
+    """Per row: doc_id, and what ``scan`` finds; ``required`` holds the ids that each expression's every way needs."""
+    names = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "required"]
+    kinds = [pa.int64()] * 5 + [pa.string()] * 2 + [pa.float64(), pa.string()]
 
     def scanned(batches):
-        a = automaton()
+        phrases, tags = automata()
         for b in batches:
-            out = [scan(t, a) for t in b.column("text").to_pylist()]
-            cols = [b.column("doc_id"), *(zip(*out) if out else [[]] * 7)]
+            out = [scan(t.as_py(), phrases, tags) for t in b.column("text")]
+            cols = [b.column("doc_id"), *(zip(*out) if out else [[]] * (len(names) - 1))]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) if not isinstance(c, pa.Array) else c for c, k in zip(cols, kinds, strict=True)], names)
 
     own = own_columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
-    return own.mapInArrow(scanned, "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")
+    return own.mapInArrow(scanned, "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, required string")
 
 
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
