@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import written
+from ..storage import forget, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -21,8 +21,10 @@ def components(edges: DataFrame) -> DataFrame:
         low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("low"))
         low = written(low, "pointers")
         to = written(low.alias("p").join(low.alias("q"), F.col("p.low") == F.col("q.a")).select(F.col("p.a").alias("node"), F.least("p.low", "q.low").alias("to")), "pointers")
-        labels = written(labels.join(to, labels["comp"] == to["node"], "left").select("id", F.coalesce("to", "comp").alias("comp")), "labels")
+        old, labels = labels, written(labels.join(to, labels["comp"] == to["node"], "left").select("id", F.coalesce("to", "comp").alias("comp")), "labels")
         left, right = to.select(F.col("node").alias("a"), F.col("to").alias("ta")), to.select(F.col("node").alias("b"), F.col("to").alias("tb"))
-        e = e.join(left, "a").join(right, "b").where("ta <> tb")
-        e = written(e.select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct(), "edges")
+        rest = e.join(left, "a").join(right, "b").where("ta <> tb")
+        done, e = e, written(rest.select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct(), "edges")
+        forget(low, to, old, done)
+    forget(e)
     return labels

@@ -37,4 +37,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and return the table read back: lineage ends there."""
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def forget(*tables: DataFrame | None) -> None:
+    """Delete what ``written`` stored of these tables; nothing that is yet to run may read them."""
+    for t in tables:
+        if path := getattr(t, "_written_to", None):
+            sc = t.sparkSession.sparkContext
+            at = sc._jvm.org.apache.hadoop.fs.Path(path)
+            fs = at.getFileSystem(sc._jsc.hadoopConfiguration())
+            fs.delete(at, True)
+            fs.cancelDeleteOnExit(at)
