@@ -12,9 +12,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import new_path, shared_dir, written
+from ..storage import forget, new_path, shared_dir, written
 
-__all__ = ["WORD", "crc_mod", "new_path", "own_columns", "shared_dir", "ship", "table", "whole_groups", "written"]
+__all__ = ["WORD", "crc_mod", "forget", "new_path", "own_columns", "shared_dir", "ship", "table", "whole_groups", "written"]
 
 #: Whitespace of the word rules: the ASCII space and tab to carriage return.
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -56,7 +56,7 @@ def whole_groups(batches, *keys: str):
 
 
 #: Bytes of an Arrow batch sent to a Python worker, where the session leaves Spark's default of 64 MiB.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 _BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 

@@ -31,13 +31,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
-from .common import own_columns, table, whole_groups, written
+from .common import forget, own_columns, table, whole_groups, written
 
 N, PERCENT = 3, 90
 #: Cells of the count sketch (one byte each, broadcast) as a power of two, and the ranges that are summed apart.
-SKETCH_BITS, SKETCH_RANGES = 26, 64
+SKETCH_BITS, SKETCH_RANGES = 25, 64
 #: Grams that a task gathers before it reports their cells.
-SKETCH_BATCH = 4_000_000
+SKETCH_BATCH = 1_000_000
 #: Hash ranges of the suffix filter: of every set, and of those with more than LONG grams.
 CELLS, FINE, LONG = 64, 1024, 2048
 #: Members of a block of a posting list; sets, and grams about, of a block of a component.
@@ -316,7 +316,10 @@ def verified(docs: DataFrame, distinct: DataFrame, may: DataFrame, n: int = N, p
     d = _hashed(docs)
     texts = d.join(few, d["doc_id"].eqNullSafe(few["low"]) & (d["mark"] == few["mark"])).select("comp", "blocks", "uid", "copies", "text")
     dealt = _dealt(texts.dropDuplicates(["uid"]).withColumn("whole", F.col("blocks") == 1), F.col("blocks"))
-    return dealt.groupBy("comp", "i", "j").applyInArrow(lambda t: _verified(t, n, percent), "uid long, near long, root long, whole boolean")
+    found = dealt.groupBy("comp", "i", "j").applyInArrow(lambda t: _verified(t, n, percent), "uid long, near long, root long, whole boolean")
+    found = written(found, "links")
+    forget(need)
+    return found
 
 
 class Join:
@@ -325,7 +328,8 @@ class Join:
     def __init__(self, docs: DataFrame, n: int = N, percent: int = PERCENT):
         self.sets = prefixes(docs, n, percent)
         self.distinct = written(classes(self.sets), "classes")
-        found = written(verified(docs, self.distinct, candidates(self.sets, self.distinct, percent), n, percent), "links")
+        may = candidates(self.sets, self.distinct, percent)
+        found = verified(docs, self.distinct, may, n, percent)
         comp = found.where("whole").select(F.col("uid").alias("id"), F.col("root").alias("comp"))
         parts = found.where("not whole and uid <> root").select(F.col("uid").alias("a"), F.col("root").alias("b"))
         if not parts.isEmpty():
@@ -333,6 +337,7 @@ class Join:
         near = found.groupBy("uid").agg(F.sum("near").alias("near"))
         c = self.distinct.join(near, "uid", "left").join(comp, self.distinct["uid"] == comp["id"], "left").select(self.distinct["*"], "near", F.coalesce("comp", "uid").alias("comp"))
         self.linked = written(c, "linked")
+        forget(may, found, self.distinct)
 
     def reached(self) -> DataFrame:
         """Per class: key, n_links (documents it links with, copies included), component (smallest doc_id in reach), and the mark of that id's row."""
@@ -366,6 +371,7 @@ def keep_first(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame
     j = Join(docs, n, percent)
     keep = written(j.reached().where("leads").select(F.col("component").alias("kept_id"), F.col("first_mark").alias("kept_mark")), "kept")
     repeated = not j.sets.where("n > 0").groupBy("doc_id", "mark").count().where("count > 1").isEmpty()
+    forget(j.linked, j.sets)
     names, at = docs.columns, {c: f"c{i}" for i, c in enumerate(docs.columns)}
     d = docs.toDF(*at.values())
     text = F.col(at["text"]).cast("binary")
