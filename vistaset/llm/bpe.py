@@ -7,8 +7,9 @@ reports its other distinct words; these meet by hash, are encoded, and their ids
 that hold them. There the ids are joined to every position of every document, and decoding joins each
 id with its piece (the vocabulary, of fixed size). Texts travel as compressed blocks of many documents.
 
-Defined results: null text is empty text with no ids; repeated rows are encoded row by row; an empty
-table gives an empty result.
+Defined results: null text is empty text with no ids; repeated rows are encoded row by row; very long texts
+are encoded whole; words of equal frequency are listed in byte order; extra columns, whatever their names,
+take no part; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ from .common import own_columns, table
 CHUNK_BYTES, BLOCK_BYTES = 16 << 20, 1 << 20
 #: Words broadcast, their length at most, and how often a task must see a word to name it for the list.
 FREQUENT, WORD_BYTES, LOCAL_LEAST = 200_000, 64, 4
+#: Words whose ids a worker keeps between blocks, about.
+MEMO_WORDS = 200_000
 
 # Bytes that cannot be or begin white space other than blank and newline.
 _PLAIN = bytes(b for b in range(256) if b in (10, *range(32, 127)) or b >= 128 and b not in (0xC2, 0xE1, 0xE2, 0xE3))
@@ -131,6 +134,8 @@ def _answered(path: str):
             out = []
             for x in b.column("block").to_pylist():
                 joined = u.decompress(x)
+                if len(memo) > MEMO_WORDS:
+                    memo.clear()
                 ids = _ids(tokenizer, memo, joined.split(b"\xff"))
                 sizes = np.array([len(i) // 4 for i in ids], "<u4")
                 flat = np.frombuffer(b"".join(ids), "<u4")
@@ -193,15 +198,15 @@ def encode(docs: DataFrame, path: str, chunk_bytes: int = CHUNK_BYTES, columns:
     own = own_columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
     total = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(spark.sparkContext.defaultParallelism * 2, -(-total // chunk_bytes))
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = max(1, min(n, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    buckets = 4 * n
     counts = own.select("text").mapInArrow(_counted, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
     top = counts.orderBy(F.desc("n"), "word").limit(FREQUENT).select("word").repartition(spark.sparkContext.defaultParallelism)
     rows = top.mapInArrow(_common(path), "word binary, ids binary").collect()
     frequent = spark.sparkContext.broadcast({bytes(r["word"]): bytes(r["ids"]) for r in rows} | {b"": b""})
 
-    dealt = own.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int"))
-    dealt = dealt.mapInArrow(_blocks, "chunk int, block binary").repartition(parts, "chunk")
+    # equal rows of different input partitions go to different chunks
+    dealt = own.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(n)).cast("int"))
+    dealt = dealt.mapInArrow(_blocks, "chunk int, block binary").repartition(n, "chunk")
 
     def found(batches):
         seen: dict[int, set[bytes]] = {}
@@ -221,7 +226,7 @@ def encode(docs: DataFrame, path: str, chunk_bytes: int = CHUNK_BYTES, columns:
             data = [z.compress(b"\xff".join(sorted(w))) for w in dealt_.values()]
             yield pa.RecordBatch.from_arrays([pa.array(list(dealt_), pa.int32()), pa.array([c] * len(data), pa.int32()), pa.array(data, pa.binary())], ["bucket", "chunk", "block"])
 
-    asked = dealt.mapInArrow(found, "bucket int, chunk int, block binary").repartition("bucket")
+    asked = dealt.mapInArrow(found, "bucket int, chunk int, block binary").repartition(n, "bucket")
     rest = asked.mapInArrow(_answered(path), "chunk int, block binary")
     digests = columns == "digests"
     last = ["ids_sha256", "decoded_sha256"] if digests else ["ids", "decoded"]
