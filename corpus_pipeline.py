@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from vistaset.llm import bpe, jaccard, mixing, pii, quality
-from vistaset.llm.common import ship, table, written
+from vistaset.llm.common import forget, ship, table, written
 
 #: Words of a shingle, and the least similarity of near copies in per cent.
 SHINGLE_WORDS, SHINGLE_PERCENT = 5, 80
@@ -19,7 +19,9 @@ SHINGLE_WORDS, SHINGLE_PERCENT = 5, 80
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
     ship(spark)
-    model = quality.train(quality.statistics_table(docs), table(spark, sf_dir, "labels"))
+    stats = written(quality.statistics_table(docs), "statistics")
+    model = quality.train(stats, table(spark, sf_dir, "labels"))
+    forget(stats)
     return quality.keep_good(docs, model)
 
 
@@ -59,7 +61,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             docs = written(docs, "stage")
+            forget(before)
     return docs
