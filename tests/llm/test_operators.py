@@ -454,14 +454,18 @@ def test_join_against_brute_force(spark, texts, small, monkeypatch):
     assert got == {i: (len(s), comp[i] if s else None, n[i] if s else None) for i, s in sets.items()}
 
 
-def test_sketch_never_counts_too_little(spark, texts):
-    df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
-    levels, memo, seen = jaccard.sketch(jaccard._hashed(df), bits=16), jaccard._Words(), Counter()
-    for t in texts.values():
-        seen.update((jaccard.grams((t or "").encode(), memo) & np.uint64(0xFFFF)).tolist())
-    want = np.zeros(1 << 16, np.int64)
-    want[list(seen)] = list(seen.values())
-    assert (levels == jaccard._levels(want)).all() and (jaccard._levels(np.arange(129)) == np.arange(129)).all()
+def test_prefixes_are_the_rarest_grams(spark, texts):
+    """Against counts of every gram, over many chunks."""
+    df = spark.createDataFrame([(i, t) for i, t in texts.items()], "doc_id bigint, text string")
+    memo = jaccard._Words()
+    sets = {i: jaccard.grams((t or "").encode(), memo) for i, t in texts.items()}
+    df_ = Counter(g for s in sets.values() for g in s.tolist())
+    for r in jaccard.prefixes(df, chunk_bytes=1 << 14).collect():
+        s = sorted(sets[r["doc_id"]].tolist(), key=lambda g: (df_[g], g))
+        p = len(s) - -(-90 * len(s) // 100) + 1 if s else 0
+        want = [(g, k) for k, g in enumerate(s[:p]) if df_[g] > 1]
+        assert list(zip(np.array(r["prefix"], np.int64).view(np.uint64).tolist(), r["pos"], strict=True)) == want
+    assert (jaccard._levels(np.arange(129)) == np.arange(129)).all() and (jaccard._levels(jaccard._COUNTS) == np.arange(256)).all()
 
 
 def test_overlaps():

@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
+import pickle
 import shutil
 import tempfile
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import forget, new_path, shared_dir, written
 
-__all__ = ["WORD", "crc_mod", "forget", "new_path", "own_columns", "shared_dir", "ship", "table", "whole_groups", "written"]
+__all__ = ["WORD", "crc_mod", "forget", "new_path", "own_columns", "packed", "released", "shared_dir", "ship", "table", "unpacked", "whole_groups", "written"]
 
 #: Whitespace of the word rules: the ASCII space and tab to carriage return.
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -55,6 +58,49 @@ def whole_groups(batches, *keys: str):
         yield pa.Table.from_batches(held).combine_chunks()
 
 
+def packed(batches, size: int):
+    """(chunk, block): the other columns of a chunk's rows, about ``size`` bytes of texts (the last column) together, compressed."""
+    z, held, bytes_ = zstandard.ZstdCompressor(level=3), {}, {}
+
+    def out(chunks):
+        data = []
+        for c in chunks:
+            bytes_.pop(c)
+            data.append(z.compress(pickle.dumps(tuple(zip(*held.pop(c), strict=True)), protocol=5)))
+        return pa.RecordBatch.from_arrays([pa.array(chunks, pa.int32()), pa.array(data, pa.binary())], ["chunk", "block"])
+
+    for b in batches:
+        for c, *row in zip(*(x.to_pylist() for x in b.columns), strict=True):
+            held.setdefault(c, []).append(row)
+            bytes_[c] = bytes_.get(c, 0) + len(row[-1] or b"") + 16
+        if full := [c for c, n in bytes_.items() if n > size]:
+            yield out(full)
+        if sum(bytes_.values()) > 32 * size:
+            yield out(list(held))
+    if held:
+        yield out(list(held))
+    released()
+
+
+def unpacked(blocks: list[bytes]) -> list[list]:
+    """The columns of the rows of ``packed`` blocks."""
+    z, out = zstandard.ZstdDecompressor(), []
+    for x in blocks:
+        for k, column in enumerate(pickle.loads(z.decompress(x))):
+            if k == len(out):
+                out.append([])
+            out[k] += column
+    return out
+
+
+def released() -> None:
+    """Give freed memory back to the system: workers wait for further tasks with what they hold."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 #: Bytes of an Arrow batch sent to a Python worker, where the session leaves Spark's default of 64 MiB.
 BATCH_BYTES = 4 << 20
 _BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"

@@ -2,10 +2,11 @@
 
 A document's set is its distinct word n-grams as 64-bit hashes. The length of grams (``n``) and the least
 similarity (``percent``) are parameters; N and PERCENT are those of op8. Equal sets collapse first into one
-class. Grams are ordered rare first by a count sketch of the whole corpus (SKETCH_BITS cells, summed over
-all tasks), ties by hash: one fixed order for all sets, so two sets of similarity t share a gram within their
-prefixes whatever the sketch says; a better sketch only makes the lists shorter. A gram whose cell counts one
-document is in no other set and gives no posting.
+class.Grams are ordered rare first, by the number of documents that hold them: texts are dealt into chunks,
+each chunk tells its distinct grams (CELL_BITS bits of each) to the range that holds them, ranges add them up
+and answer with counts in one byte, ties go by hash. It is one fixed order for all sets, so two sets of
+similarity t share a gram within their prefixes, even where cut bits let grams be counted as one. A gram of one
+document gives no posting. Chunks and ranges grow in number with the input, not in size.
 
 Prefix grams are joined under the length filter, the positional filter and a suffix filter (grams counted in
 hash ranges bound the overlap). Lists longer than LIST_BLOCK are dealt into blocks, and each pair of blocks is
@@ -26,18 +27,17 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
-from .common import forget, own_columns, table, whole_groups, written
+from .common import forget, own_columns, packed, released, table, unpacked, whole_groups, written
 
 N, PERCENT = 3, 90
-#: Cells of the count sketch (one byte each, broadcast) as a power of two, and the ranges that are summed apart.
-SKETCH_BITS, SKETCH_RANGES = 25, 64
-#: Grams that a task gathers before it reports their cells.
-SKETCH_BATCH = 1_000_000
+#: Bits of a gram that are counted: grams that agree in them are counted as one, which costs candidates, no links.
+CELL_BITS = 40
+#: Bytes of text in a chunk, and in a block of texts in transit, about.
+CHUNK_BYTES, BLOCK_BYTES = 8 << 20, 1 << 20
 #: Hash ranges of the suffix filter: of every set, and of those with more than LONG grams.
 CELLS, FINE, LONG = 64, 1024, 2048
 #: Members of a block of a posting list; sets, and grams about, of a block of a component.
@@ -95,86 +95,99 @@ def _levels(count: np.ndarray) -> np.ndarray:
     return np.where(count <= 128, count, np.minimum(high, 255)).astype(np.uint8)
 
 
-def _reported(batches, n: int, bits: int):
-    """The sketch cells of a task's grams: sorted, as differences within each range, low bytes first."""
-    memo, z, held, size, wide = _Words(), zstandard.ZstdCompressor(level=1), [], 0, bits - SKETCH_RANGES.bit_length() + 1
+#: The smallest count of each level.
+_COUNTS = np.where(np.arange(256) <= 128, np.arange(256), np.ceil(128 * 2 ** ((np.arange(256) - 128) / 8))).astype(np.int64)
 
-    def out():
-        c = np.sort(np.concatenate(held))
-        cut = np.searchsorted(c, np.arange(SKETCH_RANGES + 1, dtype=np.int64) << wide)
-        at = [r for r in range(SKETCH_RANGES) if cut[r] < cut[r + 1]]
-        rows = [np.diff(c[cut[r] : cut[r + 1]], prepend=np.uint32(r << wide)).astype("<u4") for r in at]
-        data = [z.compress(d.view(np.uint8).reshape(-1, 4).T.tobytes()) for d in rows]
-        return pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(data, pa.binary())], ["range", "cells"])
 
+def _cells(g: np.ndarray) -> np.ndarray:
+    return g >> np.uint64(64 - CELL_BITS)
+
+
+def _bounds(ranges: int) -> np.ndarray:
+    """Where the ranges of cells begin, and the end."""
+    return np.array([-(-(r << CELL_BITS) // ranges) for r in range(ranges + 1)], np.uint64)
+
+
+def _told(batches, n: int, ranges: int):
+    """Each chunk's distinct cells and in how many of its documents they are, range by range."""
+    memo, z, held = _Words(), zstandard.ZstdCompressor(level=1), {}
     for b in batches:
-        for t in b.column("text"):
-            held.append((grams(t.as_py(), memo, n) & np.uint64((1 << bits) - 1)).astype(np.uint32))
-            size += len(held[-1])
-            if size >= SKETCH_BATCH:
-                yield out()
-                held, size = [], 0
-    if size:
-        yield out()
-
-
-def _summed(batches, bits: int):
-    z, u, wide = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor(), bits - SKETCH_RANGES.bit_length() + 1
-    counts: dict[int, np.ndarray] = {}
-    for b in batches:
-        for r, x in zip(b.column("range").to_pylist(), b.column("cells"), strict=True):
-            planes = np.frombuffer(u.decompress(x.as_py()), np.uint8).reshape(4, -1)
-            at = np.cumsum(np.ascontiguousarray(planes.T).view("<u4")[:, 0].astype(np.int64))
-            if r not in counts:
-                counts[r] = np.zeros(1 << wide, np.int64)
-            counts[r] += np.bincount(at, minlength=1 << wide)
-    for r, c in counts.items():
-        yield pa.RecordBatch.from_pydict({"range": pa.array([r], pa.int32()), "cells": pa.array([z.compress(_levels(c).tobytes())], pa.binary())})
-
-
-def sketch(hashed: DataFrame, n: int = N, bits: int = SKETCH_BITS) -> np.ndarray:
-    """For each cell the documents that hold a gram of it, in levels; its size is fixed by ``bits``."""
-    told = hashed.select("text").mapInArrow(lambda batches: _reported(batches, n, bits), "range int, cells binary")
-    done = told.repartition(SKETCH_RANGES, "range").mapInArrow(lambda batches: _summed(batches, bits), "range int, cells binary")
-    out, wide, u = np.zeros(1 << bits, np.uint8), bits - SKETCH_RANGES.bit_length() + 1, zstandard.ZstdDecompressor()
-    for r in done.collect():
-        out[r["range"] << wide : (r["range"] + 1) << wide] = np.frombuffer(u.decompress(bytes(r["cells"])), np.uint8)
+        for chunk, block in zip(b.column("chunk").to_pylist(), b.column("block"), strict=True):
+            held.setdefault(chunk, []).extend(_cells(grams(t, memo, n)) for t in unpacked([block.as_py()])[-1])
+    for chunk in list(held):
+        cells, count = np.unique(np.concatenate(held.pop(chunk)), return_counts=True)
+        cut = np.searchsorted(cells, _bounds(ranges))
+        at = [r for r in range(ranges) if cut[r] < cut[r + 1]]
+        # differences of sorted cells, byte by byte: high bytes are nearly all zero
+        data = [np.diff(cells[cut[r] : cut[r + 1]], prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes() for r in at]
+        more = [_levels(count[cut[r] : cut[r + 1]]).tobytes() for r in at]
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([chunk] * len(at), pa.int32()), pa.array([z.compress(d) for d in data], pa.binary()), pa.array([z.compress(c) for c in more], pa.binary())], ["range", "chunk", "cells", "counts"])
+    released()
+
+
+def _answered(batches):
+    """For each block of cells the number of documents that hold them in all chunks, in levels."""
+    z, u = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
+    for t in whole_groups(batches, "range"):
+        planes = [np.frombuffer(u.decompress(x.as_py()), np.uint8).reshape(8, -1) for x in t.column("cells")]
+        cells = np.concatenate([np.cumsum(np.ascontiguousarray(p.T).view("<u8")[:, 0]) for p in planes])
+        count = _COUNTS[np.concatenate([np.frombuffer(u.decompress(x.as_py()), np.uint8) for x in t.column("counts")])]
+        _, inverse = np.unique(cells, return_inverse=True)
+        level = _levels(np.bincount(inverse, count))[inverse]
+        ends = np.cumsum([p.shape[1] for p in planes])
+        levels = [z.compress(x.tobytes()) for x in np.split(level, ends[:-1])]
+        yield pa.RecordBatch.from_arrays([t.column("range").combine_chunks(), t.column("chunk").combine_chunks(), pa.array(levels, pa.binary())], ["range", "chunk", "levels"])
+    released()
+
+
+def _ordered(left: pa.Table, right: pa.Table, n: int, percent: int) -> pa.Table:
+    """The sets of a chunk's documents with their prefixes."""
+    memo, u = _Words(), zstandard.ZstdDecompressor()
+    ids, marks, texts = unpacked(left.column("block").to_pylist())
+    answers = right.sort_by("range").column("levels")
+    level = np.frombuffer(b"".join(u.decompress(x.as_py()) for x in answers), np.uint8)
+    sets = [grams(t, memo, n) for t in texts]
+    cells, inverse = np.unique(_cells(np.concatenate([np.zeros(0, np.uint64), *sets])), return_inverse=True)
+    if len(cells) != len(level):
+        raise ValueError("the answers are not those of this chunk: its input changed while it was read")
+    weights = np.split(level[inverse], np.cumsum([len(s) for s in sets])[:-1])
+    keys, firsts, places, cells, fine = [], [], [], [], []
+    for s, weight in zip(sets, weights, strict=True):
+        size = len(s)
+        keys.append(xxhash.xxh3_128_digest(s.tobytes()) if size else None)
+        # capped counts differ by no more than the true ones
+        cells.append(np.minimum(np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=CELLS), 255).astype(np.uint8).tobytes())
+        fine.append(np.minimum(np.bincount((s >> np.uint64(54)).astype(np.int64), minlength=FINE), 255).astype(np.uint8).tobytes() if size > LONG else None)
+        p = size - -(-percent * size // 100) + 1 if size else 0
+        order = np.argsort(weight, kind="stable")[:p]  # the set is sorted: ties go by hash
+        place = np.flatnonzero(weight[order] > 1)
+        firsts.append(s[order[place]].view(np.int64))
+        places.append(place)
+    chunk = left.column("chunk")[0].as_py()
+    out = pa.table({
+        "uid": pa.array(range(chunk << 40, (chunk << 40) + len(sets)), pa.int64()), "doc_id": pa.array(ids, pa.int64()), "mark": pa.array(marks, pa.int64()),
+        "n": pa.array([len(s) for s in sets], pa.int64()), "key": pa.array(keys, pa.binary()), "prefix": pa.array(firsts, pa.list_(pa.int64())),
+        "pos": pa.array(places, pa.list_(pa.int64())), "cells": pa.array(cells, pa.binary()), "fine": pa.array(fine, pa.binary()),
+    })
+    del sets, texts, weights, level, inverse
+    released()
     return out
 
 
-def prefixes(docs: DataFrame, n: int = N, percent: int = PERCENT, bits: int = SKETCH_BITS) -> DataFrame:
+def prefixes(docs: DataFrame, n: int = N, percent: int = PERCENT, chunk_bytes: int | None = None) -> DataFrame:
     """uid, doc_id, mark, n (set size), key (the set's 128-bit hash), prefix grams that may be shared, their places in the order, cells, fine cells."""
     hashed = _hashed(docs)
-    sent = docs.sparkSession.sparkContext.broadcast(sketch(hashed, n, bits))
-
-    def done(batches):
-        level, memo, part, at = sent.value, _Words(), TaskContext.get().partitionId(), 0
-        for b in batches:
-            sizes, keys, firsts, places, cells, fine = [], [], [], [], [], []
-            for t in b.column("text"):
-                s = grams(t.as_py(), memo, n)
-                size = len(s)
-                sizes.append(size)
-                keys.append(xxhash.xxh3_128_digest(s.tobytes()) if size else None)
-                # capped counts differ by no more than the true ones
-                cells.append(np.minimum(np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=CELLS), 255).astype(np.uint8).tobytes())
-                fine.append(np.minimum(np.bincount((s >> np.uint64(54)).astype(np.int64), minlength=FINE), 255).astype(np.uint8).tobytes() if size > LONG else None)
-                weight = level[(s & np.uint64((1 << bits) - 1)).astype(np.int64)]
-                p = size - -(-percent * size // 100) + 1 if size else 0
-                order = np.argsort(weight, kind="stable")[:p]  # the set is sorted: ties go by hash
-                place = np.flatnonzero(weight[order] > 1)
-                firsts.append(s[order[place]].view(np.int64))
-                places.append(place)
-            uid = pa.array(range((part << 40) + at, (part << 40) + at + len(sizes)), pa.int64())
-            at += len(sizes)
-            yield pa.RecordBatch.from_arrays(
-                [uid, b.column("doc_id"), b.column("mark"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(firsts, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int64())), pa.array(cells, pa.binary()), pa.array(fine, pa.binary())],
-                ["uid", "doc_id", "mark", "n", "key", "prefix", "pos", "cells", "fine"],
-            )
-
-    out = written(hashed.mapInArrow(done, "uid long, doc_id long, mark long, n long, key binary, prefix array<long>, pos array<long>, cells binary, fine binary"), "sets")
-    sent.unpersist()
-    return out
+    total = hashed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    chunks = max(2 * docs.sparkSession.sparkContext.defaultParallelism, -(-total // (chunk_bytes or CHUNK_BYTES)))
+    # equal rows of different input partitions go to different chunks
+    dealt = hashed.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "mark", F.spark_partition_id()), F.lit(chunks)).cast("int"))
+    dealt = dealt.select("chunk", "doc_id", "mark", "text").mapInArrow(lambda batches: packed(batches, BLOCK_BYTES), "chunk int, block binary").repartition(chunks, "chunk")
+    told = dealt.mapInArrow(lambda batches: _told(batches, n, chunks), "range int, chunk int, cells binary, counts binary")
+    answers = told.repartition(chunks, "range").sortWithinPartitions("range").mapInArrow(_answered, "range int, chunk int, levels binary")
+    sets = dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(
+        lambda left, right: _ordered(left, right, n, percent), "uid long, doc_id long, mark long, n long, key binary, prefix array<long>, pos array<long>, cells binary, fine binary"
+    )
+    return written(sets, "sets")
 
 
 def classes(sets: DataFrame) -> DataFrame:
