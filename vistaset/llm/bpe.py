@@ -27,10 +27,10 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import own_columns, table
+from .common import own_columns, released, table
 
 #: Bytes of text in a chunk, about; bytes of a block of texts in transit and of texts decoded together, about.
-CHUNK_BYTES, BLOCK_BYTES = 16 << 20, 1 << 20
+CHUNK_BYTES, BLOCK_BYTES = 12 << 20, 1 << 20
 #: Words broadcast, their length at most, and how often a task must see a word to name it for the list.
 FREQUENT, WORD_BYTES, LOCAL_LEAST = 200_000, 64, 4
 #: Words whose ids a worker keeps between blocks, about.
@@ -105,6 +105,8 @@ def _counted(batches):
             yield out()
             n.clear()
     yield out()
+    n.clear()
+    released()
 
 
 def _ids(tokenizer, memo: dict[bytes, bytes], words_: list[bytes]) -> list[bytes]:
@@ -142,6 +144,8 @@ def _answered(path: str):
                 narrow = not len(flat) or flat.max() < 1 << 16
                 out.append(z.compress(pickle.dumps((joined, sizes.tobytes(), flat.astype("<u2" if narrow else "<u4").tobytes(), narrow), protocol=5)))
             yield pa.RecordBatch.from_arrays([b.column("chunk"), pa.array(out, pa.binary())], ["chunk", "block"])
+        memo.clear()
+        released()
 
     return encoded
 
@@ -225,6 +229,8 @@ def encode(docs: DataFrame, path: str, chunk_bytes: int = CHUNK_BYTES, columns:
             # sorted words share beginnings, which the compressor finds
             data = [z.compress(b"\xff".join(sorted(w))) for w in dealt_.values()]
             yield pa.RecordBatch.from_arrays([pa.array(list(dealt_), pa.int32()), pa.array([c] * len(data), pa.int32()), pa.array(data, pa.binary())], ["bucket", "chunk", "block"])
+        seen.clear()
+        released()
 
     asked = dealt.mapInArrow(found, "bucket int, chunk int, block binary").repartition(n, "bucket")
     rest = asked.mapInArrow(_answered(path), "chunk int, block binary")
@@ -262,6 +268,9 @@ def encode(docs: DataFrame, path: str, chunk_bytes: int = CHUNK_BYTES, columns:
                     out[1].append(decoded)
             done.append(pa.record_batch([pa.array(doc_ids[begun:end], pa.int64()), pa.array(sizes), *(pa.array(o, k) for o, k in zip(out, kinds, strict=True))], schema=schema))
             begun = end
+        of.clear()
+        del doc_ids, texts
+        released()
         return pa.Table.from_batches(done, schema)
 
     kind = "string" if digests else "array<int>"
