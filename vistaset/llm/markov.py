@@ -6,8 +6,8 @@ smoothed relative frequency, so the model is a proper distribution over texts, i
 size, and word counts (one row per distinct word, never collected) grow with the corpus. Each
 Baum-Welch pass sums expected counts per task, then over tasks; the driver sees states x classes.
 
-Frequent words' counts are broadcast (a fixed number of words of bounded length); all others join the
-count table by word. A document's likelihood is exact: long documents are cut into segments whose
+Frequent words' counts are broadcast (a bounded number of words of bounded length); all others join the
+count table by word, once per document. A document's likelihood is exact: long documents are cut into segments whose
 transfer matrices are chained. For training, segments are sequences of their own.
 
 Defined results: null and empty texts hold the end alone; without training rows every probability is
@@ -84,9 +84,27 @@ class Vocabulary:
         return np.array([i if i < OWN else OWN + ending(w) for i, w in enumerate(self.words)], np.int64)
 
 
+def _most_frequent(counts: DataFrame) -> list:
+    """Words above the least count of which TOP words at most are that frequent, by falling count, then by word.
+
+    A histogram of counts (exact to 1024, then 64 steps to each doubling) gives the cut, so what reaches the
+    driver is bounded whatever the number of partitions.
+    """
+    c = F.col("c")
+    level = F.when(c <= 1024, c).otherwise(1024 + F.floor(64 * F.log2(c / 1024)))
+    cut, n = None, 0
+    for r in sorted(counts.groupBy(level.alias("level")).count().collect(), key=lambda r: -r["level"]):
+        n += r["count"]
+        if n > TOP:
+            break
+        cut = r["level"]
+    rows = counts.where(level >= cut).collect() if cut is not None else []
+    return sorted(rows, key=lambda r: (-r["c"], bytes(r["word"])))
+
+
 def vocabulary(counts: DataFrame, ends: int) -> Vocabulary:
     total = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
-    top = counts.where(F.octet_length("word") <= WORD_BYTES).orderBy(F.desc("c"), "word").limit(TOP).collect()
+    top = _most_frequent(counts.where(F.octet_length("word") <= WORD_BYTES))
     words, n = [bytes(r["word"]) for r in top], np.array([r["c"] for r in top], np.int64)
     own = set(words[:OWN])
 
@@ -324,8 +342,11 @@ def score(encoded: DataFrame, counts: DataFrame, vocab: Vocabulary, model: Model
 
     docs = encoded.select("uid", "doc_id", "held_out", "n_words", "classes", "own_sum", "ending_sum", F.size("rare").cast("long").alias("n_rare"))
     docs = docs.mapInArrow(done, "uid long, doc_id long, held_out boolean, n_words long, own_sum double, ending_sum double, n_rare long, hidden double")
-    rare = encoded.select("uid", F.explode("rare").alias("word")).join(counts, "word", "left")
-    rare = rare.groupBy("uid").agg(F.sum(F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("rare_sum"), F.count("c").alias("rare_known"))
+    # a document's repeats of a word are one row before they meet its count
+    words = encoded.select("uid", F.explode("rare").alias("word")).groupBy("uid", "word").agg(F.count(F.lit(1)).alias("times"))
+    rare = words.join(counts, "word", "left").groupBy("uid").agg(
+        F.sum(F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("rare_sum"), F.sum(F.when(F.col("c").isNotNull(), F.col("times"))).alias("rare_known")
+    )
     out = docs.join(rare, "uid", "left").select("*", F.coalesce("rare_sum", F.lit(0.0)).alias("rs"), F.coalesce("rare_known", F.lit(0)).alias("rk"))
     n_tokens = F.col("n_words") + 1
     end = math.log10(vocab.ends + 0.5)
