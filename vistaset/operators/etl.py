@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.library import Library
 from ..sources.schema import IMAGE_ATTRS, OBJECT, filled
 from . import pixels
+from .sets import numbered
 
 
 def changes(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -33,15 +34,10 @@ def next_ids(images: DataFrame) -> DataFrame:
 def with_ids(fresh: DataFrame, old: DataFrame, first: int) -> DataFrame:
     """``fresh`` images with img_id: a known path keeps its own, new ones follow from ``first`` in order of path.
 
-    New images are numbered by range partitions: only their counts are summed globally.
+    New images are numbered by ranges: only their counts are summed globally.
     """
     joined = fresh.drop("img_id").join(old.select("path", "img_id"), "path", "left")
-    new = joined.where("img_id is null").drop("img_id").repartitionByRange("path").withColumn("_p", F.spark_partition_id())
-    within = Window.partitionBy("_p").orderBy("path")
-    new = new.withColumn("_r", F.row_number().over(within))
-    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    starts = new.groupBy("_p").agg(F.count(F.lit(1)).alias("c")).withColumn("_s", F.coalesce(F.sum("c").over(before), F.lit(0)))
-    new = new.join(starts.select("_p", "_s"), "_p").withColumn("img_id", F.col("_s") + F.col("_r") - 1 + F.lit(first))
+    new = numbered(joined.where("img_id is null").drop("img_id"), F.asc("path"), out="img_id", first=first)
     known = joined.where("img_id is not null")
     return known.unionByName(new.select(*known.columns))
 

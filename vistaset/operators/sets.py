@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import written
+
 
 def scored(objs: Column) -> Column:
     """Objects of an image with their confidence as score."""
@@ -83,3 +85,15 @@ def ranked(df: DataFrame, least: float | None = None, descending: bool = False)
     if least is not None:
         df = df.where(F.col("score") >= F.lit(least))
     return df.orderBy(F.desc("score") if descending else F.asc("score"), "path")
+
+
+def numbered(df: DataFrame, *order: Column, out: str = "place", first: int = 1) -> DataFrame:
+    """Rows with their place in an order, from ``first``: ranges are numbered apart, and only their counts meet.
+
+    Ranges are written before they are counted, so the count and the numbers are those of the same ranges.
+    """
+    d = written(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()), "ordered")
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    starts = d.groupBy("_p").agg(F.count(F.lit(1)).alias("_c")).select("_p", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_s"))
+    within = F.row_number().over(Window.partitionBy("_p").orderBy(*order))
+    return d.join(F.broadcast(starts), "_p").withColumn(out, F.col("_s") + within + F.lit(first - 1)).select(*df.columns, out)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import catalog
@@ -194,8 +194,8 @@ frame("agg11_cluster_counts", lambda s, d: cluster.cluster_counts(_lots(s, d), "
 frame("agg14_next_ids", lambda s, d: etl.next_ids(derived.library(s, d).images), f"{PRELUDE} SELECT (SELECT max(k) + 1 FROM img) AS next_img_id, (SELECT max(k * 1000 + pos) + 1 FROM obj) AS next_obj_id")
 
 # order
-frame("srt1_engine_order", lambda s, d: _positions(Session(derived.library(s, d)).run("$ any promo").table(), False), f"{PRELUDE} SELECT path, {R6}, row_number() OVER (ORDER BY score, path) AS place FROM ({HAS_PROMO}) WHERE score >= 0 QUALIFY place <= 100")
-frame("srt2_best_first", lambda s, d: _positions(Session(derived.library(s, d)).run("$ any promo").table(), True), f"{PRELUDE} SELECT path, {R6}, row_number() OVER (ORDER BY score DESC, path) AS place FROM ({HAS_PROMO}) WHERE score >= 0.05 QUALIFY place <= 100")
+frame("srt1_engine_order", lambda s, d: _positions(Session(derived.library(s, d)).run("$ any promo").table(), False), f"{PRELUDE} SELECT path, {R6}, row_number() OVER (ORDER BY score, path) AS place FROM ({HAS_PROMO}) WHERE score >= 0")
+frame("srt2_best_first", lambda s, d: _positions(Session(derived.library(s, d)).run("$ any promo").table(), True), f"{PRELUDE} SELECT path, {R6}, row_number() OVER (ORDER BY score DESC, path) AS place FROM ({HAS_PROMO}) WHERE score >= 0.05")
 
 # numbers and texts
 for _name, _text, _expr in (
@@ -276,6 +276,9 @@ for _name, _text, _expr in (
 dsl("udf1_macro", "macro wide(o, t) = o.w > t; $ : (any(wide(obj, 0.4)))", any_(sig("w - 0.4")))
 dsl("udf3_dynamic_scope", "macro over(o) = o.w > t; macro set(t) = any(over(obj)); $ : (set(0.3))", any_(sig("w - 0.3")))
 dsl("udf4_variables", "p = $ any promo; s = $ any small; out = p & s; $", SQL["set2_intersect"])
+_BEST = "SELECT k, p % 5 AS lot FROM obj WHERE class = 'promo' AND CAST(conf AS FLOAT) > 0 QUALIFY row_number() OVER (PARTITION BY k ORDER BY CAST(conf AS FLOAT) DESC, pos) = 1"
+dsl("agg6_best_of_class", '$ : (cluster_id(promo, "lot") == "lot_2")', f"{PRELUDE} SELECT path, 1.0 AS score FROM img JOIN ({_BEST}) b USING (k) WHERE lot = 2")
+dsl("clu2_cluster_sim", '$ all (cluster_sim(obj, promo, "lot"))', f"{PRELUDE} SELECT path, 1.0 AS score FROM img JOIN ({_BEST}) b USING (k) JOIN obj o USING (k) GROUP BY path HAVING bool_and(o.p % 5 = b.lot) UNION ALL SELECT path, 1.0 FROM img WHERE k NOT IN (SELECT k FROM obj)")
 dsl("rel1_left_of_objects", "best = 1; $ : (any(left_of(obj, obj)))", any_(sig("x - (x + w)")))
 
 
@@ -291,9 +294,9 @@ def _objects(df: DataFrame) -> DataFrame:
 
 
 def _positions(df: DataFrame, best: bool) -> DataFrame:
-    """The first hundred with their places; the limit comes before the numbering."""
-    top = sets.ranked(df, 0.05 if best else 0.0, best).limit(100)
-    return top.withColumn("place", F.row_number().over(Window.orderBy(F.desc("score") if best else F.asc("score"), "path")))
+    """All results with their places."""
+    kept = df.where(F.col("score") >= (0.05 if best else 0.0))
+    return sets.numbered(kept, F.desc("score") if best else F.asc("score"), F.asc("path"))
 
 
 # keeping libraries

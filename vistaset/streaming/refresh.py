@@ -22,23 +22,33 @@ def newest_by_window(feed: DataFrame, key: str, order: list[str]) -> DataFrame:
 
 
 def apply_changes(state: DataFrame, batch: DataFrame, key: str, order: list[str], deleted: str) -> DataFrame:
-    """The state after a batch of rows; rows whose ``deleted`` column is true remove their key."""
-    cols = [*state.columns, deleted]
-    both = state.withColumn(deleted, F.lit(False)).select(*cols).unionByName(batch.select(*cols))
-    return newest(both, key, order).where(~F.col(deleted)).select(*state.columns)
+    """The state after a batch of rows; rows whose ``deleted`` column is true remove their key.
+
+    A state that has the ``deleted`` column keeps such rows as tombstones, so an older row that comes late
+    does not bring its key back; ``live`` leaves them out. A state without it forgets deletions.
+    """
+    cols = state.columns if deleted in state.columns else [*state.columns, deleted]
+    both = state.withColumn(deleted, F.col(deleted) if deleted in state.columns else F.lit(False)).select(*cols).unionByName(batch.select(*cols))
+    last = newest(both, key, order)
+    return last.select(*cols) if deleted in state.columns else last.where(~F.col(deleted)).select(*state.columns)
+
+
+def live(state: DataFrame, deleted: str) -> DataFrame:
+    """The rows of a state with tombstones that are not deleted."""
+    return state.where(~F.col(deleted)).drop(deleted)
 
 
 def follow(stream: DataFrame, load: Callable[[], DataFrame | None], save: Callable[[DataFrame, int], None], key: str, order: list[str], deleted: str, checkpoint: str):
     """Start a query that applies each micro-batch to the state and saves the new snapshot.
 
     ``save`` gets the batch's number, so that a repeated batch can be recognised; ``load`` returns the
-    last snapshot, or none. The query's own checkpoint makes it resume where it stopped.
+    last snapshot, or none. Snapshots hold tombstones: read them through ``live``. The query's own checkpoint makes it resume where it stopped.
     """
 
     def step(batch: DataFrame, number: int) -> None:
         state = load()
         if state is None:
-            state = batch.drop(deleted).limit(0)
+            state = batch.limit(0)
         save(apply_changes(state, batch, key, order, deleted), number)
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
