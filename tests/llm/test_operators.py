@@ -368,6 +368,18 @@ def test_order_minhash(docs, texts, odd, none):
     assert len(one) == 1 and one[0]["near_next"] == 1.0
 
 
+def test_order_minhash_many_ranges(texts, docs, odd, monkeypatch):
+    monkeypatch.setattr(order_minhash, "BUCKET_BYTES", 4096)
+    ids = sorted(texts, reverse=True)
+    out = {r["doc_id"]: r["next_text"] for r in order_minhash.with_next(docs.select("doc_id", "text"), ["text"]).collect()}
+    assert out == {i: texts[ids[(k + 1) % len(ids)]] for k, i in enumerate(ids)}
+    monkeypatch.setattr(order_minhash, "BUCKET_BYTES", 1)
+    rows = order_minhash.with_next(odd.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), ["text"]).collect()
+    order = sorted(((r[0] is not None, r[0] or 0, r[1] or "") for r in ROWS), key=lambda r: (r[0], r[1], r[2].encode()), reverse=True)
+    want = sorted((r[2], order[(k + 1) % len(order)][2]) for k, r in enumerate(order))
+    assert sorted((r["text"], r["next_text"]) for r in rows) == want
+
+
 def test_order_matters(spark):
     t = [f"w{i}" for i in range(200)]
     df = spark.createDataFrame([(0, " ".join(t)), (1, " ".join(t[100:] + t[:100])), (2, "a a a a"), (3, "a a a")], "doc_id bigint, text string")

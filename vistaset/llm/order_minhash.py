@@ -8,7 +8,8 @@ changes with the order of words as well as with the words, as edit distance does
 share of equal bins among the bins that either text fills.
 
 Everything happens within the row: arrays of packed longs (40 bits of hash, 24 of position) are
-sorted and sliced, without explosion or shuffle. Positions count modulo 2^24 words.
+sorted and sliced, without explosion or shuffle. In texts of more than 2^24 words, positions are
+counted in steps of two words, four, and so on, as many as make them fit; order within a step goes by hash.
 
 Defined results: null text is empty text, whose fingerprint is empty and like only itself; texts of
 one word are one k-mer; equal texts have equal fingerprints; an empty table gives an empty result.
@@ -18,14 +19,19 @@ is the first; a single row is its own next.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import own_columns, table
+from .common import own_columns, table, written
 
 K, BINS, LEAST, SEED = 2, 32, 96, 97
 #: Bytes of text in a range bucket, about.
 BUCKET_BYTES = 16 << 20
+#: Most ranges; beyond, ranges hold more text.
+RANGES = 1 << 16
 
 _POSITION = 24
 _MASK = (1 << _POSITION) - 1
@@ -45,7 +51,8 @@ def with_signature(df: DataFrame, text: str, out: str) -> DataFrame:
     df = df.withColumn("_w", F.array_remove(F.split(spaced, " "), ""))
     # k-mers, the last word alone if it is the only one, by hash and position
     heads = F.slice(w, F.lit(1), F.greatest(F.size(w) - (K - 1), F.least(F.size(w), F.lit(1))))
-    kmers = F.transform(heads, lambda x, i: pack(F.xxhash64(x, *[F.get(w, i + j) for j in range(1, K)]), i))
+    step = F.when(F.size(w) > 1 << _POSITION, F.ceil(F.log2(F.size(w))) - _POSITION).otherwise(0).cast("int")
+    kmers = F.transform(heads, lambda x, i: pack(F.xxhash64(x, *[F.get(w, i + j) for j in range(1, K)]), F.call_function("shiftright", i, step)))
     df = df.withColumn("_s", F.sort_array(kmers))
     # first occurrences, with a mark in the place of repeats
     first = F.transform(s, lambda x, i: F.when((i > 0) & (high(F.get(s, i - F.least(i, F.lit(1)))) == high(x)), none).otherwise(pack(F.xxhash64(F.lit(SEED), high(x), F.lit(0)), x)))
@@ -87,36 +94,37 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(filled == 0, F.lit(1.0)).otherwise(same / F.greatest(filled, F.lit(1))).cast("double")
 
 
-def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """Adds ``next_<column>`` of the next row in descending doc_id.
+def with_next(docs: DataFrame, columns: list[str], prepare: Callable[[DataFrame], DataFrame] = lambda d: d) -> DataFrame:
+    """Adds ``next_<column>`` of the next row in descending doc_id; ``prepare`` adds columns to each row before.
 
-    Ids are cut into ranges of about equal text; a row's next lies in its own range, or is the first
-    row of the next lower range, of which each range gets a copy. Only range bounds reach the driver.
+    Ids are cut into ranges of about equal text, in two steps of equally many parts: the driver gets the
+    cuts of the first step only (255 at most), the others stay a table. A row's next lies in its own range,
+    or is the first row of the next lower range, of which each range gets a copy. Both tables that are
+    broadcast have a row per range at most, and there are RANGES at most.
     """
     spark = docs.sparkSession
     stats = docs.agg(F.sum(F.octet_length("text")).alias("b"), F.count(F.lit(1)).alias("n")).first()
-    n = max(1, min(int(stats["n"]), max(spark.sparkContext.defaultParallelism, -(-(stats["b"] or 0) // BUCKET_BYTES))))
-    cuts = docs.where(F.col("doc_id").isNotNull()).agg(F.percentile_approx("doc_id", F.array(*[F.lit(i / n) for i in range(1, n)]), F.lit(100_000)).alias("c")).first()["c"] if n > 1 else []
-    cuts = sorted(set(cuts or []))
+    n = max(1, min(int(stats["n"]), RANGES, max(spark.sparkContext.defaultParallelism, -(-(stats["b"] or 0) // BUCKET_BYTES))))
+    side = max(2, math.isqrt(n - 1) + 1)
+    shares = F.array(*[F.lit(i / side) for i in range(1, side)])
+    known = docs.where(F.col("doc_id").isNotNull())
+    cuts = known.agg(F.percentile_approx("doc_id", shares, F.lit(100_000)).alias("c")).first()["c"]
+    major = _position(F.col("doc_id"), sorted(set(cuts or [])))
+    finer = written(known.groupBy(major.alias("major")).agg(F.array_distinct(F.percentile_approx("doc_id", shares, F.lit(10_000))).alias("cuts")), "cuts")
     # null ids come last: below every cut
-    low = F.lit(-1)
-    at = F.when(F.col("doc_id").isNull(), low).otherwise(_position(F.col("doc_id"), cuts))
-    d = docs.withColumn("range", at)
-    heads = {r["range"]: r["top"] for r in d.groupBy("range").agg(F.max("doc_id").alias("top")).collect()}
-    order = sorted(heads, reverse=True)
-    if not order:
-        return d.withColumns({f"next_{c}": F.col(c) for c in columns}).drop("range")
-    # the first row of each range, dealt to the range above it (the top range's to the lowest)
-    above = {order[i]: order[i - 1] for i in range(len(order))}
-    first = Window.partitionBy("range").orderBy(F.desc_nulls_last("doc_id"), F.desc_nulls_last("text"))
-    # a range holding null ids only has a null top
-    is_top = F.col("doc_id").isin([t for t in heads.values() if t is not None])
-    tops = d.where(is_top | F.col("doc_id").isNull() if None in heads.values() else is_top)
-    tops = tops.withColumn("r", F.row_number().over(first)).where("r = 1").drop("r")
-    move = F.element_at(F.create_map(*[F.lit(x) for k, v in above.items() for x in (k, v)]), F.col("range"))
-    both = d.withColumn("guest", F.lit(0)).unionByName(tops.withColumn("range", move).withColumn("guest", F.lit(1)))
+    minor = F.size(F.filter("cuts", lambda c: c <= F.col("doc_id")))
+    at = F.when(F.col("doc_id").isNull(), -1).otherwise(F.col("major") * side + minor).cast("int")
+    d = docs.withColumn("major", F.when(F.col("doc_id").isNotNull(), major)).join(F.broadcast(finer), "major", "left")
+    d = d.withColumn("range", at).drop("major", "cuts")
+    heads = d.groupBy("range").agg(F.max("doc_id").alias("top"))
+    # RANGES rows at most: the range above each, and the lowest above the top one
+    above = F.coalesce(F.lead("range").over(Window.orderBy("range")), F.min("range").over(Window.partitionBy()))
+    heads = written(heads.withColumn("above", above), "heads")
+    firsts = d.join(F.broadcast(heads), "range").where(F.col("doc_id").eqNullSafe(F.col("top")))
+    firsts = firsts.groupBy("above", "doc_id").agg(F.max("text").alias("text")).withColumnRenamed("above", "range")
+    both = d.withColumn("guest", F.lit(0)).unionByName(firsts.withColumn("guest", F.lit(1)), allowMissingColumns=True)
     row = Window.partitionBy("range").orderBy("guest", F.desc_nulls_last("doc_id"), F.desc_nulls_last("text"))
-    out = both.withColumns({f"next_{c}": F.lead(c).over(row) for c in columns})
+    out = prepare(both).withColumns({f"next_{c}": F.lead(c).over(row) for c in columns})
     return out.where("guest = 0").drop("guest", "range")
 
 
@@ -136,8 +144,7 @@ def _position(x: Column, cuts: list[int]) -> Column:
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     d = own_columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    d = with_signature(d, "text", "sig")
-    d = with_next(d, ["text", "sig"]).withColumn("n_chars", F.length("text").cast("long"))
+    d = with_next(d, ["text", "sig"], lambda r: with_signature(r, "text", "sig")).withColumn("n_chars", F.length("text").cast("long"))
     cut = F.floor(F.col("n_chars") / 3).cast("int")
     d = d.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - cut), F.substring("next_text", F.lit(1), cut)))
     d = with_signature(d, "edited", "edited_sig")
