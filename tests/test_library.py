@@ -181,3 +181,27 @@ def test_stream(spark, tmp_path):
     # the tombstone of 2 keeps a late older row away
     assert sorted(state["rows"]) == [(1, 3, "c", False), (2, 2, "b", True)]
     assert [tuple(r) for r in refresh.live(load(), "gone").collect()] == [(1, 3, "c")]
+
+
+def test_object_ids_and_completion(spark, lib):
+    i = lib.images.withColumn("objects", F.transform("objects", lambda o: o.withField("obj_id", F.lit(-1).cast("bigint"))))
+    rows = etl.with_object_ids(i, 100).orderBy("path").collect()
+    assert [o["obj_id"] for r in rows for o in r["objects"]] == list(range(100, 100 + sum(len(r["objects"]) for r in rows)))
+    assert all(o["img_id"] == r["img_id"] for r in rows for o in r["objects"])
+    assert etl.with_object_ids(i.limit(0), 0).count() == 0
+    done = etl.completed(lib.images, lib, 2.0).collect()
+    assert all(o["is_fallback"] for r in done for o in r["objects"] if o["super_class"] not in ("", "root"))
+
+
+def test_built_images_get_new_object_ids(spark, lib):
+    listing = lib.images.select("path", (F.col("mtime") + 1).alias("mtime"), "size")
+    before = etl.next_ids(lib.images).first()["next_obj_id"]
+    out = etl.refresh(lib, listing, lambda w: w.select("path", "mtime", "size").join(lib.images.drop("mtime", "size"), "path"))
+    ids = [o["obj_id"] for r in out.images.collect() for o in r["objects"]]
+    assert len(ids) == len(set(ids)) and min(ids) >= before
+
+
+def test_picture_endings_in_any_case(spark, tmp_path):
+    for n in ("b.jPG", "a.PnG", "c.txt", "d.JPg"):
+        (tmp_path / n).write_bytes(b"xyz")
+    assert [r["path"] for r in sources.scan_directory(spark, [str(tmp_path)]).collect()] == ["a.PnG", "b.jPG", "d.JPg"]

@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.library import Library
 from ..sources.schema import IMAGE_ATTRS, OBJECT, filled
+from ..storage import written
 from . import pixels
 from .sets import numbered
 
@@ -42,6 +43,31 @@ def with_ids(fresh: DataFrame, old: DataFrame, first: int) -> DataFrame:
     return known.unionByName(new.select(*known.columns))
 
 
+def with_object_ids(images: DataFrame, first: int) -> DataFrame:
+    """``images`` whose objects are numbered from ``first`` in order of (path, position), and carry their image's id.
+
+    Ranges of paths are written once and numbered apart; only their counts of objects meet.
+    """
+    d = written(images.repartitionByRange("path").withColumn("_p", F.spark_partition_id()), "objects")
+    size = F.size("objects").cast("long")
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    starts = d.groupBy("_p").agg(F.sum(size).alias("_c")).select("_p", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_s"))
+    within = F.sum(size).over(Window.partitionBy("_p").orderBy("path").rowsBetween(Window.unboundedPreceding, 0)) - size
+    d = d.join(F.broadcast(starts), "_p").withColumn("_at", F.col("_s") + within + F.lit(first))
+    named = F.transform("objects", lambda o, i: o.withField("obj_id", F.col("_at") + i).withField("img_id", F.col("img_id")))
+    return d.withColumn("objects", named).select(*images.columns)
+
+
+def completed(images: DataFrame, library: Library, threshold: float = 0.0) -> DataFrame:
+    """Inferred images with what follows from model outputs: fallback classes, and scene and indoor score of scene vectors."""
+    v = F.col("img_attrs.scene_vector")
+    seen = F.exists(v, lambda x: x > 0)
+    scene = F.when(seen, dominant_scene(v, library.labels)).otherwise(F.col("img_attrs.dominant_scene"))
+    room = F.when(seen, indoor(v)).otherwise(F.col("img_attrs.indoor_score"))
+    attrs = F.col("img_attrs").withField("dominant_scene", scene).withField("indoor_score", room)
+    return images.withColumn("img_attrs", attrs).withColumn("objects", F.transform("objects", lambda o: fallback(o, library, threshold)))
+
+
 def fallback(o: Column, library: Library, threshold: float) -> Column:
     """An unsure object takes its parent's class, if it has one below the root; the own class is kept aside."""
     first = dict(reversed(library.classes))  # the first entry of a class counts
@@ -112,15 +138,17 @@ def infer(files: DataFrame, detect: Callable, classes: tuple[str, ...], base_con
 def refresh(library: Library, listing: DataFrame, build: Callable[[DataFrame], DataFrame], first_id: int | None = None) -> Library:
     """The library after a new listing: files that are new or changed are built, lost ones go.
 
-    ``build`` maps listing rows to images; a file that it gives no image for keeps its old one. User
-    tags of rebuilt images stay, and albums lose paths that are gone.
+    ``build`` maps listing rows to images (``completed`` of ``infer``, say); a file that it gives no image for
+    keeps its old one. Objects of built images get new ids. User tags of rebuilt images stay, and albums lose
+    paths that are gone.
     """
     old = library.images
     change = changes(old, listing)
     work = listing.join(change.where(F.col("change").isin("added", "modified")), "path")
     fresh = build(work.drop("change"))
-    start = first_id if first_id is not None else next_ids(old).first()["next_img_id"]
-    fresh = with_ids(fresh, old, start)
+    start = next_ids(old).first()
+    fresh = with_ids(fresh, old, start["next_img_id"] if first_id is None else first_id)
+    fresh = with_object_ids(fresh, start["next_obj_id"])
     tags = old.select("path", F.col("img_attrs.user_tags").alias("_tags"))
     fresh = fresh.join(tags, "path", "left").withColumn("img_attrs", F.col("img_attrs").withField("user_tags", F.coalesce("_tags", F.col("img_attrs.user_tags")))).drop("_tags")
     gone = change.where("change = 'deleted'").select("path")

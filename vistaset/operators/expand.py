@@ -21,6 +21,10 @@ from ..sources.schema import OBJECT, empty
 _FOUND = "image_path string, parent struct<obj_id:bigint,img_id:bigint,class:string,confidence:double,score:float>, class string, conf double, x double, y double, w double, h double, n int"
 
 
+#: Ids kept for the children of one parent.
+CHILDREN = 1 << 20
+
+
 def padded(x: float, y: float, w: float, h: float, padding: float) -> tuple[float, float, float, float]:
     """A centred box with padding on each side, clipped to the image."""
     dw, dh = w * (1 + 2 * padding) / 2, h * (1 + 2 * padding) / 2
@@ -66,8 +70,8 @@ def expander(library: Library, predictors: dict[str, Callable]):
             for f in frames:
                 crops = [padded(*t, pack.crop_padding) for t in zip(f.x, f.y, f.w, f.h, strict=True)]
                 out = []
-                for r, crop, found in zip(f.itertuples(index=False), crops, model(f.assign(crop=crops)), strict=True):
-                    parent = {"obj_id": r.obj_id, "img_id": r.img_id, "class": getattr(r, "_4", None) or f.loc[f.obj_id == r.obj_id, "class"].iloc[0], "confidence": r.confidence, "score": np.float32(r.score)}
+                for r, kind, crop, found in zip(f.itertuples(index=False), f["class"], crops, model(f.assign(crop=crops)), strict=True):
+                    parent = {"obj_id": r.obj_id, "img_id": r.img_id, "class": kind, "confidence": r.confidence, "score": np.float32(r.score)}
                     out += [(r.image_path, parent, *c, i) for i, c in enumerate(children(pack, found, crop))]
                 yield pd.DataFrame(out, columns=["image_path", "parent", "class", "conf", "x", "y", "w", "h", "n"])
 
@@ -75,7 +79,7 @@ def expander(library: Library, predictors: dict[str, Callable]):
         p = F.col("parent")
         rank = F.when(p["score"] > 0, p["score"]).otherwise(p["confidence"].cast("float"))
         # ids: below zero and unique per parent, so that they meet no detected object's
-        own = -(p["obj_id"] * 4096 + F.col("n") + 2)
+        own = -(p["obj_id"] * CHILDREN + F.col("n") + 2)
         child = empty(
             OBJECT, **{"class": F.col("class")}, x=F.col("x"), y=F.col("y"), w=F.col("w"), h=F.col("h"), area=F.col("w") * F.col("h"),
             confidence=F.col("conf"), original_class=F.col("class"), super_class=p["class"], parent_id=p["obj_id"], obj_id=own, img_id=p["img_id"],

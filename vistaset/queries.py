@@ -10,6 +10,9 @@ from .functions import fuzzy as fz
 from .operators import cluster, etl, sets
 from .session import Session
 from .sources import derived
+from .sources import library as sources
+from .sources.library import Library, Pack
+from .storage import new_path
 from .streaming import refresh
 
 QUERIES: dict = {}
@@ -347,3 +350,74 @@ def _state(spark: SparkSession, sf_dir: str) -> DataFrame:
     feed = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "ts", "event_id", (F.col("event_type") == "error").alias("gone"))
     start = feed.where("event_id % 2 = 0").drop("gone").limit(0)
     return refresh.apply_changes(start, feed, "user_id", ["ts", "event_id"], "gone").select("user_id", "event_id")
+
+
+# scripts, results and albums
+dsl("ses3_recovery", "x = = 3; $ any promo", f"{PRELUDE} SELECT path, {R6} FROM ({HAS_PROMO})")
+dsl("set8_left_to_right", "$ - ($ any promo) - ($ any small)", f"{PRELUDE} SELECT path, CAST(1 AS DOUBLE) AS score FROM img WHERE path NOT IN (SELECT path FROM ({HAS_PROMO})) AND path NOT IN (SELECT path FROM ({HAS_SMALL}))")
+dsl("rel2_above_objects", "$ : (any(above(obj, obj)))", any_(sig("y - (y + h)")))
+dsl("rel3_inside_objects", "macro grown(o) = o.w; $ : (any(inside(obj, obj) && grown(obj) > 0.4))", any_(f"least(CAST(0.5 AS FLOAT), {sig('w - 0.4')})"))
+frame("src14_smart_album", lambda s, d: sources.smart_album("$ any promo", Session(derived.library(s, d))), f"{PRELUDE} SELECT path, {R6} FROM ({HAS_PROMO})")
+
+
+def _answer(script: str):
+    """A script's JSON answer, read back."""
+    return lambda s, d: s.createDataFrame([(Session(derived.library(s, d)).run_json(script),)], "answer string").select(F.from_json("answer", "type string, value double, message string").alias("a")).select("a.*")
+
+
+frame("snk2_scalar", lambda s, d: _answer("cnt(goods)")(s, d).select("type", "value"), f"{PRELUDE} SELECT 'scalar' AS type, CAST(count(*) AS DOUBLE) AS value FROM obj WHERE class <> 'promo'")
+frame("snk3_error", lambda s, d: _answer("^ $")(s, d).select("type"), "SELECT 'error' AS type")
+frame("cmp11_mixed_types", lambda s, d: _answer("$ : (img_camera() > 3)")(s, d).select("type", "message"), "SELECT 'error' AS type, 'Type mismatch in binary operation' AS message")
+frame("set7_different_types", lambda s, d: _answer("($ any promo) | (% $)")(s, d).select("type"), "SELECT 'error' AS type")
+frame("nlq2_delete_refused", lambda s, d: _answer("del ($ any promo)")(s, d).select("type"), "SELECT 'error' AS type")
+frame("snk8_warmup", lambda s, d: s.createDataFrame([(Session(derived.library(s, d)).warmup(),)], "answer string").select(F.get_json_object("answer", "$.images").cast("long").alias("images")), f"{PRELUDE} SELECT count(*) AS images FROM img")
+
+
+def _snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_path(spark, "library")
+    sources.write_snapshot(derived.library(spark, sf_dir).images, folder, "base")
+    i = sources.read_snapshot(spark, folder, "base")
+    return i.select("path", "img_id", F.size("objects").alias("objects"), F.col("img_attrs.dominant_scene").alias("scene"))
+
+
+frame("snk6_snapshot", _snapshot, f"{PRELUDE} SELECT path, k AS img_id, CAST(count(p) AS INT) AS objects, scene FROM img LEFT JOIN obj USING (k) GROUP BY path, k, scene")
+
+# building
+frame("srt3_top_scenes", lambda s, d: derived.library(s, d).images.select("path", F.posexplode(etl.top_scenes(F.col("img_attrs.scene_vector"), derived.LABELS)).alias("place", "t")).select("path", "place", "t.p", "t.label"),
+      f"""{PRELUDE} SELECT path, CAST(row_number() OVER (PARTITION BY k ORDER BY n DESC, i) - 1 AS INT) AS place, round(CAST(CAST(n / CAST(1000 AS DOUBLE) AS FLOAT) AS DOUBLE), 6) AS p,
+    CASE WHEN i % 5 = 0 THEN 'place ' || CAST(i AS VARCHAR) ELSE 'scene-' || CAST(i % 350 AS VARCHAR) || ' ' || chr(CAST(97 + i % 26 AS INT)) END AS label
+  FROM (SELECT path, k, i, (k + i * i) % 17 AS n FROM img, range(365) r(i)) QUALIFY row_number() OVER (PARTITION BY k ORDER BY n DESC, i) <= 5""")
+frame("etl3_object_ids", lambda s, d: etl.with_object_ids(derived.library(s, d).images.select("path", "img_id", "objects"), 5_000_000).select("path", F.posexplode("objects").alias("pos", "o")).select("path", "pos", "o.obj_id", "o.img_id", "o.class"),
+      f"{PRELUDE} SELECT path, CAST(pos - 1 AS INT) AS pos, 5000000 + row_number() OVER (ORDER BY path, pos) - 1 AS obj_id, k AS img_id, class FROM img JOIN obj USING (k)")
+frame("etl10_scenes", lambda s, d: etl.completed(derived.library(s, d).images, derived.library(s, d), 0.7).select("path", F.col("img_attrs.dominant_scene").alias("scene"), F.size(F.filter("objects", lambda o: o["is_fallback"])).alias("unsure")),
+      f"""{PRELUDE}, t AS (SELECT k, min(i) AS i FROM (SELECT k, i FROM img, range(365) r(i) QUALIFY (k + i * i) % 17 = max((k + i * i) % 17) OVER (PARTITION BY k)) GROUP BY k)
+  SELECT path, CASE WHEN i % 5 = 0 THEN 'place ' || CAST(i AS VARCHAR) ELSE 'scene-' || CAST(i % 350 AS VARCHAR) || ' ' || chr(CAST(97 + i % 26 AS INT)) END AS scene,
+    CAST(count(CASE WHEN conf < 0.7 AND super <> 'root' THEN 1 END) AS INT) AS unsure FROM img JOIN t USING (k) LEFT JOIN obj USING (k) GROUP BY path, i""")
+
+
+def _found(f):
+    """A stand-in model: one child in the upper left quarter of each parent."""
+    return [[(int(i % 2), 0.4 + int(i % 7) / 10, 0.0, 0.0, 0.5, 0.5)] for i in f.obj_id]
+
+
+def _children(spark: SparkSession, sf_dir: str, classify: bool) -> DataFrame:
+    lib = derived.library(spark, sf_dir)
+    pack = Pack("details", "promo", ("lid", "label"), conf_threshold=0.5, is_classifier=classify)
+    s = Session(Library(lib.images, lib.collections, lib.classes, lib.labels, {"details": pack}), predictors={"details": _found})
+    return s.run("(% $) >> details").objects().select("image_path", "o.class", "o.super_class", "o.parent_id", "o.img_id", "o.x", "o.w", "o.confidence", "score")
+
+
+def _children_sql(left: str, width: str) -> str:
+    return f"""{PRELUDE}, c AS (SELECT *, k * 1000 + pos AS id, greatest(0, x - w * 1.2 / 2) AS x1, least(1, x + w * 1.2 / 2) AS x2 FROM img JOIN (SELECT k, pos, class, super, x, w, conf FROM obj) o USING (k) WHERE class = 'promo')
+  SELECT path AS image_path, CASE WHEN id % 2 = 0 THEN 'lid' ELSE 'label' END AS class, class AS super_class, id AS parent_id, k AS img_id,
+    round(CAST(x1 + {left} * (x2 - x1) AS DOUBLE), 6) AS x, round(CAST({width} * (x2 - x1) AS DOUBLE), 6) AS w, round(CAST(0.4 AS DOUBLE) + (id % 7) / CAST(10 AS DOUBLE), 6) AS confidence,
+    round(CAST(CAST(CAST(CAST(conf AS FLOAT) AS DOUBLE) * CAST(0.8999999761581421 AS DOUBLE) AS FLOAT) AS DOUBLE), 6) AS score FROM c WHERE id % 7 > 0"""
+
+
+frame("udtf1_detect_children", lambda s, d: _children(s, d, False), _children_sql("0.25", "0.5"))
+frame("udtf2_classify_children", lambda s, d: _children(s, d, True), _children_sql("0.5", "1"))
+frame("clu4_density", lambda s, d: cluster.density(_vectors(s, d), 0.4, 3).select("id", F.coalesce("comp", F.lit(-1)).alias("noise_or_comp")), """WITH RECURSIVE e AS (SELECT x.vec_id AS a, y.vec_id AS b FROM embeddings x JOIN embeddings y ON x.vec_id <> y.vec_id AND list_dot_product(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])) >= 0.4),
+  core AS (SELECT a AS id FROM e GROUP BY a HAVING count(*) >= 2),
+  r(id, node) AS (SELECT id, id FROM core UNION SELECT r.id, e.b FROM r JOIN e ON r.node = e.a WHERE e.b IN (SELECT id FROM core)),
+  c AS (SELECT id, min(node) AS comp FROM r GROUP BY id)
+  SELECT vec_id AS id, coalesce(c.comp, (SELECT min(d.comp) FROM e JOIN c d ON e.b = d.id WHERE e.a = vec_id), -1) AS noise_or_comp FROM embeddings LEFT JOIN c ON c.id = vec_id""")

@@ -143,12 +143,17 @@ def list_models(spark: SparkSession, registry: dict) -> DataFrame:
     return spark.createDataFrame([(b, b == registry["base"]) for b in registry["bases"]], "name string, active boolean").orderBy("name")
 
 
+def _pictures(files: DataFrame, *endings: str) -> DataFrame:
+    """Files by ending, in any case; contents are not read unless selected."""
+    return files.where(F.lower(F.substring_index("path", ".", -1)).isin(*endings))
+
+
 def scan_directory(spark: SparkSession, roots: list[str]) -> DataFrame:
     """(path, mtime, size, uri) of the pictures directly in the roots, by name.
 
     With several roots the name of the root's own folder stands before the file's.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{jpg,jpeg,png,JPG,JPEG,PNG,Jpg,Jpeg,Png}").load([r.rstrip("/") for r in roots])
+    files = _pictures(spark.read.format("binaryFile").load([r.rstrip("/") for r in roots]), "jpg", "jpeg", "png")
     parts = F.split("path", "/")
     name = F.element_at(parts, -1) if len(roots) == 1 else F.concat_ws("/", F.element_at(parts, -2), F.element_at(parts, -1))
     out = files.select(name.alias("path"), F.unix_timestamp("modificationTime").alias("mtime"), F.col("length").alias("size"), F.col("path").alias("uri"))
@@ -157,8 +162,8 @@ def scan_directory(spark: SparkSession, roots: list[str]) -> DataFrame:
 
 def count_pictures(spark: SparkSession, root: str) -> DataFrame:
     """The number of pictures anywhere below a root."""
-    glob = "*.{jpg,jpeg,png,bmp,webp,JPG,JPEG,PNG,BMP,WEBP}"
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root).agg(F.count("path").alias("images"))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    return _pictures(files, "jpg", "jpeg", "png", "bmp", "webp").agg(F.count("path").alias("images"))
 
 
 def write_snapshot(images: DataFrame, folder: str, model: str) -> str:
