@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .errors import QueryError
+from .operators import sets
 from .operators.etl import top_scenes
 from .sources.library import Library
 
@@ -62,7 +63,8 @@ def add_to_album(collections: DataFrame, name: str, paths: DataFrame) -> DataFra
     mine = collections.where(F.col("name") == name)
     new = paths.select("path").distinct().join(mine.select("path"), "path", "left_anti")
     last = mine.agg(F.coalesce(F.max("pos"), F.lit(-1)).alias("last"))
-    new = new.crossJoin(F.broadcast(last)).select(F.lit(name).alias("name"), (F.col("last") + F.row_number().over(Window.orderBy("path"))).cast("int").alias("pos"), "path")
+    new = sets.numbered(new, F.asc("path")).crossJoin(F.broadcast(last))
+    new = new.select(F.lit(name).alias("name"), (F.col("last") + F.col("place")).cast("int").alias("pos"), "path")
     return collections.unionByName(new)
 
 
@@ -93,8 +95,10 @@ def new_names(images: DataFrame, template: str) -> DataFrame:
     """
     cut = F.regexp_extract("path", r"(\.[^./]*)$", 1)
     date = F.regexp_replace(F.substring("img_attrs.datetime_original", 1, 10), "-", "")
+    if "{index}" in template:
+        images = images.join(sets.numbered(images.select("path"), F.asc("path"), out="_index"), "path")
     values: dict[str, Column] = {
-        "{index}": F.row_number().over(Window.orderBy("path")).cast("string"),
+        "{index}": F.col("_index").cast("string") if "{index}" in template else F.lit(""),
         "{date}": F.when(F.col("img_attrs.datetime_original") == "", "nodate").otherwise(date),
         "{scene}": F.when(F.col("img_attrs.dominant_scene") == "", "unknown").otherwise(F.col("img_attrs.dominant_scene")),
         "{object}": F.coalesce(F.get(F.col("objects"), F.lit(0))["class"], F.lit("unknown")),

@@ -69,10 +69,17 @@ def colour(wanted: Column | str, named: Column, s: Column, v: Column, hist: Colu
 
 
 def cosine(a: Column, b: Column) -> Column:
-    """Similarity of two histograms in double precision; a zero one is like none."""
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda t, e: t + F.coalesce(e, F.lit(0.0)))
-    na, nb = F.sqrt(dot(a, a)), F.sqrt(dot(b, b))
-    return F.when((na <= 1e-12) | (nb <= 1e-12), score(0)).otherwise(clamp(dot(a, b) / (na * nb)))
+    """Similarity of two histograms in double precision; a zero one is like none. One pass gives all three products."""
+    real = lambda x: F.coalesce(x.cast("double"), F.lit(0.0))
+    pairs = F.zip_with(a, b, lambda p, q: F.struct(real(p).alias("p"), real(q).alias("q")))
+    zero = F.struct(*[F.lit(0.0).alias(n) for n in ("pq", "pp", "qq")])
+    more = lambda t, e: F.struct((t["pq"] + e["p"] * e["q"]).alias("pq"), (t["pp"] + e["p"] * e["p"]).alias("pp"), (t["qq"] + e["q"] * e["q"]).alias("qq"))
+
+    def share(t: Column) -> Column:
+        na, nb = F.sqrt(t["pp"]), F.sqrt(t["qq"])
+        return F.when((na <= 1e-12) | (nb <= 1e-12), score(0)).otherwise(clamp(t["pq"] / (na * nb)))
+
+    return F.aggregate(pairs, zero, more, share)
 
 
 def number(s: Column) -> Column:
