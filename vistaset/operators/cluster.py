@@ -10,10 +10,11 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import written
+from . import sets
 from .graph import components
 
 BLOCK = 2048
@@ -72,7 +73,7 @@ def numbered(members: DataFrame, cluster: str, parent: str = "") -> DataFrame:
     """Adds ``cluster_id``: clusters are numbered by their first member in order of (path, obj_id)."""
     first = members.groupBy("comp").agg(F.min(F.struct("path", "obj_id")).alias("first"))
     # one row per cluster is numbered, not one per object
-    ranked = first.withColumn("n", F.row_number().over(Window.orderBy("first")))
+    ranked = sets.numbered(first.select("comp", "first.path", "first.obj_id"), F.asc("path"), F.asc("obj_id"), out="n")
     text = F.concat(F.lit(f"{cluster}_{parent or 'item'}_"), F.when(F.length(F.col("n").cast("string")) < 3, F.lpad(F.col("n").cast("string"), 3, "0")).otherwise(F.col("n").cast("string")))
     return members.join(ranked.select("comp", text.alias("cluster_id")), "comp").drop("comp")
 
