@@ -12,12 +12,12 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..storage import forget, new_path, shared_dir, written
 
-__all__ = ["WORD", "crc_mod", "forget", "new_path", "own_columns", "packed", "released", "shared_dir", "ship", "table", "unpacked", "whole_groups", "written"]
+__all__ = ["WORD", "crc_mod", "first_of", "forget", "new_path", "own_columns", "packed", "released", "shared_dir", "ship", "table", "unpacked", "whole_groups", "written"]
 
 #: Whitespace of the word rules: the ASCII space and tab to carriage return.
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -38,6 +38,18 @@ def own_columns(df: DataFrame, *names: str) -> DataFrame:
     return df.toDF(*(f"c{i}" for i in range(len(df.columns)))).select(*[F.col(f"c{i}").alias(n) for i, n in zip(at, names, strict=True)])
 
 
+def first_of(df: DataFrame, keys: list[str], order: list[Column], n: int, spread: int = 64) -> DataFrame:
+    """The first ``n`` rows of each key in an order, with their ``rank`` from 1.
+
+    Ranks are cut within tasks, then within ``spread`` parts of a key, then over the key, so one task never
+    gets more than ``n * spread`` rows of a frequent key at the end.
+    """
+    rank = lambda *by: F.row_number().over(Window.partitionBy(*keys, *by).orderBy(*order))
+    parts = df.withColumn("_part", F.pmod(F.spark_partition_id(), F.lit(spread)))
+    parts = parts.withColumn("rank", rank("_part")).where(F.col("rank") <= n).drop("_part")
+    return parts.withColumn("rank", rank()).where(F.col("rank") <= n)
+
+
 def whole_groups(batches, *keys: str):
     """Tables of a partition that is sorted by ``keys``: no group of equal keys is cut."""
     held: list[pa.RecordBatch] = []

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import functools
 
+from . import collocations, vector_codes
 from .bpe import op7_bpe
+from .collocations import op12_collocations
 from .common import ship
 from .descent import op4_descent
 from .framed import op9_token_files
@@ -15,6 +17,7 @@ from .mixing import op10_mix
 from .order_minhash import op6_order_minhash
 from .pii import op2_pii
 from .quality import op1_quality
+from .vector_codes import op11_vector_codes
 
 
 def shipped(f):
@@ -39,5 +42,7 @@ QUERIES = {n: shipped(f) for n, f in {
     "op8_jaccard": op8_jaccard,
     "op9_token_files": op9_token_files,
     "op10_mix": op10_mix,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_collocations": op12_collocations,
 }.items()}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op11_vector_codes": vector_codes.SQL, "op12_collocations": collocations.SQL}
