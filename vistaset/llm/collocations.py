@@ -129,7 +129,7 @@ def grams(docs: DataFrame, n: int, sieve: np.ndarray | None) -> DataFrame:
 
 
 def _rows(lang: str, phrases: list[bytes], f: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([lang] * len(phrases)), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(f.astype(np.int64))], ["lang", "phrase", "f"])
+    return pa.RecordBatch.from_arrays([pa.array([lang] * len(phrases), pa.string()), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(f.astype(np.int64))], ["lang", "phrase", "f"])
 
 
 def sieve(frequent: DataFrame) -> np.ndarray:
@@ -217,12 +217,15 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = f"""WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
   w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[ \\t]+'), lambda x: x <> '') AS w FROM p),
-  g AS MATERIALIZED (SELECT lang, w[i:i + k - 1] AS g, count(*) AS f FROM w, range(1, {LONGEST + 1}) t(k), range(1, 1 + (SELECT max(len(w)) FROM w)) s(i) WHERE i + k - 1 <= len(w) GROUP BY ALL),
-  n AS (SELECT lang, sum(f) AS n FROM g WHERE len(g) = 1 GROUP BY lang),
-  c AS MATERIALIZED (SELECT * FROM g WHERE len(g) > 1 AND f >= {LEAST}),
-  u AS (SELECT c.lang, c.g, c.f AS a, k, h.f AS l, t.f AS r, (CAST({SCORE} AS HUGEINT) * c.f) // (CAST(h.f AS HUGEINT) + t.f) AS score
-    FROM c JOIN range(1, {LONGEST}) x(k) ON k < len(c.g) JOIN g h ON h.lang = c.lang AND h.g = c.g[1:k] JOIN g t ON t.lang = c.lang AND t.g = c.g[k + 1:]),
-  b AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
-  d AS (SELECT c.lang, s.g, max(f) AS f FROM c, (VALUES (2), (3)) m(m), range(1, 4) q(i), LATERAL (SELECT c.g[i:i + m - 1] AS g) s WHERE m < len(c.g) AND i + m - 1 <= len(c.g) GROUP BY ALL)
-  SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, array_to_string(b.g, ' ')) AS rank, array_to_string(b.g, ' ') AS phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
-  FROM b JOIN n ON n.lang = b.lang LEFT JOIN d ON d.lang = b.lang AND d.g = b.g WHERE d.f IS NULL OR 100 * d.f < {ABSORBED} * a QUALIFY rank <= {PLACES}"""
+  i AS (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, range(1, {LONGEST + 1}) t(k)),
+  g AS MATERIALIZED (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS g, count(*) AS f FROM i GROUP BY ALL),
+  n AS (SELECT lang, sum(f) AS n FROM g WHERE k = 1 GROUP BY lang),
+  c AS MATERIALIZED (SELECT lang, k, g, f, string_split(g, ' ') AS w FROM g WHERE k > 1 AND f >= {LEAST}),
+  t AS (SELECT lang, g, f, w, unnest(range(1, k)) AS j FROM c),
+  u AS (SELECT t.lang, t.g, t.f AS a, j, x.f AS l, y.f AS r, (CAST({SCORE} AS HUGEINT) * t.f) // (CAST(x.f AS HUGEINT) + y.f) AS score
+    FROM t JOIN g x ON x.lang = t.lang AND x.g = array_to_string(w[1:j], ' ') JOIN g y ON y.lang = t.lang AND y.g = array_to_string(w[j + 1:], ' ')),
+  b AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, j) = 1),
+  e AS (SELECT lang, f, w, k, m, unnest(range(1, k - m + 2)) AS i FROM c, range(2, {LONGEST}) z(m) WHERE m < k),
+  d AS (SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS g, max(f) AS f FROM e GROUP BY ALL)
+  SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.g) AS rank, b.g AS phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+  FROM b JOIN n ON n.lang = b.lang LEFT JOIN d ON d.lang = b.lang AND d.g = b.g WHERE d.f IS NULL OR 100 * CAST(d.f AS HUGEINT) < {ABSORBED} * CAST(a AS HUGEINT) QUALIFY rank <= {PLACES}"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import functools
 
-from . import collocations, vector_codes
+from . import collocations, lines, vector_codes
 from .bpe import op7_bpe
 from .collocations import op12_collocations
 from .common import ship
@@ -12,6 +12,7 @@ from .descent import op4_descent
 from .framed import op9_token_files
 from .jaccard import op8_jaccard
 from .licenses import op5_licenses
+from .lines import op13_lines
 from .markov import op3_markov
 from .mixing import op10_mix
 from .order_minhash import op6_order_minhash
@@ -44,5 +45,6 @@ QUERIES = {n: shipped(f) for n, f in {
     "op10_mix": op10_mix,
     "op11_vector_codes": op11_vector_codes,
     "op12_collocations": op12_collocations,
+    "op13_lines": op13_lines,
 }.items()}
-ORACLE_SQL: dict[str, str] = {"op11_vector_codes": vector_codes.SQL, "op12_collocations": collocations.SQL}
+ORACLE_SQL: dict[str, str] = {"op11_vector_codes": vector_codes.SQL, "op12_collocations": collocations.SQL, "op13_lines": lines.SQL}

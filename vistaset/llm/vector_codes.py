@@ -63,10 +63,10 @@ def cuts(length: int) -> list[int]:
     return [i * length // PARTS for i in range(PARTS + 1)]
 
 
-def scaled(flat: np.ndarray, length: int) -> np.ndarray:
+def scaled(flat: np.ndarray, rows: int, length: int) -> np.ndarray:
     """Rows of integers floor(1024 x), cut off at the limit."""
     most = float(limit(length))
-    return np.clip(np.floor(SCALE * flat.astype(np.float64)), -most, most).astype(np.int64).reshape(-1, length)
+    return np.clip(np.floor(SCALE * flat.astype(np.float64)), -most, most).astype(np.int64).reshape(rows, length)
 
 
 def tree(points: np.ndarray) -> Tree:
@@ -171,7 +171,7 @@ def blocks(rows: DataFrame) -> DataFrame:
             lengths = b["length"].to_numpy()
             for length in map(int, np.unique(lengths)):
                 part = b.take(pa.array(np.flatnonzero(lengths == length)))
-                x = scaled(part["v"].flatten().to_numpy(zero_copy_only=False), length) if length else np.zeros((part.num_rows, 0), np.int64)
+                x = scaled(part["v"].flatten().to_numpy(zero_copy_only=False), part.num_rows, length)
                 for i in range(0, len(x), BLOCK):
                     held.setdefault(length, []).append((part["vec_id"][i : i + BLOCK], part["label"][i : i + BLOCK], x[i : i + BLOCK]))
                     if sum(len(h[2]) for h in held[length]) >= BLOCK:
@@ -193,7 +193,7 @@ def first_books(rows: DataFrame) -> dict[int, list[np.ndarray]]:
     out = {}
     for length, found in books.items():
         found.sort(key=lambda f: (f[0], 0 if f[0] else f[1], f[2]))
-        x = scaled(np.array([f[2] for f in found]), length)
+        x = scaled(np.array([f[2] for f in found]), len(found), length)
         out[length] = [x[:, a:b] for a, b in zip(cuts(length), cuts(length)[1:], strict=False)]
     return out
 
