@@ -1,54 +1,187 @@
 """Clusters of objects by embedding: connected groups of similar vectors, and density clusters.
 
-Vectors are compared in blocks: items are hashed into blocks, each pair of blocks meets once, and a
-matrix product gives the similar pairs; only those are emitted. Groups are found by contraction.
+Similar pairs are found by cells around pivots. Vectors are lifted onto the unit sphere (unit vectors stay as
+they are), where a dot product that reaches the threshold bounds the angle between two vectors. A vector lives
+in the cell of its nearest pivot and visits those earlier cells that can hold a partner by the triangle
+inequality: pivots whose angle exceeds that of its own by no more than twice the bound, and whose cell reaches
+into the bound. Cells meet in blocks of bounded size. Groups are found by contraction: equal vectors become
+one first, and a block sends the edges of a spanning forest, not all its pairs.
 """
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import written
+from ..storage import forget, written
 from . import sets
 from .graph import components
 
-BLOCK = 2048
+#: Vectors of a block; pivots at most (they are broadcast; beyond, cells grow and meet in more blocks).
+BLOCK, PIVOTS = 2048, 4096
+#: Slack for rounding, in radians: pairs are decided by their dot products, angles only rule cells out.
+SLACK = 1e-5
+_VECTOR = "id long, vec array<float>"
+
+
+@dataclass(frozen=True)
+class Cells:
+    """Vectors dealt to blocks of cells that must meet (``rows``), and how many pairs they compare."""
+
+    rows: DataFrame
+    compared: int
+    housed: DataFrame
+
+
+def _lifted(vec, most: float) -> np.ndarray:
+    """Points of the unit sphere: their dot products are at least those of the vectors over ``most``, the greatest squared length."""
+    x = np.array(vec.to_list(), np.float64)
+    rest = np.sqrt(np.maximum(most - (x * x).sum(1), 0))
+    return np.column_stack([x, rest]) / np.sqrt(most)
+
+
+def _angles(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(x @ pivots.T, -1, 1))
+
+
+def cells(items: DataFrame, threshold: float) -> Cells:
+    """The meetings of items (id, vec) that cover every pair whose dot product reaches the threshold."""
+    v = items.where("vec is not null").select(F.col("id").cast("long").alias("id"), F.col("vec").cast("array<float>").alias("vec"))
+    square = F.aggregate("vec", F.lit(0.0), lambda t, x: t + x.cast("double") * x.cast("double"))
+    n, most = v.agg(F.count(F.lit(1)), F.max(square)).first()
+    most = max(most or 0.0, 1e-30)
+    bound = float(np.arccos(np.clip(threshold / most, -1, 1))) + SLACK
+    # as many pivots as vectors of a mean cell: assigning and comparing cost about the same
+    chosen = v.select("vec", F.xxhash64("id").alias("h")).orderBy("h", "vec").limit(min(PIVOTS, int(np.sqrt(n)) + 1)).select("vec").toPandas()
+    pivots = _lifted(chosen.vec, most) if len(chosen) else np.zeros((1, 1))
+    spread = items.sparkSession.sparkContext.broadcast(pivots)
+
+    def home(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            if len(f):
+                a = _angles(_lifted(f.vec, most), spread.value)
+                yield f.assign(home=a.argmin(1).astype(np.int32), far=a.min(1))
+
+    housed = written(v.mapInPandas(home, f"{_VECTOR}, home int, far double"), "cells")
+    count, radius = np.zeros(len(pivots), np.int64), np.full(len(pivots), -np.inf)
+    for r in housed.groupBy("home").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("r")).collect():  # a row per pivot
+        count[r["home"]], radius[r["home"]] = r["n"], r["r"]
+
+    def reached(f: pd.DataFrame) -> np.ndarray:
+        """The earlier cells that each vector visits."""
+        a = _angles(_lifted(f.vec, most), spread.value)
+        near = (a - f.far.to_numpy()[:, None] <= 2 * bound) & (a <= bound + radius[None])
+        return near & (np.arange(len(count))[None] < f.home.to_numpy()[:, None])
+
+    def visits(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(len(count), np.int64)
+        for f in frames:
+            if len(f):
+                total += reached(f).sum(0)
+        at = np.flatnonzero(total)
+        yield pd.DataFrame({"cell": at.astype(np.int32), "n": total[at]})
+
+    guests = np.zeros(len(count), np.int64)
+    for r in housed.mapInPandas(visits, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+        guests[r["cell"]] = r["n"]
+    own, other = -(-count // BLOCK), -(-guests // BLOCK)
+
+    def deal(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """A resident goes to its block's meetings with every block and guest block of its cell, a guest to every block."""
+        for f in frames:
+            if not len(f):
+                continue
+            # a multiplied id: its high bits deal rows evenly whatever the ids are
+            mixed = (f.id.to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+            who, cell, guest = np.arange(len(f)), f.home.to_numpy(), np.zeros(len(f), bool)
+            w, c = np.nonzero(reached(f))
+            who, cell, guest = np.concatenate([who, w]), np.concatenate([cell, c]), np.concatenate([guest, np.ones(len(w), bool)])
+            block = mixed[who] % np.where(guest, other[cell], own[cell]).astype(np.uint64)
+            copies = np.where(guest, own[cell], own[cell] + other[cell])
+            row = np.repeat(np.arange(len(who)), copies)
+            k = np.arange(len(row)) - np.repeat(np.cumsum(copies) - copies, copies)
+            b, g, c = block[row].astype(np.int64), guest[row], cell[row]
+            left = np.where(g, k, np.where(k < own[c], np.maximum(b, k), b))
+            right = np.where(g, own[c] + b, np.where(k < own[c], np.minimum(b, k), k))
+            out = f[["id", "vec"]].iloc[who[row]].reset_index(drop=True)
+            yield out.assign(cell=c.astype(np.int32), p=left.astype(np.int32), q=right.astype(np.int32), k=np.where(g, right, b).astype(np.int32))
+
+    rows = housed.mapInPandas(deal, f"{_VECTOR}, cell int, p int, q int, k int")
+    return Cells(rows, int((count * (count - 1) // 2 + count * guests).sum()), housed)
+
+
+def _near(f: pd.DataFrame, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, sim), a < b, of the similar pairs of two blocks that meet."""
+    p, q = f.p.iloc[0], f.q.iloc[0]
+    left, right = f[f.k == p], f[f.k == q]
+    if not len(left) or not len(right):
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float32)
+    x, y = (np.stack(t.vec.to_list()).astype(np.float32) for t in (left, right))
+    s = x @ y.T
+    i, j = np.nonzero(s >= np.float32(threshold))
+    a, b = left.id.to_numpy()[i], right.id.to_numpy()[j]
+    keep = a < b if p == q else a != b
+    return np.minimum(a, b)[keep], np.maximum(a, b)[keep], s[i, j][keep]
+
+
+def similar(items: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, sim), a < b, of all items (id, vec) whose dot product reaches the threshold. Null vectors have no partners."""
 
+    def near(f: pd.DataFrame) -> pd.DataFrame:
+        a, b, s = _near(f, threshold)
+        return pd.DataFrame({"a": a, "b": b, "sim": s})
+
+    return cells(items, threshold).rows.groupBy("cell", "p", "q").applyInPandas(near, "a long, b long, sim float")
+
+
+def forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Places of edges that connect what all edges connect."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y, top = at[: len(a)], at[len(a) :], np.arange(len(nodes))
+    kept, open_ = [], np.arange(len(a))
+    while len(open_):
+        # every root takes its first open edge to a smaller root, then chains are followed to their ends
+        u, v = top[x[open_]], top[y[open_]]
+        open_, u, v = open_[u != v], u[u != v], v[u != v]
+        high, first = np.unique(np.maximum(u, v), return_index=True)
+        top[high] = np.minimum(u, v)[first]
+        kept.append(open_[first])
+        while (top[top] != top).any():
+            top = top[top]
+    return np.concatenate(kept) if kept else np.empty(0, np.int64)
 
-def similar(items: DataFrame, threshold: float, count: int | None = None) -> DataFrame:
-    """(a, b, sim), a < b, of all items (id, vec) whose dot product reaches the threshold."""
-    n = max(1, math.ceil((items.count() if count is None else count) / BLOCK))
-    blocks = items.select("id", F.col("vec").cast("array<float>").alias("vec"), F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("k"))
-    # a block is sent to every pair that it is part of: n copies, not n^2
-    sent = blocks.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    sent = sent.select("id", "vec", "k", F.least("k", "o").alias("p"), F.greatest("k", "o").alias("q"))
+
+def linked(items: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): edges that connect the items which chains of similar pairs connect, at most one per member of a block."""
 
     def near(f: pd.DataFrame) -> pd.DataFrame:
-        p, q = f.p.iloc[0], f.q.iloc[0]
-        left = f[f.k == p]
-        right = f[f.k == q]
-        out = []
-        if len(left) and len(right):
-            x, y = (np.stack(t.vec.to_list()).astype(np.float32) for t in (left, right))
-            s = x @ y.T
-            i, j = np.nonzero(s >= np.float32(threshold))
-            a, b = left.id.to_numpy()[i], right.id.to_numpy()[j]
-            keep = a < b if p == q else a != b
-            out = pd.DataFrame({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep], "sim": s[i, j][keep]})
-        return out if len(out) else pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64"), "sim": pd.Series(dtype="float32")})
-
-    return sent.groupBy("p", "q").applyInPandas(near, "a long, b long, sim float")
+        a, b, _ = _near(f, threshold)
+        at = forest(a, b)
+        return pd.DataFrame({"a": a[at], "b": b[at]})
+
+    return cells(items, threshold).rows.groupBy("cell", "p", "q").applyInPandas(near, "a long, b long")
 
 
 def groups(items: DataFrame, threshold: float) -> DataFrame:
-    """(id, comp): items connected by similar pairs; comp is the smallest id. Lone items are their own."""
-    comp = components(similar(items, threshold).select("a", "b"))
-    return items.select("id").join(comp, "id", "left").select("id", F.coalesce("comp", "id").alias("comp"))
+    """(id, comp): items connected by similar pairs; comp is the smallest id. Lone items are their own.
+
+    Items of equal vectors that reach the threshold with themselves count as one; the rest are compared.
+    """
+    v = items.select("id", F.col("vec").cast("array<float>").alias("vec"))
+    square = F.aggregate("vec", F.lit(0.0), lambda t, x: t + x.cast("double") * x.cast("double"))
+    # a margin for single precision: vectors near the threshold stay apart until they are compared
+    same = F.when(square >= threshold + 1e-4 * abs(threshold) + 1e-6, F.lit(None)).otherwise(F.col("id"))
+    one = v.groupBy("vec", same.alias("_own")).agg(F.min("id").alias("rep")).where("vec is not null")
+    reps = written(one.select(F.col("rep").alias("id"), "vec", "_own"), "representatives")
+    comp = components(linked(reps.select("id", "vec"), threshold))
+    comp = reps.join(comp, "id", "left").select(F.col("vec").alias("_v"), F.col("_own").alias("_o"), F.coalesce("comp", "id").alias("comp"))
+    named = v.withColumn("_own", same).join(comp, (F.col("vec") == F.col("_v")) & F.col("_own").eqNullSafe(F.col("_o")), "left")
+    return named.select("id", F.coalesce("comp", "id").alias("comp"))
 
 
 def density(items: DataFrame, threshold: float, least: int) -> DataFrame:

@@ -108,7 +108,7 @@ def infer(files: DataFrame, detect: Callable, classes: tuple[str, ...], base_con
     """Images from decoded pictures (path, mtime, size, height, width, data: BGR bytes, exif).
 
     ``detect`` maps a batch of letterboxed pictures to raw outputs of shape (4 + classes, anchors);
-    ``scenes`` maps pictures to scene probabilities. Both run once per Arrow batch.
+    ``scenes`` maps a batch of pictures in its input form (``pixels.scene_input``) to logits. Both run once per Arrow batch.
     """
     import numpy as np
 
@@ -119,7 +119,7 @@ def infer(files: DataFrame, detect: Callable, classes: tuple[str, ...], base_con
             pictures = [np.frombuffer(d, np.uint8).reshape(h, w, 3) for d, h, w in zip(f.data, f.height, f.width, strict=True)]
             boxed = [pixels.letterbox(p, size) for p in pictures]
             raw = detect(np.stack([b[0] for b in boxed])) if boxed else []
-            rooms = scenes(pictures) if scenes and boxed else [None] * len(boxed)
+            rooms = pixels.softmax(np.asarray(scenes(np.stack([pixels.scene_input(p) for p in pictures])))) if scenes and boxed else [None] * len(boxed)
             out = []
             for r, p, b, y, v in zip(f.itertuples(index=False), pictures, boxed, raw, rooms, strict=True):
                 attrs = pixels.image_attrs(p) | dict(r.exif or {})
@@ -135,24 +135,35 @@ def infer(files: DataFrame, detect: Callable, classes: tuple[str, ...], base_con
     return got.select("path", "mtime", "size", F.lit(-1).cast("bigint").alias("img_id"), filled(F.col("attrs"), IMAGE_ATTRS).alias("img_attrs"), objs.alias("objects"))
 
 
-def refresh(library: Library, listing: DataFrame, build: Callable[[DataFrame], DataFrame], first_id: int | None = None) -> Library:
-    """The library after a new listing: files that are new or changed are built, lost ones go.
+def rebuilt(library: Library, listing: DataFrame, build: Callable[[DataFrame], DataFrame], first_id: int | None = None, whole: bool = True, again: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Images built from the new and changed files of a listing, and the paths that are gone.
 
-    ``build`` maps listing rows to images (``completed`` of ``infer``, say); a file that it gives no image for
-    keeps its old one. Objects of built images get new ids. User tags of rebuilt images stay, and albums lose
-    paths that are gone.
+    ``build`` sees each such file once: what it makes is written before ids are given. A listing that is not
+    ``whole`` shows only some files, so none is gone; with ``again``, known files are built too.
     """
     old = library.images
     change = changes(old, listing)
-    work = listing.join(change.where(F.col("change").isin("added", "modified")), "path")
-    fresh = build(work.drop("change"))
+    work = listing.join(change.where(F.col("change").isin("added", "modified", *(["same"] if again else []))).select("path"), "path")
+    fresh = written(build(work), "built")
     start = next_ids(old).first()
     fresh = with_ids(fresh, old, start["next_img_id"] if first_id is None else first_id)
     fresh = with_object_ids(fresh, start["next_obj_id"])
     tags = old.select("path", F.col("img_attrs.user_tags").alias("_tags"))
     fresh = fresh.join(tags, "path", "left").withColumn("img_attrs", F.col("img_attrs").withField("user_tags", F.coalesce("_tags", F.col("img_attrs.user_tags")))).drop("_tags")
     gone = change.where("change = 'deleted'").select("path")
+    return fresh.select(*old.columns), gone if whole else gone.limit(0)
+
+
+def refresh(library: Library, listing: DataFrame, build: Callable[[DataFrame], DataFrame], first_id: int | None = None, again: bool = False) -> Library:
+    """The library after a new listing: files that are new or changed are built, lost ones go.
+
+    ``build`` maps listing rows to images (``completed`` of ``infer``, say); a file that it gives no image for
+    keeps its old one. Objects of built images get new ids. User tags of rebuilt images stay, and albums lose
+    paths that are gone. With ``again``, all files are built, as after a change of model.
+    """
+    old = library.images
+    fresh, gone = rebuilt(library, listing, build, first_id, again=again)
     kept = old.join(gone, "path", "left_anti").join(fresh.select("path"), "path", "left_anti")
-    images = kept.select(*old.columns).unionByName(fresh.select(*old.columns))
+    images = kept.select(*old.columns).unionByName(fresh)
     albums = library.collections.join(gone, "path", "left_anti").select(*library.collections.columns)
     return Library(images, albums, library.classes, library.labels, library.packs)

@@ -9,6 +9,8 @@ HUE_NAMES = ((15, "red"), (45, "orange"), (70, "yellow"), (150, "green"), (190,
 #: Linear sRGB to XYZ.
 XYZ = np.array([[0.4124564, 0.3575761, 0.1804375], [0.2126729, 0.7151522, 0.0721750], [0.0193339, 0.1191920, 0.9503041]])
 SHARP = 3000.0
+#: Means and deviations of red, green and blue that scene models are trained with.
+MEANS, DEVIATIONS = np.array([0.485, 0.456, 0.406], np.float32), np.array([0.229, 0.224, 0.225], np.float32)
 
 
 def hsv(bgr: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -110,18 +112,52 @@ def image_attrs(bgr: np.ndarray) -> dict:
     }
 
 
+def _weights(old: int, new: int) -> np.ndarray:
+    """(new, old) weights of a cubic kernel along one axis; shrinking widens the kernel, edges repeat."""
+    step = old / new
+    wide = max(1.0, step)
+    at = (np.arange(new) + 0.5) * step - 0.5
+    reach = int(np.ceil(2 * wide))
+    j = np.floor(at)[:, None].astype(int) + np.arange(-reach, reach + 2)[None]
+    d = np.abs(j - at[:, None]) / wide
+    # the cubic of slope -1/2: it passes through the pixels and keeps straight lines
+    w = np.where(d <= 1, (1.5 * d - 2.5) * d * d + 1, np.where(d < 2, ((-0.5 * d + 2.5) * d - 4) * d + 2, 0))
+    out = np.zeros((new, old))
+    np.add.at(out, (np.repeat(np.arange(new), j.shape[1]), j.clip(0, old - 1).ravel()), (w / w.sum(1, keepdims=True)).ravel())
+    return out
+
+
+def resample(bgr: np.ndarray, height: int, width: int) -> np.ndarray:
+    """The picture in another size, rounded to whole levels."""
+    h, w = bgr.shape[:2]
+    p = np.tensordot(_weights(h, height), bgr.astype(np.float64), (1, 0))
+    p = np.moveaxis(np.tensordot(_weights(w, width), p, (1, 1)), 0, 1)
+    return np.clip(np.floor(p + 0.5), 0, 255).astype(np.uint8)
+
+
 def letterbox(bgr: np.ndarray, size: int) -> tuple[np.ndarray, float, int, int]:
     """The image scaled into a square with grey borders, as channels first in 0..1; and scale and offsets."""
     h, w = bgr.shape[:2]
     scale = min(size / h, size / w)
-    nh, nw = max(1, int(h * scale)), max(1, int(w * scale))
-    rows, cols = (np.arange(nh) / scale).astype(int).clip(0, h - 1), (np.arange(nw) / scale).astype(int).clip(0, w - 1)
+    nh, nw = (max(1, int(np.floor(n * scale + 0.5))) for n in (h, w))
     out = np.full((size, size, 3), 114, np.uint8)
     top, left = (size - nh) // 2, (size - nw) // 2
-    out[top : top + nh, left : left + nw] = bgr[rows][:, cols]
+    out[top : top + nh, left : left + nw] = resample(bgr, nh, nw)
     return out[..., ::-1].transpose(2, 0, 1).astype(np.float32) / 255, scale, left, top
 
 
+def scene_input(bgr: np.ndarray, size: int = 224) -> np.ndarray:
+    """The picture squeezed into a square, channels first, in units of the usual means and deviations."""
+    rgb = resample(bgr, size, size)[..., ::-1].astype(np.float32) / 255
+    return ((rgb - MEANS) / DEVIATIONS).transpose(2, 0, 1)
+
+
+def softmax(x: np.ndarray) -> np.ndarray:
+    """Probabilities of rows of logits; large ones do not overflow."""
+    e = np.exp(x.astype(np.float64) - x.max(-1, keepdims=True))
+    return (e / e.sum(-1, keepdims=True)).astype(np.float32)
+
+
 def decode(raw: np.ndarray, conf: float, scale: float, left: int, top: int, width: int, height: int) -> list[tuple]:
     """(class, confidence, x, y, w, h) of a raw output of shape (4 + classes, anchors), in parts of the image."""
     k = raw[4:].argmax(0)

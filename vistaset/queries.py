@@ -9,11 +9,11 @@ from . import catalog
 from .functions import fuzzy as fz
 from .operators import cluster, etl, sets
 from .session import Session
-from .sources import derived
+from .sources import derived, versions
 from .sources import library as sources
 from .sources.library import Library, Pack
 from .storage import new_path
-from .streaming import refresh
+from .streaming import keyed, refresh
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -352,6 +352,33 @@ def _state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return refresh.apply_changes(start, feed, "user_id", ["ts", "event_id"], "gone").select("user_id", "event_id")
 
 
+def _keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a stream of four batches, each of all times; keys whose last event is an error are deleted."""
+    feed, at = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "ts", "event_id", "event_type", (F.col("event_type") == "error").alias("gone")), new_path(spark, "feed")
+    feed.withColumn("batch", F.col("event_id") % 4).repartition(4, "batch").write.partitionBy("batch").parquet(at)
+    stream = spark.readStream.schema(feed.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(at)
+    log = new_path(spark, "log")
+    keyed.log(keyed.taking_effect(stream, "user_id", "ts", "event_id", "gone", keep=0, delay="36500 days"), log, new_path(spark, "checkpoint")).awaitTermination()
+    return keyed.table(spark, log, "user_id", ["ts", "event_id"], "gone").select("user_id", "event_id", "event_type")
+
+
+frame("stm2_keyed_state", _keyed, "SELECT user_id, event_id, event_type FROM (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1) WHERE event_type <> 'error'")
+
+
+def _versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two changes on a base, read back as the last version and, for their paths, as the first."""
+    images, folder = derived.library(spark, sf_dir).images, new_path(spark, "library")
+    versions.replace(images.where("img_id % 3 <> 0"), folder, "base")
+    versions.change(images.where("img_id % 5 = 0").withColumn("size", F.lit(-1).cast("long")), images.where("img_id % 7 = 0"), folder, "base", batch=0)
+    versions.change(images.where("img_id % 11 = 0").withColumn("size", F.lit(-2).cast("long")), None, folder, "base", batch=1)
+    versions.change(images.limit(0), images, folder, "base", batch=1)
+    first = versions.read(spark, folder, "base", 0).select("path", F.lit(True).alias("was"))
+    return versions.read(spark, folder, "base").join(first, "path", "left").select("path", "img_id", "size", F.size("objects").alias("objects"), F.coalesce("was", F.lit(False)).alias("was"))
+
+
+frame("etl13_versions", _versions, f"""{PRELUDE} SELECT path, k AS img_id, CASE WHEN k % 11 = 0 THEN -2 WHEN k % 5 = 0 THEN -1 ELSE c END AS size, CAST(count(p) AS INT) AS objects, k % 3 <> 0 AS was
+  FROM img LEFT JOIN obj USING (k) WHERE k % 11 = 0 OR k % 5 = 0 OR (k % 3 <> 0 AND k % 7 <> 0) GROUP BY path, k, c""")
+
 # scripts, results and albums
 dsl("ses3_recovery", "x = = 3; $ any promo", f"{PRELUDE} SELECT path, {R6} FROM ({HAS_PROMO})")
 dsl("set8_left_to_right", "$ - ($ any promo) - ($ any small)", f"{PRELUDE} SELECT path, CAST(1 AS DOUBLE) AS score FROM img WHERE path NOT IN (SELECT path FROM ({HAS_PROMO})) AND path NOT IN (SELECT path FROM ({HAS_SMALL}))")

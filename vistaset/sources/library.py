@@ -5,14 +5,14 @@ from __future__ import annotations
 import configparser
 import io
 import json
-import uuid
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import QueryError
-from .schema import COLLECTIONS, IMAGE_ATTRS, IMAGES, OBJECT, filled
+from . import versions
+from .schema import COLLECTIONS, IMAGE_ATTRS, OBJECT, filled
 
 VERSION = "1.2"
 
@@ -167,18 +167,13 @@ def count_pictures(spark: SparkSession, root: str) -> DataFrame:
 
 
 def write_snapshot(images: DataFrame, folder: str, model: str) -> str:
-    """Write images as a new snapshot of a model and point to it; the pointer changes last."""
-    spark = images.sparkSession
-    path = f"{folder.rstrip('/')}/model={model}/snapshot-{uuid.uuid4().hex}"
-    images.write.mode("errorifexists").parquet(path)
-    pointer = spark.createDataFrame([(path,)], "path string").coalesce(1)
-    pointer.write.mode("overwrite").text(f"{folder.rstrip('/')}/pointers/{model}")
-    return path
+    """Write images as a new version of a model's library; it comes into force in one step."""
+    return versions.replace(images, folder, model).tables[-1]
 
 
 def read_snapshot(spark: SparkSession, folder: str, model: str) -> DataFrame:
-    at = spark.read.text(f"{folder.rstrip('/')}/pointers/{model}").first()[0]
-    return spark.read.schema(IMAGES).parquet(at)
+    """The images in force."""
+    return versions.read(spark, folder, model)
 
 
 def smart_album(text: str, session) -> DataFrame:
