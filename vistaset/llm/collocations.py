@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,23 +36,14 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 _SCHEMA = "lang string, phrase string, f long"
 
 
-class _Numbers(dict):
-    """Words to numbers, in order of appearance; 0 is the empty word, 1 the end of a piece."""
-
-    def __init__(self):
-        super().__init__({b"": 0, b"\n": 1})
-
-    def __missing__(self, word):
-        self[word] = n = len(self)
-        return n
-
-
 def numbered_words(texts: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
-    """Word numbers of texts in order, a 1 between pieces, and the words."""
-    known = _Numbers()
-    words = b"\n".join(texts).translate(_TO).replace(b"\n", b" \n ").split(b" ")
-    ids = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-    return ids[ids > 0], list(known)
+    """Word numbers of texts in order, a 1 between pieces, and the words by number; 0 is the empty word."""
+    # each word keeps the space behind it, so words are slices of one buffer that Arrow numbers
+    data = b" \n " + b"\n".join(texts).translate(_TO).replace(b"\n", b" \n ") + b" "
+    ends = np.concatenate([[0], np.flatnonzero(np.frombuffer(data, np.uint8) == 32) + 1])
+    found = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(data)]).dictionary_encode()
+    ids = found.indices.to_numpy()[2:].astype(np.int64)
+    return ids[ids > 0], [w[:-1] for w in found.dictionary.to_pylist()]
 
 
 def _stirred(x: np.ndarray) -> np.ndarray:
@@ -105,7 +97,7 @@ def grams(docs: DataFrame, n: int, sieve: np.ndarray | None) -> DataFrame:
                     f = np.bincount(ids, minlength=len(words))
                     f[1] = 0
                     some = np.flatnonzero(f)
-                    yield _rows(lang, [words[i] for i in some], f[some])
+                    yield _rows(lang, pa.array([words[i] for i in some], pa.binary()), f[some])
                     continue
                 at = np.flatnonzero(ids > 1)
                 for k in range(1, n):
@@ -119,17 +111,18 @@ def grams(docs: DataFrame, n: int, sieve: np.ndarray | None) -> DataFrame:
                 for k in range(1, n):
                     # codes of the first words, made dense, times the number of words: exact for any length
                     code = np.unique(code, return_inverse=True)[1] * len(words) + ids[at + k]
+                spelled = pa.array(words, pa.binary())
                 _, first, f = np.unique(code, return_index=True, return_counts=True)
                 for i in range(0, len(first), 1 << 18):
-                    parts = [[words[w] for w in ids[at[first[i : i + (1 << 18)]] + k].tolist()] for k in range(n)]
-                    yield _rows(lang, [b" ".join(p) for p in zip(*parts, strict=True)], f[i : i + (1 << 18)])
+                    parts = [spelled.take(pa.array(ids[at[first[i : i + (1 << 18)]] + k])) for k in range(n)]
+                    yield _rows(lang, pc.binary_join_element_wise(*parts, b" "), f[i : i + (1 << 18)])
         released()
 
     return docs.mapInArrow(run, _SCHEMA)
 
 
-def _rows(lang: str, phrases: list[bytes], f: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([lang] * len(phrases), pa.string()), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(f.astype(np.int64))], ["lang", "phrase", "f"])
+def _rows(lang: str, phrases: pa.Array, f: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([lang] * len(phrases), pa.string()), phrases.cast(pa.string()), pa.array(f.astype(np.int64))], ["lang", "phrase", "f"])
 
 
 def sieve(frequent: DataFrame) -> np.ndarray:
