@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from tests.golden import library
 from vistaset.errors import QueryError
-from vistaset.operators import cluster, etl, pixels
+from vistaset.operators import cluster, detect, embed, etl, pixels, runs
 from vistaset.sources import pictures, versions
+from vistaset.sources.library import Library, Pack
 from vistaset.streaming import folder, keyed
 
 
@@ -262,5 +263,64 @@ def test_scenes(spark):
         out[:, 3] = 10
         return out
 
-    made = etl.completed(etl.infer(rows, lambda b: np.zeros((len(b), 6, 1), np.float32), ("cat", "dog"), size=32, scenes=scenes), library(spark).__class__(library(spark).images, library(spark).collections, (), tuple(f"s{i}" for i in range(365)))).collect()[0]
+    made = etl.completed(etl.infer(rows, lambda b: np.zeros((len(b), 6, 1), np.float32), ("cat", "dog"), size=32, scenes=scenes), Library(library(spark).images, library(spark).collections, (), tuple(f"s{i}" for i in range(365)))).collect()[0]
     assert made["img_attrs"]["dominant_scene"] == "s3" and calls.value == 1 and made["img_attrs"]["indoor_score"] == pytest.approx(1, abs=0.02)
+
+
+@pytest.mark.parametrize("step", [512, 3])
+def test_suppression_of_rows(spark, monkeypatch, step):
+    """Against the plain kernel, with groups that span Arrow batches and one group that holds most rows."""
+    monkeypatch.setattr(detect, "STEP", step)
+    rng = np.random.default_rng(6)
+    rows = [(int(min(rng.integers(0, 9), 2)), int(rng.integers(0, 2)), i, *map(float, rng.uniform(0.05, 0.5, 4).round(2))) for i in range(500)]
+    df = spark.createDataFrame([*rows, (0, 0, 999, None, 0.1, 0.1, 0.1)], "p int, k int, id int, x double, y double, w double, h double").repartition(5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "40")
+    try:
+        got = {r["id"] for r in detect.suppressed(df, 0.3, ["p", "k"], [F.col("id")]).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = set()
+    for g in {r[:2] for r in rows}:
+        left = sorted((r for r in rows if r[:2] == g), key=lambda r: (-(r[5] * r[6]), r[2]))
+        for r in left:
+            if all(detect._overlap(np.array([r[3:]]), np.array([o[3:]]))[0, 0] <= 0.3 for o in left if o[2] in want):
+                want.add(r[2])
+    assert got == want and detect.suppressed(df.limit(0), 0.3, ["p"], []).count() == 0
+
+
+def test_decoding_of_rows(spark):
+    raw = np.zeros((6, 3), np.float32)
+    raw[:, 0], raw[:, 1], raw[:, 2] = [32, 32, 32, 16, 0.9, 0.1], [200, 32, 8, 8, 0.9, 0.1], [32, 32, 8, 8, 0.1, 0.2]
+    rows = [(i, *map(float, raw[:4, i]), raw[4:, i].tolist(), 0.64, 0, 16, 100, 50) for i in range(3)]
+    df = spark.createDataFrame(rows, "id int, cx double, cy double, w double, h double, scores array<float>, scale double, left int, top int, width int, height int")
+    (r,) = detect.decoded(df, 0.25).collect()
+    ((k, c, *box),) = pixels.decode(raw, 0.25, 0.64, 0, 16, 100, 50)
+    assert (r["id"], r["k"], r["confidence"]) == (0, k, pytest.approx(c)) and [r[c] for c in "xywh"] == pytest.approx(box)
+
+
+def test_embeddings_of_objects(spark):
+    lib = library(spark)
+    shown = spark.createDataFrame([(p, 6, 9, bytearray(_picture(i).tobytes())) for i, p in enumerate(("a.jpg", "b.jpg"))], "path string, height int, width int, data binary")
+    pack = Pack("face", "animal", input_size=4, can_extract_embedding=True, embedding_name="face", can_cluster=True, cluster_name="face", cluster_threshold=0.999)
+
+    def model():
+        return lambda x: x.reshape(len(x), -1)[:, :12]
+
+    out = embed.clustered(lib, pack, lambda o: embed.crops(o, shown, pack), model, [3, 4, 4])
+    got = {o["class"]: o for r in out.images.collect() for o in r["objects"]}
+    assert len(got["cat"]["embeddings"]["face"]) == 12 and np.linalg.norm(got["dog"]["embeddings"]["face"]) == pytest.approx(1)
+    assert got["cat"]["cluster_ids"]["face"] == "face_animal_001" and got["dog"]["cluster_ids"]["face"] == "face_animal_002" and not got["person"]["embeddings"]
+    with pytest.raises(QueryError):
+        embed.parents(lib, Pack("off", "animal"))
+
+
+def test_runs(spark, tmp_path):
+    at = str(tmp_path / "runs")
+    new = library(spark).images.select("path", "mtime", "size")
+    for i, old in enumerate((new.limit(0), new, new, new)):
+        change, seen = runs.observed(old, new)
+        assert change.count() == 4
+        runs.record(spark, at, min(i, 2), seen)
+    r = runs.hit_ratio(runs.history(spark, at)).first()
+    assert (r["runs"], r["hits"], r["ratio"]) == (3, 2, pytest.approx(2 / 3))
+    assert runs.hit_ratio(runs.history(spark, at).limit(0)).first()["ratio"] is None

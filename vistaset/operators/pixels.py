@@ -146,10 +146,14 @@ def letterbox(bgr: np.ndarray, size: int) -> tuple[np.ndarray, float, int, int]:
     return out[..., ::-1].transpose(2, 0, 1).astype(np.float32) / 255, scale, left, top
 
 
+def normal(bgr: np.ndarray) -> np.ndarray:
+    """Pixels channels first, in units of the usual means and deviations."""
+    return ((bgr[..., ::-1].astype(np.float32) / 255 - MEANS) / DEVIATIONS).transpose(2, 0, 1)
+
+
 def scene_input(bgr: np.ndarray, size: int = 224) -> np.ndarray:
-    """The picture squeezed into a square, channels first, in units of the usual means and deviations."""
-    rgb = resample(bgr, size, size)[..., ::-1].astype(np.float32) / 255
-    return ((rgb - MEANS) / DEVIATIONS).transpose(2, 0, 1)
+    """The picture squeezed into a square, in a scene model's form."""
+    return normal(resample(bgr, size, size))
 
 
 def softmax(x: np.ndarray) -> np.ndarray:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from . import catalog
 from .functions import fuzzy as fz
-from .operators import cluster, etl, sets
+from .operators import cluster, detect, embed, etl, runs, sets
 from .session import Session
 from .sources import derived, versions
 from .sources import library as sources
@@ -379,6 +379,76 @@ def _versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 frame("etl13_versions", _versions, f"""{PRELUDE} SELECT path, k AS img_id, CASE WHEN k % 11 = 0 THEN -2 WHEN k % 5 = 0 THEN -1 ELSE c END AS size, CAST(count(p) AS INT) AS objects, k % 3 <> 0 AS was
   FROM img LEFT JOIN obj USING (k) WHERE k % 11 = 0 OR k % 5 = 0 OR (k % 3 <> 0 AND k % 7 <> 0) GROUP BY path, k, c""")
 
+
+
+# detections and runs
+def _anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as anchors of a 640 wide input; the pictures are 1300 by 650."""
+    k, d = F.col("l_partkey"), lambda c: c.cast("double")
+    score = F.array(*[d(k * m % 101) / 100 for m in (3, 7, 11)])
+    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
+        F.col("l_suppkey").alias("picture"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), d(k % 640).alias("cx"), d(F.col("l_orderkey") % 640).alias("cy"), F.col("l_quantity").cast("double").alias("w"),
+        d(F.col("l_linenumber") * 20).alias("h"), score.alias("scores"), F.lit(0.5).alias("scale"), F.lit(0).alias("left"), F.lit(160).alias("top"), F.lit(1300).alias("width"), F.lit(650).alias("height"),
+    )
+
+
+_ANCHORS = """a AS (SELECT l_suppkey AS picture, l_orderkey * 10 + l_linenumber AS id, CAST(l_partkey % 640 AS DOUBLE) AS cx, CAST(l_orderkey % 640 AS DOUBLE) AS cy, CAST(l_quantity AS DOUBLE) AS w,
+    CAST(l_linenumber * 20 AS DOUBLE) AS h, [CAST(l_partkey * 3 % 101 AS DOUBLE) / 100, CAST(l_partkey * 7 % 101 AS DOUBLE) / 100, CAST(l_partkey * 11 % 101 AS DOUBLE) / 100] AS s FROM lineitem),
+  c AS (SELECT picture, id, list_max(s) AS confidence, CAST(list_position(s, list_max(s)) - 1 AS INT) AS k, greatest(0, least(1300, (cx - w / 2) / 0.5)) AS x1, greatest(0, least(1300, (cx + w / 2) / 0.5)) AS x2,
+    greatest(0, least(650, (cy - h / 2 - 160) / 0.5)) AS y1, greatest(0, least(650, (cy + h / 2 - 160) / 0.5)) AS y2 FROM a WHERE list_max(s) >= 0.7),
+  b AS MATERIALIZED (SELECT picture, id, k, confidence, (x1 + x2) / 2 / 1300 AS x, (y1 + y2) / 2 / 650 AS y, (x2 - x1) / 1300 AS w, (y2 - y1) / 650 AS h FROM c WHERE x2 > x1 AND y2 > y1)"""
+frame("etl7_decode", lambda s, d: detect.decoded(_anchors(s, d), 0.7), f"WITH {_ANCHORS} SELECT picture, id, k, round(confidence, 6) AS confidence, round(x, 6) AS x, round(y, 6) AS y, round(w, 6) AS w, round(h, 6) AS h FROM b")
+frame("etl8_suppress", lambda s, d: detect.suppressed(detect.decoded(_anchors(s, d), 0.7), 0.3, ["picture", "k"], [F.col("id"), F.col("x"), F.col("w")]).select("picture", "k", "id"), f"""WITH RECURSIVE {_ANCHORS},
+  o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY picture, k ORDER BY w * h DESC, id, x, w) AS n FROM b),
+  r(picture, k, n, kept) AS (SELECT picture, k, n, [{{'id': id, 'x': x, 'y': y, 'w': w, 'h': h}}] FROM o WHERE n = 1 UNION ALL
+    SELECT o.picture, o.k, o.n, CASE WHEN len(list_filter(kept, lambda t: least(t.x + t.w / 2, o.x + o.w / 2) > greatest(t.x - t.w / 2, o.x - o.w / 2) AND least(t.y + t.h / 2, o.y + o.h / 2) > greatest(t.y - t.h / 2, o.y - o.h / 2)
+      AND (least(t.x + t.w / 2, o.x + o.w / 2) - greatest(t.x - t.w / 2, o.x - o.w / 2)) * (least(t.y + t.h / 2, o.y + o.h / 2) - greatest(t.y - t.h / 2, o.y - o.h / 2)) / (t.w * t.h + o.w * o.h
+        - (least(t.x + t.w / 2, o.x + o.w / 2) - greatest(t.x - t.w / 2, o.x - o.w / 2)) * (least(t.y + t.h / 2, o.y + o.h / 2) - greatest(t.y - t.h / 2, o.y - o.h / 2))) > 0.3)) > 0
+      THEN kept ELSE list_append(kept, {{'id': o.id, 'x': o.x, 'y': o.y, 'w': o.w, 'h': o.h}}) END FROM r JOIN o ON o.picture = r.picture AND o.k = r.k AND o.n = r.n + 1)
+  SELECT picture, k, unnest(kept).id AS id FROM r QUALIFY n = max(n) OVER (PARTITION BY picture, k)""")
+
+
+def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five listings of the orders, each compared with the one before; two of them show nothing new."""
+    orders, folder = spark.read.parquet(f"{sf_dir}/orders.parquet"), new_path(spark, "runs")
+    key = F.col("o_orderkey")
+    lists = [orders.where(key % 10 < most).select(derived.path(key).alias("path"), F.when(key % 7 == touched, 2).otherwise(1).cast("long").alias("mtime"), F.lit(1).cast("long").alias("size")) for most, touched in ((5, -1), (5, -1), (7, -1), (7, -1), (6, 3))]
+    for i, new in enumerate(lists):
+        change, seen = runs.observed(lists[i - 1] if i else new.limit(0), new)
+        change.write.format("noop").mode("overwrite").save()
+        runs.record(spark, folder, i, seen)
+    return runs.history(spark, folder)
+
+
+_LISTED = "l AS (SELECT 0 AS run, 5 AS most, -1 AS touched UNION ALL VALUES (1, 5, -1), (2, 7, -1), (3, 7, -1), (4, 6, 3)), f AS (SELECT run, o_orderkey, CASE WHEN o_orderkey % 7 = touched THEN 2 ELSE 1 END AS mtime FROM orders JOIN l ON o_orderkey % 10 < most)"
+_RUNS_SQL = f"""WITH {_LISTED}, n AS (SELECT coalesce(f.run, g.run + 1) AS run, CASE WHEN f.run IS NULL THEN 'deleted' WHEN g.run IS NULL THEN 'added' WHEN f.mtime <> g.mtime THEN 'modified' ELSE 'same' END AS change
+    FROM f FULL JOIN f g ON f.o_orderkey = g.o_orderkey AND f.run = g.run + 1 WHERE coalesce(f.run, g.run + 1) <= 4),
+  runs AS (SELECT run, count(*) FILTER (change <> 'deleted') AS files, count(*) FILTER (change IN ('added', 'modified')) AS changed, count(*) FILTER (change = 'deleted') AS deleted, count(*) FILTER (change <> 'same') = 0 AS hit FROM n GROUP BY run)"""
+frame("agg15_runs", _runs, f"{_RUNS_SQL} SELECT CAST(run AS BIGINT) AS run, files, changed, deleted, hit FROM runs")
+frame("agg15_hit_ratio", lambda s, d: runs.hit_ratio(_runs(s, d)), f"{_RUNS_SQL} SELECT count(*) AS runs, count(*) FILTER (hit) AS hits, round(count(*) FILTER (hit) / CAST(count(*) AS DOUBLE), 6) AS ratio FROM runs")
+
+
+
+# embeddings
+def _look():
+    """A stand-in model: an object's hues are its vector."""
+    return lambda x: x
+
+
+def _embedded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pack = Pack("look", "promo", can_extract_embedding=True, embedding_name="look", can_cluster=True, cluster_name="look", cluster_threshold=0.95)
+    hues = lambda objects: objects.select("path", F.col("o.obj_id").alias("obj_id"), F.col("o.attr.hue_hist").alias("input"))
+    return cluster.cluster_counts(embed.clustered(derived.library(spark, sf_dir), pack, hues, _look, [32]).images, "look")
+
+
+frame("etl11_embedding_clusters", _embedded, f"""{PRELUDE.replace("WITH img", "WITH RECURSIVE img")}, h AS (SELECT r, list(CAST((r + i * i) % 17 AS DOUBLE) ORDER BY i) AS v FROM range(17) x(r), range(32) y(i) GROUP BY r),
+  e AS (SELECT a.r AS a, b.r AS b FROM h a JOIN h b ON list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v)) >= 0.95),
+  t(r, s) AS (SELECT r, r FROM h UNION SELECT t.r, e.b FROM t JOIN e ON e.a = t.s),
+  g AS (SELECT r, min(s) AS g FROM t GROUP BY r),
+  m AS (SELECT g, path, pos FROM img JOIN obj USING (k) JOIN g ON p % 17 = r WHERE class = 'promo'),
+  n AS (SELECT g, row_number() OVER (ORDER BY min((path, pos))) AS n FROM m GROUP BY g)
+  SELECT 'look_promo_' || lpad(CAST(n AS VARCHAR), 3, '0') AS cluster_id, count(DISTINCT path) AS images FROM m JOIN n USING (g) GROUP BY n""")
+
 # scripts, results and albums
 dsl("ses3_recovery", "x = = 3; $ any promo", f"{PRELUDE} SELECT path, {R6} FROM ({HAS_PROMO})")
 dsl("set8_left_to_right", "$ - ($ any promo) - ($ any small)", f"{PRELUDE} SELECT path, CAST(1 AS DOUBLE) AS score FROM img WHERE path NOT IN (SELECT path FROM ({HAS_PROMO})) AND path NOT IN (SELECT path FROM ({HAS_SMALL}))")

@@ -43,12 +43,13 @@ def taking_effect(stream: DataFrame, key: str, at: str, order: str, deleted: str
             state.update((*known, gone))
             if gone:
                 state.setTimeoutTimestamp(max(known[0] // 1000 + keep, state.getCurrentWatermarkMs() + 1))
-            yield best.drop(columns="_us")
+            yield best.drop(columns=["_at", "_us"])
         elif state.exists and state.get[2]:
             # a late row of a deleted key does not end its time-out
             state.setTimeoutTimestamp(max(known[0] // 1000 + keep, state.getCurrentWatermarkMs() + 1))
 
-    timed = stream.withColumn("_us", F.unix_micros(at)).withWatermark(at, delay)
+    when = F.col(at).cast("timestamp")
+    timed = stream.withColumn("_at", when).withColumn("_us", F.unix_micros(when)).withWatermark("_at", delay)
     return timed.groupBy(key).applyInPandasWithState(step, stream.schema, state_schema, "append", GroupStateTimeout.EventTimeTimeout)
 
 
