@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vistaset.llm import collocations, lines, vector_codes
+from vistaset.llm import collocations, descent, lines, vector_codes
 from vistaset.llm.common import ship
 
 SF = "/root/testdata/sf0.001"
@@ -170,3 +170,25 @@ def test_digests(spark, docs):
     r = lines.op13_lines(spark, SF).where("n_dropped = 0").first()
     text = docs.where(F.col("doc_id") == r["doc_id"]).first()["text"]
     assert hashlib.sha256((text or "").encode()).hexdigest() == r["kept_sha256"]
+
+
+# neighbours
+def test_neighbours_of_equal_ids(spark):
+    """A null copy takes nothing away; an id with two vectors asks with both and is found by both."""
+    ship(spark)
+    rng = np.random.default_rng(9)
+    rows = [(i, rng.normal(size=4).astype(np.float32).tolist()) for i in range(60)]
+    rows += [(40, None), (40, rows[40][1]), (20, rng.normal(size=4).astype(np.float32).tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    got = defaultdict(list)
+    for r in descent.nearest(df).collect():
+        got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
+    use = {(i, tuple(v)) for i, v in rows if v}
+    for q in (0, 20, 40):
+        want = []
+        for i, v in use:
+            if i == q:
+                near = sorted((-sum(float(a) * float(b) for a, b in zip(v, w, strict=True)), j) for j, w in use if j != q)[:20]
+                want += [(k, j, s) for k, (s, j) in enumerate(near, 1)]
+        assert [(k, j) for k, j, _ in sorted(got[q])] == [(k, j) for k, j, _ in sorted(want, key=lambda t: (t[0], t[1]))]
+        assert sorted(s for *_, s in got[q]) == pytest.approx(sorted(-s for *_, s in want))

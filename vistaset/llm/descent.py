@@ -12,8 +12,9 @@ a node holds its neighbours' vectors, so it answers with those nearer than the q
 end the pool is scored on the original vectors in double precision.
 
 Defined results: vectors that are null, all zero, of another length than most, or hold null or
-non-finite components take no part; the query's own row is no candidate; rows with equal ids are one
-row; ties go to the smaller id; with fewer candidates all are returned.
+non-finite components take no part; rows of equal id and vector are one row; an id with several vectors
+asks with each of them, gets ranks for each, and is a candidate with each; rows of the query's own id are
+no candidates; ties go to the smaller id; with fewer candidates all are returned. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import own_columns, table, written
@@ -81,7 +82,7 @@ def _best(ids: np.ndarray, sims: np.ndarray, n: int) -> tuple[np.ndarray, np.nda
 
 
 def nodes(vectors: DataFrame) -> DataFrame:
-    """node (smallest id), members (smallest ids), vec (float32 bytes) of each distinct usable vector."""
+    """node (smallest id, see below), members (smallest ids), vec (float32 bytes) of each distinct usable vector."""
     v = own_columns(vectors, "vec_id", "embedding").select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<float>").alias("x"))
     bad = F.exists("x", lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == F.lit(float("inf"))))
     v = v.where("id is not null and x is not null and size(x) > 0").where(~bad & F.exists("x", lambda e: e != 0))
@@ -93,12 +94,14 @@ def nodes(vectors: DataFrame) -> DataFrame:
             x = b.column("x").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([r.tobytes() for r in x + np.float32(0)], pa.binary())], ["id", "vec"])
 
-    v = v.mapInArrow(raw, "id long, vec binary").dropDuplicates(["id"])
+    v = v.mapInArrow(raw, "id long, vec binary").distinct()
     # members of one vector in hashed parts first, so that a hot vector is not gathered whole
     least = lambda c: F.slice(F.sort_array(c), 1, MEMBERS)
     part = v.groupBy("vec", F.pmod(F.xxhash64("id"), F.lit(64)).alias("p")).agg(least(F.collect_set("id")).alias("m"))
     found = part.groupBy("vec").agg(least(F.flatten(F.collect_list("m"))).alias("members"))
-    return found.select(F.element_at("members", 1).alias("node"), "members", "vec")
+    # an id with several vectors leads one node under its own number, others under a hash
+    first = found.withColumn("id", F.element_at("members", 1)).withColumn("k", F.row_number().over(Window.partitionBy("id").orderBy("vec")))
+    return first.select(F.when(F.col("k") == 1, F.col("id")).otherwise(F.xxhash64("id", "vec")).alias("node"), "members", "vec")
 
 
 def _start(v: DataFrame, n: int) -> DataFrame:
@@ -299,14 +302,15 @@ def nearest(vectors: DataFrame, every: int = 20, top: int = TOP) -> DataFrame:
     found = written(nodes(vectors), "nodes")
     v, graph = build(found)
     # a query is any row: members beyond the smallest share the node's pool
-    wide = own_columns(vectors, "vec_id", "embedding").where(F.col("vec_id") % every == 0).select(F.col("vec_id").cast("long").alias("query_id"), F.col("embedding").cast("array<float>").alias("x")).dropDuplicates(["query_id"])
+    wide = own_columns(vectors, "vec_id", "embedding").where(F.col("vec_id") % every == 0).select(F.col("vec_id").cast("long").alias("query_id"), F.col("embedding").cast("array<float>").alias("x"))
 
     def raw(batches):
         for b in batches:
             out = [np.array(r, np.float32) + np.float32(0) if r is not None and None not in r else np.zeros(0, np.float32) for r in b.column("x").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("query_id"), pa.array([r.tobytes() for r in out], pa.binary())], ["query_id", "vec"])
 
-    who = wide.mapInArrow(raw, "query_id long, vec binary").join(found.select("node", "vec"), "vec").select("query_id", F.col("node").alias("q"))
+    # unusable vectors meet no node
+    who = wide.mapInArrow(raw, "query_id long, vec binary").distinct().join(found.select("node", "vec"), "vec").select("query_id", F.col("node").alias("q"))
     who = written(who, "queries")
     pools = search(who.select("q").distinct(), found, v, graph)
 
@@ -326,9 +330,12 @@ def nearest(vectors: DataFrame, every: int = 20, top: int = TOP) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("q"), b.column("members"), pa.array((x * y).sum(1))], ["q", "members", "score"])
 
     scored = full.select("q", "members", "vec", "qvec").mapInArrow(exact, "q long, members array<long>, score double")
-    # per query node the nearest TOP + 1 ids serve all its rows
+    # per query node the nearest ids serve all its rows: as many more than ``top`` as an id that asks has vectors
+    mine = who.groupBy("query_id").agg(F.count(F.lit(1)).alias("own"))
+    more = who.join(mine, "query_id").groupBy("q").agg(F.max("own").cast("int").alias("own"))
     flat_ids = scored.select("q", "score", F.explode("members").alias("vec_id"))
-    near = flat_ids.groupBy("q").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, top + 1).alias("near"))
+    near = flat_ids.groupBy("q").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))).alias("near"))
+    near = near.join(more, "q").select("q", F.slice("near", F.lit(1), F.col("own") + top).alias("near"))
     out = who.join(near, "q").select("query_id", F.posexplode(F.slice(F.filter("near", lambda z: z["vec_id"] != F.col("query_id")), 1, top)).alias("pos", "z"))
     return out.select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("z.vec_id").alias("vec_id"), (-F.col("z.s")).alias("score"))
 
