@@ -149,6 +149,8 @@ def test_albums_and_names(spark, lib):
     assert {r["old"]: r["new"] for r in names.collect()} == {"a.jpg": "cat1.jpg", "b.jpg": "apple2.jpg", "c.jpg": "unknown3.jpg", "d.jpg": "person4.jpg"}
     assert sorted(r["conflict"] for r in catalog.new_names(lib.images, "same").collect()) == [False, True, True, True]
     out, smart = catalog.rename(lib, names, {"mine": 'collection("a.jpg")'})
+    swap = spark.createDataFrame([("a.jpg", "b.jpg"), ("b.jpg", "c.jpg")], "old string, new string")
+    assert catalog.rename(lib, swap, {"two": '"a.jpg" "b.jpg"'})[1] == {"two": '"b.jpg" "c.jpg"'}
     assert smart == {"mine": 'collection("cat1.jpg")'} and out.collections.where("path = 'cat1.jpg'").count() == 1
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import re
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -124,8 +125,9 @@ def rename(library: Library, names: DataFrame, smart: dict[str, str] | None = No
     if texts:
         # only the names that the saved queries quote are looked up
         quoted = sorted({q for t in texts.values() for q in t.split('"')[1::2]})
-        for r in ok.where(F.col("old").isin(quoted)).collect():
-            texts = {k: t.replace(f'"{r["old"]}"', f'"{r["new"]}"') for k, t in texts.items()}
+        to = {r["old"]: r["new"] for r in ok.where(F.col("old").isin(quoted)).collect()}
+        # in one pass: a new name may be another's old one
+        texts = {k: re.sub('"([^"]*)"', lambda m: f'"{to.get(m[1], m[1])}"', t) for k, t in texts.items()}
     return out, texts
 
 
