@@ -27,7 +27,7 @@ from .common import first_of, forget, own_columns, released, table, written
 LONGEST, LEAST, ABSORBED, PLACES = 4, 30, 80, 2000
 SCORE = 2_000_000
 #: Bytes of text whose words are numbered and counted together.
-CHUNK = 16 << 20
+CHUNK = 8 << 20
 #: The bitmap has 2^27 bits (16 MiB) at every size.
 BITS = 27
 #: Upper to lower case, ends of pieces to line feeds, tabs to spaces.
