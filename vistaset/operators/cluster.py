@@ -24,8 +24,8 @@ from .graph import components
 
 #: Vectors of a block; pivots at most (they are broadcast; beyond, cells grow and meet in more blocks).
 BLOCK, PIVOTS = 2048, 4096
-#: Slack for rounding, in radians: pairs are decided by their dot products, angles only rule cells out.
-SLACK = 1e-5
+#: Slack for single-precision products and for angles in radians: pairs are decided by their products, angles only rule cells out.
+ROUNDING, SLACK = 2e-6, 1e-5
 _VECTOR = "id long, vec array<float>"
 
 
@@ -55,7 +55,7 @@ def cells(items: DataFrame, threshold: float) -> Cells:
     square = F.aggregate("vec", F.lit(0.0), lambda t, x: t + x.cast("double") * x.cast("double"))
     n, most = v.agg(F.count(F.lit(1)), F.max(square)).first()
     most = max(most or 0.0, 1e-30)
-    bound = float(np.arccos(np.clip(threshold / most, -1, 1))) + SLACK
+    bound = float(np.arccos(np.clip(threshold / most - ROUNDING, -1, 1))) + SLACK
     # as many pivots as vectors of a mean cell: assigning and comparing cost about the same
     chosen = v.select("vec", F.xxhash64("id").alias("h")).orderBy("h", "vec").limit(min(PIVOTS, int(np.sqrt(n)) + 1)).select("vec").toPandas()
     pivots = _lifted(chosen.vec, most) if len(chosen) else np.zeros((1, 1))
