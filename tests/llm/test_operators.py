@@ -159,6 +159,45 @@ def test_trained_field_adds_repeats_and_secrets(spark):
     assert sum(r["n_secret"] for r in rows) > 0 and all(r["n_spans"] == len([x for x in r["spans"].split(",") if x]) for r in rows)
 
 
+def test_field_against_planted_repeats_and_clean_lines(spark):
+    """Precision and recall of what the field adds, over repeats that no pattern finds and lines of other numbers and names."""
+    field = pii.train(spark.read.parquet(f"{SF}/documents.parquet"))
+    rng = np.random.default_rng(17)
+    digits = lambda n: "".join(map(str, rng.integers(0, 10, n)))
+    letters = lambda n: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), n))
+    hexes = lambda n: "".join(rng.choice(list("0123456789abcdef"), n))
+    gap = " and some other words stand here before it comes once more: "
+    lines, clean = [], []
+    for _ in range(40):
+        name, host, (a, b, c) = f"{letters(5)}.{letters(4)}", letters(6), rng.integers(100, 999, 3)
+        secret, card = f"{letters(4)}{hexes(14)}7", "4111 1111 1111 1111" if _ % 2 else "5500-0000-0000-0004"
+        lines += [
+            (f"mail {name}@{host}.com{gap}{name}. End", [("email", name)]),
+            (f"ring +1 ({a}) {b}-{c}7{gap}({a}) {b}-{c}7 now", [("phone", f"({a}) {b}-{c}7")]),
+            (f"card {card}{gap}{card[5:]} so", [("card", card[5:])]),
+            (f"password={secret}{gap}{secret}.", [("secret", secret), ("secret", secret)]),
+        ]
+        for s in (hexes(40), f"978-3-{digits(2)}-{digits(6)}-{digits(1)}", "20" + digits(2) + "-01-31", "utf8mb4_general_ci", f"func{digits(4)}", f"v{digits(1)}.{digits(2)}.3-rc4", f"{host}_{digits(5)}"):
+            clean += [f"see {s} there", f"see {s}{gap}{s}", f"mail {name}@{host}.com{gap}{s} and {s}"]
+        clean += [f"password: required{gap}{letters(6)}", f"token: string {digits(6)}", f"mail {name}@{host}.com about {letters(7)} {digits(3)}"]
+    found = [sorted((pii.LABELS[k], t[s:e]) for s, e, k in field.added(t, 0.5)[1]) for t, _ in lines]
+    false = [(t, x) for t in clean if (x := field.added(t, 0.5)[1])]
+    right = sum(len(set(f) & set(w)) for f, (_, w) in zip(found, lines, strict=True))
+    beyond = sum(len(f) for f, (_, w) in zip(found, lines, strict=True) if w[0][0] != "secret")
+    assert not false and beyond > 0
+    assert right >= 0.9 * sum(len(set(w)) for _, w in lines) and right >= 0.9 * sum(len(set(f)) for f in found)
+
+
+def test_weights_maximise_the_pseudo_likelihood():
+    """No small step from the fitted weights raises the regularised likelihood of the counts, each counted as often as it occurs."""
+    none, f = [0] * len(pii.LABELS), ("bias", "n=0")
+    f2 = ("bias", "n=7-9")
+    counts = [(pii.told(0, none, none, f), 900), (pii.told(5, none, none, f), 100), (pii.told(4, none, none, f2), 30), (pii.told(0, none, none, f2), 10)]
+    w = pii.Field.fit(counts, l2=1e-6).node
+    p = lambda *names: np.exp(z := sum(w[n] for n in names)) / np.exp(z).sum()  # noqa: E731, F841
+    assert np.abs(p(*f)[[0, 5]] - [0.9, 0.1]).max() < 1e-3 and np.abs(p(*f2)[[4, 0]] - [0.75, 0.25]).max() < 1e-3
+
+
 def test_messages_against_enumeration():
     rng, n, m = np.random.default_rng(6), len(pii.LABELS), 4
     sym = lambda x: (x + x.T) / 2
