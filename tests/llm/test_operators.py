@@ -375,7 +375,7 @@ def test_licence_labels_and_score_against_plain_search(docs, texts):
 
 def test_long_licence_expressions():
     a = licenses.automata()
-    ids = [f"lic-{k}" for k in range(100_000)]
+    ids = [f"licenseref-{k}" for k in range(100_000)]
     labels = lambda t: licenses.scan(t.encode(), *a)[5]
     required = lambda t: licenses.scan(t.encode(), *a)[7]
     assert labels("SPDX-License-Identifier: " + " or ".join(ids)) == ",".join(sorted(ids)) == required("SPDX-License-Identifier: " + " and ".join(ids))
@@ -384,9 +384,24 @@ def test_long_licence_expressions():
     # tags later in a long line, and a line that goes on with other text
     assert labels("SPDX-License-Identifier: MIT; see" + " x" * 1000 + " spdx-license-identifier: ISC or\nBSD") == "isc,mit"
     assert labels("SPDX-License-Identifier: MIT SPDX-License-Identifier: ISC\nSPDX-License-Identifier:\nx") == "isc,mit"
+    assert required("SPDX-License-Identifier: (" + " and ".join(ids[:2000]) + ") with (" + " or ".join(ids) + ")") == ",".join(sorted(ids[:2000]))
     assert labels("spdx license identifier: MIT") == "" and required("License-Expression: MIT or ISC and BSD") == ""
 
 
+def test_only_known_licence_ids_label():
+    a = licenses.automata()
+    found = lambda t: licenses.scan(t.encode(), *a)[5:]
+    assert found("license-expression: see the file below") == ("", 0.0, "", "see")
+    assert found("SPDX-License-Identifier: $LICENSE") == ("", 0.0, "", "license") and found("SPDX-License-Identifier: <id here>") == ("", 0.0, "", "id")
+    assert found("SPDX-License-Identifier: MIT AND Foo-1.0") == ("mit", 1.0, "mit", "foo-1.0")
+    assert found("SPDX-License-Identifier: GPL-2.0+ WITH Foo OR BSD-3-Clause") == ("bsd-3-clause,gpl-2.0+", 1.0, "", "foo")
+    assert found("SPDX-License-Identifier: DocumentRef-a:LicenseRef-b") == ("documentref-a:licenseref-b", 1.0, "documentref-a:licenseref-b", "")
+    assert found("under the BSD 3-Clause License")[0] == "bsd-3-clause" and found("licensed under the GPLv3")[0] == "gpl-3.0"
+    assert found("MIT License (MIT) and so on")[0] == "mit" and found("it is as is") == ("", 0.0, "", "")
+    # an exception belongs to one id
+    assert licenses.parse(b"(A or B) with C") == ["a", "b", "or"] and licenses.parse(b"A with (B or C)") == ["a"] and licenses.parse(b"A with B with C") == ["a", "b", "with"]
+
+
 # -- 6 fingerprints ------------------------------------------------------------------------------
 
 

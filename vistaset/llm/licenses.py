@@ -5,7 +5,9 @@ notice phrases at word edges, in the folded words joined by single blanks; anoth
 the folded text itself, where places are those of the raw text. The expression after a tag, as far as the
 line or the next tag, goes through a shunting-yard parser for and/or/with and parentheses, which reads no
 further than the expression continues, and is evaluated: to the ids that it names (an exception makes ``id
-with exception``) and to those that every way to satisfy it holds, so that and/or tell.
+with exception``) and to those that every way to satisfy it holds, so that and/or tell. ``with`` joins one id
+and one exception, nothing larger. Ids and exceptions must be known ones or the document's own
+(``LicenseRef-``, ``AdditionRef-``); others stand in ``unknown`` and neither label nor score.
 
 Defined results: null text is empty text; very long texts and expressions are read whole; an empty table
 gives an empty result; repeated rows are handled row by row; the score of several finds is the largest;
@@ -44,16 +46,78 @@ NOTICES = {
     "licensed under cc by sa 4 0": ("cc-by-sa-4.0", 1.0),
     "licensed under cc by nc 4 0": ("cc-by-nc-4.0", 1.0),
     "creative commons attribution": ("cc-by", 0.8),
+    "licensed under cc by nd 4 0": ("cc-by-nd-4.0", 1.0),
+    "licensed under cc by nc sa 4 0": ("cc-by-nc-sa-4.0", 1.0),
+    "licensed under cc by nc nd 4 0": ("cc-by-nc-nd-4.0", 1.0),
+    "cc0 1 0 universal": ("cc0-1.0", 1.0),
+    "dedicated to the public domain": ("public-domain", 0.8),
+    "this is free and unencumbered software released into the public domain": ("unlicense", 1.0),
+    "apache license version 2 0": ("apache-2.0", 1.0),
+    "apache 2 0 license": ("apache-2.0", 1.0),
+    "the software is provided as is without warranty of any kind": ("mit", 0.8),
+    "permission to use copy modify and or distribute this software": ("isc", 1.0),
+    "2 clause bsd license": ("bsd-2-clause", 1.0),
+    "3 clause bsd license": ("bsd-3-clause", 1.0),
+    "bsd 2 clause license": ("bsd-2-clause", 1.0),
+    "bsd 3 clause license": ("bsd-3-clause", 1.0),
+    "simplified bsd license": ("bsd-2-clause", 1.0),
+    "new bsd license": ("bsd-3-clause", 1.0),
+    "modified bsd license": ("bsd-3-clause", 1.0),
+    "gplv2 license": ("gpl-2.0", 0.8),
+    "gplv3 license": ("gpl-3.0", 0.8),
+    "gpl v2 license": ("gpl-2.0", 0.8),
+    "gpl v3 license": ("gpl-3.0", 0.8),
+    "licensed under the gplv2": ("gpl-2.0", 1.0),
+    "licensed under the gplv3": ("gpl-3.0", 1.0),
+    "released under the gplv2": ("gpl-2.0", 1.0),
+    "released under the gplv3": ("gpl-3.0", 1.0),
+    "gnu lesser general public license version 2 1": ("lgpl-2.1", 1.0),
+    "gnu lesser general public license version 3": ("lgpl-3.0", 1.0),
+    "gnu affero general public license version 3": ("agpl-3.0", 1.0),
+    "gnu free documentation license": ("gfdl", 1.0),
+    "mozilla public license version 2 0": ("mpl-2.0", 1.0),
+    "mozilla public license v 2 0": ("mpl-2.0", 1.0),
+    "eclipse public license v 2 0": ("epl-2.0", 1.0),
+    "european union public licence": ("eupl", 1.0),
+    "boost software license": ("bsl-1.0", 1.0),
+    "artistic license": ("artistic", 0.8),
+    "zlib license": ("zlib", 1.0),
+    "open database license": ("odbl", 1.0),
+    "sil open font license": ("ofl", 1.0),
+    "microsoft public license": ("ms-pl", 1.0),
+    "academic free license": ("afl", 1.0),
+    "open software license": ("osl", 1.0),
+    "common development and distribution license": ("cddl", 1.0),
+    "do what the fuck you want to public license": ("wtfpl", 1.0),
     "bsd license": ("bsd", 0.8),
     "isc license": ("isc", 0.8),
     "all rights reserved": ("all-rights-reserved", 0.3),
 }
+# Licence identifiers and exceptions of public lists, lower case; families by their versions.
+_SINGLE = """0bsd adobe-2006 apsl-2.0 artistic-1.0 artistic-1.0-perl artistic-2.0 beerware blessing bsd-1-clause bsd-2-clause
+bsd-2-clause-patent bsd-3-clause bsd-3-clause-clear bsd-3-clause-lbnl bsd-4-clause bsd-4-clause-uc bsd-source-code bsl-1.0
+busl-1.1 bzip2-1.0.6 cc0-1.0 cc-pddc cecill-2.0 cecill-2.1 cecill-b cecill-c clartistic cpal-1.0 cpl-1.0 curl ecl-2.0 elastic-2.0
+fsfap ftl hpnd icu ijg imagemagick intel ipl-1.0 isc json libpng libpng-2.0 libtiff lppl-1.3c mit mit-0 mit-cmu mit-modern-variant
+mulanpsl-2.0 mpl-2.0-no-copyleft-exception ms-pl ms-rl ncsa nist-pd odbl-1.0 odc-by-1.0 openssl pddl-1.0 php-3.0 php-3.01
+postgresql psf-2.0 python-2.0 qpl-1.0 ruby sendmail sgi-b-2.0 sissl sleepycat spl-1.0 sspl-1.0 unicode-3.0 unicode-dfs-2016
+unlicense upl-1.0 vim w3c wtfpl x11 xfree86-1.1 zlib zlib-acknowledgement zpl-2.1"""
+_FAMILIES = {
+    "afl": "1.1 1.2 2.0 2.1 3.0", "apache": "1.0 1.1 2.0", "cddl": "1.0 1.1", "epl": "1.0 2.0", "eupl": "1.0 1.1 1.2", "mpl": "1.0 1.1 2.0", "ofl": "1.0 1.1", "osl": "1.0 1.1 2.0 2.1 3.0",
+    **dict.fromkeys(("cc-by", "cc-by-nc", "cc-by-nc-nd", "cc-by-nc-sa", "cc-by-nd", "cc-by-sa"), "1.0 2.0 2.5 3.0 4.0"),
+}
+_COPYLEFT = {"agpl": "1.0 3.0", "gfdl": "1.1 1.2 1.3", "gpl": "1.0 2.0 3.0", "lgpl": "2.0 2.1 3.0"}
+#: Known ids; a + at the end means this version or later.
+IDS = frozenset(_SINGLE.split()) | {f"{f}-{v}" for f, x in _FAMILIES.items() for v in x.split()} | {f"{f}-{v}{e}" for f, x in _COPYLEFT.items() for v in x.split() for e in ("", "-only", "-or-later")}
+EXCEPTIONS = frozenset("""autoconf-exception-2.0 autoconf-exception-3.0 bison-exception-2.2 bootloader-exception classpath-exception-2.0 ecos-exception-2.0
+font-exception-2.0 gcc-exception-2.0 gcc-exception-3.1 gpl-cc-1.0 lgpl-3.0-linking-exception libtool-exception linux-syscall-note
+llvm-exception openssl-exception qt-gpl-exception-1.0 qt-lgpl-exception-1.1 u-boot-exception-2.0 universal-foss-exception-1.0 wxwindows-exception-3.1""".split())
+_OWN = re.compile(r"(?:documentref-[a-z0-9.-]+:)?licenseref-[a-z0-9.-]+")
 #: Identifier tags, lower case.
 TAGS = (b"spdx-license-identifier:", b"license-expression:")
 _LINE_END = re.compile(rb"[\r\n]")
-_PART = re.compile(rb"\(|\)|[A-Za-z0-9][A-Za-z0-9.+-]*")
+_PART = re.compile(rb"\(|\)|DocumentRef-[A-Za-z0-9.-]+:LicenseRef-[A-Za-z0-9.-]+|[A-Za-z0-9][A-Za-z0-9.+-]*")
 #: Every phrase and tag holds one of these.
-_HINTS = (b"licen", b"permission", b"redistribution", b"rights", b"creative")
+_HINTS = (b"licen", b"permission", b"redistribution", b"rights", b"creative", b"public domain", b"cc0", b"gplv", b"as is")
 _RANK = {"or": 1, "and": 2, "with": 3}
 #: Bytes outside the contract's words become blanks; A-Z become lower case.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -67,25 +131,26 @@ def parse(expression: bytes, start: int = 0, end: int | None = None) -> list[str
     """
     out: list[str] = []
     stack: list[str] = []
-    opened, wants_id = 0, True
+    opened, wants_id, single = 0, True, False  # single: the last part is an id that may have an exception
     for m in _PART.finditer(expression, start, len(expression) if end is None else end):
         part = m[0].decode().lower()
         if wants_id:
-            if part == "(":
+            after = stack[-1] if stack else ""
+            if part == "(" and after != "with":
                 stack.append(part)
                 opened += 1
-            elif part in _RANK or part == ")":
+            elif part in _RANK or part in "()":
                 break
             else:
                 out.append(part)
-                wants_id = False
+                wants_id, single = False, after != "with"
         elif part == ")":
             if not opened:
                 break
             while (top := stack.pop()) != "(":
                 out.append(top)
-            opened -= 1
-        elif part in _RANK:
+            opened, single = opened - 1, False
+        elif part in _RANK and (single or part != "with"):
             while stack and stack[-1] != "(" and _RANK[stack[-1]] >= _RANK[part]:
                 out.append(stack.pop())
             stack.append(part)
@@ -104,7 +169,8 @@ def evaluate(postfix: list[str]) -> tuple[set[str], set[str]]:
     """All ids of an expression, and those in every set of ids that satisfies it.
 
     Both follow from the two sides of an operator; the smaller side joins the larger, so long
-    expressions cost about linear time and the ways to satisfy one are never listed.
+    expressions cost about linear time and the ways to satisfy one are never listed. ``with`` has
+    one id on either side.
     """
     stack: list[tuple[set[str], set[str]]] = []
     for part in postfix:
@@ -113,7 +179,8 @@ def evaluate(postfix: list[str]) -> tuple[set[str], set[str]]:
             continue
         (more, must), (ids, needs) = stack.pop(), stack.pop()
         if part == "with":
-            stack.append(tuple({f"{i} with {j}" for i in x for j in y} for x, y in ((ids, more), (needs, must))))
+            name = f"{min(ids)} with {min(more)}"
+            stack.append(({name}, {name}))
             continue
         ids, more = (ids, more) if len(ids) >= len(more) else (more, ids)
         ids |= more
@@ -126,6 +193,16 @@ def evaluate(postfix: list[str]) -> tuple[set[str], set[str]]:
     return stack[-1] if stack else (set(), set())
 
 
+def known(name: str) -> tuple[str, set[str]]:
+    """What of ``id`` or ``id with exception`` is known (empty: nothing), and the parts that are not."""
+    own, _, exception = name.partition(" with ")
+    if own not in IDS and own.removesuffix("+") not in IDS and not _OWN.fullmatch(own):
+        return "", {own}
+    if not exception or exception in EXCEPTIONS or exception.startswith("additionref-"):
+        return name, set()
+    return own, {exception}
+
+
 def automata():
     """Of notice phrases, and of tags."""
     phrases, tags = ahocorasick.Automaton(), ahocorasick.Automaton()
@@ -152,11 +229,11 @@ def expressions(text: bytes, folded: bytes, tags):
 
 
 def scan(text: bytes | None, phrases, tags) -> tuple:
-    """n_words, n_base, first_word, last_word, base_labels, labels, score, required of one text."""
+    """n_words, n_base, first_word, last_word, base_labels, labels, score, required, unknown of one text."""
     text = text or b""
     folded = text.translate(_FOLD)
     words = folded.split()
-    base, labels, required, starts, score = set(), set(), set(), [], 0.0
+    base, labels, required, unknown, starts, score = set(), set(), set(), set(), [], 0.0
     if any(h in folded for h in _HINTS):
         flat = (b" " + b" ".join(words) + b" ").decode("latin-1")
         done = at = 0
@@ -170,17 +247,22 @@ def scan(text: bytes | None, phrases, tags) -> tuple:
                 at = start
                 starts.append(done)
         for ids, needs in expressions(text, folded, tags):
-            labels |= ids
-            required |= needs
-            score = 1.0 if ids else score
+            for i in ids:
+                name, rest = known(i)
+                unknown |= rest
+                if name:
+                    labels.add(name)
+                    score = 1.0
+                    if i in needs:
+                        required.add(name)
     join = lambda x: ",".join(sorted(x, key=lambda s: s.encode()))
-    return len(words), len(starts), starts[0] if starts else None, starts[-1] if starts else None, join(base), join(labels), score, join(required)
+    return len(words), len(starts), starts[0] if starts else None, starts[-1] if starts else None, join(base), join(labels), score, join(required), join(unknown)
 
 
 def scan_table(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, and what ``scan`` finds; ``required`` holds the ids that each expression's every way needs."""
-    names = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "required"]
-    kinds = [pa.int64()] * 5 + [pa.string()] * 2 + [pa.float64(), pa.string()]
+    """Per row: doc_id, and what ``scan`` finds; ``required`` holds the ids that each expression's every way needs, ``unknown`` what stands for an id and is none."""
+    names = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "required", "unknown"]
+    kinds = [pa.int64()] * 5 + [pa.string()] * 2 + [pa.float64(), pa.string(), pa.string()]
 
     def scanned(batches):
         phrases, tags = automata()
@@ -190,7 +272,7 @@ def scan_table(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) if not isinstance(c, pa.Array) else c for c, k in zip(cols, kinds, strict=True)], names)
 
     own = own_columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
-    return own.mapInArrow(scanned, "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, required string")
+    return own.mapInArrow(scanned, "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, required string, unknown string")
 
 
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
