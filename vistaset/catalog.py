@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from .errors import QueryError
 from .operators import sets
 from .operators.etl import top_scenes
+from .sources import pages
 from .sources.library import Library
 
 RATING = "评分"
@@ -146,6 +148,15 @@ def report(library: Library, results: DataFrame, least: float = 0.05) -> DataFra
     ).orderBy(F.desc("score"), "path")
 
 
+def write_report(cards: DataFrame, folder: str, title: str = "Report") -> None:
+    """The cards as HTML pages in ``folder``, one for each partition of their order, a card a line; tasks write them."""
+    safe = lambda c: reduce(lambda x, r: F.replace(x, F.lit(r[0]), F.lit(r[1])), (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;"), ("\n", " ")), c)
+    body = [F.concat(F.lit(f"<p>{k}: "), safe(F.coalesce(k, F.lit(""))), F.lit("</p>")) for k in ("colour", "objects", "scenes", "tags")]
+    text = F.concat(F.lit("<div><h2>"), safe(F.col("path")), F.lit(" "), F.format_string("%.3f", F.col("score").cast("double")), F.lit("</h2>"), *body, F.lit("</div>"))
+    head = f"<html><head><meta charset='utf-8'><title>{html.escape(title)}</title></head><body><h1>{html.escape(title)}</h1>\n"
+    pages.write(cards.select(text.alias("text")), folder, pages.Form(head, "\n", "\n</body></html>", ".html"))
+
+
 def report_html(cards: DataFrame, title: str = "Report") -> str:
     """The cards as one page; rows are streamed, not collected at once."""
     out = [f"<html><head><meta charset='utf-8'><title>{html.escape(title)}</title></head><body><h1>{html.escape(title)}</h1>"]

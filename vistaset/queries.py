@@ -9,7 +9,7 @@ from . import catalog
 from .functions import fuzzy as fz
 from .operators import cluster, detect, embed, etl, runs, sets
 from .session import Session
-from .sources import derived, versions
+from .sources import derived, pieces, versions
 from .sources import library as sources
 from .sources.library import Library, Pack
 from .storage import new_path
@@ -462,11 +462,23 @@ def _answer(script: str):
     return lambda s, d: s.createDataFrame([(Session(derived.library(s, d)).run_json(script),)], "answer string").select(F.from_json("answer", "type string, value double, message string").alias("a")).select("a.*")
 
 
+def _refused(spark: SparkSession, sf_dir: str, script: str) -> DataFrame:
+    """The error answer of a script, and what the session still holds after it: all images, and those of a class that a query finds."""
+    session = Session(derived.library(spark, sf_dir))
+    answer = spark.createDataFrame([(session.run_json(script),)], "answer string").select(F.from_json("answer", "type string, message string").alias("a")).select("a.*")
+    whole = session.library.images.agg(F.count(F.lit(1)).alias("images"))
+    named = session.run("$ any promo").table().agg(F.count(F.lit(1)).alias("named"))
+    return answer.join(F.broadcast(whole)).join(F.broadcast(named))  # one row each
+
+
+LEFT = f"{PRELUDE} SELECT 'error' AS type, (SELECT count(*) FROM img) AS images, count(DISTINCT path) AS named FROM ({HAS_PROMO})"
+
+
 frame("snk2_scalar", lambda s, d: _answer("cnt(goods)")(s, d).select("type", "value"), f"{PRELUDE} SELECT 'scalar' AS type, CAST(count(*) AS DOUBLE) AS value FROM obj WHERE class <> 'promo'")
-frame("snk3_error", lambda s, d: _answer("^ $")(s, d).select("type"), "SELECT 'error' AS type")
-frame("cmp11_mixed_types", lambda s, d: _answer("$ : (img_camera() > 3)")(s, d).select("type", "message"), "SELECT 'error' AS type, 'Type mismatch in binary operation' AS message")
-frame("set7_different_types", lambda s, d: _answer("($ any promo) | (% $)")(s, d).select("type"), "SELECT 'error' AS type")
-frame("nlq2_delete_refused", lambda s, d: _answer("del ($ any promo)")(s, d).select("type"), "SELECT 'error' AS type")
+frame("snk3_error", lambda s, d: _refused(s, d, "^ $").select("type", "images", "named"), LEFT)
+frame("cmp11_mixed_types", lambda s, d: _refused(s, d, "$ : (img_camera() > 3)"), LEFT.replace("AS type", "AS type, 'Type mismatch in binary operation' AS message"))
+frame("set7_different_types", lambda s, d: _refused(s, d, "($ any promo) | (% $)").select("type", "images", "named"), LEFT)
+frame("nlq2_delete_refused", lambda s, d: _refused(s, d, "del ($ any promo)").select("type", "images", "named"), LEFT)
 frame("snk8_warmup", lambda s, d: s.createDataFrame([(Session(derived.library(s, d)).warmup(),)], "answer string").select(F.get_json_object("answer", "$.images").cast("long").alias("images")), f"{PRELUDE} SELECT count(*) AS images FROM img")
 
 
@@ -479,6 +491,38 @@ def _snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 frame("snk6_snapshot", _snapshot, f"{PRELUDE} SELECT path, k AS img_id, CAST(count(p) AS INT) AS objects, scene FROM img LEFT JOIN obj USING (k) GROUP BY path, k, scene")
 
+
+
+def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The library as a JSON index in parts, read back in chunks."""
+    folder = new_path(spark, "index")
+    sources.write_index(derived.library(spark, sf_dir).images, folder)
+    i, _ = sources.read_index(spark, f"{folder}/part-*.json", 4 << 20)
+    o = F.transform("objects", lambda x: x["class"])
+    return i.select("path", "mtime", "size", "img_id", F.array_join(o, ",").alias("classes"), F.col("img_attrs.dominant_scene").alias("scene"), F.col("img_attrs.user_tags")["priority"].alias("priority"))
+
+
+def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A set's answer as JSON files, read back."""
+    folder = new_path(spark, "answer")
+    Session(derived.library(spark, sf_dir)).run("$ any promo").write_json(folder)
+    rows = pieces.Document(spark, f"{folder}/part-*.json").section("images")
+    return rows.select(F.from_json("value", "path string, score double").alias("r")).select("r.path", F.round("r.score", 6).alias("score"))
+
+
+def _reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report's pages, read back card by card."""
+    folder, lib = new_path(spark, "report"), derived.library(spark, sf_dir)
+    catalog.write_report(catalog.report(lib, Session(lib).run("$ any promo").table()), folder, "Promo")
+    t = spark.read.text(f"{folder}/part-*.html").where("value like '<div>%'")
+    of = lambda k: F.regexp_extract("value", f"<p>{k}: (.*?)</p>", 1).alias(k)
+    return t.select(F.regexp_extract("value", "<h2>(.*) [0-9.]+</h2>", 1).alias("path"), of("colour"), F.size(F.split(of("objects"), ", ")).alias("objects"), of("tags"))
+
+
+frame("src7_index", _index, f"{PRELUDE} SELECT path, CAST(epoch(o_orderdate) AS BIGINT) AS mtime, c AS size, k AS img_id, coalesce(string_agg(class, ',' ORDER BY pos), '') AS classes, scene, priority FROM img JOIN orders ON o_orderkey = k LEFT JOIN obj USING (k) GROUP BY path, o_orderdate, c, k, scene, priority")
+frame("snk1_answer_files", _answers, f"{PRELUDE} SELECT path, {R6} FROM ({HAS_PROMO})")
+frame("snk10_report_files", _reports, f"{PRELUDE}, h AS (SELECT path FROM ({HAS_PROMO}) WHERE score >= 0.05) SELECT path, img.colour AS colour, CAST(count(*) AS INT) AS objects, 'priority=' || priority || ', status=' || status AS tags FROM img JOIN obj USING (k) JOIN h USING (path) GROUP BY path, img.colour, priority, status")
+
 # building
 frame("srt3_top_scenes", lambda s, d: derived.library(s, d).images.select("path", F.posexplode(etl.top_scenes(F.col("img_attrs.scene_vector"), derived.LABELS)).alias("place", "t")).select("path", "place", "t.p", "t.label"),
       f"""{PRELUDE} SELECT path, CAST(row_number() OVER (PARTITION BY k ORDER BY n DESC, i) - 1 AS INT) AS place, round(CAST(CAST(n / CAST(1000 AS DOUBLE) AS FLOAT) AS DOUBLE), 6) AS p,

@@ -17,6 +17,7 @@ from .plans import nodes as n
 from .plans.compiler import Compiler, tag_predicate
 from .plans.parser import parse
 from .plans.values import Value
+from .sources import pages
 from .sources.library import Library
 
 
@@ -60,6 +61,13 @@ class Result:
             return json.dumps({"type": "scalar", "value": self.value.df.first()[0]}, ensure_ascii=False)
         return json.dumps({"type": "scalar", "value": None})
 
+    def write_json(self, folder: str) -> None:
+        """A set's answer as JSON files, each a whole document: ordered within and, by name, between them. Tasks write them."""
+        if not self.value.is_set:
+            raise QueryError("only sets are written in parts")
+        rows = self.ordered().select(F.to_json(F.struct("path", F.col("score").cast("double").alias("score"))).alias("text"))
+        pages.write(rows, folder, pages.Form('{"type": "images", "images": [\n', ",\n", "\n]}", ".json"))
+
 
 class Session:
     """Runs scripts; variables stay between them. ``predictors`` maps a pack's name to its model."""

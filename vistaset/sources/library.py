@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import QueryError
-from . import versions
+from . import pages, pieces, versions
 from .schema import COLLECTIONS, IMAGE_ATTRS, OBJECT, filled
 
 VERSION = "1.2"
@@ -83,28 +83,35 @@ def normal_objects(objects):
     return F.coalesce(F.transform(objects, lambda o: filled(o, OBJECT)), F.array().cast(f"array<{OBJECT}>"))
 
 
-def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Images and collections of a JSON index: one document, entries by path, checked version."""
-    entry = f"struct<mtime:bigint,size:bigint,img_id:bigint,objects:array<{OBJECT}>,img_attrs:{IMAGE_ATTRS}>"
-    schema = f"version string, entries map<string,{entry}>, collections map<string,array<string>>"
-    doc = spark.read.schema(schema).json(path, multiLine=True, mode="FAILFAST")
-    versions = [r[0] for r in doc.select("version").distinct().limit(2).collect()]
+def read_index(spark: SparkSession, path: str, chunk: int = pieces.CHUNK) -> tuple[DataFrame, DataFrame]:
+    """Images and collections of a JSON index (one document or several), read in chunks: entries by path, checked version."""
+    entry = f"mtime bigint, size bigint, img_id bigint, objects array<{OBJECT}>, img_attrs {IMAGE_ATTRS}"
+    doc = pieces.Document(spark, path, chunk)
+    versions = sorted(set(doc.values("version")))
     if versions != [VERSION]:
         raise QueryError(f"index version {versions} is not {VERSION}")
-    e = doc.select(F.explode("entries").alias("path", "e"))
+    e = doc.section("entries").select(F.col("key").alias("path"), F.from_json("value", entry, {"mode": "FAILFAST"}).alias("e"))
     images = e.select(
         "path", F.coalesce("e.mtime", F.lit(0)).alias("mtime"), F.coalesce("e.size", F.lit(0)).alias("size"), F.coalesce("e.img_id", F.lit(-1)).alias("img_id"),
         filled(F.col("e.img_attrs"), IMAGE_ATTRS).alias("img_attrs"), normal_objects(F.col("e.objects")).alias("objects"),
     )
-    albums = doc.select(F.explode("collections").alias("name", "paths")).select("name", F.posexplode("paths").alias("pos", "path"))
+    paths = F.from_json("value", "array<string>", {"mode": "FAILFAST"})
+    albums = doc.section("collections").select(F.col("key").alias("name"), F.posexplode(paths).alias("pos", "path"))
     return images, albums
 
 
-def read_legacy(spark: SparkSession, path: str) -> DataFrame:
+def write_index(images: DataFrame, folder: str) -> None:
+    """Images as a JSON index in parts: every partition is a whole document, in force together when all are written."""
+    entry = F.concat(F.get_json_object(F.to_json(F.struct(F.array("path").alias("k"))), "$.k").alias("k"), F.lit(""))
+    key = F.substring(entry, F.lit(2), F.length(entry) - 2)  # the path as JSON text
+    rows = images.select(F.concat(key, F.lit(":"), F.to_json(F.struct("mtime", "size", "img_id", "objects", "img_attrs"))).alias("text"))
+    pages.write(rows, folder, pages.Form(f'{{"version":"{VERSION}","entries":{{\n', ",\n", "\n}}", ".json"))
+
+
+def read_legacy(spark: SparkSession, path: str, chunk: int = pieces.CHUNK) -> DataFrame:
     """Images of the older format: a list of images, numbered by position; size 0 compares with none."""
-    image = f"struct<path:string,mtime:bigint,objects:array<{OBJECT}>,img_attrs:{IMAGE_ATTRS}>"
-    doc = spark.read.schema(f"images array<{image}>").json(path, multiLine=True, mode="FAILFAST")
-    i = doc.select(F.posexplode("images").alias("pos", "i"))
+    image = f"path string, mtime bigint, objects array<{OBJECT}>, img_attrs {IMAGE_ATTRS}"
+    i = pieces.Document(spark, path, chunk).numbered("images").select("pos", F.from_json("value", image, {"mode": "FAILFAST"}).alias("i"))
     return i.select(
         "i.path", F.coalesce("i.mtime", F.lit(0)).alias("mtime"), F.lit(0).cast("bigint").alias("size"), F.col("pos").cast("bigint").alias("img_id"),
         filled(F.col("i.img_attrs"), IMAGE_ATTRS).alias("img_attrs"), normal_objects(F.col("i.objects")).alias("objects"),
