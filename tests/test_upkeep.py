@@ -325,3 +325,31 @@ def test_runs(spark, tmp_path):
     r = runs.hit_ratio(runs.history(spark, at)).first()
     assert (r["runs"], r["hits"], r["ratio"]) == (3, 2, pytest.approx(2 / 3))
     assert runs.hit_ratio(runs.history(spark, at).limit(0)).first()["ratio"] is None
+
+
+def test_vectors_are_sent_once_to_a_block(spark):
+    """Random directions rule nothing out: each vector visits every earlier cell, but goes to few blocks."""
+    n = 3000
+    x = np.random.default_rng(4).normal(size=(n, 16))
+    c = cluster.cells(_items(spark, (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)), 0.3)
+    assert len(c.count) > 50 and len(c.low) == 2
+    assert c.meetings().count() <= n * (len(c.low) + 1)
+
+
+@pytest.mark.parametrize("block", [2048, 60])
+def test_density_equals_brute_force(spark, monkeypatch, block):
+    """Core, border and noise; a product that only single precision puts on the threshold's other side."""
+    monkeypatch.setattr(cluster, "BLOCK", block)
+    x = np.random.default_rng(5).normal(size=(400, 6))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    s = x.astype(np.float64) @ x.astype(np.float64).T
+    near = np.triu(s, 1)
+    t = float(near[np.unravel_index(np.abs(near - 0.93).argmin(), near.shape)])  # a pair stands exactly on it
+    links = s >= t - 1e-15
+    np.fill_diagonal(links, False)
+    core = links.sum(1) >= 2
+    want = _groups(len(x), [(i * 3, j * 3) for i, j in zip(*np.nonzero(np.triu(links & core[:, None] & core[None])), strict=True)])
+    want = {i * 3: want[i * 3] if core[i] else min((want[j * 3] for j in np.flatnonzero(links[i] & core)), default=None) for i in range(len(x))}
+    assert None in want.values() and any(want[i * 3] is not None for i in np.flatnonzero(~core))
+    got = {r["id"]: r["comp"] for r in cluster.density(_items(spark, x), t - 1e-15, 3).collect()}
+    assert got == want
