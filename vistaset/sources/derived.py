@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .library import Library, Pack
@@ -17,30 +17,45 @@ COLOURS = ("red", "blue", "gray", "brown")
 PACKS = {"details": Pack("details", "promo", ("lid", "label"), conf_threshold=0.5)}
 
 
-def objects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per line item: order key, position, and the object's fields."""
+def _hist(key, n: int, m: int):
+    """Bins (key + i * i) % 17 / m as single floats: they repeat with 17, so keys look one of 17 arrays up; keys below zero are worked out."""
+    known = F.array(*[F.split(F.lit(",".join(repr((r + i * i) % 17 / m) for i in range(n))), ",").cast("array<float>") for r in range(17)])
+    plain = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: ((key + i * i) % 17 / m).cast("float"))
+    return F.when(key >= 0, F.get(known, (key % 17).cast("int"))).otherwise(plain)
+
+
+#: What an object is made of, in the order of an image's objects: what stands further back cannot tell two apart.
+ITEM = ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount")
+
+
+def items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per order key: its line items with their classes, in order.
+
+    Line items move with the few columns that objects are made of; objects are made where they are read.
+    """
     part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.lower("p_type").alias("class"))
-    item = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate")
-    o = item.withColumn("pos", F.row_number().over(order)).join(part, F.col("l_partkey") == F.col("p_partkey"))
-    parent = F.when(F.col("class").isin("economy", "standard"), "basic").when(F.col("class").isin("small", "medium", "large"), "sized").otherwise("root")
-    w, h = F.col("l_quantity") / 100, F.col("l_linenumber") / 14
-    key = F.col("l_partkey")
+    item = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", *ITEM)
+    rows = item.join(part, F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", *ITEM, "class")
+    # they come together before they are listed: lists would be built, sent and merged again
+    return rows.repartition("l_orderkey").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct(*ITEM, "class"))).alias("l"))
+
+
+def an_object(t, i):
+    """The object of an order's line item ``t`` at a position from 0."""
+    key, class_ = t["l_partkey"], t["class"]
+    parent = F.when(class_.isin("economy", "standard"), "basic").when(class_.isin("small", "medium", "large"), "sized").otherwise("root")
+    w, h = t["l_quantity"] / 100, t["l_linenumber"] / 14
     f = lambda c: c.cast("float")
     attr = empty(
         ATTR, h=f(key % 360), s=f((key % 100) / 100), v=f((key * 7 % 100) / 100), color_temperature=f(2000 + key * 13 % 8000),
         dominant_color_name=F.element_at(F.array(*map(F.lit, COLOURS)), (key % 4 + 1).cast("int")),
-        hue_hist=F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: ((key + i * i) % 17 / 200).cast("float")),
-        lbp=f((key % 10) / 10), local_blur_score=f((key % 7) / 7),
+        hue_hist=_hist(key, 32, 200), lbp=f((key % 10) / 10), local_blur_score=f((key % 7) / 7),
     )
-    return o.select(
-        "l_orderkey", "pos",
-        empty(
-            OBJECT, **{"class": F.col("class")}, x=(key % 1000) / 1000, y=(F.col("l_suppkey") * 7 % 100) / 100, w=w, h=h, area=w * h,
-            confidence=1 - 5 * F.col("l_discount"), original_class=F.col("class"), super_class=parent,
-            obj_id=F.col("l_orderkey") * 1000 + F.col("pos"), img_id=F.col("l_orderkey"), attr=attr,
-            cluster_ids=F.create_map(F.lit("lot"), F.concat(F.lit("lot_"), (key % 5).cast("string"))),
-        ).alias("o"),
+    return empty(
+        OBJECT, **{"class": class_}, x=(key % 1000) / 1000, y=(t["l_suppkey"] * 7 % 100) / 100, w=w, h=h, area=w * h,
+        confidence=1 - 5 * t["l_discount"], original_class=class_, super_class=parent,
+        obj_id=F.col("l_orderkey") * 1000 + i + 1, img_id=F.col("l_orderkey"), attr=attr,
+        cluster_ids=F.create_map(F.lit("lot"), F.concat(F.lit("lot_"), (key % 5).cast("string"))),
     )
 
 
@@ -48,7 +63,7 @@ def image_attrs():
     """Invented measurements of an image, from an order's key and customer."""
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     f = lambda v: v.cast("float")
-    hist = lambda n, m: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: ((k + i * i) % 17 / m).cast("float"))
+    hist = lambda n, m: _hist(k, n, m)
     return empty(
         IMAGE_ATTRS, color_temperature=f(2000 + k % 8000), avg_hue=f(c % 360), avg_saturation=f((k % 100) / 100), avg_value=f((k * 7 % 100) / 100),
         dominant_color=F.element_at(F.array(*map(F.lit, COLOURS)), (k % 4 + 1).cast("int")), global_hue_hist=hist(32, 200), luma_hist=hist(64, 400),
@@ -65,14 +80,13 @@ def path(key):
 
 
 def library(spark: SparkSession, sf_dir: str) -> Library:
-    items = objects(spark, sf_dir).groupBy("l_orderkey").agg(F.collect_list(F.struct("pos", "o")).alias("l"))
-    # few objects per image: they sort within the row
-    nested = F.transform(F.array_sort("l", lambda a, b: a["pos"] - b["pos"]), lambda t: t["o"])
-    items = items.select("l_orderkey", nested.alias("objects"))
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    images = orders.join(items, F.col("o_orderkey") == F.col("l_orderkey"), "left").select(
+    # objects are made once a row: a condition that the columns do not tell (it always holds) keeps filters from making them again
+    once = F.when(F.monotonically_increasing_id() >= 0, F.coalesce(F.transform("l", an_object), F.array().cast(f"array<{OBJECT}>")))
+    rows = orders.join(items(spark, sf_dir), F.col("o_orderkey") == F.col("l_orderkey"), "left").withColumn("objects", once)
+    images = rows.select(
         path(F.col("o_orderkey")).alias("path"), F.unix_timestamp("o_orderdate").alias("mtime"), F.col("o_custkey").alias("size"), F.col("o_orderkey").alias("img_id"),
-        image_attrs().alias("img_attrs"), F.coalesce("objects", F.array().cast(f"array<{OBJECT}>")).alias("objects"),
+        image_attrs().alias("img_attrs"), "objects",
     )
     albums = orders.where("o_orderkey % 10 = 0").select(F.lit("tens").alias("name"), F.lit(0).alias("pos"), path(F.col("o_orderkey")).alias("path"))
     urgent = orders.where("o_orderpriority = '1-URGENT'").select(F.lit("urgent").alias("name"), F.lit(0).alias("pos"), path(F.col("o_orderkey")).alias("path"))
