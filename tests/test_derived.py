@@ -36,3 +36,13 @@ def test_histograms_by_key(spark, key):
     got = spark.range(1).select(derived._hist(derived.F.lit(key), 32, 200).alias("h")).first()["h"]
     rest = lambda v: abs(v) % 17 * (1 if v >= 0 else -1)
     assert got == pytest.approx([rest(key + i * i) / 200 for i in range(32)])
+
+
+def test_similarity_is_made_once(spark, tables):
+    """A step that reads its score several times, and a filter beside its column, do not repeat it."""
+    got = Session(derived.library(spark, tables)).run("$ : (any(hist_sim(obj_hist(obj), img_hist())))").table()
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("zip_with(") == 1
+    bins = lambda k: [(k + i * i) % 17 for i in range(32)]
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True))
+    like = lambda a, b: dot(a, b) / (dot(a, a) * dot(b, b)) ** 0.5
+    assert {r["path"]: r["score"] for r in got.collect()} == pytest.approx({"img_00000001.jpg": like(bins(1), bins(40)), "img_00000002.jpg": like(bins(2), bins(35))}, rel=1e-6)

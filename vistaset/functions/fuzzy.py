@@ -68,18 +68,23 @@ def colour(wanted: Column | str, named: Column, s: Column, v: Column, hist: Colu
     return F.when(named == name, at(1)).otherwise(rest)
 
 
+def once(c: Column) -> Column:
+    """The same, worked out once a row: what columns tell alone the optimizer repeats in each filter and column that reads it."""
+    return F.when(F.monotonically_increasing_id() >= 0, c)
+
+
 def cosine(a: Column, b: Column) -> Column:
-    """Similarity of two histograms in double precision; a zero one is like none. One pass gives all three products."""
+    """Similarity of two histograms in double precision; a zero one is like none."""
     real = lambda x: F.coalesce(x.cast("double"), F.lit(0.0))
-    pairs = F.zip_with(a, b, lambda p, q: F.struct(real(p).alias("p"), real(q).alias("q")))
-    zero = F.struct(*[F.lit(0.0).alias(n) for n in ("pq", "pp", "qq")])
-    more = lambda t, e: F.struct((t["pq"] + e["p"] * e["q"]).alias("pq"), (t["pp"] + e["p"] * e["p"]).alias("pp"), (t["qq"] + e["q"] * e["q"]).alias("qq"))
+    total = lambda v, f: F.aggregate(v, F.lit(0.0), lambda t, x: t + f(x))
+    square = lambda v: total(v, lambda x: real(x) * real(x))
+    sums = F.struct(total(F.zip_with(a, b, lambda p, q: real(p) * real(q)), lambda x: x).alias("pq"), F.sqrt(square(a)).alias("p"), F.sqrt(square(b)).alias("q"))
 
     def share(t: Column) -> Column:
-        na, nb = F.sqrt(t["pp"]), F.sqrt(t["qq"])
-        return F.when((na <= 1e-12) | (nb <= 1e-12), score(0)).otherwise(clamp(t["pq"] / (na * nb)))
+        return F.when((t["p"] <= 1e-12) | (t["q"] <= 1e-12), score(0)).otherwise(clamp(t["pq"] / (t["p"] * t["q"])))
 
-    return F.aggregate(pairs, zero, more, share)
+    # the sums stand in a list of one, so that they are made once
+    return F.get(F.transform(F.array(sums), share), F.lit(0))
 
 
 def number(s: Column) -> Column:

@@ -279,7 +279,7 @@ class Compiler:
         names = rows.columns
         if needs is not None and not inner.frames:
             rows = rows.where(needs)
-        rows = joined(rows, inner.frames).withColumn("score", value)
+        rows = joined(rows, inner.frames).withColumn("score", fz.once(value))
         rows = rows.where(fz.positive(F.col("score")))
         if self.hard:
             rows = rows.where(F.col("score") >= fz.score(0.5))
@@ -290,17 +290,16 @@ class Compiler:
         """Greatest (any) or least (all) score of a condition over an array of objects."""
         found: dict = {}
 
-        def step(a: Column, o: Column) -> Column:
-            v = self.expr(cond, s.inner(obj=o, objs=objs if rebind else s.objs))
-            c = as_score(v, s)
-            return fz.larger(a, c) if kind == "any" else fz.smaller(a, c)
+        def one(o: Column) -> Column:
+            return as_score(self.expr(cond, s.inner(obj=o, objs=objs if rebind else s.objs)), s)
 
         def need(o: Column) -> Column:
             v = self.expr(cond, s.inner(obj=o, objs=objs if rebind else s.objs))
             found["needs"] = v.needs is not None
             return v.needs if v.needs is not None else F.lit(True)
 
-        value = F.aggregate(objs, fz.score(1 if kind == "all" else 0), step)
+        # scores are listed first: a step reads its score several times
+        value = F.aggregate(F.transform(objs, one), fz.score(1 if kind == "all" else 0), fz.larger if kind == "any" else fz.smaller)
         needs = None
         if kind == "any":
             before = len(s.frames)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.fuzzy import once
 from .library import Library, Pack
 from .schema import ATTR, IMAGE_ATTRS, OBJECT, SCENES, empty
 
@@ -81,9 +82,8 @@ def path(key):
 
 def library(spark: SparkSession, sf_dir: str) -> Library:
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    # objects are made once a row: a condition that the columns do not tell (it always holds) keeps filters from making them again
-    once = F.when(F.monotonically_increasing_id() >= 0, F.coalesce(F.transform("l", an_object), F.array().cast(f"array<{OBJECT}>")))
-    rows = orders.join(items(spark, sf_dir), F.col("o_orderkey") == F.col("l_orderkey"), "left").withColumn("objects", once)
+    made = once(F.coalesce(F.transform("l", an_object), F.array().cast(f"array<{OBJECT}>")))
+    rows = orders.join(items(spark, sf_dir), F.col("o_orderkey") == F.col("l_orderkey"), "left").withColumn("objects", made)
     images = rows.select(
         path(F.col("o_orderkey")).alias("path"), F.unix_timestamp("o_orderdate").alias("mtime"), F.col("o_custkey").alias("size"), F.col("o_orderkey").alias("img_id"),
         image_attrs().alias("img_attrs"), "objects",
