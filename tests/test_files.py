@@ -1,5 +1,6 @@
 """JSON documents read in chunks, and results written by tasks."""
 
+import gzip
 import json
 import os
 
@@ -55,6 +56,29 @@ def test_written_index_reads_back(spark, tmp_path):
     assert told(back) == told(images.select(*back.columns))
 
 
+def test_packed_index_reads_back(spark, tmp_path, monkeypatch):
+    """Parts are gzip files of many frames, read in chunks that do not match them."""
+    monkeypatch.setattr(pages, "FRAME", 1500)
+    with open(tmp_path / "frames.gz", "wb") as f:
+        p = pages.PackedOut(f)
+        for k in range(3000):
+            p.write(b"%d," % k)
+        p.flush()
+    plain = b"".join(b"%d," % k for k in range(3000))
+    assert gzip.decompress((tmp_path / "frames.gz").read_bytes()) == plain
+    with pieces.opened(f"file:{tmp_path}/frames.gz") as f:
+        assert f.size() == len(plain) and len(f.places) > 5
+        assert all(f.read_at(n, at) == plain[at : at + n] for n, at in ((1, 0), (4000, 700), (10, len(plain) - 5), (len(plain), 0)))
+    images = library(spark).images
+    sources.write_index(images.repartition(3), str(tmp_path / "w"), packed=True)
+    sources.write_index(images.repartition(3), str(tmp_path / "p"))
+    size = lambda d, end: sum(os.path.getsize(tmp_path / d / n) for n in os.listdir(tmp_path / d) if n.endswith(end))
+    assert 0 < size("w", ".json.gz") < size("p", ".json") / 4
+    back, _ = sources.read_index(spark, f"{tmp_path}/w/part-*.json.gz", 4096)
+    told = lambda d: sorted(map(str, d.select("path", "img_id", F.to_json("objects").alias("o"), F.to_json("img_attrs").alias("a")).collect()))
+    assert told(back) == told(images.select(*back.columns))
+
+
 def test_answers_and_reports_in_files(spark, tmp_path):
     s = Session(library(spark))
     answer = s.run("$ any person")

@@ -494,10 +494,10 @@ frame("snk6_snapshot", _snapshot, f"{PRELUDE} SELECT path, k AS img_id, CAST(cou
 
 
 def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The library as a JSON index in parts, read back in chunks."""
+    """The library as a packed JSON index in parts, read back in chunks."""
     folder = new_path(spark, "index")
-    sources.write_index(derived.library(spark, sf_dir).images, folder)
-    i, _ = sources.read_index(spark, f"{folder}/part-*.json", 4 << 20)
+    sources.write_index(derived.library(spark, sf_dir).images, folder, packed=True)
+    i, _ = sources.read_index(spark, f"{folder}/part-*.json.gz", 4 << 20)
     o = F.transform("objects", lambda x: x["class"])
     return i.select("path", "mtime", "size", "img_id", F.array_join(o, ",").alias("classes"), F.col("img_attrs.dominant_scene").alias("scene"), F.col("img_attrs.user_tags")["priority"].alias("priority"))
 

@@ -100,12 +100,15 @@ def read_index(spark: SparkSession, path: str, chunk: int = pieces.CHUNK) -> tup
     return images, albums
 
 
-def write_index(images: DataFrame, folder: str) -> None:
-    """Images as a JSON index in parts: every partition is a whole document, in force together when all are written."""
+def write_index(images: DataFrame, folder: str, packed: bool = False) -> None:
+    """Images as a JSON index in parts: every partition is a whole document, in force together when all are written.
+
+    ``packed`` parts are gzip files whose frames can be found, so that they are read in chunks too.
+    """
     entry = F.concat(F.get_json_object(F.to_json(F.struct(F.array("path").alias("k"))), "$.k").alias("k"), F.lit(""))
     key = F.substring(entry, F.lit(2), F.length(entry) - 2)  # the path as JSON text
     rows = images.select(F.concat(key, F.lit(":"), F.to_json(F.struct("mtime", "size", "img_id", "objects", "img_attrs"))).alias("text"))
-    pages.write(rows, folder, pages.Form(f'{{"version":"{VERSION}","entries":{{\n', ",\n", "\n}}", ".json"))
+    pages.write(rows, folder, pages.Form(f'{{"version":"{VERSION}","entries":{{\n', ",\n", "\n}}", ".json.gz" if packed else ".json"))
 
 
 def read_legacy(spark: SparkSession, path: str, chunk: int = pieces.CHUNK) -> DataFrame:

@@ -8,8 +8,11 @@ hidden folder, which goes at the end either way.
 
 from __future__ import annotations
 
+import bisect
 import re
+import struct
 import uuid
+import zlib
 from dataclasses import dataclass
 
 import pyarrow.fs as pafs
@@ -28,6 +31,68 @@ class Form:
     ending: str
 
 
+#: Bytes of a packed file's frame before packing.
+FRAME = 4 << 20
+_HEAD = struct.Struct("<10sHccHQQ")
+_MAGIC = b"\x1f\x8b\x08\x04\0\0\0\0\0\xff"
+
+
+class PackedOut:
+    """A gzip file of many members (frames): an extra field of each tells its length, packed and unpacked."""
+
+    def __init__(self, f):
+        self.f, self.held, self.n = f, [], 0
+
+    def write(self, data: bytes) -> None:
+        self.held.append(data)
+        self.n += len(data)
+        if self.n >= FRAME:
+            self.flush()
+
+    def flush(self) -> None:
+        data = b"".join(self.held)
+        z = zlib.compressobj(3, zlib.DEFLATED, -15)
+        body = z.compress(data) + z.flush()
+        self.f.write(_HEAD.pack(_MAGIC, 20, b"v", b"s", 16, _HEAD.size + len(body) + 8, len(data)) + body + struct.pack("<II", zlib.crc32(data), len(data) & 0xFFFFFFFF))
+        self.held, self.n = [], 0
+
+
+class PackedIn:
+    """Reads such a file at any place: frames are found by their headers, one is held unpacked."""
+
+    def __init__(self, f):
+        self.f, self.starts, self.places, self.held = f, [0], [], (-1, b"")
+        at = 0
+        while at < f.size():
+            magic, _, a, b, _, packed, plain = _HEAD.unpack(f.read_at(_HEAD.size, at))
+            if (magic, a, b) != (_MAGIC, b"v", b"s"):
+                raise ValueError("not a packed file of this library")
+            self.places.append((at, packed))
+            self.starts.append(self.starts[-1] + plain)
+            at += packed
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.f.close()
+
+    def size(self) -> int:
+        return self.starts[-1]
+
+    def read_at(self, n: int, at: int) -> bytes:
+        out, stop = [], min(at + n, self.size())
+        while at < stop:
+            k = bisect.bisect_right(self.starts, at) - 1
+            if self.held[0] != k:
+                place, packed = self.places[k]
+                self.held = (k, zlib.decompress(self.f.read_at(packed, place), 31))
+            part = self.held[1][at - self.starts[k] : stop - self.starts[k]]
+            out.append(part)
+            at += len(part)
+        return b"".join(out)
+
+
 @dataclass
 class Written(WriterCommitMessage):
     part: int
@@ -51,13 +116,15 @@ class PagesWriter(DataSourceArrowWriter):
         part, rows = TaskContext.get().partitionId(), 0
         name = f"{at}/_writing-{self.run}/{part}-{uuid.uuid4().hex}"
         fs.create_dir(f"{at}/_writing-{self.run}", recursive=True)
-        with fs.open_output_stream(name) as f:
+        with fs.open_output_stream(name, compression=None) as to:
+            f = PackedOut(to) if self.form.ending.endswith(".gz") else to
             f.write(self.form.head.encode())
             for b in iterator:
                 for t in b.column(0):
                     f.write(((self.form.between if rows else "") + (t.as_py() or "")).encode())
                     rows += 1
             f.write(self.form.foot.encode())
+            f.flush()
         return Written(part, name, rows)
 
     def commit(self, messages) -> None:

@@ -4,7 +4,8 @@ A document is cut into chunks of bytes. Where a chunk starts, inside a text or n
 before it; so a first pass tells of each chunk how it changes both states, whichever it starts in (a few numbers a
 chunk), which put together give every chunk its start. A second pass lists the few members of the document's top
 level; from then on each task yields the members of a section that begin in its chunk and reads on to the end of the
-last one. No task holds more than a chunk and a member, and values stay JSON text for ``from_json``.
+last one. No task holds more than a chunk and a member, and values stay JSON text for ``from_json``. Packed files
+(``pages.PackedOut``) are read alike, by places of what is in them.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..errors import QueryError
+from .pages import PackedIn
 
 #: Bytes of a chunk, and of one step when a member goes on beyond it.
 CHUNK, STEP = 16 << 20, 1 << 20
@@ -31,7 +33,20 @@ _LOCAL = re.compile("^file:/+")
 def opened(uri: str):
     """A file of any file system that pyarrow knows, for reading at any place."""
     fs, path = (pafs.LocalFileSystem(), _LOCAL.sub("/", uri)) if uri.startswith("file:") else pafs.FileSystem.from_uri(uri)
-    return fs.open_input_file(path)
+    f = fs.open_input_file(path)
+    return PackedIn(f) if uri.endswith(".gz") else f
+
+
+def _sized(batches) -> Iterator[pa.RecordBatch]:
+    """Files with the length of what is in them."""
+    for b in batches:
+        out = []
+        for uri, length in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if uri.endswith(".gz"):
+                with opened(uri) as f:
+                    length = f.size()
+            out.append((uri, length))
+        yield pa.RecordBatch.from_pydict({"path": pa.array([r[0] for r in out], pa.string()), "length": pa.array([r[1] for r in out], pa.int64())})
 
 
 def _escaped(f, at: int) -> bool:
@@ -156,7 +171,7 @@ class Document:
     """JSON documents of a path (a file, a folder or a pattern), each an object at its top."""
 
     def __init__(self, spark: SparkSession, path: str, chunk: int = CHUNK):
-        files = spark.read.format("binaryFile").load(path).where("length > 0").select("path", "length")
+        files = spark.read.format("binaryFile").load(path).where("length > 0").select("path", "length").mapInArrow(_sized, "path string, length long")
         cuts = files.select(F.col("path").alias("file"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(chunk).cast("long"))).alias("at"), "length")
         cuts = cuts.select("file", "at", F.least(F.col("at") + chunk, "length").alias("stop"))
         self.spark = spark
