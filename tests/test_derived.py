@@ -2,6 +2,7 @@
 
 import pytest
 
+from vistaset import catalog
 from vistaset.session import Session
 from vistaset.sources import derived
 
@@ -46,3 +47,13 @@ def test_similarity_is_made_once(spark, tables):
     dot = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True))
     like = lambda a, b: dot(a, b) / (dot(a, a) * dot(b, b)) ** 0.5
     assert {r["path"]: r["score"] for r in got.collect()} == pytest.approx({"img_00000001.jpg": like(bins(1), bins(40)), "img_00000002.jpg": like(bins(2), bins(35))}, rel=1e-6)
+
+
+def test_cards_of_kept_rows_are_not_looked_up(spark, tables):
+    """Results with their images' columns meet no library; others meet texts, not histograms."""
+    lib = derived.library(spark, tables)
+    found = Session(lib).run("$ any promo")
+    own, met = catalog.report(lib, found.rows()), catalog.report(lib, found.table())
+    assert own.collect() == met.collect() and own.count() == 1
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Inner, (path" not in plan(own) and "scene_vector" not in plan(met).split("Join Inner, (path")[0]

@@ -122,7 +122,7 @@ def rename(library: Library, names: DataFrame, smart: dict[str, str] | None = No
     """Rename by (old, new) where there is no conflict: images, albums, and quoted paths in saved queries."""
     ok = names.where(~F.col("conflict")).select("old", "new") if "conflict" in names.columns else names
     move = lambda df: df.join(ok, df["path"] == ok["old"], "left").withColumn("path", F.coalesce("new", "path")).select(*df.columns)
-    out = Library(move(library.images), move(library.collections), library.classes, library.labels, library.packs)
+    out = Library(move(library.images), move(library.collections), library.classes, library.labels, library.packs, library.tasks)
     texts = dict(smart or {})
     if texts:
         # only the names that the saved queries quote are looked up
@@ -137,15 +137,21 @@ def rename(library: Library, names: DataFrame, smart: dict[str, str] | None = No
 
 
 def report(library: Library, results: DataFrame, least: float = 0.05) -> DataFrame:
-    """Cards of the results: score, size, colour, objects as ``class (conf%)``, likeliest scenes, tags."""
+    """Cards of the results: score, colour, objects as ``class (conf%)``, likeliest scenes, tags.
+
+    Results with their images' own columns (``Result.rows``) are not looked up; others meet cards of all images, which are narrow.
+    """
     a = F.col("img_attrs")
     objects = F.transform("objects", lambda o: F.concat(o["class"], F.lit(" ("), F.format_string("%.0f", o["confidence"] * 100), F.lit("%)")))
     scenes = F.transform(top_scenes(a["scene_vector"], library.labels, 3, 0.001), lambda t: F.concat(t["label"], F.lit(" "), F.format_string("%.3f", t["p"].cast("double"))))
     tags = F.transform(F.array_sort(F.map_entries(a["user_tags"])), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
-    rows = results.where(F.col("score") >= least).join(library.images.drop("score"), "path")
-    return rows.select(
-        "path", "score", a["dominant_color"].alias("colour"), F.concat_ws(", ", objects).alias("objects"), F.concat_ws(", ", scenes).alias("scenes"), F.concat_ws(", ", tags).alias("tags")
-    ).orderBy(F.desc("score"), "path")
+    texts = [a["dominant_color"].alias("colour"), F.concat_ws(", ", objects).alias("objects"), F.concat_ws(", ", scenes).alias("scenes"), F.concat_ws(", ", tags).alias("tags")]
+    rows = results.where(F.col("score") >= least)
+    if "img_attrs" in results.columns:
+        cards = rows.select("path", "score", *texts)
+    else:
+        cards = rows.join(library.images.select("path", *texts), "path")
+    return cards.orderBy(F.desc("score"), "path")
 
 
 def write_report(cards: DataFrame, folder: str, title: str = "Report") -> None:

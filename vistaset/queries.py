@@ -322,7 +322,7 @@ frame("snk12_rename", lambda s, d: catalog.new_names(derived.library(s, d).image
   SELECT old, new, row_number() OVER (PARTITION BY new ORDER BY old) > 1 AS conflict FROM n""")
 frame("snk14_album_add", lambda s, d: catalog.add_to_album(derived.library(s, d).collections, "tens", Session(derived.library(s, d)).run('collection("urgent")').table()).groupBy("name").agg(F.countDistinct("path").alias("images")), f"{PRELUDE} SELECT 'tens' AS name, count(*) AS images FROM img WHERE k % 10 = 0 OR priority = '1-URGENT' UNION ALL SELECT 'urgent', count(*) FROM img WHERE priority = '1-URGENT'")
 frame("snk15_display_names", lambda s, d: cluster.display_names(cluster.cluster_counts(_lots(s, d), "lot").select("cluster_id"), s.createDataFrame([("lot_1", "First")], "cluster_id string, display string"), "lot"), "SELECT * FROM (VALUES ('lot_0', '0'), ('lot_1', 'First'), ('lot_2', '2'), ('lot_3', '3'), ('lot_4', '4')) t(cluster_id, display)")
-frame("snk10_report", lambda s, d: catalog.report(derived.library(s, d), Session(derived.library(s, d)).run("$ any promo").table()).select("path", "score", "colour", "tags"), f"{PRELUDE} SELECT path, {R6}, colour, 'priority=' || priority || ', status=' || status AS tags FROM ({HAS_PROMO}) JOIN (SELECT path, colour, priority, status FROM img) USING (path) WHERE score >= 0.05")
+frame("snk10_report", lambda s, d: catalog.report(derived.library(s, d), Session(derived.library(s, d)).run("$ any promo").rows()).select("path", "score", "colour", "tags"), f"{PRELUDE} SELECT path, {R6}, colour, 'priority=' || priority || ', status=' || status AS tags FROM ({HAS_PROMO}) JOIN (SELECT path, colour, priority, status FROM img) USING (path) WHERE score >= 0.05")
 frame("snk7_delete", lambda s, d: _deleted(s, d), f"{PRELUDE} SELECT path FROM img WHERE path NOT IN (SELECT path FROM ({HAS_PROMO}))")
 frame("snk1_object_results", lambda s, d: Session(derived.library(s, d)).run("% ($ any promo)").ordered(), f"{PRELUDE} SELECT path, {R6} FROM (SELECT path, max(CAST(conf AS FLOAT)) AS score FROM img JOIN obj USING (k) WHERE path IN (SELECT path FROM ({HAS_PROMO})) GROUP BY path)")
 
@@ -513,7 +513,7 @@ def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A report's pages, read back card by card."""
     folder, lib = new_path(spark, "report"), derived.library(spark, sf_dir)
-    catalog.write_report(catalog.report(lib, Session(lib).run("$ any promo").table()), folder, "Promo")
+    catalog.write_report(catalog.report(lib, Session(lib).run("$ any promo").rows()), folder, "Promo")
     t = spark.read.text(f"{folder}/part-*.html").where("value like '<div>%'")
     of = lambda k: F.regexp_extract("value", f"<p>{k}: (.*?)</p>", 1).alias(k)
     return t.select(F.regexp_extract("value", "<h2>(.*) [0-9.]+</h2>", 1).alias("path"), of("colour"), F.size(F.split(of("objects"), ", ")).alias("objects"), of("tags"))

@@ -45,6 +45,10 @@ class Result:
             raise QueryError("not a set of objects")
         return self.value.df
 
+    def rows(self) -> DataFrame:
+        """Images with their score and, where the result has kept them, their own columns."""
+        return self.value.rows if self.value.rows is not None else self.table()
+
     def ordered(self) -> DataFrame:
         """Least score first, ties by path."""
         return sets.ranked(self.table())
@@ -122,7 +126,7 @@ class Session:
             self.on_delete(gone.select("path"))
         images = self.library.images.join(paths, "path", "left_anti")
         albums = self.library.collections.join(paths, "path", "left_anti").select(*self.library.collections.columns)
-        self.library = Library(images, albums, self.library.classes, self.library.labels, self.library.packs)
+        self.library = Library(images, albums, self.library.classes, self.library.labels, self.library.packs, self.library.tasks)
         return Value("num", F.col("value"), count)
 
     def run_json(self, script: str) -> str:

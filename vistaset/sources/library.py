@@ -42,7 +42,8 @@ class Pack:
 class Library:
     """Images (one row each, objects nested), albums, the class tree, scene labels and packs.
 
-    The class tree, labels and packs are vocabularies of a model, known when a query is compiled.
+    The class tree, labels and packs are vocabularies of a model, known when a query is compiled. ``tasks`` says to how many
+    tasks bags of its objects are dealt (0: as the session has it).
     """
 
     images: DataFrame
@@ -50,6 +51,7 @@ class Library:
     classes: tuple[tuple[str, str], ...] = ()
     labels: tuple[str, ...] = ()
     packs: dict[str, Pack] = field(default_factory=dict)
+    tasks: int = 0
 
     def with_images(self, images: DataFrame) -> Library:
         return replace(self, images=images)
