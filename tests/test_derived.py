@@ -1,8 +1,10 @@
 """The library made of the star-schema tables."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from vistaset import catalog
+from vistaset.operators import cluster
 from vistaset.session import Session
 from vistaset.sources import derived
 
@@ -57,3 +59,11 @@ def test_cards_of_kept_rows_are_not_looked_up(spark, tables):
     assert own.collect() == met.collect() and own.count() == 1
     plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
     assert "Join Inner, (path" not in plan(own) and "scene_vector" not in plan(met).split("Join Inner, (path")[0]
+
+
+def test_stored_vectors_are_clustered_without_objects(spark, tables):
+    """Where vectors are stored, clusters and their counts read no objects."""
+    images = derived.library(spark, tables).images.withColumn("objects", F.when(F.raise_error(F.lit("read")).isNull(), F.col("objects")))
+    items = spark.createDataFrame([("img_00000001.jpg", 1001, [1.0, 0.0]), ("img_00000001.jpg", 1002, [0.0, 1.0]), ("img_00000002.jpg", 2001, [1.0, 0.0])], "path string, obj_id long, vec array<float>")
+    counts = cluster.cluster_counts(cluster.cluster_images(images, "look", "look", 0.9, "promo", items), "look")
+    assert [tuple(r) for r in counts.collect()] == [("look_promo_001", 2), ("look_promo_002", 1)]

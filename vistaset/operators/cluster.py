@@ -379,10 +379,16 @@ def numbered(members: DataFrame, cluster: str, parent: str = "") -> DataFrame:
     return members.join(ranked.select("comp", text.alias("cluster_id")), "comp").drop("comp")
 
 
-def cluster_images(images: DataFrame, embedding: str, cluster: str, threshold: float, parent: str = "") -> DataFrame:
-    """The images with cluster_ids of their objects and cluster_groups of their attributes renewed."""
+def embedded(images: DataFrame, embedding: str) -> DataFrame:
+    """(path, obj_id, vec): objects that have an embedding."""
     items = images.select("path", F.explode("objects").alias("o")).select("path", F.col("o.obj_id").alias("obj_id"), F.try_element_at("o.embeddings", F.lit(embedding)).alias("vec"))
-    items = written(items.where("vec is not null").withColumn("id", F.col("obj_id")), "items")
+    return items.where("vec is not null")
+
+
+def cluster_images(images: DataFrame, embedding: str, cluster: str, threshold: float, parent: str = "", items: DataFrame | None = None) -> DataFrame:
+    """The images with cluster_ids of their objects and cluster_groups of their attributes renewed. ``items``: what ``embedded`` gives, where it is stored."""
+    items = written(embedded(images, embedding), "items") if items is None else items
+    items = items.withColumn("id", F.col("obj_id"))
     named = numbered(items.drop("vec").join(groups(items.select("id", "vec"), threshold), "id"), cluster, parent)
     per = named.groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("obj_id", "cluster_id"))).alias("_ids"))
     rows = images.join(per, "path", "left")

@@ -13,6 +13,7 @@ from pyspark.sql.types import ArrayType, FloatType
 
 from ..errors import QueryError
 from ..sources.library import Library, Pack
+from ..storage import written
 from . import cluster, pixels
 from .expand import padded
 
@@ -84,7 +85,12 @@ def with_embeddings(images: DataFrame, found: DataFrame, name: str) -> DataFrame
 
 def clustered(library: Library, pack: Pack, inputs: Callable[[DataFrame], DataFrame], model: Callable, shape: list[int]) -> Library:
     """The library with embeddings of a pack and the clusters that they form. ``inputs`` maps parents (path, o) to (path, obj_id, input)."""
-    images = with_embeddings(library.images, vectors(inputs(parents(library, pack)), model, shape), pack.embedding_name)
-    if pack.can_cluster:
-        images = cluster.cluster_images(images, pack.embedding_name, pack.cluster_name, pack.cluster_threshold, pack.parent_class)
-    return library.with_images(images)
+    found = vectors(inputs(parents(library, pack)), model, shape)
+    if not pack.can_cluster:
+        return library.with_images(with_embeddings(library.images, found, pack.embedding_name))
+    # vectors are clustered as they were found: only where objects are read do they move to their images
+    found = written(found, "vectors")
+    had = cluster.embedded(library.images, pack.embedding_name).join(found.select("path", "obj_id"), ["path", "obj_id"], "left_anti")
+    items = found.unionByName(written(had, "vectors"))
+    images = with_embeddings(library.images, found, pack.embedding_name)
+    return library.with_images(cluster.cluster_images(images, pack.embedding_name, pack.cluster_name, pack.cluster_threshold, pack.parent_class, items))
