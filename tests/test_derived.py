@@ -1,5 +1,7 @@
 """The library made of the star-schema tables."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -51,6 +53,26 @@ def test_similarity_is_made_once(spark, tables):
     assert {r["path"]: r["score"] for r in got.collect()} == pytest.approx({"img_00000001.jpg": like(bins(1), bins(40)), "img_00000002.jpg": like(bins(2), bins(35))}, rel=1e-6)
 
 
+def test_many_items_are_dealt_to_more_tasks(spark, tables, monkeypatch):
+    """Beyond what a task shall hold, items, parts and bags of objects go to more tasks than the session's; rows stay the same."""
+    script = "(% ($ any promo)) - (% ($ any small))"
+    few = derived.library(spark, tables)
+    want = [r["objects"] for r in few.images.orderBy("path").collect()], Session(few).run(script).objects().count()
+    monkeypatch.setattr(derived, "ITEMS", 1)
+    monkeypatch.setattr(derived, "PARTS", 1)
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    try:
+        many = derived.library(spark, tables)
+        bag = Session(many).run(script).objects()
+        plan = bag._jdf.queryExecution().executedPlan().toString()
+        got = [r["objects"] for r in many.images.orderBy("path").collect()], bag.count()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert (few.tasks, many.tasks) == (0, 4) and got == want
+    for key in ("l_orderkey", "o_orderkey", "l_partkey", "_key"):
+        assert re.search(rf"hashpartitioning\({key}#\d+L?, 4\)", plan)
+
+
 def test_cards_of_kept_rows_are_not_looked_up(spark, tables):
     """Results with their images' columns meet no library; others meet texts, not histograms."""
     lib = derived.library(spark, tables)

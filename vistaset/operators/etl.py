@@ -166,4 +166,4 @@ def refresh(library: Library, listing: DataFrame, build: Callable[[DataFrame], D
     kept = old.join(gone, "path", "left_anti").join(fresh.select("path"), "path", "left_anti")
     images = kept.select(*old.columns).unionByName(fresh)
     albums = library.collections.join(gone, "path", "left_anti").select(*library.collections.columns)
-    return Library(images, albums, library.classes, library.labels, library.packs)
+    return Library(images, albums, library.classes, library.labels, library.packs, library.tasks)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..storage import written
+from ..storage import spread, written
 
 
 def scored(objs: Column) -> Column:
@@ -41,25 +41,27 @@ def place(o: Column) -> Column:
     return F.concat_ws(":", o["class"], F.format_string("%.6f", o["x"]), F.format_string("%.6f", o["y"]))
 
 
-def _keyed(df: DataFrame) -> DataFrame:
-    return df.withColumn("_key", F.concat_ws(":", "image_path", place(F.col("o"))))
+def _keyed(df: DataFrame, tasks: int, only: bool = False) -> DataFrame:
+    """With keys, or their keys only; dealt by them to a number of tasks where one is given."""
+    df = df.withColumn("_key", F.concat_ws(":", "image_path", place(F.col("o"))))
+    df = df.select("_key") if only else df
+    return spread(df, tasks, "_key") if tasks else df
 
 
-def union_objects(a: DataFrame, b: DataFrame) -> DataFrame:
+def union_objects(a: DataFrame, b: DataFrame, tasks: int = 0) -> DataFrame:
     """All of the left, and the right's first of each key that the left lacks."""
-    left, right = _keyed(a), _keyed(b)
-    new = right.join(left.select("_key").distinct(), "_key", "left_anti")
+    new = _keyed(b, tasks).join(_keyed(a, tasks, only=True), "_key", "left_anti")
     first = Window.partitionBy("_key").orderBy(F.col("o.obj_id"), F.desc("score"))
     new = new.withColumn("_r", F.row_number().over(first)).where("_r = 1")
     return a.unionByName(new.select(*a.columns))
 
 
-def intersect_objects(a: DataFrame, b: DataFrame) -> DataFrame:
-    return _keyed(a).join(_keyed(b).select("_key").distinct(), "_key", "left_semi").drop("_key")
+def intersect_objects(a: DataFrame, b: DataFrame, tasks: int = 0) -> DataFrame:
+    return _keyed(a, tasks).join(_keyed(b, tasks, only=True), "_key", "left_semi").drop("_key")
 
 
-def subtract_objects(a: DataFrame, b: DataFrame) -> DataFrame:
-    return _keyed(a).join(_keyed(b).select("_key").distinct(), "_key", "left_anti").drop("_key")
+def subtract_objects(a: DataFrame, b: DataFrame, tasks: int = 0) -> DataFrame:
+    return _keyed(a, tasks).join(_keyed(b, tasks, only=True), "_key", "left_anti").drop("_key")
 
 
 def _keys(a: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.fuzzy import once
+from ..storage import spread
 from .library import Library, Pack
 from .schema import ATTR, IMAGE_ATTRS, OBJECT, SCENES, empty
 
@@ -29,16 +30,32 @@ def _hist(key, n: int, m: int):
 ITEM = ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount")
 
 
-def items(spark: SparkSession, sf_dir: str) -> DataFrame:
+#: Line items of a task on average, at most: what it sorts and lists stays in memory however large the tables are.
+ITEMS = 1 << 19
+#: Parts that every task holds at most; beyond, line items move to their parts.
+PARTS = 1 << 21
+
+
+def tasks(df: DataFrame) -> int:
+    """How many tasks the rows are dealt to; 0: as many as the session has it."""
+    many = -(-df.count() // ITEMS)
+    return many if many > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else 0
+
+
+def items(spark: SparkSession, sf_dir: str, n: int = 0) -> DataFrame:
     """One row per order key: its line items with their classes, in order.
 
-    Line items move with the few columns that objects are made of; objects are made where they are read.
+    Line items move with the few columns that objects are made of, to ``n`` tasks; objects are made where they are read.
     """
     part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.lower("p_type").alias("class"))
     item = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", *ITEM)
+    if part.count() <= PARTS:
+        part = F.broadcast(part)
+    else:
+        item, part = spread(item, n, "l_partkey"), spread(part, n, "p_partkey")
     rows = item.join(part, F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", *ITEM, "class")
     # they come together before they are listed: lists would be built, sent and merged again
-    return rows.repartition("l_orderkey").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct(*ITEM, "class"))).alias("l"))
+    return spread(rows, n, "l_orderkey").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct(*ITEM, "class"))).alias("l"))
 
 
 def an_object(t, i):
@@ -82,12 +99,13 @@ def path(key):
 
 def library(spark: SparkSession, sf_dir: str) -> Library:
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    n = tasks(spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
     made = once(F.coalesce(F.transform("l", an_object), F.array().cast(f"array<{OBJECT}>")))
-    rows = orders.join(items(spark, sf_dir), F.col("o_orderkey") == F.col("l_orderkey"), "left").withColumn("objects", made)
+    rows = orders.join(items(spark, sf_dir, n), F.col("o_orderkey") == F.col("l_orderkey"), "left").withColumn("objects", made)
     images = rows.select(
         path(F.col("o_orderkey")).alias("path"), F.unix_timestamp("o_orderdate").alias("mtime"), F.col("o_custkey").alias("size"), F.col("o_orderkey").alias("img_id"),
         image_attrs().alias("img_attrs"), "objects",
     )
     albums = orders.where("o_orderkey % 10 = 0").select(F.lit("tens").alias("name"), F.lit(0).alias("pos"), path(F.col("o_orderkey")).alias("path"))
     urgent = orders.where("o_orderpriority = '1-URGENT'").select(F.lit("urgent").alias("name"), F.lit(0).alias("pos"), path(F.col("o_orderkey")).alias("path"))
-    return Library(images, albums.union(urgent), CLASSES, LABELS, PACKS)
+    return Library(images, albums.union(urgent), CLASSES, LABELS, PACKS, n)

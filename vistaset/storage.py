@@ -1,4 +1,4 @@
-"""Shared storage for intermediate tables."""
+"""Shared storage for intermediate tables, and how rows are dealt to tasks."""
 
 from __future__ import annotations
 
@@ -51,3 +51,8 @@ def forget(*tables: DataFrame | None) -> None:
             fs = at.getFileSystem(sc._jsc.hadoopConfiguration())
             fs.delete(at, True)
             fs.cancelDeleteOnExit(at)
+
+
+def spread(df: DataFrame, n: int, *by: str) -> DataFrame:
+    """Rows dealt to ``n`` tasks by columns; 0: to as many as the session has it."""
+    return df.repartition(n, *by) if n else df.repartition(*by)
