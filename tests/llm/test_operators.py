@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -618,6 +619,29 @@ def test_word_ids_match_the_tokenizer(monkeypatch):
         assert all(np.frombuffer(got[x], "<u4").tolist() == t.encode(x.decode(), add_special_tokens=False).ids for x in words)
 
 
+def test_token_words_are_looked_up_once_a_run(monkeypatch):
+    """A distinct word of a run is looked up once, however often it stands there; words part as bytes.split parts them."""
+    odd = ["".join(map(chr, range(128))), "", " ", None, "  a  b\t\n", "\x0b\x0c\r", "a\x1cb\x1db\x85c d e", "a\0b", "\1 a\1b", "<unk> </s> Été 漢字 x</w>", "It's we'll 123"]
+    texts = pa.array([t if t is None else t.encode() for t in odd] + [b"\xff\xfe bad \xc3", b"the " * 5000], pa.binary())
+    w = framed.WordIds(WORD)
+    asked = []
+    learned = w.learned
+    monkeypatch.setattr(w, "learned", lambda words: asked.append(len(words)) or learned(words))
+    ids = lambda x: np.array(w.tokenizer.encode(x.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
+    want = [b"".join(map(ids, (t or b"").split())) for t in texts.to_pylist()]
+    assert list(w.encoded(texts)) == want and list(w.encoded(texts.slice(4, 7))) == want[4:11] and list(w.encoded(texts.slice(0, 0))) == []
+    assert asked[0] == len({x for t in texts.to_pylist() for x in (t or b"").split()})
+
+
+def test_token_runs_keep_rows_and_order(monkeypatch):
+    monkeypatch.setattr(framed, "RUN_BYTES", 10)
+    rows = [(1, b"abc"), (2, None), (3, b"x" * 25), (4, b""), (5, b"abcdefgh"), (6, b"abcdefgh"), (7, b"z")]
+    batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows]), pa.array([t for _, t in rows], pa.binary())], ["doc_id", "text"])
+    runs = list(framed._runs([batch.slice(0, 5), batch.slice(5, 0), batch.slice(5)]))
+    assert [(i, t) for ids, texts in runs for i, t in zip(ids, texts.to_pylist(), strict=True)] == rows
+    assert [ids for ids, _ in runs] == [[1, 2, 3], [4, 5, 6], [7]]
+
+
 def test_damaged_frame_is_found(tmp_path):
     import io
 

@@ -22,6 +22,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyarrow import fs
@@ -37,9 +38,10 @@ NULL_ID = -(2**63)
 #: Words of the younger of a Python worker's two memos; beyond it the younger becomes the older.
 MEMO_WORDS = 150_000
 #: Bytes of text whose words are looked up together, about.
-RUN_BYTES = 1 << 20
+RUN_BYTES = 8 << 20
 
 _SAFE = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+_ALL_SAFE = re.compile("[\x01!-~À-ÖØ-öø-ÿ]*")
 _PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|\x01|[^a-zß-öø-ÿ0-9\x01]+")
 
 
@@ -84,16 +86,20 @@ class WordIds:
         for w in new & self.old.keys():
             self.young[w] = self.old[w]
             new.discard(w)
-        known, texts = [], []
-        for w in new:
-            t = w.decode("utf-8", "replace")
-            if _SAFE.fullmatch(t) and not self.special.search(t):
-                known.append(w)
-                texts.append(t)
-            else:
-                self.young[w] = np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+        known = list(new)
+        text = b"\1".join(known).decode("utf-8", "replace")
+        if text.count("\1") != len(known) - 1 or not _ALL_SAFE.fullmatch(text) or self.special.search(text):
+            known, texts = [], []
+            for w in new:
+                t = w.decode("utf-8", "replace")
+                if _SAFE.fullmatch(t) and not self.special.search(t):
+                    known.append(w)
+                    texts.append(t)
+                else:
+                    self.young[w] = np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+            text = "\1".join(texts)
         if known:
-            ids = np.array(self.table.encode_ordinary(_PIECES.sub("\\g<0>\0", "\1".join(texts).lower())), "<u4")
+            ids = np.array(self.table.encode_ordinary(_PIECES.sub("\\g<0>\0", text.lower())), "<u4")
             at = np.flatnonzero(ids == self.gap[0])
             data, step = ids.tobytes(), 4 * len(self.gap)
             ends = [*(4 * at).tolist(), len(data)]
@@ -101,6 +107,26 @@ class WordIds:
                 self.young[w] = data[s:e]
         return self.young
 
+    def encoded(self, texts: pa.Array):
+        """The ids of each text (as bytes): its words are numbered in Arrow, and each distinct one is looked up once."""
+        split = pc.ascii_split_whitespace(texts.view(pa.string()).fill_null(""))
+        places = split.flatten().dictionary_encode()
+        words = places.dictionary.view(pa.binary()).to_pylist()
+        # blanks at either end leave empty words
+        get = self.learned(set(words) - {b""}).get
+        found = [get(w, b"") for w in words]
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        starts, ids = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(found), "<u4")
+        at = places.indices.to_numpy(zero_copy_only=False)
+        size = sizes[at]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        of = np.arange(ends[-1])
+        of += np.repeat(starts[at] - ends[:-1], size)
+        out = ids[of]
+        cuts = ends[split.offsets.to_numpy() - split.offsets[0].as_py()].tolist()
+        for s, e in zip(cuts, cuts[1:]):
+            yield out[s:e].tobytes()
+
 
 _MEMO: dict[str, WordIds] = {}
 
@@ -186,17 +212,20 @@ def open_reader(uri: str) -> FrameReader:
 
 def _runs(batches):
     """(doc_ids, texts) of consecutive rows, of about RUN_BYTES."""
-    ids, texts, size = [], [], 0
+    held, size = [], 0
+    run = lambda: (pa.concat_arrays([b.column("doc_id") for b in held]).to_pylist(), pa.concat_arrays([b.column("text") for b in held]))
     for b in batches:
-        for i, t in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
-            ids.append(i)
-            texts.append(t.as_py())
-            size += len(texts[-1] or b"")
+        total, k = np.cumsum(pc.binary_length(b.column("text")).fill_null(0).to_numpy().astype(np.int64)), 0
+        while k < b.num_rows:
+            before = total[k - 1] if k else 0
+            stop = min(b.num_rows, int(np.searchsorted(total, before + RUN_BYTES - size)) + 1)
+            held.append(b.slice(k, stop - k))
+            size, k = size + total[stop - 1] - before, stop
             if size >= RUN_BYTES:
-                yield ids, texts
-                ids, texts, size = [], [], 0
-    if ids:
-        yield ids, texts
+                yield run()
+                held, size = [], 0
+    if held:
+        yield run()
 
 
 def write_files(docs: DataFrame, folder: str, tokenizer: str) -> DataFrame:
@@ -213,10 +242,8 @@ def write_files(docs: DataFrame, folder: str, tokenizer: str) -> DataFrame:
                 where.create_dir(root, recursive=True)
                 stream = where.open_output_stream(own)
                 writer = FrameWriter(stream)
-            split = [(t or b"").split() for t in texts]
-            get = words.learned(set().union(*split)).__getitem__
-            for i, w in zip(ids, split, strict=True):
-                writer.add(NULL_ID if i is None else i, b"".join(map(get, w)) + end)
+            for i, own_ids in zip(ids, words.encoded(texts), strict=True):
+                writer.add(NULL_ID if i is None else i, own_ids + end)
         if writer is not None:
             writer.finish()
             stream.close()
