@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vistaset import catalog
-from vistaset.operators import cluster
+from vistaset.operators import cluster, sets
 from vistaset.session import Session
 from vistaset.sources import derived
 
@@ -89,3 +89,54 @@ def test_stored_vectors_are_clustered_without_objects(spark, tables):
     items = spark.createDataFrame([("img_00000001.jpg", 1001, [1.0, 0.0]), ("img_00000001.jpg", 1002, [0.0, 1.0]), ("img_00000002.jpg", 2001, [1.0, 0.0])], "path string, obj_id long, vec array<float>")
     counts = cluster.cluster_counts(cluster.cluster_images(images, "look", "look", 0.9, "promo", items), "look")
     assert [tuple(r) for r in counts.collect()] == [("look_promo_001", 2), ("look_promo_002", 1)]
+
+
+def test_tasks_are_bounded_though_partitions_are_put_together(spark, tables, monkeypatch):
+    """A session's partitions do not keep tasks small: adaptive execution leaves as many as there are cores."""
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        assert derived.library(spark, tables).tasks == 0
+        monkeypatch.setattr(derived, "ITEMS", 1)
+        assert derived.tasks(spark.range(spark.sparkContext.defaultParallelism + 1)) == spark.sparkContext.defaultParallelism + 1
+        assert derived.tasks(spark.range(spark.sparkContext.defaultParallelism)) == 0
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+@pytest.mark.parametrize("script", ["($ any promo) | ($ any small)", "($ any promo) & ($ : (any(promo)))", "$ - ($ any promo) - ($ any small)"])
+def test_image_sets_are_dealt_to_the_library_s_tasks(spark, tables, monkeypatch, script):
+    """Both sides go to at least as many tasks, once each; rows stay the same."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        want = sorted(map(tuple, Session(derived.library(spark, tables)).run(script).table().collect()))
+        monkeypatch.setattr(derived, "tasks", lambda df: 7)
+        got = Session(derived.library(spark, tables)).run(script).table()
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(tuple, got.collect())) == want and want
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    dealt = re.findall(r"Exchange hashpartitioning\(path#\d+, (\d+)\)", plan)
+    assert dealt == ["7"] * {"|": 1, "&": 2, "-": 3}[next(c for c in "|&-" if c in script)]
+
+
+def test_places_are_given_in_as_many_ranges(spark, monkeypatch):
+    df = spark.range(20).select(F.col("id").alias("path"), (F.col("id") % 3).alias("score"))
+    seen = []
+    monkeypatch.setattr(sets, "written", lambda d, name: seen.append(d._jdf.queryExecution().executedPlan().toString()) or d.localCheckpoint())
+    rows = sets.numbered(df, F.asc("score"), F.asc("path"), tasks=6).orderBy("place").collect()
+    assert "rangepartitioning" in seen[0] and ", 6), REPARTITION_BY_NUM" in seen[0]
+    assert [(r["score"], r["path"], r["place"]) for r in rows] == [(s, p, i + 1) for i, (s, p) in enumerate(sorted((k % 3, k) for k in range(20)))]
+
+
+@pytest.mark.parametrize("op", "&-|")
+def test_bags_move_once(spark, tables, monkeypatch, op):
+    """Each side of an operation on bags of objects moves by its keys once, whatever tasks the library names."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    monkeypatch.setattr(derived, "tasks", lambda df: 7)
+    try:
+        bag = Session(derived.library(spark, tables)).run(f"(% ($ any promo)) {op} (% ($ any promo))").objects()
+        plan = bag._jdf.queryExecution().executedPlan().toString()
+        assert bag.count() == {"&": 2, "-": 0, "|": 2}[op]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert re.findall(r"Exchange hashpartitioning\(_key#\d+, (\d+)\)", plan) == ["7", "7"]

@@ -247,8 +247,7 @@ class Compiler:
         if a.df is not None and b.df is not None:
             f = {("images", "|"): sets.union_images, ("images", "&"): sets.intersect_images, ("images", "-"): sets.subtract_images}
             f |= {("objects", "|"): sets.union_objects, ("objects", "&"): sets.intersect_objects, ("objects", "-"): sets.subtract_objects}
-            many = (self.library.tasks,) if a.kind == "objects" else ()
-            return Value(a.kind, df=f[a.kind, op](a.df, b.df, *many))
+            return Value(a.kind, df=f[a.kind, op](a.df, b.df, self.library.tasks))
         if a.df is not None or b.df is not None:
             raise QueryError("A set of the current image and one of the library do not combine inside a condition")
         if a.kind == "images":

@@ -197,8 +197,8 @@ frame("agg11_cluster_counts", lambda s, d: cluster.cluster_counts(_lots(s, d), "
 frame("agg14_next_ids", lambda s, d: etl.next_ids(derived.library(s, d).images), f"{PRELUDE} SELECT (SELECT max(k) + 1 FROM img) AS next_img_id, (SELECT max(k * 1000 + pos) + 1 FROM obj) AS next_obj_id")
 
 # order
-frame("srt1_engine_order", lambda s, d: _positions(Session(derived.library(s, d)).run("$ any promo").table(), False), f"{PRELUDE} SELECT path, {R6}, row_number() OVER (ORDER BY score, path) AS place FROM ({HAS_PROMO}) WHERE score >= 0")
-frame("srt2_best_first", lambda s, d: _positions(Session(derived.library(s, d)).run("$ any promo").table(), True), f"{PRELUDE} SELECT path, {R6}, row_number() OVER (ORDER BY score DESC, path) AS place FROM ({HAS_PROMO}) WHERE score >= 0.05")
+frame("srt1_engine_order", lambda s, d: _positions(Session(derived.library(s, d)), False), f"{PRELUDE} SELECT path, {R6}, row_number() OVER (ORDER BY score, path) AS place FROM ({HAS_PROMO}) WHERE score >= 0")
+frame("srt2_best_first", lambda s, d: _positions(Session(derived.library(s, d)), True), f"{PRELUDE} SELECT path, {R6}, row_number() OVER (ORDER BY score DESC, path) AS place FROM ({HAS_PROMO}) WHERE score >= 0.05")
 
 # numbers and texts
 for _name, _text, _expr in (
@@ -296,10 +296,10 @@ def _objects(df: DataFrame) -> DataFrame:
     return df.select("image_path", F.col("o.class").alias("class"), F.col("o.x").alias("x"), F.col("o.y").alias("y"), "score")
 
 
-def _positions(df: DataFrame, best: bool) -> DataFrame:
-    """All results with their places."""
-    kept = df.where(F.col("score") >= (0.05 if best else 0.0))
-    return sets.numbered(kept, F.desc("score") if best else F.asc("score"), F.asc("path"))
+def _positions(session: Session, best: bool) -> DataFrame:
+    """All images with a promo object, with their places."""
+    kept = session.run("$ any promo").table().where(F.col("score") >= (0.05 if best else 0.0))
+    return sets.numbered(kept, F.desc("score") if best else F.asc("score"), F.asc("path"), tasks=session.library.tasks)
 
 
 # keeping libraries

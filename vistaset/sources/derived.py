@@ -30,16 +30,20 @@ def _hist(key, n: int, m: int):
 ITEM = ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount")
 
 
-#: Line items of a task on average, at most: what it sorts and lists stays in memory however large the tables are.
-ITEMS = 1 << 19
+#: Line items of a task on average, at most: what it sorts and lists (about 170 bytes each) stays in memory however large the tables are.
+#: Not fewer either: beyond 200 tasks rows are sorted before they are sent, which takes memory there.
+ITEMS = 3 << 16
 #: Parts that every task holds at most; beyond, line items move to their parts.
 PARTS = 1 << 21
 
 
 def tasks(df: DataFrame) -> int:
-    """How many tasks the rows are dealt to; 0: as many as the session has it."""
-    many = -(-df.count() // ITEMS)
-    return many if many > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else 0
+    """How many tasks the rows are dealt to; 0: as many as the session has it.
+
+    Of the session's partitions adaptive execution may leave no more than the cores, so these count too.
+    """
+    spark, many = df.sparkSession, -(-df.count() // ITEMS)
+    return many if many > min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism) else 0
 
 
 def items(spark: SparkSession, sf_dir: str, n: int = 0) -> DataFrame:

@@ -43,7 +43,7 @@ class Library:
     """Images (one row each, objects nested), albums, the class tree, scene labels and packs.
 
     The class tree, labels and packs are vocabularies of a model, known when a query is compiled. ``tasks`` says to how many
-    tasks bags of its objects are dealt (0: as the session has it).
+    tasks sets of its images and bags of its objects are dealt (0: as the session has it).
     """
 
     images: DataFrame
