@@ -1,5 +1,7 @@
 import hashlib
 import math
+import os
+import pickle
 import re
 import zlib
 from collections import Counter
@@ -462,6 +464,27 @@ def test_bpe_matches_library(docs, odd, none, texts):
     assert {r["doc_id"]: r["decoded"] for r in bpe.encode(odd, BYTE, columns="ids").collect()} == by
 
 
+def test_bpe_driver_holds_no_words(docs, monkeypatch):
+    """The driver gets the word list and the pieces as Arrow: it collects no rows of them and loads no tokenizer."""
+    driver, load, collect = os.getpid(), bpe.load, type(docs).collect
+
+    def in_a_task(path):
+        assert os.getpid() != driver
+        return load(path)
+
+    def few(df):
+        rows = collect(df)
+        assert len(rows) <= 1
+        return rows
+
+    want = bpe.encode(docs, BYTE).count()
+    monkeypatch.setattr(bpe, "load", in_a_task)
+    monkeypatch.setattr(type(docs), "collect", few)
+    assert bpe.encode(docs, BYTE).count() == want
+    listed = pickle.loads(pickle.dumps(bpe.Listed(pa.table({"word": pa.array([b"a", b" b"], pa.binary()), "ids": pa.array([b"\1\0\0\0", b""], pa.binary())}))))
+    assert listed == {b"a": b"\1\0\0\0", b" b": b"", b"": b""}
+
+
 def test_words_encode_alone():
     t = Tokenizer.from_file(BYTE)
     rng = np.random.default_rng(4)

@@ -83,6 +83,24 @@ def load(path: str):
     return t, pa.array(pieces, pa.large_binary())
 
 
+class Listed:
+    """Words and their ids in one Arrow message, which becomes a dictionary where it is received: the driver makes no objects of them."""
+
+    def __init__(self, words_: pa.Table):
+        out = pa.BufferOutputStream()
+        with pa.ipc.new_stream(out, words_.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+            w.write_table(words_)
+        self.message = out.getvalue().to_pybytes()
+
+    def __reduce__(self):
+        return _listed, (self.message,)
+
+
+def _listed(message: bytes) -> dict[bytes, bytes]:
+    t = pa.ipc.open_stream(message).read_all()
+    return dict(zip(t.column("word").to_pylist(), t.column("ids").to_pylist(), strict=True)) | {b"": b""}
+
+
 def _joined(column: pa.Array, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
     """The column's values at ``ids``, end to end, and where each begins."""
     got = column.take(pa.array(ids))
@@ -126,6 +144,15 @@ def _common(path: str):
     return encoded
 
 
+def _pieces(path: str):
+    def made(batches):
+        # the batches hold the one row that starts the task
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([load(path)[1].cast(pa.binary())], ["piece"])
+
+    return made
+
+
 def _answered(path: str):
     """Each block of words becomes a block of the words with their ids; a word's blocks are all in one partition."""
 
@@ -205,8 +232,7 @@ def encode(docs: DataFrame, path: str, chunk_bytes: int = CHUNK_BYTES, columns:
     buckets = 4 * n
     counts = own.select("text").mapInArrow(_counted, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
     top = counts.orderBy(F.desc("n"), "word").limit(FREQUENT).select("word").repartition(spark.sparkContext.defaultParallelism)
-    rows = top.mapInArrow(_common(path), "word binary, ids binary").collect()
-    frequent = spark.sparkContext.broadcast({bytes(r["word"]): bytes(r["ids"]) for r in rows} | {b"": b""})
+    frequent = spark.sparkContext.broadcast(Listed(top.mapInArrow(_common(path), "word binary, ids binary").toArrow()))
 
     # equal rows of different input partitions go to different chunks
     dealt = own.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(n)).cast("int"))
@@ -237,7 +263,11 @@ def encode(docs: DataFrame, path: str, chunk_bytes: int = CHUNK_BYTES, columns:
     digests = columns == "digests"
     last = ["ids_sha256", "decoded_sha256"] if digests else ["ids", "decoded"]
 
-    pieces = spark.sparkContext.broadcast(load(path)[1])
+    # a task loads the tokenizer, which takes more memory than its pieces; they come in order, as one partition made them
+    made = spark.range(0, 1, 1, 1).mapInArrow(_pieces(path), "piece binary").toArrow()
+    pieces = spark.sparkContext.broadcast(made.column("piece").combine_chunks().cast(pa.large_binary()))
+    del made
+    released()
 
     def assembled(left: pa.Table, right: pa.Table) -> pa.Table:
         doc_ids, texts = _unpacked(left.column("block").to_pylist())
