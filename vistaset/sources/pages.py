@@ -15,6 +15,9 @@ import uuid
 import zlib
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -58,18 +61,22 @@ class PackedOut:
 
 
 class PackedIn:
-    """Reads such a file at any place: frames are found by their headers, one is held unpacked."""
+    """Reads such a file at any place: frames are found by their headers, as far as is read, and one is held unpacked.
 
-    def __init__(self, f):
-        self.f, self.starts, self.places, self.held = f, [0], [], (-1, b"")
-        at = 0
-        while at < f.size():
-            magic, _, a, b, _, packed, plain = _HEAD.unpack(f.read_at(_HEAD.size, at))
+    It may be opened at a frame: ``place`` is where that stands in the file, ``start`` where in what is packed.
+    """
+
+    def __init__(self, f, start: int = 0, place: int = 0):
+        self.f, self.starts, self.places, self.next, self.end, self.held = f, [start], [], place, f.size(), (-1, b"")
+
+    def _find(self, stop: int | None = None) -> None:
+        while self.next < self.end and (stop is None or self.starts[-1] < stop):
+            magic, _, a, b, _, packed, plain = _HEAD.unpack(self.f.read_at(_HEAD.size, self.next))
             if (magic, a, b) != (_MAGIC, b"v", b"s"):
                 raise ValueError("not a packed file of this library")
-            self.places.append((at, packed))
+            self.places.append((self.next, packed))
             self.starts.append(self.starts[-1] + plain)
-            at += packed
+            self.next += packed
 
     def __enter__(self):
         return self
@@ -78,18 +85,40 @@ class PackedIn:
         self.f.close()
 
     def size(self) -> int:
+        self._find()
         return self.starts[-1]
 
+    def cuts(self, least: int) -> list[tuple[int, int, int]]:
+        """(start, stop, place) of runs of whole frames, each ended as it holds so many bytes."""
+        self._find()
+        out, k = [], 0
+        for j in range(1, len(self.starts)):
+            if self.starts[j] - self.starts[k] >= least or j == len(self.places):
+                out.append((self.starts[k], self.starts[j], self.places[k][0]))
+                k = j
+        return [c for c in out if c[0] < c[1]]
+
+    def _unpacked(self, k: int, n: int) -> bytes:
+        """A frame, or its first bytes where few are wanted."""
+        (place, packed), plain = self.places[k], self.starts[k + 1] - self.starts[k]
+        if 2 * n < plain:
+            head = zlib.decompressobj(31).decompress(self.f.read_at(min(packed, n + (1 << 16)), place), n)
+            if len(head) == n:
+                return head
+        return zlib.decompress(self.f.read_at(packed, place), 31, max(plain, 1))
+
     def read_at(self, n: int, at: int) -> bytes:
-        out, stop = [], min(at + n, self.size())
+        if at < self.starts[0]:  # before the frame that it was opened at
+            self.starts, self.places, self.next, self.held = [0], [], 0, (-1, b"")
+        self._find(at + n)
+        out, stop = [], min(at + n, self.starts[-1])
         while at < stop:
             k = bisect.bisect_right(self.starts, at) - 1
-            if self.held[0] != k:
-                place, packed = self.places[k]
-                self.held = (k, zlib.decompress(self.f.read_at(packed, place), 31))
-            part = self.held[1][at - self.starts[k] : stop - self.starts[k]]
-            out.append(part)
-            at += len(part)
+            first, last = at - self.starts[k], min(stop, self.starts[k + 1]) - self.starts[k]
+            if self.held[0] != k or len(self.held[1]) < last:
+                self.held = (k, self._unpacked(k, last))
+            out.append(self.held[1][first:last])
+            at += last - first
         return b"".join(out)
 
 
@@ -107,6 +136,17 @@ def _at(folder: str):
     return fs, path.rstrip("/")
 
 
+def _joined(texts: pa.Array, between: str):
+    """(number, bytes) of texts that follow each other, a frame of them or one at a time; a null is an empty text."""
+    texts, between = pc.fill_null(texts, ""), pa.scalar(between, texts.type)
+    ends, at = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64) + len(between.as_buffer())), 0
+    while at < len(texts):
+        n = max(1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + FRAME, "right")) - at)
+        row = pa.LargeListArray.from_arrays(pa.array([0, n], pa.int64()), texts.slice(at, n))
+        yield n, pc.binary_join(row, between)[0].as_buffer()
+        at += n
+
+
 class PagesWriter(DataSourceArrowWriter):
     def __init__(self, folder: str, form: Form):
         self.folder, self.form, self.run = folder, form, uuid.uuid4().hex
@@ -120,9 +160,11 @@ class PagesWriter(DataSourceArrowWriter):
             f = PackedOut(to) if self.form.ending.endswith(".gz") else to
             f.write(self.form.head.encode())
             for b in iterator:
-                for t in b.column(0):
-                    f.write(((self.form.between if rows else "") + (t.as_py() or "")).encode())
-                    rows += 1
+                for n, texts in _joined(b.column(0), self.form.between):
+                    if rows:
+                        f.write(self.form.between.encode())
+                    f.write(texts)
+                    rows += n
             f.write(self.form.foot.encode())
             f.flush()
         return Written(part, name, rows)
