@@ -34,7 +34,7 @@ class Form:
     ending: str
 
 
-#: Bytes of a packed file's frame before packing.
+#: Bytes of a packed file's frame before packing, at least; texts are joined up to as many, so most frames hold nearly twice that.
 FRAME = 4 << 20
 _HEAD = struct.Struct("<10sHccHQQ")
 _MAGIC = b"\x1f\x8b\x08\x04\0\0\0\0\0\xff"
